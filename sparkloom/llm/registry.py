@@ -1,10 +1,20 @@
 """The corpus operators' queries, and SQL where SQL can express them."""
 
-from sparkloom.llm import line_dedup, mixing, quality_rules
+from sparkloom.llm import bpe, fingerprints, jaccard_join, license_scan, line_dedup, mixing, quality_rules, suffix_dedup, url_filter, warc_zip
+
+import corpus_pipeline
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
+    "op2_fingerprints": fingerprints.query,
+    "op3_jaccard_join": jaccard_join.query,
+    "op4_license_scan": license_scan.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_url_filter": url_filter.query,
+    "op7_bpe": bpe.query,
+    "op8_warc_zip": warc_zip.query,
     "op9_quality_rules": quality_rules.query,
     "op10_mixing": mixing.query,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op9_quality_rules": quality_rules.SQL}
+ORACLES = {"op3_jaccard_join": jaccard_join.SQL, "op9_quality_rules": quality_rules.SQL}
