@@ -40,3 +40,25 @@ def usage_report(
     )
     limit = F.coalesce(*[F.when(F.col("grouping") == g, F.lit(n)) for g, n in (limits or {}).items()], F.lit(2**31 - 1))
     return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("gid")
+
+
+def usage_cards(report: DataFrame) -> DataFrame:
+    """How many user and model buckets a usage report has; the null user counts."""
+    return report.agg(F.count_if(F.col("grouping") == "user").alias("users"), F.count_if(F.col("grouping") == "model").alias("models"))
+
+
+def priced(calls: DataFrame, pool: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Adds input_per_million and output_per_million to calls by model: the pool's first entry of the model (sort_order, then
+    id) unless neither price is positive, else the fallback's, else null. fallback: model, input_per_million, output_per_million."""
+    first = Window.partitionBy("model").orderBy("sort_order", "id")
+    best = pool.withColumn("r", F.row_number().over(first)).filter("r = 1 AND (input_per_million > 0 OR output_per_million > 0)")
+    best = best.select("model", F.col("input_per_million").alias("i1"), F.col("output_per_million").alias("o1"))
+    other = fallback.select("model", F.col("input_per_million").alias("i2"), F.col("output_per_million").alias("o2"))
+    rows = calls.join(best, "model", "left").join(other, "model", "left")
+    return rows.withColumn("input_per_million", F.coalesce("i1", "i2")).withColumn("output_per_million", F.coalesce("o1", "o2")).drop("i1", "o1", "i2", "o2")
+
+
+def with_cost(calls: DataFrame) -> DataFrame:
+    """cost = prompt / 1e6 * input + completion / 1e6 * output, six places; without a price 0."""
+    cost = F.col("prompt_tokens") / 1e6 * F.col("input_per_million") + F.col("completion_tokens") / 1e6 * F.col("output_per_million")
+    return calls.withColumn("cost", F.round(F.coalesce(cost, F.lit(0.0)), 6))
