@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Numerals, title prefixes, law tokens, hints and patterns that results depend on.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -146,8 +147,9 @@ def failure_kind(message: Column) -> Column:
 def salvaged_json(content: Column) -> Column:
     """The JSON object of a model's answer, as text: the whole, a fenced block, the outermost braces, those without trailing
     commas; the first that is an object, else null."""
-    t = F.trim(F.coalesce(content, F.lit("")))
-    fenced = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    strip = lambda c: F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
+    t = strip(F.coalesce(content, F.lit("")))
+    fenced = strip(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1))
     braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
     tidy = F.regexp_replace(braces, r",\s*([}\]])", "$1")
     ok = lambda c: F.when(F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull(), c)
@@ -174,13 +176,13 @@ def clipped(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def statement_key(text: pd.Series) -> pd.Series:
     """Compatibility-composed, lower-cased letters and digits only. Spark has no Unicode normalisation."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "").lower() if c.isalnum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import NUMERAL
 
@@ -94,7 +95,7 @@ def pieces(text: Column, size: int, overlap: int) -> Column:
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def pack(whole: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([[t] if len(t) <= size else list(packed(list(p), size, overlap)) for t, p in zip(whole, parts)])
 

@@ -58,7 +58,7 @@ def priced(calls: DataFrame, pool: DataFrame, fallback: DataFrame) -> DataFrame:
     return rows.withColumn("input_per_million", F.coalesce("i1", "i2")).withColumn("output_per_million", F.coalesce("o1", "o2")).drop("i1", "o1", "i2", "o2")
 
 
-def with_cost(calls: DataFrame) -> DataFrame:
-    """cost = prompt / 1e6 * input + completion / 1e6 * output, six places; without a price 0."""
+def with_cost(calls: DataFrame, places: int = 6) -> DataFrame:
+    """cost = prompt / 1e6 * input + completion / 1e6 * output, rounded; without a price 0."""
     cost = F.col("prompt_tokens") / 1e6 * F.col("input_per_million") + F.col("completion_tokens") / 1e6 * F.col("output_per_million")
-    return calls.withColumn("cost", F.round(F.coalesce(cost, F.lit(0.0)), 6))
+    return calls.withColumn("cost", F.round(F.coalesce(cost, F.lit(0.0)), places))

@@ -59,7 +59,7 @@ QUERIES |= {
     "t09_transcript": lambda s, d: L.transcript(view(s, d, "messages"), 4, 60),
     "k03_one_default": lambda s, d: L.one_default(view(s, d, "model_pool")).filter("is_default").select("id", "name"),
     "j03_priced_calls": lambda s, d: priced(_named(view(s, d, "calls")), view(s, d, "model_pool"), _fallback(s)).select("id", "model", "input_per_million", "output_per_million"),
-    "x12_call_cost": lambda s, d: with_cost(priced(_named(view(s, d, "calls")), view(s, d, "model_pool"), _fallback(s))).select("id", "cost"),
+    "x12_call_cost": lambda s, d: with_cost(priced(_named(view(s, d, "calls")), view(s, d, "model_pool"), _fallback(s)), 10).select("id", "cost"),
 }
 TYPES = ("STANDARD ANODIZED TIN", "SMALL PLATED COPPER")
 
@@ -106,5 +106,5 @@ ORACLES |= {
       FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step_index DESC, id DESC) AS b FROM messages) WHERE b <= 4 AND role IN ('user', 'assistant') GROUP BY session_id""",
     "k03_one_default": f"WITH {ctes('model_pool')} SELECT id, name FROM model_pool WHERE is_default ORDER BY id DESC LIMIT 1",
     "j03_priced_calls": f"{PRICED} SELECT id, model, input_per_million, output_per_million FROM x",
-    "x12_call_cost": f"{PRICED} SELECT id, round(coalesce(prompt_tokens / 1e6 * input_per_million + completion_tokens / 1e6 * output_per_million, 0), 6) AS cost FROM x",
+    "x12_call_cost": f"{PRICED} SELECT id, round(coalesce(prompt_tokens / 1e6 * input_per_million + completion_tokens / 1e6 * output_per_million, 0), 10) AS cost FROM x",
 }

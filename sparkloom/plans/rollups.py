@@ -99,8 +99,8 @@ ORACLES = {
     "a09_message_counts": f"WITH {ctes('messages')} SELECT session_id, count(*) AS n FROM messages GROUP BY 1",
     "a30_retrieved_summary": f"""WITH {ctes('tool_calls')}, x AS (SELECT request_id, id, CAST(json_extract_string(content, '$.hits') AS INTEGER) AS hits, json_extract_string(content, '$.backend') AS backend,
         CAST(json_extract(content, '$.results') AS INTEGER[]) AS results FROM tool_calls WHERE tool_name = 'knowledge_search'),
-      u AS (SELECT request_id, r, min(id * 10 + i) AS at FROM (SELECT request_id, id, unnest(results) AS r, generate_subscripts(results, 1) AS i FROM x) GROUP BY 1, 2),
-      o AS (SELECT request_id, string_agg(CAST(r AS VARCHAR), ',' ORDER BY at) AS refs FROM u GROUP BY 1)
+      u AS (SELECT request_id, r, min(id * 10 + i) AS pos FROM (SELECT request_id, id, unnest(results) AS r, generate_subscripts(results, 1) AS i FROM x) GROUP BY 1, 2),
+      o AS (SELECT request_id, string_agg(CAST(r AS VARCHAR), ',' ORDER BY pos) AS refs FROM u GROUP BY 1)
       SELECT x.request_id, CAST(sum(hits) AS BIGINT) AS hits, coalesce(any_value(o.refs), '') AS refs, string_agg(DISTINCT backend, ',' ORDER BY backend) AS backends FROM x LEFT JOIN o USING (request_id) GROUP BY x.request_id""",
     "j02_session_children": f"""WITH {ctes('task_runs', 'agent_runs')} SELECT t.session_id, t.request_id, a.step_index, a.agent_id, a.id FROM task_runs t JOIN agent_runs a USING (request_id)""",
     "j11_known_requests": f"""WITH {ctes('calls', 'task_runs')} SELECT request_id, request_id IN (SELECT request_id FROM task_runs) AS known FROM (SELECT DISTINCT request_id FROM calls)""",
@@ -119,8 +119,8 @@ ORACLES = {
       FROM submissions s LEFT JOIN task_runs t USING (request_id)""",
     "k09_session_delete": f"WITH {ctes('messages', 'sessions')} SELECT id, session_id FROM messages WHERE session_id NOT IN (SELECT session_id FROM sessions WHERE status = 'closed')",
     "k09_memory_patch": f"WITH {ctes('memories')} SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE content END AS content, importance FROM memories",
-    "q02_distinct_in_order": f"""WITH {ctes('agent_runs')}, f AS (SELECT request_id, agent_id, min((step_index, id, part_id)) AS at FROM agent_runs GROUP BY 1, 2)
-      SELECT request_id, string_agg(agent_id, ',' ORDER BY at) AS agent_id FROM f GROUP BY 1""",
+    "q02_distinct_in_order": f"""WITH {ctes('agent_runs')}, f AS (SELECT request_id, agent_id, min((step_index, id, part_id)) AS pos FROM agent_runs GROUP BY 1, 2)
+      SELECT request_id, string_agg(agent_id, ',' ORDER BY pos) AS agent_id FROM f GROUP BY 1""",
     "q05_last_row_wins": f"WITH {ctes('tool_calls')} SELECT request_id, max(id) AS id, arg_max(status, id) AS status FROM tool_calls GROUP BY 1",
     "x16_heartbeats": """SELECT worker_id, age, age > 86400 AS stale FROM (SELECT CASE WHEN event_id % 50 <> 0 THEN user_id END AS worker_id,
       CAST(round(greatest(0, epoch_us(TIMESTAMP '2024-01-20') - max(epoch_us(ts))) / 1e6) AS BIGINT) AS age FROM events GROUP BY 1) WHERE worker_id IS NOT NULL""",
