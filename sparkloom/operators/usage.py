@@ -34,6 +34,11 @@ def usage_report(
         F.count_if("failed").alias("failed_calls"),
     ]
     grouped = rows.groupingSets([[], [keys[0]], [keys[1]], keys], *keys).agg(F.grouping_id().cast("int").alias("gid"), *measures)
+    # Spark gives no totals row for an empty table: a row of zeros is added to the totals
+    names = [c for c in grouped.columns if c not in ("gid", "model", "user_id")]
+    kinds = dict(grouped.dtypes)
+    zero = rows.sparkSession.range(1).select(F.lit(3).alias("gid"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("model", "user_id")), *(F.lit(0).cast(kinds[c]).alias(c) for c in names))
+    grouped = grouped.unionByName(zero).groupBy("gid", "model", "user_id").agg(*(F.sum(c).alias(c) for c in names))
     order = Window.partitionBy("gid").orderBy(F.desc("total_tokens"), F.asc_nulls_first("user_id"), F.asc_nulls_first("model"))
     named = grouped.withColumn(
         "grouping", F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "model").when(F.col("gid") == 2, "user").otherwise("user_model")
