@@ -17,6 +17,7 @@ import itertools
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -25,14 +26,16 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import documents, text_of
+from sparkloom.llm._base import documents, stored, text_of
 
 LEXICON_WORDS = 50_000
 MIN_COUNT = 3
-CACHED = 200_000
+CACHED = 400_000
+#: A space before anything but white space begins a new token of the pattern, whatever stands around it: texts are cut there.
+CUT = re.compile(r" (?=\S)")
 
 
 def default_path() -> str:
@@ -221,31 +224,36 @@ class Lexicon:
 
 
 class Encoder(dict):
-    """Word -> ids, by lexicon or merging; what was found is kept, up to CACHED words."""
+    """Piece of text after a space -> ids of the space and it, by lexicon or merging; what was found is kept, up to CACHED pieces."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8")
-        ids = self.lexicon.get(raw) if self.lexicon else None
-        if ids is None:
-            ids = self.vocabulary.merge(raw)
+    def words(self, part: str) -> list[int]:
+        ids: list[int] = []
+        for word in self.vocabulary.words.findall(part):
+            raw = word.encode("utf-8")
+            found = self.lexicon.get(raw) if self.lexicon else None
+            ids += self.vocabulary.merge(raw) if found is None else found
+        return ids
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.words(" " + piece))
         if len(self) >= CACHED:
             self.clear()
-        if len(raw) <= 64:
-            self[word] = ids
+        if len(piece) <= 64:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        find = self.vocabulary.words.findall
         parts = []
         for special, part in self.vocabulary.pieces(text):
             if special is not None:
                 parts.append(np.array([special], np.int32))
-            else:
-                parts.append(np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, find(part))), np.int32))
+                continue
+            first, *rest = CUT.split(part)
+            parts.append(np.fromiter(itertools.chain(self.words(first), itertools.chain.from_iterable(map(self.__getitem__, rest))), np.int32))
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.int32)])
 
     def decode(self, ids) -> str:
@@ -263,39 +271,43 @@ def _encoder(path: str, lexicon: str | None) -> Encoder:
     return _LOADED[key]
 
 
-def word_counts(docs: DataFrame, path: str) -> DataFrame:
-    """word (binary), n: how often each word stands in the whole corpus."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word of letters only stands after white space in the whole corpus."""
 
     def count(batches):
-        vocabulary, seen = Vocabulary(path), Counter()
+        seen: Counter = Counter()
 
         def flush():
             # what stands only once here is carried too: the sums are over all documents
-            out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words = [w for w in seen if w.isalpha() and len(w) <= 32]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
             seen.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
-                for special, part in vocabulary.pieces(text.as_py()):
-                    if special is None:
-                        seen.update(vocabulary.words.findall(part))
+                seen.update(text.as_py().split())
                 if len(seen) > 300_000:
                     yield flush()
         yield flush()
 
-    found = docs.select(text_of().alias("text")).mapInArrow(count, "word binary, n long")
+    found = docs.select(text_of().alias("text")).mapInArrow(count, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, min_count: int = MIN_COUNT) -> str:
-    """Compile the corpus's `words` most frequent words; the file's name under SparkFiles. At most `words` rows reach the driver."""
-    top = word_counts(docs, path).filter((F.col("n") >= min_count) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(words).collect()
+    """Compile the corpus's `words` most frequent words, with the space before them; the file's name under SparkFiles. At most `words` rows reach the driver."""
+    counts = stored(word_counts(docs).filter(F.col("n") >= min_count))
+    # the least count whose words still fit, from a table of counts; equal counts are in or out together
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m")).withColumn("above", F.sum("m").over(Window.orderBy(F.desc("n"))))
+    least = by_count.filter(F.col("above") <= words).agg(F.min("n").alias("n")).first()["n"]
+    top = counts.filter(F.col("n") >= least).collect() if least is not None else []
     vocabulary = Vocabulary(path)
+    spaced = [w.encode() for r in top for w in vocabulary.words.findall(f" {r['word']}")]
     name = f"lexicon-{uuid.uuid4().hex}"
     file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     with open(file, "wb") as f:
-        f.write(compile_lexicon({bytes(r["word"]): vocabulary.merge(bytes(r["word"])) for r in top}))
+        f.write(compile_lexicon({w: vocabulary.merge(w) for w in spaced}))
     docs.sparkSession.sparkContext.addFile(file)
     return name
 

@@ -7,11 +7,14 @@ The distance of two sets is 1 - |x & y| / |x | y|, a metric. Equal sets are one
    at most a known number of x's shingles, so its home is among x's first |x| - ceil(threshold * |x|) + 1 pivots: x is
    replicated to those regions, and any two points within r meet in one. Shingles that are frequent in a bounded sample of
    documents come last in the order: that changes how large regions are, never which pairs meet.
-2. Pivot documents. In each region of two points or more, one point is the pivot. Its distance to every point of the region
-   is taken exactly. Points within r of it are in its ball and thereby connected; a region whose points are all connected is done.
-3. Recursion. The other regions are taken again with another pivot, PIVOT_ROUNDS times. What is left then is joined exactly:
-   pairs of points that aren't connected yet, whose sizes allow a link, and whose distances to the pivot differ by r at most
-   (triangle inequality). Only links between points that are connected anyway are left out, so components are exact.
+2. Windows. The pairs of a region are narrowed by bounds that hold for every pair within r: sizes, places of the first common
+   pivot, and the triangle inequality for BUCKETS further pivot sets that share out all shingles: the differences of the two
+   points' intersections with them add up to the size of the symmetric difference at most. What is left is measured exactly.
+3. Recursion. In a region of more than SMALL points, pairs aren't listed at first: one point is its pivot, and the distance of
+   every point to it is measured. Points within r are in its ball and thereby connected; a region whose points are all connected
+   is done. The others are taken again with another pivot, PIVOT_ROUNDS times; of what is left, pairs of points that aren't
+   connected are narrowed as above and by their distances to the pivot (triangle inequality), and measured. Only links between
+   points that are connected anyway are left out, so components are exact.
 
 Cases: null and empty texts have the empty set, link with nothing and are their own component; texts of one or two words have
 one shingle; equal texts, and repeated rows, share a component; the component is the smallest doc_id; a null doc_id stays a
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ PERCENT = 90
 ORDER_SAMPLE = 10_000
 FREQUENT = 1_000_000
 PIVOT_ROUNDS = 2
+BUCKETS = 64
+SMALL = 12
 
 
 def _batches(batches, work):
@@ -63,7 +69,7 @@ def frequent_shingles(docs: DataFrame, n: int = N, sample: int = ORDER_SAMPLE) -
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, k1, k2 (128-bit key of the set), window (the set's first pivots, in order)."""
+    """doc_id, n, k1, k2 (128-bit key of the set), window (the set's first pivots, in order), shares (of the set by bucket)."""
     kind = dict(docs.dtypes)["doc_id"]
     late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))  # at most 8 * FREQUENT bytes
 
@@ -86,12 +92,14 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
                 if full.any():
                     sums[k, full] = H.mix(np.add.reduceat(H.mix(flat ^ np.uint64(salt)), begins[full]) + sizes[full].astype(np.uint64))
             ends = np.concatenate(([0], np.cumsum(window))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(picked.view(np.int64)))],
-                ["doc_id", "n", "k1", "k2", "window"],
-            )
+            bucket = (H.mix(flat) >> np.uint64(7)).astype(np.int64) % BUCKETS
+            shares = np.bincount(doc * BUCKETS + bucket, minlength=len(sets) * BUCKETS).astype(np.int32)
+            shared_ends = np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS
+            keys = [pa.array(x.view(np.int64)) for x in sums]
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in ((ends, picked.view(np.int64)), (shared_ends, shares))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *keys, *lists], ["doc_id", "n", "k1", "k2", "window", "shares"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, window array<long>")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, window array<long>, shares array<int>")
 
 
 def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -117,54 +125,90 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", (1 - F.col("c") / F.col("u")).alias("d"), (100 * F.col("c") >= percent * F.col("u")).alias("link"))
 
 
-def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, k1, k2 of each document; rep, label of each class of equal sets that is linked with another)."""
-    signed = stored(signatures(docs, n, percent))
-    reps = stored(
-        signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("window").alias("window"))
-    )
-    placed = reps.select("rep", "n", F.posexplode("window").alias("pos", "s"))
-    shared = placed.groupBy("s").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("points")).filter("points > 1").select("s", "pivot")
-    regions = stored(placed.join(shared, "s"))
-    r = 1 - percent / 100
-    fits = f"{percent} * greatest(n, pn) <= 100 * least(n, pn)"
-    wanted = regions.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id"), n))
-
-    done, links, open_regions = None, None, regions
-    labels = regions.select(F.col("rep").alias("id")).distinct().withColumn("label", F.col("id"))
-    for k in range(pivot_rounds):
-        size = reps.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"))
-        near = open_regions.filter("rep <> pivot").select("rep", "n", "pivot").distinct().join(size, "pivot").filter(fits)
-        pairs = near.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        now = stored(measured(pairs, sets, percent))
-        done = now if done is None else done.unionByName(now)
-        links = done.filter("link").select("a", "b")
-        found = components(links)
-        labels = regions.select(F.col("rep").alias("id")).distinct().join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        labelled = open_regions.drop("label").join(labels.withColumnRenamed("id", "rep"), "rep")
-        apart = labelled.groupBy("s").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("rep").alias("other"))
-        apart = apart.filter("l1 <> l2")
-        # the next pivot is the region's largest id, then the smallest again
-        new_pivot = apart.select("s", F.col("other").alias("next"))
-        open_regions = stored(labelled.join(new_pivot, "s").withColumn("was", F.col("pivot")).withColumn("pivot", F.col("next")).drop("next"))
-    pivot_d = done.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").unionByName(done.select(F.col("b").alias("x"), F.col("a").alias("p"), "d"))
-    last = open_regions.join(pivot_d, (F.col("rep") == F.col("x")) & (F.col("was") == F.col("p")), "left").select("s", "rep", "n", "pos", "label", "d")
-    last = stored(last)
-    x, y = last.alias("x"), last.alias("y")
-    rest = x.join(y, F.col("x.s") == F.col("y.s")).filter(
-        f"x.rep > y.rep AND x.label <> y.label AND {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-        f" AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {r} + 1e-9)"
-        # places of the first common pivot: what stands before it in either set is in one set only
-        f" AND (100 + {percent}) * (x.n + y.n - x.pos - y.pos) >= 2 * {percent} * (x.n + y.n)"
+def narrowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and shares by bucket allow a link (points: rep, n, shares)."""
+    x = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shares").alias("ha"))
+    y = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shares").alias("hb"))
+    rows = pairs.join(x, "a").join(y, "b").filter(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
+    apart = F.aggregate(F.zip_with("ha", "hb", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, d: s + d)
+    # |x ^ y| <= n + m - 2c, and a link needs (100 + percent) * c >= percent * (n + m)
+    return rows.filter((100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def pairs_within(regions: DataFrame, percent: int, extra: str = "true") -> DataFrame:
+    """a > b: pairs of points of a region (s, rep, n, pos) whose sizes and places of the first common pivot allow a link."""
+    x, y = regions.alias("x"), regions.alias("y")
+    rows = x.join(y, F.col("x.s") == F.col("y.s")).filter(
+        f"x.rep > y.rep AND {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
+        # what stands before the first common pivot in either set is in one set only
+        f" AND (100 + {percent}) * (x.n + y.n - x.pos - y.pos) >= 2 * {percent} * (x.n + y.n) AND ({extra})"
     )
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    final = stored(measured(rest, sets, percent))
-    return signed.select("doc_id", "n", "k1", "k2"), reps.select("k1", "k2", "rep").join(
-        components(links.unionByName(final.filter("link").select("a", "b"))).withColumnRenamed("id", "rep"), "rep", "left"
-    ).withColumn("label", F.coalesce("label", "rep"))
+    return rows.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, k1, k2 of each document; k1, k2, rep, label of each class of equal sets)."""
+    signed = stored(signatures(docs, n, percent))
+    classes = stored(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
+    placed = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.posexplode("window").alias("pos", "s"))
+    shared = placed.groupBy("s").agg(F.count(F.lit(1)).alias("points")).filter("points > 1").select("s")
+    met = placed.join(shared, "s")
+    # from here on only points that meet another; copies are one point
+    points = signed.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", "n", "shares").dropDuplicates(["rep"])
+    points = stored(points)
+    met = stored(met.join(points.select(F.col("rep").alias("doc_id"), "n"), "doc_id").withColumnRenamed("doc_id", "rep").distinct())
+    sized = met.groupBy("s").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("points")).filter("points > 1")
+    regions = stored(met.join(sized, "s"))
+
+    listed = stored(narrowed(pairs_within(regions.filter(F.col("points") <= small), percent), points, percent))
+    large = regions.filter(F.col("points") > small).drop("points")
+    wanted = listed.select(F.col("a").alias("doc_id")).union(listed.select("b")).union(large.select("rep")).distinct()
+    sets = stored(shingle_sets(expanded(compressed(docs).join(wanted, "doc_id")), n))
+
+    done = stored(measured(listed, sets, percent))
+    edges = done.filter("link").select("a", "b")
+    r, open_regions = 1 - percent / 100, large.withColumn("was", F.col("pivot"))
+    for _ in range(pivot_rounds):
+        star = open_regions.filter("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        new = narrowed(star.join(done, ["a", "b"], "left_anti"), points, percent)
+        done = done.unionByName(stored(measured(new, sets, percent)))
+        edges = done.filter("link").select("a", "b")
+        labels = components(edges).withColumnRenamed("id", "rep")
+        labelled = open_regions.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        apart = labelled.groupBy("s").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("rep").alias("next")).filter("l1 <> l2").select("s", "next")
+        open_regions = stored(labelled.join(apart, "s").withColumn("was", F.col("pivot")).withColumn("pivot", F.col("next")).drop("next"))
+    known = done.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").unionByName(done.select(F.col("b").alias("x"), F.col("a").alias("p"), "d"))
+    last = stored(open_regions.join(known, (F.col("rep") == F.col("x")) & (F.col("was") == F.col("p")), "left").select("s", "rep", "n", "pos", "label", "d").distinct())
+    rest = pairs_within(last, percent, f"x.label <> y.label AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {r} + 1e-9)")
+    final = stored(measured(narrowed(rest.join(done, ["a", "b"], "left_anti"), points, percent), sets, percent))
+    labels = components(edges.unionByName(final.filter("link").select("a", "b"))).withColumnRenamed("id", "rep")
+    return signed.select("doc_id", "n", "k1", "k2"), classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, z: texts for a shuffle."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
+
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, z binary")
+
+
+def expanded(rows: DataFrame) -> DataFrame:
+    """doc_id, text again."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpack(z.as_py()).decode() for z in batch.column(1)], pa.string())], ["doc_id", "text"])
+
+    return rows.select("doc_id", "z").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
