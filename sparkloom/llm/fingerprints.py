@@ -79,7 +79,7 @@ def longest_common_extension(a: np.ndarray, b: np.ndarray, i: int, j: int) -> in
 
 
 def fingerprint(text: str) -> str:
-    """length:whole hash:step:front grid:back grid:sketch, in hexadecimal."""
+    """length:whole hash:step:front grid:back grid:sketch, in hexadecimal; the lists' items have 16, 16 and 8 digits."""
     points = code_points(text)
     n = len(points)
     h = prefix_hashes(points)
@@ -91,45 +91,49 @@ def fingerprint(text: str) -> str:
     # the whole text's H minus the prefix's, moved to the text's end: suffixes of equal texts of any place agree
     back = suffix_hashes(h, inner)
     spans = span_of_length(h, min(SPAN, n)) if n else np.zeros(0, np.int64)
-    sketch = np.unique(_spread(spans))[:SKETCH]
+    sketch = least(_spread(spans), SKETCH)
     whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-    listed = [",".join(format(int(x), "x") for x in part) for part in (front, back, sketch)]
+    listed = [part.astype(kind).tobytes().hex() for part, kind in ((front, ">u8"), (back, ">u8"), (sketch, ">u4"))]
     return ":".join([format(n, "x"), whole, format(step, "x"), *listed])
 
 
 def suffix_hashes(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of the suffixes of these lengths, independent of where they begin."""
     n = h.shape[1] - 1
-    out = []
-    for k, p in enumerate(PRIMES):
-        starts = n - lengths
-        inverse = pow(BASES[k], -1, p)
-        shift = np.array([pow(inverse, int(s), p) for s in starts], np.int64) if len(starts) else np.zeros(0, np.int64)
-        out.append((h[k, n] - h[k, starts]) % p * shift % p)
+    starts = n - lengths
+    out = [(h[k, n] - h[k, starts]) % p * inverse_powers(n + 1, k)[starts] % p for k, p in enumerate(PRIMES)]
     return (out[0] << 31) | out[1]
 
 
 def span_of_length(h: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all spans of one length, of 31 bits: (H[i + length] - H[i]) * B**(n - i) for the first prime."""
     n = h.shape[1]
-    starts = np.arange(n - length)
     p = PRIMES[0]
-    moved = (h[0, length:] - h[0, : n - length]) % p * _inverse_powers(n)[starts] % p
+    moved = (h[0, length:] - h[0, : n - length]) % p * inverse_powers(n)[: n - length] % p
     return moved
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    key = -1
-    have = _POWERS.get(key, np.ones(1, np.int64))
-    inverse, p = pow(BASES[0], -1, PRIMES[0]), PRIMES[0]
+def inverse_powers(n: int, k: int = 0) -> np.ndarray:
+    """BASES[k]**-i modulo PRIMES[k] for i < n."""
+    have = _POWERS.get(-1 - k, np.ones(1, np.int64))
+    inverse, p = pow(BASES[k], -1, PRIMES[k]), PRIMES[k]
     while len(have) < n:
         step = int(have[-1]) * inverse % p
         have = np.concatenate((have, have * step % p))
     if len(have) <= 1 << 22:
-        _POWERS[key] = have
+        _POWERS[-1 - k] = have
     return have[:n]
 
 
+def least(values: np.ndarray, count: int) -> np.ndarray:
+    """The smallest distinct values, without sorting all."""
+    if len(values) > 8 * count:
+        some = np.unique(np.partition(values, 8 * count - 1)[: 8 * count])
+        if len(some) >= count:
+            return some[:count]
+    return np.unique(values)[:count]
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     """A fixed scrambling, so that the smallest are a fair sample."""
     return (x * 2_654_435_761 + 40_503) % 4_294_967_291
@@ -143,7 +147,7 @@ def likeness(one: str, other: str) -> float:
     n, m, step = int(a[0], 16), int(b[0], 16), max(int(a[2], 16), int(b[2], 16))
     if not n or not m:
         return 0.0
-    lists = [[x.split(",") if x else [] for x in f[3:]] for f in (a, b)]
+    lists = [[[x[i : i + w] for i in range(0, len(x), w)] for x, w in zip(f[3:], (16, 16, 8))] for f in (a, b)]
 
     def common(k: int) -> int:
         x, y = lists[0][k][step // int(a[2], 16) - 1 :: step // int(a[2], 16)], lists[1][k][step // int(b[2], 16) - 1 :: step // int(b[2], 16)]
@@ -155,8 +159,8 @@ def likeness(one: str, other: str) -> float:
 
     extended = min(common(0) + common(1), n, m) / max(n, m)
     x, y = set(lists[0][2]), set(lists[1][2])
-    least = sorted(x | y, key=lambda v: int(v, 16))[:SKETCH]
-    spans = sum(v in x and v in y for v in least) / max(1, len(least))
+    smallest = sorted(x | y)[:SKETCH]
+    spans = sum(v in x and v in y for v in smallest) / max(1, len(smallest))
     return min(max(extended, spans), 1 - 1e-9)
 
 
