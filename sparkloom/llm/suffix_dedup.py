@@ -9,7 +9,10 @@ first, and its WINDOW bytes are removed. The digits of a suffix are read in an o
    by both, dealt by range, so that no group, however large, meets in one task. Groups of one drop out. A run that equals an
    earlier row's is repeated as a whole. What is left undecided: the first row of each run, where several runs share an anchor
    (or may do so across a range's edge).
-2. Only their suffixes are sorted further, by all WINDOW bytes: first within the document, then over all documents.
+2. Only these runs go on, with their bytes. They are sorted by anchor, dealt by range again, and the suffixes of the runs of an
+   anchor are sorted by all WINDOW bytes where they lie: all but the first of equal ones are decided.
+3. Anchors whose runs lie across a range's edge, or are very many, leave the first of equal suffixes of each part: these are
+   compared over all documents.
 
 Bytes are compared by 128 bits of polynomial hashes. Texts travel compressed (zstandard).
 
@@ -32,6 +35,7 @@ from sparkloom.llm._base import documents, stored, text_of
 
 WINDOW = 100
 DIGIT = 32
+HELD_RUNS = 20_000
 OTHER = H._values(2)
 NO_ID = -(2**63)
 
@@ -68,15 +72,6 @@ def runs(data: np.ndarray, window: int = WINDOW, digit: int = DIGIT) -> tuple[np
     return g[at], whole, (lo << 16) | shape
 
 
-def suffixes(data: np.ndarray, places: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, two hashes of the WINDOW bytes) of the runs' suffixes, ascending."""
-    lo, more = places >> 16, (places >> 8) & 255
-    counts = more + 1
-    s = np.unique(np.repeat(lo - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()))
-    down = H.powers(len(data) + 1)[1]
-    return s, span(H.prefix(data), s, s + window, down), span(H.prefix(data, OTHER), s, s + window, down)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), text_of().alias("text"))
 
@@ -174,35 +169,96 @@ def compressed(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc long, z binary")
 
 
-def last_pass(docs: DataFrame, opened: DataFrame, window: int) -> DataFrame:
-    """doc, start, w1, w2 of the open runs' suffixes; w1 null: it repeats an earlier suffix of its document."""
+def open_runs(docs: DataFrame, opened: DataFrame, window: int, digit: int) -> DataFrame:
+    """anchor, doc, place, bytes of the open runs."""
     places = opened.groupBy("doc").agg(F.collect_set("place").alias("places"))
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for doc, z, where in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data = np.frombuffer(unpack(z.as_py()), np.uint8)
-                s, w1, w2 = suffixes(data, np.sort(where.values.to_numpy()), window)
-                order = np.lexsort((s, w2, w1))
-                again = np.zeros(len(s), bool)
-                again[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(s), doc, np.int64)), pa.array(s), pa.array(w1.view(np.int64), mask=again), pa.array(w2.view(np.int64))], ["doc", "start", "w1", "w2"]
-                )
+                raw = unpack(z.as_py())
+                place = where.values.to_numpy()
+                lo, more, at = place >> 16, (place >> 8) & 255, place & 255
+                data = np.frombuffer(raw, np.uint8)
+                anchor = span(H.prefix(data), lo + at, lo + at + digit, H.powers(len(data) + 1)[1])
+                parts = [raw[a:b] for a, b in zip(lo, lo + more + window)]
+                columns = [pa.array(anchor.view(np.int64)), pa.array(np.full(len(place), doc, np.int64)), pa.array(place), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc", "place", "bytes"])
+
+    return compressed(docs).join(places, "doc").select("doc", "z", "places").mapInArrow(run, "anchor long, doc long, place long, bytes binary")
+
+
+def sorted_suffixes(rows: list, window: int, across: np.ndarray) -> pa.RecordBatch:
+    """Repeated spans (w1 null) of runs that lie together; of runs in `across` also the first of equal suffixes, with their hashes."""
+    doc, place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+    raw = b"".join(r[3] for r in rows)
+    data, sizes = np.frombuffer(raw, np.uint8), np.array([len(r[3]) for r in rows])
+    begins = np.cumsum(sizes) - sizes
+    counts = ((place >> 8) & 255) + 1
+    run = np.repeat(np.arange(len(rows)), counts)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at, start, down = begins[run] + k, (place >> 16)[run] + k, H.powers(len(data) + 1)[1]
+    w1, w2 = (span(H.prefix(data, v), at, at + window, down) for v in (H.VALUES, OTHER))
+    order = np.lexsort((start, doc[run], w2, w1))
+    again = np.zeros(len(run), bool)
+    again[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+    # neighbouring repeated suffixes of a run as one span
+    opens = again & np.concatenate(([True], ~again[:-1] | (run[1:] != run[:-1])))
+    closes = again & np.concatenate((~again[1:] | (run[1:] != run[:-1]), [True]))
+    left = ~again & across[run]
+    docs = np.concatenate((doc[run][opens], doc[run][left]))
+    starts = np.concatenate((start[opens], start[left]))
+    length = np.concatenate((start[closes] - start[opens] + window, np.full(left.sum(), window)))
+    decided = np.arange(len(docs)) < opens.sum()
+    hashes = [np.concatenate((np.zeros(opens.sum(), np.uint64), w[left])).view(np.int64) for w in (w1, w2)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs), pa.array(starts), pa.array(length.astype(np.int64)), pa.array(hashes[0], mask=decided), pa.array(hashes[1], mask=decided)],
+        ["doc", "start", "length", "w1", "w2"],
+    )
+
+
+def second_pass(runs_left: DataFrame, window: int) -> DataFrame:
+    """doc, start, length, w1, w2; w1 null: decided."""
+
+    def resolve(batches):
+        held: list = []
+        cut = None  # an anchor whose earlier runs are gone already
+        first = True
+
+        def done(rows, last: bool):
+            anchors = [r[0] for r in rows]
+            edge = {cut} | ({anchors[0]} if first else set()) | ({anchors[-1]} if last else set())
+            return sorted_suffixes(rows, window, np.array([a in edge for a in anchors]))
 
-    return compressed(docs).join(places, "doc").select("doc", "z", "places").mapInArrow(run, "doc long, start long, w1 long, w2 long")
+        for batch in batches:
+            held += zip(*(batch.column(k).to_pylist() for k in range(4)))
+            if len(held) >= HELD_RUNS:
+                k = len(held)
+                while k and held[k - 1][0] == held[-1][0]:
+                    k -= 1
+                whole = k == 0  # one anchor fills it: its part goes now
+                yield done(held if whole else held[:k], whole)
+                cut, first = held[-1][0] if whole else None, False
+                held = [] if whole else held[k:]
+        if held:
+            yield done(held, True)
+
+    order = ["anchor", "doc", "place"]
+    dealt = runs_left.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(resolve, "doc long, start long, length long, w1 long, w2 long")
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
     """doc, spans: array of lo << 16 | length of repeated bytes (spans may overlap)."""
     passed = stored(first_passes(run_rows(docs, window, digit)))
-    last = stored(last_pass(docs, passed.filter("open"), window))
-    shared = last.filter("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = last.join(shared.select("w1", "w2", "first"), ["w1", "w2"]).filter("doc > first").select("doc", "start")
-    again = again.unionByName(last.filter("w1 IS NULL").select("doc", "start"))
+    found = stored(second_pass(stored(open_runs(docs, passed.filter("open"), window, digit)), window))
+    last = found.filter("w1 IS NOT NULL").withColumn("at", F.struct("doc", "start"))
+    shared = last.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = last.join(shared.select("w1", "w2", "first"), ["w1", "w2"]).filter("at > first").select("doc", "start", "length")
+    again = again.unionByName(found.filter("w1 IS NULL").select("doc", "start", "length"))
     whole = passed.filter("NOT open").select("doc", F.expr(f"(place >> 16 << 16) + ((place >> 8) & 255) + {window}").alias("span"))
-    spans = whole.unionByName(again.select("doc", F.expr(f"(start << 16) + {window}").alias("span")))
+    spans = whole.unionByName(again.select("doc", F.expr("(start << 16) + length").alias("span")))
     return spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
