@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _hashes as H
@@ -69,7 +69,8 @@ def frequent_shingles(docs: DataFrame, n: int = N, sample: int = ORDER_SAMPLE) -
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, k1, k2 (128-bit key of the set), window (the set's first pivots, in order), shares (of the set by bucket)."""
+    """doc_id, n, k1, k2 (128-bit key of the set), window (the set's first pivots, in order), early (how many of them aren't
+    frequent; they come first), shares (of the set by bucket)."""
     kind = dict(docs.dtypes)["doc_id"]
     late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))  # at most 8 * FREQUENT bytes
 
@@ -85,7 +86,9 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
             begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
             place = np.arange(len(flat)) - np.repeat(begins, sizes)
             window = sizes - (percent * sizes + 99) // 100 + (sizes > 0)
-            picked = flat[order][place < np.repeat(window, sizes)]
+            inside = place < np.repeat(window, sizes)
+            picked = flat[order][inside]
+            early = np.bincount(doc[order][inside & ~is_late[order]], minlength=len(sets))
             sums = np.zeros((2, len(sets)), np.uint64)
             full = sizes > 0
             for k, salt in enumerate((0x1234567, 0x89ABCDEF)):
@@ -97,9 +100,10 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
             shared_ends = np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS
             keys = [pa.array(x.view(np.int64)) for x in sums]
             lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in ((ends, picked.view(np.int64)), (shared_ends, shares))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *keys, *lists], ["doc_id", "n", "k1", "k2", "window", "shares"])
+            columns = [ids, pa.array(sizes), *keys, lists[0], pa.array(early.astype(np.int32)), lists[1]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "window", "early", "shares"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, window array<long>, shares array<int>")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, window array<long>, early int, shares array<int>")
 
 
 def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -148,11 +152,17 @@ def pairs_within(regions: DataFrame, percent: int, extra: str = "true") -> DataF
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, k1, k2 of each document; k1, k2, rep, label of each class of equal sets)."""
-    signed = stored(signatures(docs, n, percent))
+    signed = signatures(docs, n, percent)
+    placed = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "early", F.posexplode("window").alias("pos", "s"))
+    signed = stored(signed.drop("window", "early"))
     classes = stored(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    placed = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.posexplode("window").alias("pos", "s"))
-    shared = placed.groupBy("s").agg(F.count(F.lit(1)).alias("points")).filter("points > 1").select("s")
-    met = placed.join(shared, "s")
+    # regions of rare shingles are small: their rows are counted where they meet, moved once. Those of frequent shingles may be
+    # large: counts are reduced before the shuffle, and the join with them is one that Spark splits when skewed
+    rare = placed.filter("pos < early").select("doc_id", "pos", "s").repartition("s")
+    rare = rare.withColumn("points", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("points > 1").drop("points")
+    common = placed.filter("pos >= early").select("doc_id", "pos", "s")
+    shared = common.groupBy("s").agg(F.count(F.lit(1)).alias("points")).filter("points > 1").select("s")
+    met = stored(rare.unionByName(common.join(shared, "s").select("doc_id", "pos", "s")))
     # from here on only points that meet another; copies are one point
     points = signed.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", "n", "shares").dropDuplicates(["rep"])
     points = stored(points)
