@@ -6,7 +6,7 @@ The tree splits the drawn blocks of all sources among the output shards: a node
 replacement, how many blocks of each source go left; a leaf's blocks are disjoint, and its rows are ordered by hash.
 
 Cases: a null text has size 0; null is a source of its own, the last; empty documents are taken whole passes only; rows that
-repeat a doc_id are separate rows with equal hashes; an empty table gives an empty result; further columns are kept by
+repeat a doc_id are separate rows that are taken alike; an empty table gives an empty result; further columns are kept by
 `mixed` and ignored by `mix`.
 """
 
@@ -69,7 +69,8 @@ def draw(sizes: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, seed: int = SEE
     rows = rows.join(blocks, ["source_key", "block"])
     within = Window.partitionBy("source_key", "block").orderBy("ord", "doc_id")
     whole = F.col("left") >= F.col("block_size")
-    upto = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # rows that repeat a doc_id are in or out together
+    upto = F.sum("size").over(within) - F.sum("size").over(Window.partitionBy("source_key", "block", "ord", "doc_id"))
     # the document at the cut is in if more than half of it fits
     extra = (whole | ((F.col("left") > 0) & (upto + F.col("size") / 2 <= F.col("left")))) & (F.col("size") > 0)
     rows = rows.withColumn("extra", extra)
