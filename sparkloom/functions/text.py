@@ -108,8 +108,8 @@ def _strip_marks(text: Column) -> Column:
 def entity_name(raw: Column) -> Column:
     """White space, outer marks and trailing filler words removed."""
     name = _strip_marks(squeezed(raw))
-    for noise in TRAILING_NOISE:
-        name = F.when((F.length(name) > len(noise) + 2) & name.endswith(noise), F.left(name, F.length(name) - len(noise))).otherwise(name)
+    for noise in TRAILING_NOISE:  # only if three letters or more are left
+        name = F.regexp_replace(name, f"^(.{{3,}}){noise}$", "$1")
     return _strip_marks(name)
 
 
@@ -124,9 +124,10 @@ def entity_key(kind: Column, name: Column) -> Column:
     return F.concat_ws(":", kind, name)
 
 
-def mention_kind(name: Column, text: Column) -> Column:
-    """exact: the name stands in the squeezed text; partial: one of its 3-letter parts does; else absent."""
-    n = entity_name(name)
+def mention_kind(name: Column, text: Column, clean: bool = False) -> Column:
+    """exact: the name stands in the squeezed text; partial: one of its 3-letter parts does; else absent. clean: the name is
+    normal already (a column computed before is read several times here)."""
+    n = name if clean else entity_name(name)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 2, F.lit(1))), lambda i: F.substring(n, i, F.lit(3)))
     some = (F.length(n) >= 3) & F.exists(grams, lambda g: F.contains(text, g))
     return F.when(n == "", "absent").when(F.contains(text, n), "exact").when(some, "partial").otherwise("absent")

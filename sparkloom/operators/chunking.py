@@ -172,3 +172,15 @@ def batches(rows: DataFrame, key: str, order: str, text: str, section: str, most
 
     sized = rows.select(key, order, (F.length(text) + F.length(section) + 8).alias("cost"))
     return sized.groupBy(key).applyInPandas(fold, schema)
+
+
+def embedded(rows: DataFrame, embed, text: str = "text", instruction: str = "") -> DataFrame:
+    """Adds `vector`, an injected column function of the text; queries carry an instruction before it, documents none."""
+    return rows.withColumn("vector", embed(F.concat(F.lit(instruction), F.col(text))))
+
+
+def ingest_report(files: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """One row: files, failed (with an error), documents with chunks, chunks, letters."""
+    f = files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    c = chunk_rows.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("chars"))
+    return f.crossJoin(F.broadcast(c))

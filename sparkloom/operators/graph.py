@@ -193,3 +193,37 @@ def hop_coverage(ends: DataFrame, edges: DataFrame, mentions: DataFrame, min_sha
         F.count(F.lit(1)).alias("pairs"), F.count_if("c").alias("by_cites"), F.count_if("m").alias("by_mentions"), F.count_if(F.col("c") | F.col("m")).alias("linked"),
         ((F.count(F.lit(1)) > 0) & (F.count_if(F.col("c") | F.col("m")) == F.count(F.lit(1)))).alias("complete"),
     )
+
+
+def chain_counts(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """name, matches: paths of two edges whose ends carry the wanted labels (edges: src, dst; patterns: name, first, middle, last ids)."""
+    one = edges.select(F.col("src").alias("first"), F.col("dst").alias("middle"))
+    two = edges.select(F.col("src").alias("middle"), F.col("dst").alias("last"))
+    found = patterns.join(one, ["first", "middle"]).join(two, ["middle", "last"]).groupBy("name").agg(F.count(F.lit(1)).alias("matches"))
+    return patterns.select("name").join(found, "name", "left").select("name", F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
+def endpoints(samples: DataFrame, clause_rows: DataFrame) -> DataFrame:
+    """sample_id, label, clause_id of what reference texts (sample_id, text) need: cited clauses, and all clauses of documents that are
+    named without an article. What can't be resolved, self-references too, has a null clause_id; each label comes once."""
+    index = title_index(clause_rows)
+    found = samples.select("sample_id", F.explode(X.citations(F.col("text"))).alias("c")).select("sample_id", F.col("c.law").alias("name"), "c.article")
+    cited = resolved(found, index).withColumn("doc", F.when(~F.col("name").startswith("本"), F.col("doc")))
+    where = articles(clause_rows).withColumnRenamed("doc_id", "doc")
+    cited = cited.join(where, ["doc", "article"], "left").withColumn("label", F.concat("name", F.lit("第"), F.col("article").cast("string"), F.lit("条")))
+    covered = cited.filter("clause_id IS NOT NULL").select("sample_id", X.normal_title(F.col("name")).alias("name")).distinct()
+    named = samples.select("sample_id", F.explode(X.title_references(F.col("text"))).alias("name")).join(covered, ["sample_id", "name"], "left_anti")
+    whole = resolved(named, index).join(clause_rows.select(F.col("doc_id").alias("doc"), "clause_id"), "doc", "left")
+    whole = whole.withColumn("label", F.concat(F.lit("《"), "name", F.lit("》")))
+    return cited.select("sample_id", "label", "clause_id").unionByName(whole.select("sample_id", "label", "clause_id")).distinct()
+
+
+def reachability(mentions: DataFrame, seeds: DataFrame, targets: DataFrame, thresholds: DataFrame, cap: int) -> DataFrame:
+    """seed, min_shared, neighbours, capped_rank, rank: for each threshold (min_shared) how many clauses a seed reaches, and the rank of
+    its target (seed, target) among all and, if within it, under the cap."""
+    near = mentions_neighbours(mentions, seeds, 1, None).join(F.broadcast(thresholds), F.col("weight") >= F.col("min_shared"))
+    order = Window.partitionBy("seed", "min_shared").orderBy(F.desc("weight"), "clause_id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).join(targets, "seed")
+    rank = F.min(F.when(F.col("clause_id") == F.col("target"), F.col("rank")))
+    out = ranked.groupBy("seed", "min_shared").agg(F.count(F.lit(1)).alias("neighbours"), rank.alias("rank"))
+    return out.withColumn("capped_rank", F.when(F.col("rank") <= cap, F.col("rank")))

@@ -154,3 +154,8 @@ def one_default(pool: DataFrame, order: str = "id") -> DataFrame:
     """At most one default: the last marked one."""
     last = Window.partitionBy("is_default").orderBy(F.desc(order))
     return pool.withColumn("is_default", F.col("is_default") & (F.row_number().over(last) == 1))
+
+
+def review_links(runs: DataFrame) -> DataFrame:
+    """request_id, review_id (only while a run waits for review), source_review_id."""
+    return runs.select("request_id", F.when(F.col("status") == "needs_human_review", F.col("review_id")).alias("review_id"), "source_review_id")

@@ -88,19 +88,20 @@ def audited_mentions(mentions: DataFrame, clauses: DataFrame) -> DataFrame:
     """Mentions (ord, clause_id, type, name) with degree and kind (exact, partial, absent; null: its clause is unknown)."""
     degrees = mentions.groupBy("type", "name").agg(F.count(F.lit(1)).alias("degree"))
     texts = clauses.select("clause_id", X.squeezed(F.col("text")).alias("squeezed"))
-    rows = mentions.join(degrees, ["type", "name"]).join(texts, "clause_id", "left")
-    return rows.withColumn("kind", F.when(F.col("squeezed").isNotNull(), X.mention_kind(F.col("name"), F.col("squeezed")))).drop("squeezed")
+    rows = mentions.join(degrees, ["type", "name"]).join(texts, "clause_id", "left").withColumn("_clean", X.entity_name(F.col("name")))
+    kind = F.when(F.col("squeezed").isNotNull(), X.mention_kind(F.col("_clean"), F.col("squeezed"), clean=True))
+    return rows.withColumn("kind", kind).drop("squeezed", "_clean")
 
 
 def literal_audit(audited: DataFrame) -> DataFrame:
     """table (all, type, degree), key, exact, partial, absent, unresolved, absent_ratio."""
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("exact", "partial", "absent")] + [F.count_if(F.col("kind").isNull()).alias("unresolved")]
-    parts = [
-        audited.groupBy(F.lit("all").alias("table"), F.lit("all").alias("key")).agg(*kinds),
-        audited.groupBy(F.lit("type").alias("table"), F.col("type").alias("key")).agg(*kinds),
-        audited.groupBy(F.lit("degree").alias("table"), degree_band(F.col("degree")).alias("key")).agg(*kinds),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = audited.select("type", degree_band(F.col("degree")).alias("band"), "kind")
+    sets = [[], [F.col("type")], [F.col("band")]]
+    rows = rows.groupingSets(sets, F.col("type"), F.col("band")).agg(F.grouping_id().alias("gid"), *kinds)
+    table = F.when(F.col("gid") == 3, "all").when(F.col("gid") == 1, "type").otherwise("degree")
+    key = F.when(F.col("gid") == 3, "all").when(F.col("gid") == 1, F.col("type")).otherwise(F.col("band"))
+    rows = rows.select(table.alias("table"), key.alias("key"), "exact", "partial", "absent", "unresolved")
     return rows.withColumn("absent_ratio", ratio(F.col("absent"), F.col("exact") + F.col("partial") + F.col("absent")))
 
 

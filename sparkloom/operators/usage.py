@@ -67,3 +67,12 @@ def with_cost(calls: DataFrame, places: int = 6) -> DataFrame:
     """cost = prompt / 1e6 * input + completion / 1e6 * output, rounded; without a price 0."""
     cost = F.col("prompt_tokens") / 1e6 * F.col("input_per_million") + F.col("completion_tokens") / 1e6 * F.col("output_per_million")
     return calls.withColumn("cost", F.round(F.coalesce(cost, F.lit(0.0)), places))
+
+
+def priced_twice(calls: DataFrame, pool: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Prices by the model that the answer names, else by the one asked for (model, requested_model)."""
+    first = priced(calls, pool, fallback)
+    missing = first.filter("input_per_million IS NULL").drop("input_per_million", "output_per_million")
+    again = priced(missing.withColumnRenamed("model", "answered").withColumnRenamed("requested_model", "model"), pool, fallback)
+    again = again.withColumnRenamed("model", "requested_model").withColumnRenamed("answered", "model")
+    return first.filter("input_per_million IS NOT NULL").unionByName(again.select(*first.columns))

@@ -92,7 +92,7 @@ def items(s, d):
 def answers(s, d):
     k = F.col("l_orderkey")
     return table(s, d, "lineitem").select(
-        (k % 97).alias("doc_id"), (k % 3).alias("ref"), F.when(k % 3 != 2, k % 3).alias("clause_id"), (k * 10 + F.col("l_linenumber")).alias("place"),
+        (k % 97).alias("doc_id"), (k % 3).alias("ref"), F.when(k % 3 != 2, k % 3).alias("clause_id"), ((k * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("place"),
         F.when(F.col("l_partkey") % 4 == 0, "other").otherwise("tax_type").alias("type"), F.when(F.col("l_partkey") % 9 == 0, "x").otherwise(F.concat(F.lit("name"), (F.col("l_suppkey") % 8).cast("string"))).alias("name"),
     )
 
@@ -231,5 +231,9 @@ ORACLES = {
     "a26_arm_comparison": """SELECT l_returnflag AS arm, l_linestatus AS "group", count(*) AS targets, count(*) FILTER (l_partkey % 3 = 0) AS hits, CAST(sum(l_linenumber) AS BIGINT) AS contexts, CAST(sum(l_linenumber % 2) AS BIGINT) AS graph_contexts
       FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag))""",
     "a27_run_counters": "SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS docs, count(*) FILTER (event_id % 9 = 0) AS truncated FROM events GROUP BY 1",
+    "x26_validated_entities": """WITH l AS (SELECT l_orderkey % 97 AS d, l_orderkey % 3 AS ref, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS place, l_partkey % 4 = 0 AS bad_type, l_partkey % 9 = 0 AS bad_name, l_suppkey % 8 AS name FROM lineitem),
+      f AS (SELECT d, ref, name, min(place) AS p FROM l WHERE NOT bad_type AND NOT bad_name GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY d, ref ORDER BY p) AS k FROM f)
+      SELECT CASE WHEN l.ref = 2 THEN 'unknown_ref' WHEN bad_type THEN 'unknown_types' WHEN bad_name THEN 'invalid_names' WHEN k > 3 THEN 'over_limit' WHEN place > p THEN 'duplicates' ELSE 'kept' END AS verdict, count(*) AS n
+      FROM l LEFT JOIN o ON o.d = l.d AND o.ref = l.ref AND o.name = l.name GROUP BY 1""",
     "q01_anchored_sets": "SELECT l_orderkey AS clause_id FROM lineitem INTERSECT SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0",
 }
