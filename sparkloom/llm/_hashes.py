@@ -11,7 +11,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _values(seed: int) -> np.ndarray:
@@ -31,7 +31,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         np.cumprod(up, out=up)
         np.cumprod(down, out=down)
-        if size > 16 * CHUNK:  # a very long text's table isn't kept
+        if size > 64 * CHUNK:  # a very long text's table isn't kept
             return up[:n], down[:n]
         _POWERS.update(n=size, up=up, down=down)
     return _POWERS["up"][:n], _POWERS["down"][:n]

@@ -43,12 +43,14 @@ BUCKETS = 64
 SMALL = 12
 
 
-def _batches(batches, work):
+def _batches(batches, work, unpack=str.encode):
     """work(texts) for runs of texts of bounded size; yields (ids, results)."""
-    for batch in batches:
-        texts = [t.as_py().encode() for t in batch.column(1)]
-        for at, part in H.chunks(texts):
-            yield batch.column(0).slice(at, len(part)), work(part)
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 256):
+            batch = whole.slice(begin, 256)
+            texts = [unpack(t.as_py()) for t in batch.column(1)]
+            for at, part in H.chunks(texts):
+                yield batch.column(0).slice(at, len(part)), work(part)
 
 
 def frequent_shingles(docs: DataFrame, n: int = N, sample: int = ORDER_SAMPLE) -> np.ndarray:
@@ -106,17 +108,18 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, window array<long>, early int, shares array<int>")
 
 
-def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, shingles: the whole sets."""
-    kind = dict(docs.dtypes)["doc_id"]
+def shingle_sets(rows: DataFrame, n: int = N) -> DataFrame:
+    """doc_id, shingles: the whole sets of compressed texts (doc_id, z)."""
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        for ids, sets in _batches(batches, lambda part: H.shingles(part, n)):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for ids, sets in _batches(batches, lambda part: H.shingles(part, n), unpack):
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return rows.select("doc_id", "z").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,7 +176,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: in
     listed = stored(narrowed(pairs_within(regions.filter(F.col("points") <= small), percent), points, percent))
     large = regions.filter(F.col("points") > small).drop("points")
     wanted = listed.select(F.col("a").alias("doc_id")).union(listed.select("b")).union(large.select("rep")).distinct()
-    sets = stored(shingle_sets(expanded(compressed(docs).join(wanted, "doc_id")), n))
+    sets = stored(shingle_sets(compressed(docs).join(wanted, "doc_id"), n))
 
     done = stored(measured(listed, sets, percent))
     edges = done.filter("link").select("a", "b")
@@ -201,24 +204,12 @@ def compressed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, z binary")
-
-
-def expanded(rows: DataFrame) -> DataFrame:
-    """doc_id, text again."""
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpack(z.as_py()).decode() for z in batch.column(1)], pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
 
-    return rows.select("doc_id", "z").mapInArrow(run, f"doc_id {kind}, text string")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, z binary")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
