@@ -9,10 +9,10 @@ first, and its WINDOW bytes are removed. The digits of a suffix are read in an o
    by both, dealt by range, so that no group, however large, meets in one task. Groups of one drop out. A run that equals an
    earlier row's is repeated as a whole. What is left undecided: the first row of each run, where several runs share an anchor
    (or may do so across a range's edge).
-2. Only these runs go on, with their bytes. They are sorted by anchor, dealt by range again, and the suffixes of the runs of an
-   anchor are sorted by all WINDOW bytes where they lie: all but the first of equal ones are decided.
-3. Anchors whose runs lie across a range's edge, or are very many, leave the first of equal suffixes of each part: these are
-   compared over all documents.
+2. Only these runs go on, with their bytes. They are dealt by anchor, and the suffixes of the runs of an anchor are sorted by all
+   WINDOW bytes where they lie: all but the first of equal ones are decided.
+3. Anchors with more than HELD_RUNS runs are dealt in several parts (by a salt). Each part leaves the first of its equal suffixes:
+   these are compared over all documents.
 
 Bytes are compared by 128 bits of polynomial hashes. Texts travel compressed (zstandard).
 
@@ -220,41 +220,33 @@ def sorted_suffixes(rows: list, window: int, across: np.ndarray) -> pa.RecordBat
     )
 
 
-def second_pass(runs_left: DataFrame, window: int) -> DataFrame:
+def second_pass(runs_left: DataFrame, window: int, held_runs: int = HELD_RUNS) -> DataFrame:
     """doc, start, length, w1, w2; w1 null: decided."""
 
     def resolve(batches):
         held: list = []
-        cut = None  # an anchor whose earlier runs are gone already
-        first = True
-
-        def done(rows, last: bool):
-            anchors = [r[0] for r in rows]
-            edge = {cut} | ({anchors[0]} if first else set()) | ({anchors[-1]} if last else set())
-            return sorted_suffixes(rows, window, np.array([a in edge for a in anchors]))
-
         for batch in batches:
-            held += zip(*(batch.column(k).to_pylist() for k in range(4)))
-            if len(held) >= HELD_RUNS:
-                k = len(held)
-                while k and held[k - 1][0] == held[-1][0]:
-                    k -= 1
-                whole = k == 0  # one anchor fills it: its part goes now
-                yield done(held if whole else held[:k], whole)
-                cut, first = held[-1][0] if whole else None, False
-                held = [] if whole else held[k:]
+            held += zip(*(batch.column(k).to_pylist() for k in range(6)))
+            k = len(held) - 1
+            while k > 0 and held[k - 1][4:] == held[-1][4:] and held[k - 1][0] == held[-1][0]:
+                k -= 1
+            if k >= held_runs // 4:  # all but the last part, which may go on
+                yield sorted_suffixes(held[:k], window, np.array([r[5] > 1 for r in held[:k]]))
+                held = held[k:]
         if held:
-            yield done(held, True)
+            yield sorted_suffixes(held, window, np.array([r[5] > 1 for r in held]))
 
-    order = ["anchor", "doc", "place"]
-    dealt = runs_left.repartitionByRange(*order).sortWithinPartitions(*order)
+    many = runs_left.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > held_runs)
+    rows = runs_left.join(many, "anchor", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / held_runs), F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "place"), F.col("parts"))).select("anchor", "doc", "place", "bytes", "part", "parts")
+    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "place")
     return dealt.mapInArrow(resolve, "doc long, start long, length long, w1 long, w2 long")
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
+def removed_spans(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, held_runs: int = HELD_RUNS) -> DataFrame:
     """doc, spans: array of lo << 16 | length of repeated bytes (spans may overlap)."""
     passed = stored(first_passes(run_rows(docs, window, digit)))
-    found = stored(second_pass(stored(open_runs(docs, passed.filter("open"), window, digit)), window))
+    found = stored(second_pass(stored(open_runs(docs, passed.filter("open"), window, digit)), window, held_runs))
     last = found.filter("w1 IS NOT NULL").withColumn("at", F.struct("doc", "start"))
     shared = last.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = last.join(shared.select("w1", "w2", "first"), ["w1", "w2"]).filter("at > first").select("doc", "start", "length")
@@ -264,9 +256,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) ->
     return spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, held_runs: int = HELD_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (of removed bytes), kept (the remaining bytes)."""
-    rows = compressed(docs).join(removed_spans(docs, window, digit), "doc", "left").select("doc", "z", "spans")
+    rows = compressed(docs).join(removed_spans(docs, window, digit, held_runs), "doc", "left").select("doc", "z", "spans")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress

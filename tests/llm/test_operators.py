@@ -35,8 +35,9 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def test_suffix_dedup(docs, corpus):
-    got, seen = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs).collect()}, set()
+@pytest.mark.parametrize("held_runs", [20_000, 2])
+def test_suffix_dedup(docs, corpus, held_runs):
+    got, seen = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs, held_runs=held_runs).collect()}, set()
     for doc, text, *_ in corpus:
         b = (text or "").encode()
         gone = [False] * len(b)
@@ -56,7 +57,7 @@ def test_suffix_dedup_over_many_ranges(spark, docs, corpus):
     spark.conf.set("spark.sql.shuffle.partitions", "23")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        test_suffix_dedup(docs, corpus)
+        test_suffix_dedup(docs, corpus, 20_000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
