@@ -122,8 +122,12 @@ def shingle_sets(rows: DataFrame, n: int = N) -> DataFrame:
     return rows.select("doc_id", "z").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b with their exact distance and whether they link."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """a, b with their exact distance and whether they link. few: only some of the sets are needed; their ids are stored first, so
+    that the planner knows by their size whether they can go to all tasks and the other sets needn't be shuffled."""
+    if few:
+        pairs = stored(pairs)
+        sets = sets.join(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "doc_id", "left_semi")
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
@@ -184,7 +188,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: in
     for _ in range(pivot_rounds):
         star = open_regions.filter("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         new = narrowed(star.join(done, ["a", "b"], "left_anti"), points, percent)
-        done = done.unionByName(stored(measured(new, sets, percent)))
+        done = done.unionByName(stored(measured(new, sets, percent, few=True)))
         edges = done.filter("link").select("a", "b")
         labels = components(edges).withColumnRenamed("id", "rep")
         labelled = open_regions.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -193,7 +197,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: in
     known = done.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").unionByName(done.select(F.col("b").alias("x"), F.col("a").alias("p"), "d"))
     last = stored(open_regions.join(known, (F.col("rep") == F.col("x")) & (F.col("was") == F.col("p")), "left").select("s", "rep", "n", "pos", "label", "d").distinct())
     rest = pairs_within(last, percent, f"x.label <> y.label AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {r} + 1e-9)")
-    final = stored(measured(narrowed(rest.join(done, ["a", "b"], "left_anti"), points, percent), sets, percent))
+    final = stored(measured(narrowed(rest.join(done, ["a", "b"], "left_anti"), points, percent), sets, percent, few=True))
     labels = components(edges.unionByName(final.filter("link").select("a", "b"))).withColumnRenamed("id", "rep")
     return signed.select("doc_id", "n", "k1", "k2"), classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
