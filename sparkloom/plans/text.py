@@ -9,7 +9,8 @@ from sparkloom.plans.views import ctes, view
 from sparkloom.streaming.rollups import joined_deltas
 from sparkloom.tables import table
 
-KEY = F.col("p_partkey")
+def key():
+    return F.col("p_partkey")
 
 
 def part(s, d):
@@ -18,7 +19,7 @@ def part(s, d):
 
 def pick(*values):
     """One of the values by the row's key."""
-    return F.element_at(F.array(*map(F.lit, values)), (KEY % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (key() % len(values) + 1).cast("int"))
 
 
 def sql_pick(*values):
@@ -61,15 +62,14 @@ def _memories(s, d):
     )
 
 
-title, number = C.file_metadata(F.col("name"))
 QUERIES = {
-    "b01_file_metadata": lambda s, d: part(s, d).select("p_partkey", pick(*NAMES).alias("name")).select("p_partkey", title.alias("title"), number.alias("file_no")),
+    "b01_file_metadata": lambda s, d: part(s, d).select("p_partkey", pick(*NAMES).alias("name")).select("p_partkey", *(c.alias(n) for c, n in zip(C.file_metadata(F.col("name")), ("title", "file_no")))),
     "b02_document_type": lambda s, d: part(s, d).select("p_partkey", C.document_type(pick(*TITLES)).alias("doc_type")),
     "b03_paragraphs": lambda s, d: table(s, d, "documents").select("doc_id", F.size(C.paragraphs(F.col("text"))).cast("bigint").alias("n")),
-    "b04_clauses": lambda s, d: C.clauses(part(s, d).select(F.col("p_size").alias("doc_id"), "p_partkey", F.when(KEY % 4 == 0, F.concat(F.lit("第"), KEY.cast("string"), F.lit("条 开始。"))).when(KEY % 9 == 1, F.lit("第一章 总则")).otherwise(F.col("p_name")).alias("line")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]).alias("paragraphs"))).select("doc_id", "section", "text"),
+    "b04_clauses": lambda s, d: C.clauses(part(s, d).select(F.col("p_size").alias("doc_id"), "p_partkey", F.when(key() % 4 == 0, F.concat(F.lit("第"), key().cast("string"), F.lit("条 开始。"))).when(key() % 9 == 1, F.lit("第一章 总则")).otherwise(F.col("p_name")).alias("line")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]).alias("paragraphs"))).select("doc_id", "section", "text"),
     "b05_sentences": lambda s, d: part(s, d).select("p_partkey", F.array_join(C.sentences(F.concat(F.col("p_name"), F.lit("。 。？"), F.col("p_type"), F.lit("；尾"))), "|").alias("sentences")),
     "b07_chunks": lambda s, d: C.chunks(_lines(s, d), 800, 40, 300).select("doc_id", "id", "chunk_index", "parent_id", F.length("text").alias("n")),
-    "b08_chunk_ids": lambda s, d: part(s, d).select("p_partkey", C.chunk_id(F.col("p_name"), KEY, F.col("p_type")).alias("id"), C.stable_key(C.chunk_id(F.col("p_name"), KEY, F.col("p_type"))).alias("pk")),
+    "b08_chunk_ids": lambda s, d: part(s, d).select("p_partkey", C.chunk_id(F.col("p_name"), key(), F.col("p_type")).alias("id"), C.stable_key(C.chunk_id(F.col("p_name"), key(), F.col("p_type"))).alias("pk")),
     "b10_document_keys": lambda s, d: part(s, d).select("p_partkey", C.document_key(F.concat(F.lit("a\\"), F.col("p_name"))).alias("doc_id")),
     "b11_batches": lambda s, d: C.batches(part(s, d).select("p_size", "p_partkey", F.col("p_name").alias("t"), F.col("p_type").alias("x")), "p_size", "p_partkey", "t", "x", most=7, most_chars=300),
     "b14_successors": lambda s, d: C.successors(table(s, d, "documents").select("doc_id", F.col("doc_id").alias("ord")), "ord", "doc_id"),
@@ -77,7 +77,7 @@ QUERIES = {
     "x01_numerals": lambda s, d: part(s, d).select("p_partkey", X.numeral(pick(*NUMBERS)).alias("n")),
     "x02_titles": lambda s, d: part(s, d).select("p_partkey", X.normal_title(F.concat(F.lit("《 中华人民共和国"), F.col("p_name"), F.lit(" 》"))).alias("title"), X.short_title(F.concat(F.lit("《中华人民共和国 "), F.col("p_brand"), F.lit("》"))).alias("short")),
     "x04_implemented": lambda s, d: part(s, d).select("p_partkey", X.implemented_title(F.concat(F.lit("所得税法"), pick("实施条例", "实施细则", "暂行条例"))).alias("law")),
-    "x05_citations": lambda s, d: part(s, d).select("p_partkey", F.explode(X.citations(F.concat(F.lit("依照《甲法》第"), KEY.cast("string"), F.lit("条第二款第（三）项；本条例第"), pick(*NUMBERS[:5]), F.lit("条规定")))).alias("c")).select("p_partkey", "c.*"),
+    "x05_citations": lambda s, d: part(s, d).select("p_partkey", F.explode(X.citations(F.concat(F.lit("依照《甲法》第"), key().cast("string"), F.lit("条第二款第（三）项；本条例第"), pick(*NUMBERS[:5]), F.lit("条规定")))).alias("c")).select("p_partkey", "c.*"),
     "x06_title_references": lambda s, d: part(s, d).select("p_partkey", F.array_join(X.title_references(F.concat(F.lit("《甲法》与《乙 "), F.col("p_brand"), F.lit("》及《甲法》"))), ",").alias("names")),
     "x07_section_article": lambda s, d: part(s, d).select("p_partkey", X.section_article(F.concat(F.lit(" 第 "), pick(*NUMBERS[:5]), F.lit(" 条"))).alias("article")),
     "x08_entity_names": lambda s, d: part(s, d).select("p_partkey", X.entity_name(pick(*ENTITIES)).alias("name"), X.entity_type(pick(*TYPES)).alias("type")),
@@ -85,14 +85,14 @@ QUERIES = {
     "x11_mention_kinds": lambda s, d: part(s, d).select("p_partkey", X.mention_kind(F.substring("p_type", 1, 8), X.squeezed(F.concat("p_name", F.col("p_type"))))
         .alias("kind"), X.mention_kind(F.lit("zqj9"), F.lit("abc")).alias("none"), X.mention_kind(F.lit("abcx"), F.lit("zabcz")).alias("some")),
     "x15_message_titles": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", X.message_title(F.concat(F.lit("  "), F.col("role"), F.lit(" \t"), F.lit("m" * 60))).alias("title")),
-    "x19_truncated": lambda s, d: part(s, d).select("p_partkey", X.is_truncated(F.when(KEY % 3 == 0, "length").otherwise("stop"), F.when(KEY % 2 == 0, '{"a":{').otherwise("{}")).alias("truncated")),
+    "x19_truncated": lambda s, d: part(s, d).select("p_partkey", X.is_truncated(F.when(key() % 3 == 0, "length").otherwise("stop"), F.when(key() % 2 == 0, '{"a":{').otherwise("{}")).alias("truncated")),
     "x20_failures": lambda s, d: part(s, d).select("p_partkey", X.failure_kind(pick(*ERRORS)).alias("kind")),
     "x21_salvaged": lambda s, d: part(s, d).select("p_partkey", X.salvaged_json(pick(*ANSWERS)).alias("json")),
     "x23_masked_urls": lambda s, d: part(s, d).select("p_partkey", X.masked_url(pick(*URLS)).alias("url")),
     "x24_procedural": lambda s, d: part(s, d).select("p_partkey", X.is_procedural(pick("自2020年起施行", "特此公告", "纳税人应当", "同时废止")).alias("procedural")),
     "x13_statement_keys": lambda s, d: part(s, d).select("p_partkey", X.statement_key(F.concat("p_name", F.lit(" Ａ-"), "p_brand")).alias("key")),
     "x14_sequence_ratio": lambda s, d: part(s, d).select("p_partkey", F.round(X.sequence_ratio("p_name", "p_type"), 6).alias("ratio")),
-    "x27_payload_rows": lambda s, d: M.from_payload(part(s, d).select(F.when(KEY % 2 == 0, KEY.cast("string")).alias("user_id"), F.col("p_brand").alias("project"), F.concat(F.lit('{"preferences":[{"content":"'), F.col("p_name"), F.lit('","importance":5},{"content":" "}],"facts":[{"content":"f"}]}')).alias("payload"))),
+    "x27_payload_rows": lambda s, d: M.from_payload(part(s, d).select(F.when(key() % 2 == 0, key().cast("string")).alias("user_id"), F.col("p_brand").alias("project"), F.concat(F.lit('{"preferences":[{"content":"'), F.col("p_name"), F.lit('","importance":5},{"content":" "}],"facts":[{"content":"f"}]}')).alias("payload"))),
     "k01_memory_merge": lambda s, d: M.merged(_memories(s, d)).select("id", "scope_key", "content", "importance", "merge_count"),
     "k01_memory_merge_exact": lambda s, d: M.merged_exact(_memories(s, d)),
     "l01_joined_deltas": lambda s, d: joined_deltas(_deltas(s, d)),
