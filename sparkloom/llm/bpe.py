@@ -33,7 +33,8 @@ from sparkloom.llm._base import documents, stored, text_of
 
 LEXICON_WORDS = 50_000
 MIN_COUNT = 3
-CACHED = 400_000
+#: Keys of one generation; two are held, of words and of pieces.
+CACHED = 200_000
 #: A space before anything but white space begins a new token of the pattern, whatever stands around it: texts are cut there.
 CUT = re.compile(r" (?=\S)")
 
@@ -66,56 +67,51 @@ class Vocabulary:
         vocab = spec["model"]["vocab"]
         self.byte_ids = [vocab[c] for c in letters]
         self.table: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # the id that a rank's merge gives
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.table.update({i: t.encode() for t, i in self.special.items()})
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        ids, pairs = [self.byte_ids[b] for b in word], self.pairs
+        """Lowest rank first, then leftmost; only the pairs beside a merge are looked up again."""
+        ids = [self.byte_ids[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = None
-            for pair in zip(ids, ids[1:]):
-                found = pairs.get(pair)
-                if found and (best is None or found < best[0]):
-                    best = (found, pair)
-            if best is None:
-                break
-            (_, new), (a, b) = best
-            out, k, last = [], 0, len(ids) - 1
-            while k <= last:
-                if k < last and ids[k] == a and ids[k + 1] == b:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k] = made[best]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((ids[k], ids[k + 1]), none)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
-        """The same with a linked list and a heap: lowest rank first, then leftmost."""
-        n, pairs = len(ids), self.pairs
+        """The same with a linked list and a heap."""
+        n, ranks = len(ids), self.ranks
         after, before = list(range(1, n)) + [-1], list(range(-1, n - 1))
-        heap = [(f[0], k, ids[k], ids[k + 1], f[1]) for k in range(n - 1) if (f := pairs.get((ids[k], ids[k + 1])))]
+        heap = [(f, k, ids[k], ids[k + 1]) for k in range(n - 1) if (f := ranks.get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            f, k, a, b = heapq.heappop(heap)
             j = after[k] if ids[k] == a else -1
             if j < 0 or ids[j] != b:
                 continue
-            ids[k], ids[j], after[k] = new, -1, after[j]
+            ids[k], ids[j], after[k] = self.made[f], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = k
             for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right >= 0 and (f := pairs.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (f[0], left, ids[left], ids[right], f[1]))
+                if left >= 0 and right >= 0 and (f := ranks.get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (f, left, ids[left], ids[right]))
         return tuple(i for i in ids if i >= 0)
 
     def pieces(self, text: str):
@@ -223,28 +219,42 @@ class Lexicon:
         return tuple(self.ids[self.starts[rank] : self.starts[rank + 1]])
 
 
-class Encoder(dict):
-    """Piece of text after a space -> ids of the space and it, by lexicon or merging; what was found is kept, up to CACHED pieces."""
+class Kept(dict):
+    """What make(key) gave, for the keys used last: of two generations of CACHED keys the older one is dropped."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+    def __init__(self, make):
         super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        ids = self.older.pop(key, None)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class Encoder:
+    """Texts to ids and back. Words are found in the lexicon or merged; words and pieces of text after a space are kept."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.word = Kept(self._word).__getitem__
+        self.piece = Kept(lambda piece: self.words(" " + piece)).__getitem__
+        ids = range(max(vocabulary.table) + 1)
+        self.strings = pa.array([vocabulary.table.get(i, b"") for i in ids], pa.binary())
 
-    def words(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for word in self.vocabulary.words.findall(part):
-            raw = word.encode("utf-8")
-            found = self.lexicon.get(raw) if self.lexicon else None
-            ids += self.vocabulary.merge(raw) if found is None else found
-        return ids
+    def _word(self, word: str) -> tuple[int, ...]:
+        raw = word.encode("utf-8")
+        found = self.lexicon.get(raw) if self.lexicon else None
+        return self.vocabulary.merge(raw) if found is None else found
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.words(" " + piece))
-        if len(self) >= CACHED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def words(self, part: str) -> tuple[int, ...]:
+        return tuple(itertools.chain.from_iterable(map(self.word, self.vocabulary.words.findall(part))))
 
     def encode(self, text: str) -> np.ndarray:
         parts = []
@@ -253,11 +263,18 @@ class Encoder(dict):
                 parts.append(np.array([special], np.int32))
                 continue
             first, *rest = CUT.split(part)
-            parts.append(np.fromiter(itertools.chain(self.words(first), itertools.chain.from_iterable(map(self.__getitem__, rest))), np.int32))
+            parts.append(np.fromiter(itertools.chain(self.words(first), itertools.chain.from_iterable(map(self.piece, rest))), np.int32))
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.int32)])
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.vocabulary.table.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of lists of ids that lie one after another; ends: where lists begin and end. Bytes that aren't UTF-8 are replaced."""
+        found = self.strings.take(pa.array(ids))
+        offsets = np.frombuffer(found.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        texts = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets[ends]), found.buffers()[2]])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.as_py().decode("utf-8", "replace") for t in texts], pa.string())
 
 
 _LOADED: dict = {}
@@ -329,7 +346,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: str | None = None,
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
-                    columns.append(pa.array([encoder.decode(x.tolist()) for x in ids], pa.string()))
+                    columns.append(encoder.decode(flat, ends))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
@@ -343,8 +360,10 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         encoder = _encoder(path, None)
         for batch in batches:
-            texts = [encoder.decode(x.as_py() or []) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            lists = [np.array(x.as_py() or [], np.int32) for x in batch.column(1)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            texts = encoder.decode(np.concatenate(lists) if lists else np.zeros(0, np.int32), ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
