@@ -1,10 +1,11 @@
 """Line dedup by a log-template tree: lines are parsed at a fixed depth by token count and leading tokens, variable fields are
 generalised, and templates that recur across documents are dropped. Native expressions only.
 
-Depth 1 is a line's token count, the next levels its first tokens; tokens with a digit are variable and read `<*>`. A leaf's
-most widespread template is its representative; a line of the leaf that agrees with it in MIN_ALIKE_PERCENT of all places or
-more belongs to its group, the differing places being variable fields. A template, or a group, found in MIN_DOCS documents or
-more recurs; its lines go from all documents but the first (the smallest doc_id), so that no passage is lost.
+Depth 1 is a line's token count, the next levels its first tokens; tokens with a digit are variable and read `<*>`. A leaf
+holds several groups: its templates, the most widespread first, each join the first representative with which they agree in
+MIN_ALIKE_PERCENT of all places or more (the differing places being variable fields), or become a representative themselves. A
+template, or a group, found in MIN_DOCS documents or more recurs; its lines go from all documents but the first (the smallest
+doc_id), so that no passage is lost. Representatives are found REPS a leaf and round, until what is left of a leaf can't recur.
 
 Cases: a null text is the empty text; lines without a word never recur and stay; ties between representatives go to the smaller
 hash; rows that repeat a doc_id count once each and get equal results; an empty table gives an empty result; further columns
@@ -13,7 +14,7 @@ are ignored by the report and kept by `deduped`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._base import WORD, documents, stored, text_of
@@ -21,6 +22,8 @@ from sparkloom.llm._base import WORD, documents, stored, text_of
 DEPTH = 3
 MIN_DOCS = 10
 MIN_ALIKE_PERCENT = 70
+#: Templates of a leaf that a round resolves; it doesn't change the groups.
+REPS = 32
 
 
 def flat(line: Column) -> Column:
@@ -53,6 +56,38 @@ def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return flat_lines(docs, depth).select("doc_id", "line_no", "leaf", F.xxhash64(masked(F.col("line"))).alias("template"))
 
 
+def _agree(a: Column, b: Column, alike: int) -> Column:
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return 100 * same >= alike * F.size(a)
+
+
+def grouped(forms: DataFrame, min_docs: int = MIN_DOCS, alike: int = MIN_ALIKE_PERCENT, reps: int = REPS) -> DataFrame:
+    """leaf, template, first_doc, n_docs, rep of the forms of groups that may recur. forms: leaf, template, first_doc, n_docs, t (tokens).
+
+    The widest `reps` forms left in a leaf agree with no earlier representative, so they are resolved among themselves, and all
+    others meet the new representatives in their order: the groups are those of one form at a time.
+    """
+    left, out = forms, None
+    order = Window.partitionBy("leaf").orderBy(F.desc("n_docs"), "template")
+    while True:
+        live = left.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("k")).filter((F.col("n") >= min_docs) & (F.col("k") > 1))
+        top = left.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= reps).groupBy("leaf")
+        top = top.agg(F.sort_array(F.collect_list(F.struct("at", "template", "t"))).alias("top")).join(live.select("leaf"), "leaf", "left_semi")
+        first = F.slice("top", 1, 1)
+        new = F.aggregate(
+            F.slice("top", 2, reps), first, lambda acc, x: F.when(F.exists(acc, lambda r: _agree(r["t"], x["t"], alike)), acc).otherwise(F.concat(acc, F.array(x)))
+        )
+        met = left.join(top.select("leaf", new.alias("reps")), "leaf")
+        hit = F.get(F.filter("reps", lambda r: (r["template"] == F.col("template")) | _agree(r["t"], F.col("t"), alike)), F.lit(0))["template"]
+        met = stored(met.select("leaf", "template", "first_doc", "n_docs", "t", hit.alias("rep")))
+        if met.isEmpty():
+            break
+        found = met.filter(F.col("rep").isNotNull()).drop("t")
+        out = found if out is None else out.unionByName(found)
+        left = met.filter(F.col("rep").isNull()).drop("rep")
+    return met.drop("t") if out is None else out
+
+
 def recurring(docs: DataFrame, places: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, alike: int = MIN_ALIKE_PERCENT) -> DataFrame:
     """leaf, template, first_doc of every line form to drop: recurring itself, or of a recurring group of its leaf. places: parsed(docs)."""
     each = places.select("doc_id", "leaf", "template").distinct()
@@ -61,19 +96,19 @@ def recurring(docs: DataFrame, places: DataFrame, depth: int = DEPTH, min_docs:
     # a leaf with one form has nothing to generalise
     leaves = stored(
         forms.groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n_docs").alias("n_docs"), F.max(F.struct("n_docs", (-F.col("template")).alias("t"))).alias("top"))
+        .agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n_docs").alias("n_docs"))
         .filter((F.col("n_forms") > 1) & (F.col("n_docs") >= min_docs))
-        .select("leaf", (-F.col("top.t")).alias("rep"))
+        .select("leaf")
     )
-    found = flat_lines(docs, depth).select("leaf", "line").join(leaves, "leaf").select("leaf", "rep", masked(F.col("line")).alias("m"))
-    texts = stored(found.distinct().withColumn("template", F.xxhash64("m")))
-    reps = texts.filter(F.col("template") == F.col("rep")).select("leaf", F.split("m", " ").alias("r"))
-    both = texts.select("leaf", "template", F.split("m", " ").alias("t")).join(reps, "leaf")
-    same = F.size(F.filter(F.zip_with("t", "r", lambda a, b: a == b), lambda x: x))
-    near = both.filter(100 * same >= alike * F.size("t")).select("leaf", "template")
-    group = near.join(forms, ["leaf", "template"])
-    whole = group.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.min("first_doc").alias("first_doc")).filter(F.col("n") >= min_docs)
-    loose = near.join(whole.select("leaf", "first_doc"), "leaf").select("leaf", "template", "first_doc")
+    found = flat_lines(docs, depth).select("leaf", "line").join(leaves, "leaf").select("leaf", masked(F.col("line")).alias("m"))
+    texts = found.distinct().select("leaf", F.xxhash64("m").alias("template"), F.split("m", " ").alias("t"))
+    group = stored(grouped(stored(texts.join(forms, ["leaf", "template"])), min_docs, alike))
+    # forms of a group may share documents: only these are counted
+    maybe = group.groupBy("leaf", "rep").agg(F.sum("n_docs").alias("n"), F.min("first_doc").alias("first_doc")).filter(F.col("n") >= min_docs)
+    maybe = stored(group.select("leaf", "template", "rep").join(maybe.drop("n"), ["leaf", "rep"]))
+    within = each.join(maybe.select("leaf", "template", "rep"), ["leaf", "template"]).select("doc_id", "leaf", "rep").distinct()
+    whole = within.groupBy("leaf", "rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf", "rep")
+    loose = maybe.join(whole, ["leaf", "rep"], "left_semi").select("leaf", "template", "first_doc")
     return exact.unionByName(loose).groupBy("leaf", "template").agg(F.min("first_doc").alias("first_doc"))
 
 

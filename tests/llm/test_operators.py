@@ -162,6 +162,27 @@ def test_line_dedup(spark):
     assert all(got[200 + k].kept_text == few[k][1] for k in range(3))
 
 
+def test_line_dedup_finds_every_group_of_a_leaf(spark):
+    """Two templates with words as fields and a fixed line that is more frequent, in one leaf; documents of several forms count once."""
+    names = ["".join(p) for p in zip("abcdefghijklmnopqrst", "qwertyuiopasdfghjklz", "zxcvbnmlkjhgfdsapoiu")]
+    thanks = [(k, f"dear valued customer {n} we thank you for ordering today") for k, n in enumerate(names)]
+    parcel = [(100 + k, f"dear valued customer {n} your parcel has arrived at home") for k, n in enumerate(names)]
+    fixed = [(200 + k, "dear valued customer please read all these new terms now") for k in range(30)]
+    one = [(300 + k // 4, f"dear valued customer {n} in this shop nothing is free") for k, n in enumerate(names)]
+    rows = defaultdict(list)
+    for doc, line in thanks + parcel + fixed + one:
+        rows[doc].append(line)
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in line_dedup.line_dedup(df).collect()}
+    for start, size in ((0, 20), (100, 20), (200, 30)):
+        assert got[start] == [] and all(got[start + k] == [0] for k in range(1, size))
+    assert all(got[300 + k] == [] for k in range(5))
+    tokens = [(1, k, 1 + k % 3, 0, line.split()) for k, (_, line) in enumerate(thanks + parcel + one)]
+    forms = spark.createDataFrame(tokens, "leaf long, template long, n_docs long, first_doc long, t array<string>")
+    by = [{r.template: r.rep for r in line_dedup.grouped(forms, reps=n).collect()} for n in (1, 2, 32)]
+    assert by[0] == by[1] == by[2] and len(set(by[0].values())) == 3
+
+
 def test_line_dedup_against_brute_force(docs, corpus):
     """Exact templates only: what recurs is counted by hand."""
     count = defaultdict(set)
