@@ -4,8 +4,9 @@ generalised, and templates that recur across documents are dropped. Native expre
 Depth 1 is a line's token count, the next levels its first tokens; tokens with a digit are variable and read `<*>`. A leaf
 holds several groups: its templates, the most widespread first, each join the first representative with which they agree in
 MIN_ALIKE_PERCENT of all places or more (the differing places being variable fields), or become a representative themselves. A
-template, or a group, found in MIN_DOCS documents or more recurs; its lines go from all documents but the first (the smallest
-doc_id), so that no passage is lost. Representatives are found REPS a leaf and round, until what is left of a leaf can't recur.
+template, or a group, found in MIN_DOCS documents or more recurs, and so does a line of over LONG_WORDS words found as it is
+(but for white space) in two. Its lines go from all documents but the first (the smallest doc_id), so that no passage is lost.
+Representatives are found REPS a leaf and round, until what is left of a leaf can't recur.
 
 Cases: a null text is the empty text; lines without a word never recur and stay; ties between representatives go to the smaller
 hash; rows that repeat a doc_id count once each and get equal results; an empty table gives an empty result; further columns
@@ -22,6 +23,8 @@ from sparkloom.llm._base import WORD, documents, stored, text_of
 DEPTH = 3
 MIN_DOCS = 10
 MIN_ALIKE_PERCENT = 70
+LONG_WORDS = 50
+MIN_DOCS_LONG = 2
 #: Templates of a leaf that a round resolves; it doesn't change the groups.
 REPS = 32
 
@@ -38,10 +41,14 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(low, r"[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(low)
 
 
+def n_tokens(line: Column) -> Column:
+    """Tokens of a flat line."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def leaf_of(line: Column, depth: int) -> Column:
     """Token count and leading tokens of a flat line; only the leading tokens are masked for it."""
-    size = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.xxhash64(size, masked(F.substring_index(line, " ", depth)))
+    return F.xxhash64(n_tokens(line), masked(F.substring_index(line, " ", depth)))
 
 
 def flat_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -52,8 +59,10 @@ def flat_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, line_no, leaf, template (hashes) of every line with a word."""
-    return flat_lines(docs, depth).select("doc_id", "line_no", "leaf", F.xxhash64(masked(F.col("line"))).alias("template"))
+    """doc_id, line_no, leaf, template, long (hashes) of every line with a word. long: of the line itself, null for a short one."""
+    line = F.col("line")
+    long = F.when(n_tokens(line) > LONG_WORDS, F.xxhash64(line))
+    return flat_lines(docs, depth).select("doc_id", "line_no", "leaf", F.xxhash64(masked(line)).alias("template"), long.alias("long"))
 
 
 def _agree(a: Column, b: Column, alike: int) -> Column:
@@ -112,12 +121,19 @@ def recurring(docs: DataFrame, places: DataFrame, depth: int = DEPTH, min_docs:
     return exact.unionByName(loose).groupBy("leaf", "template").agg(F.min("first_doc").alias("first_doc"))
 
 
+def recurring_long(places: DataFrame) -> DataFrame:
+    """long, first_doc of the long lines that recur as they are. places: parsed(docs)."""
+    each = places.filter(F.col("long").isNotNull()).select("doc_id", "long").distinct()
+    long = each.groupBy("long").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return long.filter(F.col("n") >= MIN_DOCS_LONG).select("long", "first_doc")
+
+
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     """doc_id, dropped: the numbers of a document's lines that go."""
     places = stored(parsed(docs, options.get("depth", DEPTH)))
     forms = stored(recurring(docs, places, **options))
-    hit = places.join(forms, ["leaf", "template"]).filter(F.col("doc_id") != F.col("first_doc"))
-    return hit.groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
+    hit = places.join(forms, ["leaf", "template"]).unionByName(places.join(recurring_long(places), "long"), allowMissingColumns=True)
+    return hit.filter(F.col("doc_id") != F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped"))
 
 
 def _with_kept(docs: DataFrame, **options) -> DataFrame:

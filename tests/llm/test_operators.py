@@ -183,6 +183,15 @@ def test_line_dedup_finds_every_group_of_a_leaf(spark):
     assert by[0] == by[1] == by[2] and len(set(by[0].values())) == 3
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Long lines recur from two documents on, if they are the same; short ones don't, nor do long ones that differ in a number."""
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(51)]
+    long, short, numbered = " ".join(words), " ".join(words[:50]), [" ".join([*words, "left", str(k)]) for k in range(2)]
+    texts = [f"{long}\n{short}\n{numbered[0]}", f"own text\n {long.replace(' ', '  ')} \n{short}\n{numbered[1]}", f"{long}\n{long}"]
+    got = {r.doc_id: sorted(r.dropped) for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [1], 2: [0, 1]}
+
+
 def test_line_dedup_against_brute_force(docs, corpus):
     """Exact templates only: what recurs is counted by hand."""
     count = defaultdict(set)
