@@ -17,7 +17,8 @@ first, and its WINDOW bytes are removed. The digits of a suffix are read in an o
 Bytes are compared by 128 bits of polynomial hashes. Texts travel compressed (zstandard).
 
 Cases: a null text is the empty text; texts shorter than WINDOW have nothing removed; a null doc_id comes before all others; rows
-that repeat a doc_id and its text count as one document; an empty table gives an empty result; further columns are ignored.
+that repeat a doc_id and its text count as one document, those with different texts (also of null doc_ids) as several, in the order
+of the texts' hashes; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,19 +74,20 @@ def runs(data: np.ndarray, window: int = WINDOW, digit: int = DIGIT) -> tuple[np
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), text_of().alias("text"))
+    """doc, key, text. A row is known by doc and key, the text's hash: a null or repeated doc_id may have several texts."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
 
 
 def run_rows(docs: DataFrame, window: int, digit: int) -> DataFrame:
-    """doc, anchor, whole, place of all runs."""
+    """doc, key, anchor, whole, place of all runs."""
 
     def make(batches):
         for batch in batches:
             ids, parts, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = runs(np.frombuffer(text.as_py().encode(), np.uint8), window, digit)
                 if len(found[2]):
-                    ids.append(np.full(len(found[2]), doc, np.int64))
+                    ids.append(np.broadcast_to(np.array([[doc], [key]], np.int64), (2, len(found[2]))))
                     parts.append(found)
                     size += len(found[2])
                 if size > 100_000:
@@ -96,169 +98,171 @@ def run_rows(docs: DataFrame, window: int, digit: int) -> DataFrame:
 
     def pack(ids, parts):
         a, w, p = (np.concatenate([x[k] for x in parts]) for k in range(3))
-        columns = (np.concatenate(ids), a.view(np.int64), w.view(np.int64), p)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "anchor", "whole", "place"])
+        columns = (*np.concatenate(ids, axis=1), a.view(np.int64), w.view(np.int64), p)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "anchor", "whole", "place"])
 
-    return keyed(docs).mapInArrow(make, "doc long, anchor long, whole long, place long")
+    return keyed(docs).mapInArrow(make, "doc long, key long, anchor long, whole long, place long")
 
 
 def first_passes(rows: DataFrame) -> DataFrame:
-    """doc, place, open: repeated runs (open false), and runs whose suffixes are to be sorted further (open true)."""
-    order = ["anchor", "whole", "doc", "place"]
+    """doc, key, place, open: repeated runs (open false), and runs whose suffixes are to be sorted further (open true)."""
+    order = ["anchor", "whole", "doc", "key", "place"]
 
     def resolve(batches):
-        last = None  # the row before: anchor, whole, doc, place
+        last = None  # the row before: anchor, whole, doc, key, place
         waiting = None  # the only open candidate of the current anchor
         several = True  # whether the current anchor has several runs; the first anchor of a range may have
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, w, d, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            pa_, pw, pd, pp = last if last else (None,) * 4
+            a, w, d, t, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            pa_, pw = last[:2] if last else (None,) * 2
             new_a = np.concatenate(([last is None or a[0] != pa_], a[1:] != a[:-1]))
             new_w = new_a | np.concatenate(([last is None or w[0] != pw], w[1:] != w[:-1]))
-            same = np.concatenate(([last is not None and (a[0], w[0], d[0], p[0]) == last], (a[1:] == a[:-1]) & (w[1:] == w[:-1]) & (d[1:] == d[:-1]) & (p[1:] == p[:-1])))
+            same = np.concatenate(([last is not None and (a[0], w[0], d[0], t[0], p[0]) == last], (a[1:] == a[:-1]) & (w[1:] == w[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])))
             repeated = ~new_w & ~same
             group = np.cumsum(new_a)  # 0: goes on from the batch before
             firsts = np.flatnonzero(new_w)
             per = np.bincount(group[firsts], minlength=group[-1] + 1)
             many = per > 1
-            out_d, out_p = [], []
+            out_d, out_t, out_p = [], [], []
             if per[0] and waiting is not None:
                 many[0] = True
             many[0] |= several
             if waiting is not None and many[0] and per[0]:
                 out_d.append([waiting[0]])
-                out_p.append([waiting[1]])
+                out_t.append([waiting[1]])
+                out_p.append([waiting[2]])
                 waiting = None
             if last is None:
                 many[group[0]] = True  # the range's first anchor
             lone = group[-1] if group[-1] > 0 else None
             chosen = firsts[many[group[firsts]]]
             out_d.append(d[chosen])
+            out_t.append(t[chosen])
             out_p.append(p[chosen])
             if lone is not None:
                 several = bool(many[lone])
                 waiting = None
                 if not several:
                     k = firsts[group[firsts] == lone][0]
-                    waiting = (d[k], p[k])
+                    waiting = (d[k], t[k], p[k])
             elif many[0]:
                 several, waiting = True, None
-            last = (a[-1], w[-1], d[-1], p[-1])
-            opened_d, opened_p = np.concatenate(out_d).astype(np.int64), np.concatenate(out_p).astype(np.int64)
+            last = (a[-1], w[-1], d[-1], t[-1], p[-1])
+            opened = [np.concatenate(x).astype(np.int64) for x in (out_d, out_t, out_p)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((d[repeated], opened_d))), pa.array(np.concatenate((p[repeated], opened_p))), pa.array(np.arange(repeated.sum() + len(opened_d)) >= repeated.sum())],
-                ["doc", "place", "open"],
+                [*(pa.array(np.concatenate((x[repeated], y))) for x, y in zip((d, t, p), opened)), pa.array(np.arange(repeated.sum() + len(opened[0])) >= repeated.sum())],
+                ["doc", "key", "place", "open"],
             )
         if waiting is not None:  # the range's last anchor
-            yield pa.RecordBatch.from_arrays([pa.array([waiting[0]], pa.int64()), pa.array([waiting[1]], pa.int64()), pa.array([True])], ["doc", "place", "open"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in waiting), pa.array([True])], ["doc", "key", "place", "open"])
 
     dealt = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(resolve, "doc long, place long, open boolean")
+    return dealt.mapInArrow(resolve, "doc long, key long, place long, open boolean")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """doc, z: the texts for a shuffle."""
+    """doc, key, z: the texts for a shuffle."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc", "z"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.as_py().encode()) for t in batch.column(2)], pa.binary())], ["doc", "key", "z"])
 
-    return keyed(docs).mapInArrow(run, "doc long, z binary")
+    return keyed(docs).mapInArrow(run, "doc long, key long, z binary")
 
 
 def open_runs(docs: DataFrame, opened: DataFrame, window: int, digit: int) -> DataFrame:
-    """anchor, doc, place, bytes of the open runs."""
-    places = opened.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    """anchor, doc, key, place, bytes of the open runs."""
+    places = opened.groupBy("doc", "key").agg(F.collect_set("place").alias("places"))
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for doc, z, where in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, key, z, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = unpack(z.as_py())
                 place = where.values.to_numpy()
                 lo, more, at = place >> 16, (place >> 8) & 255, place & 255
                 data = np.frombuffer(raw, np.uint8)
                 anchor = span(H.prefix(data), lo + at, lo + at + digit, H.powers(len(data) + 1)[1])
                 parts = [raw[a:b] for a, b in zip(lo, lo + more + window)]
-                columns = [pa.array(anchor.view(np.int64)), pa.array(np.full(len(place), doc, np.int64)), pa.array(place), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc", "place", "bytes"])
+                columns = [pa.array(anchor.view(np.int64)), *(pa.array(np.full(len(place), x, np.int64)) for x in (doc, key)), pa.array(place), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc", "key", "place", "bytes"])
 
-    return compressed(docs).join(places, "doc").select("doc", "z", "places").mapInArrow(run, "anchor long, doc long, place long, bytes binary")
+    return compressed(docs).join(places, ["doc", "key"]).select("doc", "key", "z", "places").mapInArrow(run, "anchor long, doc long, key long, place long, bytes binary")
 
 
 def sorted_suffixes(rows: list, window: int, across: np.ndarray) -> pa.RecordBatch:
     """Repeated spans (w1 null) of runs that lie together; of runs in `across` also the first of equal suffixes, with their hashes."""
-    doc, place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
-    raw = b"".join(r[3] for r in rows)
-    data, sizes = np.frombuffer(raw, np.uint8), np.array([len(r[3]) for r in rows])
+    doc, key, place = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+    raw = b"".join(r[4] for r in rows)
+    data, sizes = np.frombuffer(raw, np.uint8), np.array([len(r[4]) for r in rows])
     begins = np.cumsum(sizes) - sizes
     counts = ((place >> 8) & 255) + 1
     run = np.repeat(np.arange(len(rows)), counts)
     k = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
     at, start, down = begins[run] + k, (place >> 16)[run] + k, H.powers(len(data) + 1)[1]
     w1, w2 = (span(H.prefix(data, v), at, at + window, down) for v in (H.VALUES, OTHER))
-    order = np.lexsort((start, doc[run], w2, w1))
+    order = np.lexsort((start, key[run], doc[run], w2, w1))
     again = np.zeros(len(run), bool)
     again[order[1:]] = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
     # neighbouring repeated suffixes of a run as one span
     opens = again & np.concatenate(([True], ~again[:-1] | (run[1:] != run[:-1])))
     closes = again & np.concatenate((~again[1:] | (run[1:] != run[:-1]), [True]))
     left = ~again & across[run]
-    docs = np.concatenate((doc[run][opens], doc[run][left]))
+    docs, keys = (np.concatenate((x[run][opens], x[run][left])) for x in (doc, key))
     starts = np.concatenate((start[opens], start[left]))
     length = np.concatenate((start[closes] - start[opens] + window, np.full(left.sum(), window)))
     decided = np.arange(len(docs)) < opens.sum()
     hashes = [np.concatenate((np.zeros(opens.sum(), np.uint64), w[left])).view(np.int64) for w in (w1, w2)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(docs), pa.array(starts), pa.array(length.astype(np.int64)), pa.array(hashes[0], mask=decided), pa.array(hashes[1], mask=decided)],
-        ["doc", "start", "length", "w1", "w2"],
+        [pa.array(docs), pa.array(keys), pa.array(starts), pa.array(length.astype(np.int64)), pa.array(hashes[0], mask=decided), pa.array(hashes[1], mask=decided)],
+        ["doc", "key", "start", "length", "w1", "w2"],
     )
 
 
 def second_pass(runs_left: DataFrame, window: int, held_runs: int = HELD_RUNS) -> DataFrame:
-    """doc, start, length, w1, w2; w1 null: decided."""
+    """doc, key, start, length, w1, w2; w1 null: decided."""
 
     def resolve(batches):
         held: list = []
         for batch in batches:
-            held += zip(*(batch.column(k).to_pylist() for k in range(6)))
+            held += zip(*(batch.column(k).to_pylist() for k in range(7)))
             k = len(held) - 1
-            while k > 0 and held[k - 1][4:] == held[-1][4:] and held[k - 1][0] == held[-1][0]:
+            while k > 0 and held[k - 1][5:] == held[-1][5:] and held[k - 1][0] == held[-1][0]:
                 k -= 1
             if k >= held_runs // 4:  # all but the last part, which may go on
-                yield sorted_suffixes(held[:k], window, np.array([r[5] > 1 for r in held[:k]]))
+                yield sorted_suffixes(held[:k], window, np.array([r[6] > 1 for r in held[:k]]))
                 held = held[k:]
         if held:
-            yield sorted_suffixes(held, window, np.array([r[5] > 1 for r in held]))
+            yield sorted_suffixes(held, window, np.array([r[6] > 1 for r in held]))
 
     many = runs_left.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > held_runs)
     rows = runs_left.join(many, "anchor", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / held_runs), F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "place"), F.col("parts"))).select("anchor", "doc", "place", "bytes", "part", "parts")
-    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "place")
-    return dealt.mapInArrow(resolve, "doc long, start long, length long, w1 long, w2 long")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc", "key", "place"), F.col("parts"))).select("anchor", "doc", "key", "place", "bytes", "part", "parts")
+    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc", "key", "place")
+    return dealt.mapInArrow(resolve, "doc long, key long, start long, length long, w1 long, w2 long")
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, held_runs: int = HELD_RUNS) -> DataFrame:
-    """doc, spans: array of lo << 16 | length of repeated bytes (spans may overlap)."""
+    """doc, key, spans: array of lo << 16 | length of repeated bytes (spans may overlap)."""
     passed = stored(first_passes(run_rows(docs, window, digit)))
     found = stored(second_pass(stored(open_runs(docs, passed.filter("open"), window, digit)), window, held_runs))
-    last = found.filter("w1 IS NOT NULL").withColumn("at", F.struct("doc", "start"))
+    last = found.filter("w1 IS NOT NULL").withColumn("at", F.struct("doc", "key", "start"))
     shared = last.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = last.join(shared.select("w1", "w2", "first"), ["w1", "w2"]).filter("at > first").select("doc", "start", "length")
-    again = again.unionByName(found.filter("w1 IS NULL").select("doc", "start", "length"))
-    whole = passed.filter("NOT open").select("doc", F.expr(f"(place >> 16 << 16) + ((place >> 8) & 255) + {window}").alias("span"))
-    spans = whole.unionByName(again.select("doc", F.expr("(start << 16) + length").alias("span")))
-    return spans.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    again = last.join(shared.select("w1", "w2", "first"), ["w1", "w2"]).filter("at > first").select("doc", "key", "start", "length")
+    again = again.unionByName(found.filter("w1 IS NULL").select("doc", "key", "start", "length"))
+    whole = passed.filter("NOT open").select("doc", "key", F.expr(f"(place >> 16 << 16) + ((place >> 8) & 255) + {window}").alias("span"))
+    spans = whole.unionByName(again.select("doc", "key", F.expr("(start << 16) + length").alias("span")))
+    return spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, held_runs: int = HELD_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (of removed bytes), kept (the remaining bytes)."""
-    rows = compressed(docs).join(removed_spans(docs, window, digit, held_runs), "doc", "left").select("doc", "z", "spans")
+    rows = compressed(docs).join(removed_spans(docs, window, digit, held_runs), ["doc", "key"], "left").select("doc", "z", "spans")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress

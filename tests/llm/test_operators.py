@@ -63,6 +63,29 @@ def test_suffix_dedup_over_many_ranges(spark, docs, corpus):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("held_runs", [20_000, 2])
+def test_suffix_dedup_of_equal_ids_with_different_texts(spark, held_runs):
+    """Null and repeated ids: each text keeps its own spans, also where the other's lie beyond its end; equal rows count as one."""
+
+    def letters(k, n):
+        return "".join(chr(97 + x % 26) for h in range(n // 32 + 1) for x in hashlib.sha256(f"{k}/{h}".encode()).digest())[:n]
+
+    rows, want = [], {}
+    for base, doc in ((0, None), (50, 7)):
+        passage, own = letters(base, 150), letters(base + 1, 400)
+        twice, short, shares = own + passage + own[:3] + passage, letters(base + 2, 120), letters(base + 3, 90) + passage
+        rows += [(doc, twice), (doc, short), (doc, shares), (doc, short)]
+        want[doc] = (short, {(own + passage + own[:3], letters(base + 3, 90) + passage), (own + passage + own[:3], letters(base + 3, 90)), (own + own[:3], letters(base + 3, 90) + passage)}, twice, shares)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in suffix_dedup.suffix_dedup(df, held_runs=held_runs).collect():
+        got[r.doc_id].append((r.n_bytes, bytes(r.kept).decode(), r.n_removed))
+    for doc, (short, pairs, twice, shares) in want.items():
+        by = {n: kept for n, kept, _ in got[doc]}
+        assert len(got[doc]) == 4 and [x for x in got[doc] if x[0] == 120] == [(120, short, 0)] * 2
+        assert (by[len(twice)], by[len(shares)]) in pairs and sum(gone for _, _, gone in got[doc]) == 300
+
+
 def test_fingerprints(docs, corpus):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     for k, (doc, text, *_) in enumerate(corpus):
