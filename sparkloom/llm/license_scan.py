@@ -1,10 +1,12 @@
 """License scans: phrases whose words stand consecutively, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line of the text, a template a notice; both are sets of words. A block matches if it holds THRESHOLD of a
-template's words (containment). The join is exact: the templates' words are ordered by the number of documents of the whole
-corpus that have them, rarest first; a block that matches holds one of a template's first |T| - ceil(threshold * |T|) + 1 words
-(prefix filter), has ceil(threshold * |T|) words or more (length filter), and its first match among the ordered words leaves
-enough of them behind it (positional filter). The templates are a parameter, so each task holds them; texts are never shuffled.
+A block is a run of consecutive words of the text, across lines, of at most the template's length / THRESHOLD words; a template is
+a notice; both are sets of words. A block matches if it holds THRESHOLD of a template's words (containment). The join is exact: the
+templates' words are ordered by the number of documents of the whole corpus that have them, rarest first; a text with a block that
+matches holds one of a template's first |T| - ceil(threshold * |T|) + 1 words (prefix filter), has ceil(threshold * |T|) words or
+more (length filter), and its first match among the ordered words leaves enough of them behind it (positional filter). In texts that
+pass, blocks slide over the places of the template's words; of blocks that overlap, the fullest and then first counts, and a span's
+line is that of its first word. The templates are a parameter, so each task holds them; texts are never shuffled.
 
 Cases: a null text is the empty text (no words, places or labels); a phrase may cross lines and any separators; ties and repeated
 rows are each judged by themselves; an empty table gives an empty result; further columns are ignored.
@@ -14,6 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +30,23 @@ from sparkloom.llm._base import documents, text_of
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
+    # whole notices
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+        met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution.""",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    # sentences
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
@@ -79,7 +101,32 @@ def matches(block: set[bytes], templates) -> list[tuple[str, float]]:
     return found
 
 
-def scan_text(text: bytes, phrases, templates, leading: set[bytes]) -> tuple:
+def blocks(words: list[bytes], tokens: list[bytes], need: int, width: int) -> list[tuple[int, float]]:
+    """(first word, containment) of the blocks of at most width words that hold need of the tokens or more; they don't overlap."""
+    of = set(tokens)
+    places = [k for k, w in enumerate(words) if w in of]
+    have, lo, found, best = Counter(), 0, [], None  # best: containment, begin, end (places) of the blocks that overlap
+    hi = 0
+    while hi < len(places):
+        have[words[places[hi]]] += 1
+        while places[hi] - places[lo] >= width or have[words[places[lo]]] > 1:
+            have[words[places[lo]]] -= 1
+            if not have[words[places[lo]]]:
+                del have[words[places[lo]]]
+            lo += 1
+        if best and lo > best[2]:
+            found.append(best)
+            best = None
+        if len(have) >= need and (best is None or len(have) > best[0]):
+            best = (len(have), lo, hi)
+        hi += 1
+        if best and (len(have) == len(of) or hi == len(places)):  # can't be fuller, or no more words
+            found.append(best)
+            best, lo, hi, have = None, best[2] + 1, best[2] + 1, Counter()
+    return [(places[begin], n / len(of)) for n, begin, _ in found]
+
+
+def scan_text(text: bytes, phrases, templates, leading: set[bytes], widths: dict[str, int]) -> tuple:
     """n_words, n_base, first, last, base labels, spans (label, line, containment)."""
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
@@ -90,10 +137,11 @@ def scan_text(text: bytes, phrases, templates, leading: set[bytes]) -> tuple:
             base.add(label)
     spans = []
     if not leading.isdisjoint(words):
-        for k, line in enumerate(text.split(b"\n")):
-            block = set(words_of(line))
-            if not leading.isdisjoint(block):
-                spans += [(label, k, c) for label, c in matches(block, templates)]
+        may = {label for label, _ in matches(set(words), templates)}
+        found = [(at, label, c) for label, tokens, need in templates if label in may for at, c in blocks(words, tokens, need, widths[label])]
+        if found:
+            upto = list(accumulate(len(words_of(line)) for line in text.split(b"\n")))
+            spans = [(label, bisect_right(upto, at), c) for at, label, c in sorted(found)]
     return len(words), len(places), min(places, default=None), max(places, default=None), sorted(base), spans
 
 
@@ -112,6 +160,7 @@ def license_scan(docs: DataFrame, phrases=None, templates=None, threshold: float
     templates = TEMPLATES if templates is None else templates
     tokens = {w for t in templates.values() for w in words_of(t.encode())}
     planned = plan(templates, token_counts(docs, tokens) if tokens else {}, threshold)
+    widths = {label: math.ceil(len(words_of(t.encode())) / threshold - 1e-9) for label, t in templates.items()}
     leading = {w for _, t, need in planned for w in t[: len(t) - need + 1]}
     # a phrase's last space is looked at, not taken: the next place may begin there
     phrase_list = [(b" " + p.encode() + b"(?= )", label) for p, label in (PHRASES if phrases is None else phrases).items()]
@@ -122,7 +171,7 @@ def license_scan(docs: DataFrame, phrases=None, templates=None, threshold: float
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows = [scan_text(t.as_py().encode(), compiled, planned, leading) for t in batch.column(1)]
+                rows = [scan_text(t.as_py().encode(), compiled, planned, leading, widths) for t in batch.column(1)]
                 made = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(ARROW[:5])]
                 spans = [[{"label": s[0], "line": s[1], "containment": s[2]} for s in r[5]] for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(spans, ARROW[5][1])], ["doc_id", *(n for n, _ in ARROW)])

@@ -174,6 +174,34 @@ def test_license_scan_finds_every_matching_block():
         assert license_scan.matches(block, templates) == want
 
 
+def test_license_scan_across_lines(spark):
+    """Wrapped notices are found at their first line; words strewn over a long text aren't a notice, and those behind others still are."""
+    mit = license_scan.TEMPLATES["mit-notice"].split()
+    wrapped = "Copyright (c) someone\n\n" + "\n".join(" * " + " ".join(mit[k : k + 9]) for k in range(0, len(mit), 9))
+    bsd = license_scan.TEMPLATES["bsd"].split()
+    strewn = "released " + "x " * 50 + "under the " + "y " * 50 + "mit " + "z " * 50 + "license" + " v" * 9
+    texts = [wrapped, "a\n" + " ".join(bsd[:12]) + "\n" + " ".join(bsd[12:]), strewn, strewn + "\nReleased under\nthe MIT License"]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: sorted((s.label, s.line, s.containment) for s in r.spans) for r in rows}
+    assert got == {0: [("mit-notice", 2, 1.0), ("mit-text", 2, 1.0)], 1: [("bsd", 1, 1.0)], 2: [], 3: [("mit", 1, 1.0)]}
+
+
+def test_license_blocks_against_brute_force():
+    """A text has a block exactly if some run of words of the width holds enough of the tokens."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        tokens = [b"t%d" % k for k in range(rng.randint(1, 6))]
+        need, width = rng.randint(1, len(tokens)), rng.randint(len(tokens), 9)
+        words = [rng.choice([*tokens, b"x", b"y"]) for _ in range(rng.randint(0, 40))]
+        most = [len(set(words[k : k + width]) & set(tokens)) for k in range(len(words))]
+        got = license_scan.blocks(words, tokens, need, width)
+        assert bool(got) == (max(most, default=0) >= need)
+        assert not got or max(c for _, c in got) == max(most) / len(tokens)
+        assert all(most[at] >= round(c * len(tokens)) >= need for at, c in got)
+
+
 def test_line_dedup(spark):
     fixed = "terms of service apply to all visitors"
     logs = [(k, f"session {k} opened for user number {k * 7} at host {k}\nunique text {'abcdefghijklmnopqrstuvwxyz'[k % 26]} {k} only\n{fixed}") for k in range(12)]
