@@ -3,7 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read
 again as the next one's docs. All stages but the last return the columns of `documents`.
 
-1. quality_rules: documents that the rules reject go.
+1. quality_rules: documents that the rules reject go, and of the others the lines that recur on their host, save in the first.
 2. line_dedup: lines of recurring templates go, from all documents but the template's first.
 3. near_duplicates: of each component of documents that are alike (5-word shingles, similarity 0.8 or more), the smallest doc_id stays.
 4. mixing: each document's row as often as the mix takes it.
@@ -21,8 +21,7 @@ from sparkloom.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules.quality_rules(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return quality_rules.cleaned(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

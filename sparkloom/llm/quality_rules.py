@@ -1,7 +1,7 @@
 """Quality rules: surface counts of a text, and lines that recur across the documents of a host. Native expressions only.
 
 Cases: a null text counts as empty, so it has no words and fails; a null host is the empty host; an empty table gives an
-empty result; rows that repeat a doc_id share the sum of their recurring words; further columns are ignored.
+empty result; rows that repeat a doc_id share the sum of their recurring words; further columns are ignored by the report and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import WORD, documents, n_words_of, text_of, words_of
+from sparkloom.llm._base import WORD, documents, n_words_of, stored, text_of, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -69,17 +69,26 @@ def surface(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
 
 
-def recurring_words(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """doc_id, n_recurring: words in lines that more than max_docs documents of the host have, save in the first of them."""
-    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), lines_with_words(text_of()).alias("lines"))
+def common_lines(rows: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+    """host, line (hash), first_doc of the lines that more than max_docs documents of the host have. rows: doc_id, host, lines."""
     hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(normal_line(x))))
-    common = (
+    return (
         rows.select("doc_id", "host", F.explode(hashes).alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
         .filter(F.col("n_docs") > max_docs)
         .select("host", "line", "first_doc")
     )
+
+
+def hosted(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), lines_with_words(text_of()).alias("lines"))
+
+
+def recurring_words(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+    """doc_id, n_recurring: words in lines that more than max_docs documents of the host have, save in the first of them."""
+    rows = hosted(docs)
+    common = common_lines(rows, max_docs)
     each = rows.select("doc_id", "host", F.explode("lines").alias("x")).select(
         "doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"), n_words_of(F.col("x")).alias("w")
     )
@@ -101,6 +110,25 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_p
     )
 
 
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
+    """The kept documents without the lines above the limit (in all documents of the host), save in the first kept document of each."""
+    # a filter on kept without the store would be pushed into the counts and repeat their expressions
+    kept = stored(quality_rules(docs, max_docs, min_kept_percent)).filter("kept").select(F.col("doc_id").alias("_of"))
+    rows = stored(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi"))
+    common = stored(common_lines(hosted(docs), max_docs).select("host", "line"))
+    each = hosted(rows).select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"))
+    found = stored(each.join(common, ["host", "line"]).distinct())
+    first = found.groupBy("host", "line").agg(F.min("doc_id").alias("first_doc"))
+    found = found.join(first, ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
+    gone = found.groupBy(F.col("doc_id").alias("_of"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_host")), "left")
+    left = F.filter(F.split(text_of(), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
+    out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    n_chars = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long") if "n_chars" in docs.columns else None
+    new = {"text": F.col("_kept").alias("text"), "n_chars": n_chars if n_chars is None else n_chars.alias("n_chars")}
+    return out.select(*(new.get(c, F.col(c)) for c in docs.columns))
+
+
 def query(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_recurring", "base_failed", "kept"

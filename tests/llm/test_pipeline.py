@@ -24,6 +24,18 @@ def test_stages(spark, docs, sf):
     assert ids[5] == ids[4]
 
 
+def test_quality_stage_removes_recurring_lines(spark, sf):
+    """Lines above the host's limit go from kept documents but the first kept one, also where the very first is rejected."""
+    own = {k: " ".join(f"own{k}w{j}" for j in range(60)) for k in range(56)}
+    line = "Read  our other stories here"
+    rows = [(0, line, "en", "a", len(line))] + [(k, f"{own[k]}\n\n{line}", "en", "a", 0) for k in range(1, 55)]
+    rows += [(55, f"{own[55]}\n{line}", "en", None, 7)]
+    got = {r.doc_id: r for r in corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf).collect()}
+    assert sorted(got) == list(range(1, 56))
+    assert got[1].text == rows[1][1] and got[55].text == rows[55][1] and got[55].n_chars == 7
+    assert all(got[k].text == own[k] + "\n" and got[k].n_chars == len(own[k]) + 1 for k in range(2, 55))
+
+
 def test_pipeline_of_nothing(spark, none, sf):
     docs = none
     for _, stage in corpus_pipeline.STAGES:
