@@ -1,7 +1,8 @@
 """Quality rules: surface counts of a text, and lines that recur across the documents of a host. Native expressions only.
 
 Cases: a null text counts as empty, so it has no words and fails; a null host is the empty host; an empty table gives an
-empty result; rows that repeat a doc_id share the sum of their recurring words; further columns are ignored by the report and kept by `cleaned`.
+empty result; rows that repeat a doc_id share the sum of their recurring words; a null doc_id never has recurring words; very long texts are
+worked on in time proportional to their length (but for a sort); further columns are ignored by the report and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
+def _after(values: Column) -> Column:
+    """An array without its first element."""
+    return F.slice(values, F.lit(2), F.size(values))
+
+
 def surface(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
@@ -41,15 +47,18 @@ def surface(docs: DataFrame) -> DataFrame:
         lines_with_words(F.col("text")).alias("lines"),
         words_of(F.col("text")).alias("words"),
     )
-    w = F.col("words")
-    windows = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    # arrays meet their shifted copies as arguments: inside a lambda over them they would be worked out again for each element
+    w = F.transform("words", lambda x: F.xxhash64(x))
+    two = F.zip_with(w, _after(w), lambda a, b: F.xxhash64(a, b))
+    windows = F.zip_with(two, _after(_after(w)), lambda ab, c: F.xxhash64(ab, c))
+    n = F.size("words")
     hashed = parts.select(
         "doc_id",
         "n_symbols",
         "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(w).cast("long").alias("n_words"),
-        F.when(F.size(w) >= 3, F.slice(windows, F.lit(1), F.size(w) - 2)).otherwise(F.array().cast("array<bigint>")).alias("win"),
+        n.cast("long").alias("n_words"),
+        F.slice(windows, F.lit(1), F.greatest(n - 2, F.lit(0))).alias("win"),
     )
     win = F.col("win")
     placed = hashed.withColumn(
@@ -57,14 +66,9 @@ def surface(docs: DataFrame) -> DataFrame:
         F.when(F.size(F.array_distinct(win)) < F.size(win), F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     )
     p = F.col("placed")
-    covered = F.flatten(
-        F.transform(
-            p,
-            lambda e, k: F.when(
-                (e["h"] == F.get(p, k - 1)["h"]) | (e["h"] == F.get(p, k + 1)["h"]), F.array(e["i"], e["i"] + 1, e["i"] + 2)
-            ).otherwise(F.array().cast("array<int>")),
-        )
-    )
+    inside = lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)
+    equal = F.zip_with(p, _after(p), lambda a, b: F.when(a["h"] == b["h"], F.concat(inside(a), inside(b))))
+    covered = F.flatten(F.filter(equal, lambda x: x.isNotNull()))
     repeated = F.when(p.isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
     return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
 
@@ -112,7 +116,7 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_p
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """The kept documents without the lines above the limit (in all documents of the host), save in the first kept document of each."""
-    # a filter on kept without the store would be pushed into the counts and repeat their expressions
+    # a filter on kept without the store would be pushed into the counts and work their expressions out twice
     kept = stored(quality_rules(docs, max_docs, min_kept_percent)).filter("kept").select(F.col("doc_id").alias("_of"))
     rows = stored(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi"))
     common = stored(common_lines(hosted(docs), max_docs).select("host", "line"))
