@@ -22,3 +22,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("id", "label")
         if moved.filter(F.col("was") != F.col("label")).isEmpty():
             return labels
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """p, label after further links (a, b) between points: components that are known already count as one point each."""
+    links = links.select("a", "b")
+    if labels is not None:
+        for k in ("a", "b"):
+            links = links.join(labels.select(F.col("p").alias(k), F.col("label").alias(f"_{k}")), k, "left").withColumn(k, F.coalesce(f"_{k}", k)).drop(f"_{k}")
+    new = components(links)
+    if labels is None:
+        return new.withColumnRenamed("id", "p")
+    up = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
+    old = labels.join(up, "label", "left").select("p", F.coalesce("up", "label").alias("label"))
+    return stored(old.unionByName(new.withColumnRenamed("id", "p").join(labels.select("p"), "p", "left_anti")))

@@ -1,234 +1,279 @@
 """N-gram Jaccard join in the metric space of shingle sets: pivots, Voronoi regions, triangle-inequality windows, recursion.
 
-The distance of two sets is 1 - |x & y| / |x | y|, a metric. Equal sets are one point, taken once.
+The distance of two sets is 1 - |x & y| / |x | y|, a metric. Equal sets are one point, taken once; r = 1 - threshold.
 
 1. Regions. The first pivots are the one-shingle sets. A point is nearest to the pivots of its own shingles, which are equally
-   near; a fixed order of the shingles says which region is its home. A point within the radius r = 1 - threshold of x lacks
-   at most a known number of x's shingles, so its home is among x's first |x| - ceil(threshold * |x|) + 1 pivots: x is
-   replicated to those regions, and any two points within r meet in one. Shingles that are frequent in a bounded sample of
-   documents come last in the order: that changes how large regions are, never which pairs meet.
-2. Windows. The pairs of a region are narrowed by bounds that hold for every pair within r: sizes, places of the first common
-   pivot, and the triangle inequality for BUCKETS further pivot sets that share out all shingles: the differences of the two
-   points' intersections with them add up to the size of the symmetric difference at most. What is left is measured exactly.
-3. Recursion. In a region of more than SMALL points, pairs aren't listed at first: one point is its pivot, and the distance of
-   every point to it is measured. Points within r are in its ball and thereby connected; a region whose points are all connected
-   is done. The others are taken again with another pivot, PIVOT_ROUNDS times; of what is left, pairs of points that aren't
-   connected are narrowed as above and by their distances to the pivot (triangle inequality), and measured. Only links between
-   points that are connected anyway are left out, so components are exact.
+   near; a fixed order of the shingles says which region is its home. A point within r of x lacks at most a known number of x's
+   shingles, so its home is among x's first |x| - ceil(threshold * |x|) + 1 pivots: x is replicated to those regions (its window),
+   and any two points within r meet in one. The order: shingles by hash, those last that over MOST points have among the
+   shingles looked at. A point looks at its first shingles by hash, a half more than its window; if too many of them come last, it
+   looks further, until all windows are certain. So all regions but those of the last shingles hold MOST points at most, and only
+   points nearly all of whose shingles are common (as in large groups of near copies) come to the others.
+2. Balls. Each region has a pivot document, the one with the earliest place of the region's shingle (and thus the least of its own).
+   Points within r of it are connected: a component counts as one from then on, and only pairs of different components are
+   looked at. Pairs are narrowed by bounds that hold for every pair within r: sizes, places of the first common pivot, and the
+   triangle inequality for BUCKETS further pivot sets that share out all shingles (the differences of the two points' intersections
+   with them add up to the size of the symmetric difference at most). What is left is measured exactly.
+3. Recursion. Regions of one component are done. Small ones, and those where few points are outside the largest component, have
+   their pairs listed: those of points outside it with all points, within the windows of step 2. Others get further pivot documents
+   (of different components), all distances to them are measured, and each point goes to the region of the nearest and to those that
+   are farther by 2r at most (triangle inequality); pivots are done. A region that doesn't get smaller so has its pairs listed.
+
+Links between points that are connected anyway are not all listed: the result is components, and these are exact.
 
 Cases: null and empty texts have the empty set, link with nothing and are their own component; texts of one or two words have
-one shingle; equal texts, and repeated rows, share a component; the component is the smallest doc_id; a null doc_id stays a
-row with a null component unless its set is shared; an empty table gives an empty result; further columns are ignored.
+one shingle; equal texts, and repeated rows, share a component; the component is the smallest doc_id, null only if all its doc_ids are;
+rows that share a doc_id but not the text are judged each by its own text; very long texts are taken whole; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _hashes as H
 from sparkloom.llm._base import documents, stored, text_of
-from sparkloom.llm.components import components
+from sparkloom.llm.components import components, merged
 
 N = 3
 PERCENT = 90
-#: Bound of the sample of documents that sets the shingles' order, and of the list of frequent shingles taken from it.
-ORDER_SAMPLE = 10_000
-FREQUENT = 1_000_000
-PIVOT_ROUNDS = 2
+MOST = 16
 BUCKETS = 64
-SMALL = 12
+PIVOTS = 4
+NO_ID = -(2**63)
 
 
-def _batches(batches, work, unpack=str.encode):
-    """work(texts) for runs of texts of bounded size; yields (ids, results)."""
+def _sets(batches, n: int, at: int):
+    """(rows, sets) for runs of texts of bounded size; the text is column `at`."""
     for whole in batches:
         for begin in range(0, whole.num_rows, 256):
             batch = whole.slice(begin, 256)
-            texts = [unpack(t.as_py()) for t in batch.column(1)]
-            for at, part in H.chunks(texts):
-                yield batch.column(0).slice(at, len(part)), work(part)
+            texts = [t.as_py().encode() for t in batch.column(at)]
+            for first, part in H.chunks(texts):
+                yield batch.slice(first, len(part)), H.shingles(part, n)
 
 
-def frequent_shingles(docs: DataFrame, n: int = N, sample: int = ORDER_SAMPLE) -> np.ndarray:
-    """Sorted hashes of shingles found in two or more documents of a bounded sample: at most FREQUENT, the commonest."""
-    total = docs.count()
-    if total == 0:
-        return np.zeros(0, np.uint64)
-    some = docs if total <= sample else docs.sample(fraction=sample / total, seed=11)
+def _lists(parts: list, kind=np.int64) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(kind)))
 
-    def run(batches):
-        for _, sets in _batches(batches, lambda part: H.shingles(part, n)):
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["s", "n"])
 
-    counted = some.select("doc_id", text_of().alias("text")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counted.filter("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, id, key, text: id and key (the text's hash) know a row also where doc_id is null or repeated."""
+    kind = "string" if dict(docs.dtypes)["doc_id"] == "string" else "long"
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast(kind), F.lit(NO_ID).cast(kind)).alias("id"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
+
+
+def window_of(n, percent: int):
+    """The shingles of a set of n that a point within r can't all lack."""
+    return n - (percent * n + 99) // 100 + 1
 
 
 def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, k1, k2 (128-bit key of the set), window (the set's first pivots, in order), early (how many of them aren't
-    frequent; they come first), shares (of the set by bucket)."""
-    kind = dict(docs.dtypes)["doc_id"]
-    late = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))  # at most 8 * FREQUENT bytes
+    """doc_id, id, key, n, k1, k2 (128-bit key of the set), shares (of the set by bucket), seen (its first shingles by hash)."""
+    rows = keyed(docs)
+    kinds = dict(rows.dtypes)
 
     def run(batches):
-        frequent = late.value
-        for ids, sets in _batches(batches, lambda part: H.shingles(part, n)):
+        for batch, sets in _sets(batches, n, 3):
             sizes = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at = np.searchsorted(frequent, flat)
-            is_late = (frequent[np.minimum(at, len(frequent) - 1)] == flat) if len(frequent) else np.zeros(len(flat), bool)
             doc = np.repeat(np.arange(len(sets)), sizes)
-            order = np.lexsort((flat, is_late, doc))
-            begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-            place = np.arange(len(flat)) - np.repeat(begins, sizes)
-            window = sizes - (percent * sizes + 99) // 100 + (sizes > 0)
-            inside = place < np.repeat(window, sizes)
-            picked = flat[order][inside]
-            early = np.bincount(doc[order][inside & ~is_late[order]], minlength=len(sets))
+            begins = np.cumsum(sizes) - sizes
             sums = np.zeros((2, len(sets)), np.uint64)
             full = sizes > 0
             for k, salt in enumerate((0x1234567, 0x89ABCDEF)):
                 if full.any():
                     sums[k, full] = H.mix(np.add.reduceat(H.mix(flat ^ np.uint64(salt)), begins[full]) + sizes[full].astype(np.uint64))
-            ends = np.concatenate(([0], np.cumsum(window))).astype(np.int32)
             bucket = (H.mix(flat) >> np.uint64(7)).astype(np.int64) % BUCKETS
             shares = np.bincount(doc * BUCKETS + bucket, minlength=len(sets) * BUCKETS).astype(np.int32)
-            shared_ends = np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS
+            ends = np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS
+            upto = np.minimum(sizes, 3 * window_of(sizes, percent) // 2 + 4)
             keys = [pa.array(x.view(np.int64)) for x in sums]
-            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(v)) for e, v in ((ends, picked.view(np.int64)), (shared_ends, shares))]
-            columns = [ids, pa.array(sizes), *keys, lists[0], pa.array(early.astype(np.int32)), lists[1]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "window", "early", "shares"])
+            columns = [*batch.columns[:3], pa.array(sizes), *keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(shares)), _lists([s[:k] for s, k in zip(sets, upto)])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "key", "n", "k1", "k2", "shares", "seen"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, window array<long>, early int, shares array<int>")
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, id {kinds['id']}, key long, n long, k1 long, k2 long, shares array<int>, seen array<long>")
 
 
-def shingle_sets(rows: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, shingles: the whole sets of compressed texts (doc_id, z)."""
-    kind = dict(rows.dtypes)["doc_id"]
+def shingles_of(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
+    """p, since, shingles: the sets, by hash, of the points wanted (p, id, key, since, upto), from place `since` to `upto`."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for ids, sets in _batches(batches, lambda part: H.shingles(part, n), unpack):
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
-
-    return rows.select("doc_id", "z").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
-
-
-def measured(pairs: DataFrame, sets: DataFrame, percent: int, few: bool = False) -> DataFrame:
-    """a, b with their exact distance and whether they link. few: only some of the sets are needed; their ids are stored first, so
-    that the planner knows by their size whether they can go to all tasks and the other sets needn't be shuffled."""
-    if few:
-        pairs = stored(pairs)
-        sets = sets.join(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "doc_id", "left_semi")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    rows = both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
-    return rows.select("a", "b", (1 - F.col("c") / F.col("u")).alias("d"), (100 * F.col("c") >= percent * F.col("u")).alias("link"))
+        for batch, sets in _sets(batches, n, 3):
+            cut = zip(sets, *(batch.column(k).to_pylist() for k in (1, 2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([s[a:b] for s, a, b in cut])], ["p", "since", "shingles"])
+
+    rows = keyed(docs).drop("doc_id").join(wanted, ["id", "key"]).select("p", "since", "upto", "text")
+    return rows.mapInArrow(run, "p long, since long, shingles array<long>")
+
+
+def all_seen(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(p, n, place, s of the shingles that points look at; s of those that come last)."""
+    size = points.select("p", "id", "key", "n")
+    rows = points.select("p", F.posexplode("seen").alias("place", "s"))
+    ends = points.select("p", F.size("seen").cast("long").alias("e"))
+    window = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    while True:
+        last = stored(rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most).select("s"))
+        late = rows.join(last, "s").groupBy("p").agg(F.count(F.lit(1)).alias("late"))
+        short = late.join(size, "p").join(ends, "p").filter((F.col("e") - F.col("late") < window) & (F.col("e") < F.col("n")))
+        upto = F.when(2 * F.col("late") >= F.col("e"), F.col("n")).otherwise(F.least("n", window + 2 * F.col("late") + 4))
+        short = stored(short.select("p", "id", "key", F.col("e").alias("since"), upto.alias("upto")))
+        if short.isEmpty():
+            return rows.join(points.select("p", "n"), "p"), last
+        more = stored(shingles_of(docs, short, n).dropDuplicates(["p"]))
+        rows = rows.unionByName(more.select("p", "since", F.posexplode("shingles").alias("place", "s")).select("p", (F.col("place") + F.col("since")).cast("int").alias("place"), "s"))
+        ends = ends.join(short.select("p", "upto"), "p", "left").select("p", F.coalesce("upto", "e").alias("e"))
+
+
+def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> DataFrame:
+    """s, p, n, slack, pivot (p, n and slack) of the regions with several points that sizes and places allow to link.
+
+    Two points whose first common pivot is the region's stand before it with shingles that the other lacks, so they link only if
+    their slacks add up to 0 or more."""
+    rows, last = all_seen(docs, points, n, percent, most)
+    rows = rows.join(last.withColumn("late", F.lit(True)), "s", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("p").orderBy("late", "place")) - 1)
+    window = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rows = rows.filter(F.col("pos") < window).select("s", "p", "n", "late", ((100 - percent) * F.col("n") - (100 + percent) * F.col("pos")).alias("slack"))
+    pivot = F.max(F.struct("slack", (-F.col("p")).alias("q"), "n"))
+    fits = F.col("slack") + F.col("pivot")["slack"] >= 0
+    # at most MOST rows a shingle: counted where they meet, moved once
+    own = Window.partitionBy("s")
+    few = rows.filter("NOT late").drop("late").repartition("s").withColumn("pivot", pivot.over(own)).filter(fits)
+    few = few.withColumn("k", F.count(F.lit(1)).over(own)).filter("k > 1").drop("k")
+    # any number of rows: reduced before the shuffle, and a join that Spark splits when skewed
+    many = stored(rows.filter("late").drop("late"))
+    many = many.join(many.groupBy("s").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "s").filter(fits)
+    return few.unionByName(many).withColumn("pivot", F.struct((-F.col("pivot")["q"]).alias("p"), F.col("pivot")["n"].alias("n"), F.col("pivot")["slack"].alias("slack")))
 
 
 def narrowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and shares by bucket allow a link (points: rep, n, shares)."""
-    x = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shares").alias("ha"))
-    y = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shares").alias("hb"))
+    """The pairs (a, b) whose sizes and shares by bucket allow a link (points: p, n, shares)."""
+    x = points.select(F.col("p").alias("a"), F.col("n").alias("na"), F.col("shares").alias("ha"))
+    y = points.select(F.col("p").alias("b"), F.col("n").alias("nb"), F.col("shares").alias("hb"))
     rows = pairs.join(x, "a").join(y, "b").filter(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
     apart = F.aggregate(F.zip_with("ha", "hb", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, d: s + d)
     # |x ^ y| <= n + m - 2c, and a link needs (100 + percent) * c >= percent * (n + m)
     return rows.filter((100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def pairs_within(regions: DataFrame, percent: int, extra: str = "true") -> DataFrame:
-    """a > b: pairs of points of a region (s, rep, n, pos) whose sizes and places of the first common pivot allow a link."""
-    x, y = regions.alias("x"), regions.alias("y")
-    rows = x.join(y, F.col("x.s") == F.col("y.s")).filter(
-        f"x.rep > y.rep AND {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-        # what stands before the first common pivot in either set is in one set only
-        f" AND (100 + {percent}) * (x.n + y.n - x.pos - y.pos) >= 2 * {percent} * (x.n + y.n) AND ({extra})"
-    )
-    return rows.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-
-
-def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, k1, k2 of each document; k1, k2, rep, label of each class of equal sets)."""
-    signed = signatures(docs, n, percent)
-    placed = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "early", F.posexplode("window").alias("pos", "s"))
-    signed = stored(signed.drop("window", "early"))
-    classes = stored(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    # regions of rare shingles are small: their rows are counted where they meet, moved once. Those of frequent shingles may be
-    # large: counts are reduced before the shuffle, and the join with them is one that Spark splits when skewed
-    rare = placed.filter("pos < early").select("doc_id", "pos", "s").repartition("s")
-    rare = rare.withColumn("points", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("points > 1").drop("points")
-    common = placed.filter("pos >= early").select("doc_id", "pos", "s")
-    shared = common.groupBy("s").agg(F.count(F.lit(1)).alias("points")).filter("points > 1").select("s")
-    met = stored(rare.unionByName(common.join(shared, "s").select("doc_id", "pos", "s")))
-    # from here on only points that meet another; copies are one point
-    points = signed.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", "n", "shares").dropDuplicates(["rep"])
-    points = stored(points)
-    met = stored(met.join(points.select(F.col("rep").alias("doc_id"), "n"), "doc_id").withColumnRenamed("doc_id", "rep").distinct())
-    sized = met.groupBy("s").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("points")).filter("points > 1")
-    regions = stored(met.join(sized, "s"))
-
-    listed = stored(narrowed(pairs_within(regions.filter(F.col("points") <= small), percent), points, percent))
-    large = regions.filter(F.col("points") > small).drop("points")
-    wanted = listed.select(F.col("a").alias("doc_id")).union(listed.select("b")).union(large.select("rep")).distinct()
-    sets = stored(shingle_sets(compressed(docs).join(wanted, "doc_id"), n))
-
-    done = stored(measured(listed, sets, percent))
-    edges = done.filter("link").select("a", "b")
-    r, open_regions = 1 - percent / 100, large.withColumn("was", F.col("pivot"))
-    for _ in range(pivot_rounds):
-        star = open_regions.filter("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        new = narrowed(star.join(done, ["a", "b"], "left_anti"), points, percent)
-        done = done.unionByName(stored(measured(new, sets, percent, few=True)))
-        edges = done.filter("link").select("a", "b")
-        labels = components(edges).withColumnRenamed("id", "rep")
-        labelled = open_regions.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        apart = labelled.groupBy("s").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("rep").alias("next")).filter("l1 <> l2").select("s", "next")
-        open_regions = stored(labelled.join(apart, "s").withColumn("was", F.col("pivot")).withColumn("pivot", F.col("next")).drop("next"))
-    known = done.select(F.col("a").alias("x"), F.col("b").alias("p"), "d").unionByName(done.select(F.col("b").alias("x"), F.col("a").alias("p"), "d"))
-    last = stored(open_regions.join(known, (F.col("rep") == F.col("x")) & (F.col("was") == F.col("p")), "left").select("s", "rep", "n", "pos", "label", "d").distinct())
-    rest = pairs_within(last, percent, f"x.label <> y.label AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {r} + 1e-9)")
-    final = stored(measured(narrowed(rest.join(done, ["a", "b"], "left_anti"), points, percent), sets, percent, few=True))
-    labels = components(edges.unionByName(final.filter("link").select("a", "b"))).withColumnRenamed("id", "rep")
-    return signed.select("doc_id", "n", "k1", "k2"), classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
-
-def compressed(docs: DataFrame) -> DataFrame:
-    """doc_id, z: texts for a shuffle."""
-    kind = dict(docs.dtypes)["doc_id"]
+def measured(docs: DataFrame, points: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b, d (the exact distance), link of the pairs (a, b), stored."""
+    pairs = stored(pairs)
+    wanted = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
+    wanted = stored(wanted.join(points.select("p", "id", "key", F.lit(0).cast("long").alias("since"), F.col("n").alias("upto")), "p"))
+    sets = stored(shingles_of(docs, wanted, n))
+    a, b = (sets.select(F.col("p").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
+    return stored(rows.select("a", "b", (1 - F.col("c") / F.col("u")).alias("d"), (100 * F.col("c") >= percent * F.col("u")).alias("link")).distinct())
 
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "z"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, z binary")
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.drop("label").join(labels, "p", "left").withColumn("label", F.coalesce("label", "p"))
+
+
+def listed(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of points of different components of a region, one of them outside the largest (large: s, label)."""
+    r = 1 - percent / 100
+    outside = rows.join(large, ["s", "label"], "left_anti").alias("y")
+    all_ = rows.join(large.withColumn("inside", F.lit(True)), ["s", "label"], "left").alias("x")
+    pairs = all_.join(outside, F.col("x.s") == F.col("y.s")).filter(
+        f"x.label <> y.label AND (x.inside OR x.p > y.p) AND x.slack + y.slack >= 0 AND {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
+        f" AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {r} + 1e-9)"
+    )
+    return pairs.select(*_pair("x.p", "y.p")).distinct()
+
+
+def split(rows: DataFrame, by_label: DataFrame, docs: DataFrame, points: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links found, the smaller regions) of regions dealt to PIVOTS pivots of different components each."""
+    r = 1 - percent / 100
+    ranked = by_label.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("c"), "label"))).filter(F.col("k") <= PIVOTS)
+    pivots = stored(ranked.select("s", (-F.col("top")["q"]).alias("pivot")))
+    star = stored(rows.join(pivots, "s").filter("p <> pivot").select("s", "p", "pivot"))
+    known = measured(docs, points, star.select(*_pair("p", "pivot")).distinct(), n, percent)
+    far = star.select("*", *_pair("p", "pivot")).join(known.select("a", "b", "d"), ["a", "b"]).select("s", "p", "pivot", "d")
+    far = far.join(pivots.select("s", F.col("pivot").alias("p")), ["s", "p"], "left_anti")  # pivots are done
+    far = far.withColumn("near", F.min("d").over(Window.partitionBy("s", "p"))).filter(F.col("d") <= F.col("near") + 2 * r + 1e-9)
+    parts = rows.drop("d").join(far.drop("near"), ["s", "p"]).withColumn("s", F.xxhash64("s", "pivot")).drop("pivot")
+    return known.filter("link").select("a", "b"), stored(parts)
+
+
+def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id, key, n, k1, k2 of each row; k1, k2, p, label, and doc_id, id, key of its first row, of each class of equal sets)."""
+    signed = stored(signatures(docs, n, percent))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "key"))
+    classes = signed.filter("n > 0").groupBy("k1", "k2").agg(first.alias("f"), F.first("n").alias("n"))
+    classes = stored(classes.select("k1", "k2", "n", "f.doc_id", "f.id", "f.key", F.monotonically_increasing_id().alias("p")))
+    # a set so small that no other set is within r links with nothing
+    points = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select("p", "id", "key")
+    points = stored(signed.select("id", "key", "n", "shares", "seen").join(points, ["id", "key"]).dropDuplicates(["id", "key"]))
+    rows = stored(first_regions(docs, points, n, percent, most))
+    star = rows.filter(F.col("p") != F.col("pivot")["p"]).filter(f"{percent} * greatest(n, pivot.n) <= 100 * least(n, pivot.n)")
+    near = measured(docs, points, narrowed(star.select(*_pair("p", "pivot.p")).distinct(), points, percent), n, percent)
+    labels = merged(None, near.filter("link").select("a", "b"))
+    rows = rows.filter(F.col("p") != F.col("pivot")["p"]).drop("pivot").withColumn("d", F.lit(None).cast("double")).withColumn("was", F.lit(None).cast("long"))
+    while True:
+        rows = stored(labelled(rows, labels))
+        by_label = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("slack", (-F.col("p")).alias("q"))).alias("top"), F.max("was").alias("was"))
+        by_label = stored(by_label)
+        m, most_of = F.sum("c"), F.max(F.struct("c", "label"))
+        whole = by_label.groupBy("s").agg(m.alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), most_of.alias("large"), F.max("was").alias("was"), F.max("top").alias("top"))
+        whole = whole.filter("m > large.c").withColumn("cross", (F.col("m") * F.col("m") - F.col("squares")) / 2)
+        lists = (F.col("m") <= most) | (F.col("cross") <= most * F.col("m")) | (F.col("was").isNotNull() & (10 * F.col("m") > 9 * F.col("was")))
+        whole = stored(whole.select("s", "m", F.col("large")["label"].alias("label"), lists.alias("lists"), F.col("top")["slack"].alias("top")))
+        if whole.isEmpty():
+            break
+        # what no partner's slack makes up for is done
+        open_ = rows.drop("was").join(whole.select("s", "lists", F.col("m").alias("was"), "top"), "s").filter("slack + top >= 0").drop("top")
+        pairs = listed(open_.filter("lists").drop("lists", "was"), whole.filter("lists").select("s", "label"), percent)
+        links = measured(docs, points, narrowed(pairs, points, percent), n, percent).filter("link").select("a", "b")
+        large = whole.filter("NOT lists").select("s")
+        if large.isEmpty():
+            labels = merged(labels, links)
+            break
+        found, rows = split(open_.filter("NOT lists").drop("lists"), by_label.join(large, "s", "left_semi"), docs, points, n, percent)
+        labels = merged(labels, links.unionByName(found))
+    return signed.select("doc_id", "id", "key", "n", "k1", "k2"), labelled(classes.drop("n"), labels)
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows, the classes with the first row of their component: of_null, of_id, of_key)."""
+    signed, classes = joined(docs, n, percent)
+    classes = stored(classes)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "key"))
+    return signed, classes.select("k1", "k2", "label").join(classes.groupBy("label").agg(first.alias("of")), "label").select("k1", "k2", "of")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    signed, classes = joined(docs, n, percent)
-    rows = signed.join(classes.select("k1", "k2", "label"), ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id"))
+    signed, classes = _components(docs, n, percent)
+    rows = signed.join(classes, ["k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("of")["doc_id"]).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduped(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest of their component, once each; their rows are unchanged."""
-    found = jaccard_join(docs, n, percent).filter(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    keep = stored(found.filter("doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """The documents that are the first of their component (the smallest doc_id), once each, and those without words; rows unchanged."""
+    signed, classes = _components(docs, n, percent)
+    kept = signed.join(classes, ["k1", "k2"], "left").filter("n = 0 OR (id = of.id AND key = of.key)")
+    kept = stored(kept.groupBy("id", "key").agg(F.count(F.lit(1)).alias("_rows"), F.max("n").alias("_n")))
+    kept = kept.select(F.col("id").alias("_id"), F.col("key").alias("_key"), ((F.col("_rows") > 1) & (F.col("_n") > 0)).alias("_again"))
+    own = keyed(docs)
+    id_, key = own.select("id").schema[0].dataType, F.xxhash64(text_of())
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast(id_), F.lit(NO_ID).cast(id_))).withColumn("_key", key).join(kept, ["_id", "_key"])
+    once = rows.filter("_again").dropDuplicates(["_id", "_key"])
+    return rows.filter("NOT _again").unionByName(once).select(*docs.columns)
 
 
 def query(spark, sf_dir):
