@@ -32,6 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table for a join: sent to all tasks if its counted rows take BROADCAST_BYTES at most, else left to the planner (a shuffle)."""
+    width = 24 + sum(8 if f.dataType.typeName() in ("long", "integer", "double", "boolean") else 64 for f in df.schema)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _hashes as H
-from sparkloom.llm._base import documents, stored, text_of
+from sparkloom.llm._base import documents, small, stored, text_of
 from sparkloom.llm.components import components, merged
 
 N = 3
@@ -101,46 +101,82 @@ def signatures(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
-    """p, since, shingles: the sets, by hash, of the points wanted (p, id, key, since, upto), from place `since` to `upto`."""
+    """p, n, seen: the first `upto` shingles, by hash, of the points wanted (stored: p, id, key, n, upto)."""
 
     def run(batches):
         for batch, sets in _sets(batches, n, 3):
-            cut = zip(sets, *(batch.column(k).to_pylist() for k in (1, 2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([s[a:b] for s, a, b in cut])], ["p", "since", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([s[:k] for s, k in zip(sets, batch.column(2).to_pylist())])], ["p", "n", "seen"])
 
-    rows = keyed(docs).drop("doc_id").join(wanted, ["id", "key"]).select("p", "since", "upto", "text")
-    return rows.mapInArrow(run, "p long, since long, shingles array<long>")
+    rows = keyed(docs).drop("doc_id").join(small(wanted), ["id", "key"]).select("p", "n", "upto", "text")
+    return rows.mapInArrow(run, "p long, n long, seen array<long>")
+
+
+def _each(seen: DataFrame) -> DataFrame:
+    return seen.select("p", F.posexplode("seen").alias("place", "s"))
+
+
+def _counted(rows: DataFrame, most: int) -> DataFrame:
+    return rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most).select("s")
 
 
 def all_seen(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(p, n, place, s of the shingles that points look at; s of those that come last)."""
-    size = points.select("p", "id", "key", "n")
-    rows = points.select("p", F.posexplode("seen").alias("place", "s"))
-    ends = points.select("p", F.size("seen").cast("long").alias("e"))
+    """(p, n, seen: the shingles that points look at; s: those of them that come last)."""
+    seen = points.select("p", "n", "seen")
+    last = stored(_counted(_each(seen), most))
     window = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    upto = F.when(2 * F.col("late") >= F.col("e"), F.col("n")).otherwise(F.least("n", window + 2 * F.col("late") + 4))
     while True:
-        last = stored(rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most).select("s"))
-        late = rows.join(last, "s").groupBy("p").agg(F.count(F.lit(1)).alias("late"))
-        short = late.join(size, "p").join(ends, "p").filter((F.col("e") - F.col("late") < window) & (F.col("e") < F.col("n")))
-        upto = F.when(2 * F.col("late") >= F.col("e"), F.col("n")).otherwise(F.least("n", window + 2 * F.col("late") + 4))
-        short = stored(short.select("p", "id", "key", F.col("e").alias("since"), upto.alias("upto")))
+        late = _each(seen).join(small(last), "s").groupBy("p").agg(F.count(F.lit(1)).alias("late"))
+        short = seen.select("p", F.size("seen").cast("long").alias("e")).join(late, "p").join(points.select("p", "id", "key", "n"), "p")
+        short = stored(short.filter((F.col("e") - F.col("late") < window) & (F.col("e") < F.col("n"))).select("p", "id", "key", "n", upto.alias("upto")))
         if short.isEmpty():
-            return rows.join(points.select("p", "n"), "p"), last
+            return seen, last
         more = stored(shingles_of(docs, short, n).dropDuplicates(["p"]))
-        rows = rows.unionByName(more.select("p", "since", F.posexplode("shingles").alias("place", "s")).select("p", (F.col("place") + F.col("since")).cast("int").alias("place"), "s"))
-        ends = ends.join(short.select("p", "upto"), "p", "left").select("p", F.coalesce("upto", "e").alias("e"))
+        seen = seen.join(small(stored(short.select("p"))), "p", "left_anti").unionByName(more)
+        # only what the longer looks have met may be more than MOST now
+        fresh = stored(_each(more).select("s").distinct().join(small(last), "s", "left_anti"))
+        last = stored(last.unionByName(_counted(_each(seen).join(small(fresh), "s", "left_semi"), most)))
 
 
-def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    """s, p, n, slack, pivot (p, n and slack) of the regions with several points that sizes and places allow to link.
+def windows(seen: DataFrame, last: DataFrame, percent: int) -> DataFrame:
+    """s, p, n, slack, late: the window of each point. Two points whose first common pivot is s stand before it with shingles that
+    the other lacks, so they link only if their slacks add up to 0 or more."""
 
-    Two points whose first common pivot is the region's stand before it with shingles that the other lacks, so they link only if
-    their slacks add up to 0 or more."""
-    rows, last = all_seen(docs, points, n, percent, most)
-    rows = rows.join(last.withColumn("late", F.lit(True)), "s", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("p").orderBy("late", "place")) - 1)
-    window = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rows = rows.filter(F.col("pos") < window).select("s", "p", "n", "late", ((100 - percent) * F.col("n") - (100 + percent) * F.col("pos")).alias("slack"))
+    def run(batches):
+        for batch in batches:
+            for p, n, hashes, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                late = np.zeros(len(hashes), bool)
+                if places.is_valid:
+                    late[places.values.to_numpy()] = True
+                order = np.argsort(late, kind="stable")[: window_of(n, percent)]
+                slack = (100 - percent) * n - (100 + percent) * np.arange(len(order))
+                columns = (hashes.values.to_numpy()[order], np.full(len(order), p), np.full(len(order), n), slack)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(late[order])], ["s", "p", "n", "slack", "late"])
+
+    late = _each(seen).join(small(last), "s").groupBy("p").agg(F.collect_list("place").alias("late"))
+    return seen.join(late, "p", "left").mapInArrow(_joined_batches(run), "s long, p long, n long, slack long, late boolean")
+
+
+def _joined_batches(run):
+    """run, its small batches put together."""
+
+    def whole(batches):
+        held, rows = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 50_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return whole
+
+
+def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> DataFrame:
+    """s, p, n, slack, pivot (p, n and slack) of the regions with several points that sizes and places allow to link."""
+    rows = stored(windows(*all_seen(docs, points, n, percent, most), percent))
     pivot = F.max(F.struct("slack", (-F.col("p")).alias("q"), "n"))
     fits = F.col("slack") + F.col("pivot")["slack"] >= 0
     # at most MOST rows a shingle: counted where they meet, moved once
@@ -148,7 +184,7 @@ def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most
     few = rows.filter("NOT late").drop("late").repartition("s").withColumn("pivot", pivot.over(own)).filter(fits)
     few = few.withColumn("k", F.count(F.lit(1)).over(own)).filter("k > 1").drop("k")
     # any number of rows: reduced before the shuffle, and a join that Spark splits when skewed
-    many = stored(rows.filter("late").drop("late"))
+    many = rows.filter("late").drop("late")
     many = many.join(many.groupBy("s").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "s").filter(fits)
     return few.unionByName(many).withColumn("pivot", F.struct((-F.col("pivot")["q"]).alias("p"), F.col("pivot")["n"].alias("n"), F.col("pivot")["slack"].alias("slack")))
 
@@ -167,9 +203,9 @@ def measured(docs: DataFrame, points: DataFrame, pairs: DataFrame, n: int, perce
     """a, b, d (the exact distance), link of the pairs (a, b), stored."""
     pairs = stored(pairs)
     wanted = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
-    wanted = stored(wanted.join(points.select("p", "id", "key", F.lit(0).cast("long").alias("since"), F.col("n").alias("upto")), "p"))
+    wanted = stored(wanted.join(points.select("p", "id", "key", "n", F.col("n").alias("upto")), "p"))
     sets = stored(shingles_of(docs, wanted, n))
-    a, b = (sets.select(F.col("p").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    a, b = (sets.select(F.col("p").alias(k), F.col("seen").alias(f"s{k}")) for k in "ab")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     rows = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
     return stored(rows.select("a", "b", (1 - F.col("c") / F.col("u")).alias("d"), (100 * F.col("c") >= percent * F.col("u")).alias("link")).distinct())
