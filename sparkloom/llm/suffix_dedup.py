@@ -230,7 +230,9 @@ def second_pass(runs_left: DataFrame, window: int, held_runs: int = HELD_RUNS) -
     def resolve(batches):
         held: list = []
         for batch in batches:
-            held += zip(*(batch.column(k).to_pylist() for k in range(7)))
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if not held or held[-1][:4] != row[:4]:  # a repeated row's runs lie next to each other and count once
+                    held.append(row)
             k = len(held) - 1
             while k > 0 and held[k - 1][5:] == held[-1][5:] and held[k - 1][0] == held[-1][0]:
                 k -= 1
