@@ -2,12 +2,12 @@
 
 A package holds `archive/data.warc.gz` (stored; one gzip member a record), `indexes/index.cdxj` (stored; where each record
 lies) and `datapackage.json`. The reader reads a package's end, its directory and its index, then only the records' ranges;
-nothing is extracted. Packages lie in a folder that driver and executors share; a task that is run again writes packages of its
+nothing is extracted. A task reads one part of a package's index, so that neither packages nor tasks need be of one size. Packages lie in a folder that driver and executors share; a task that is run again writes packages of its
 own, and only those of finished tasks are in the manifest.
 
 Cases: a null html is the empty payload, and equal payloads, empty ones too, have one response and revisits; a null url gives a
 record without target; null page_ids are kept as such; rows that repeat a page_id are responses each; an empty table makes no
-package; further columns are ignored.
+package; very long payloads are one record each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm._base import scratch, stored
 
 PACKAGE_BYTES = 64 << 20
+#: What a task reads, about; a package is read in parts of its index.
+PART_BYTES = 8 << 20
+MOST_PARTITIONS = 100_000
 READ_BYTES = 4 << 20
 DATE = "2000-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -143,15 +146,16 @@ def data_place(file, header: int) -> int:
     return header + 30 + n_name + n_extra
 
 
-def records(uri: str):
-    """All records of a package, by its index; neighbouring ranges are read together, READ_BYTES at most."""
+def records(uri: str, lo_byte: int = 0, hi_byte: int | None = None):
+    """The records of a package, by its index, that begin from lo_byte to before hi_byte of the archive; neighbouring ranges are read
+    together, READ_BYTES at most."""
     system, path = fs.FileSystem.from_uri(uri)
     with system.open_input_file(path) as file:
         members = directory(file)
         base = data_place(file, members[DATA][0])
         at, size = members[INDEX]
         lines = [x.split(" ") for x in file.read_at(size, data_place(file, at)).decode().splitlines()]
-        ranges = [(int(x[1]), int(x[2])) for x in lines]
+        ranges = [(int(x[1]), int(x[2])) for x in lines if lo_byte <= int(x[1]) and (hi_byte is None or int(x[1]) < hi_byte)]
         k = 0
         while k < len(ranges):
             lo = ranges[k][0]
@@ -196,9 +200,9 @@ def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for uri in batch.column(0):
+            for uri, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
                 some, size = [], 0
-                for r in records(uri.as_py()):
+                for r in records(uri, lo, hi):
                     some.append(r)
                     size += len(r["payload"])
                     if size > READ_BYTES or len(some) >= 10_000:
@@ -208,7 +212,9 @@ def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{k: x[k] for k in names} for x in some], pa.schema([(k, kinds[k]) for k in names]))
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return manifest.select("package").repartition("package").mapInArrow(read, schema)
+    parts = F.sequence(F.lit(0), F.floor((F.greatest("bytes", F.lit(1)) - 1) / PART_BYTES))
+    ranges = manifest.select("package", F.explode(parts).alias("part")).select("package", (F.col("part") * PART_BYTES).alias("lo"), ((F.col("part") + 1) * PART_BYTES).alias("hi"))
+    return ranges.repartition(max(1, min(ranges.count(), MOST_PARTITIONS))).mapInArrow(read, schema)
 
 
 def query(spark, sf_dir):
