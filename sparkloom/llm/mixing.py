@@ -2,16 +2,19 @@
 
 A source's documents are dealt into blocks by a keyed hash; a block is read in the order of another hash. The mix takes
 whole passes over a source and then, for the rest of its quota, its first blocks in permuted order, the last one cut within.
-The tree splits the drawn blocks of all sources among the output shards: a node halves its shards and draws, without
-replacement, how many blocks of each source go left; a leaf's blocks are disjoint, and its rows are ordered by hash.
+What the mix takes of a block in one pass is a drawn block. The tree splits the drawn blocks of all sources among the output shards:
+a node halves its shards and draws, without replacement, how many drawn blocks of each source go left, so that shards differ by one
+block at most. A leaf's blocks are disjoint, and its rows are ordered by hash.
 
 Cases: a null text has size 0; null is a source of its own, the last; empty documents are taken whole passes only; rows that
-repeat a doc_id are separate rows that are taken alike; an empty table gives an empty result; further columns are kept by
-`mixed` and ignored by `mix`.
+repeat a doc_id are separate rows that are taken alike; null doc_ids are in one block; very long texts are taken whole; an empty table
+gives an empty result; further columns are kept by `mixed` and ignored by `mix`.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,8 +56,19 @@ def _key(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def draw(sizes: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents with block, order, passes and taken; drawn blocks with source_key and place)."""
+def before(rows: DataFrame, amount: str, name: str, tie: tuple) -> DataFrame:
+    """Adds the sum of `amount` over the source's rows that come earlier by place (60 bits, spread evenly), then tie. Sums of 1024 bins
+    of places come first, so that no task has all rows of a source."""
+    rows = rows.withColumn("_bin", F.shiftright("place", 50))
+    bins = rows.groupBy("source_key", "_bin").agg(F.sum(amount).alias("_sum"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy("source_key").orderBy("_bin"))), F.lit(0))).drop("_sum")
+    own = F.sum(amount).over(earlier(Window.partitionBy("source_key", "_bin").orderBy("place", *tie)))
+    return rows.join(bins, ["source_key", "_bin"]).withColumn(name, F.col("_base") + F.coalesce(own, F.lit(0))).drop("_bin", "_base")
+
+
+def draw(sizes: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, seed: int = SEED) -> DataFrame:
+    """The documents with block, order, passes, extra (whether taken once more) and taken."""
     goal = targets(sizes).withColumn("n_blocks", F.ceil(F.col("n_docs") / docs_per_block)).withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
     rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -63,9 +77,8 @@ def draw(sizes: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, seed: int = SEE
     rows = rows.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     blocks = rows.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"), F.min("rest").alias("rest"))
     place = _key(F.lit(f"{seed}p"), F.col("source_key").cast("string"), F.col("block").cast("string"))
-    order = Window.partitionBy("source_key").orderBy("place", "block")
-    blocks = blocks.withColumn("place", place).withColumn("before", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce("before", F.lit(0))).select("source_key", "block", "left", "block_size")
+    blocks = before(stored(blocks.withColumn("place", place)), "block_size", "before", ("block",))
+    blocks = blocks.withColumn("left", F.col("rest") - F.col("before")).select("source_key", "block", "left", "block_size")
     rows = rows.join(blocks, ["source_key", "block"])
     within = Window.partitionBy("source_key", "block").orderBy("ord", "doc_id")
     whole = F.col("left") >= F.col("block_size")
@@ -75,8 +88,7 @@ def draw(sizes: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, seed: int = SEE
     extra = (whole | ((F.col("left") > 0) & (upto + F.col("size") / 2 <= F.col("left")))) & (F.col("size") > 0)
     rows = rows.withColumn("extra", extra)
     rows = rows.withColumn("copies", F.least(F.col("passes") + F.col("extra").cast("long"), F.lit(MAX_PASSES))).withColumn("taken", F.col("copies") * F.col("size"))
-    drawn = blocks.withColumn("drawn", (F.col("left") > 0).cast("long"))
-    return rows, drawn
+    return rows
 
 
 def split(counts: dict, shards: int, seed: int = SEED) -> dict:
@@ -100,40 +112,46 @@ def split(counts: dict, shards: int, seed: int = SEED) -> dict:
     return out
 
 
-def shards_of(blocks: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """source_key, block, shard. The driver sees one count a source; the leaves' quotas go back as rows and meet the permuted
-    blocks by their rank within the source."""
-    spark = blocks.sparkSession
-    counts = {r["source_key"]: r["n"] for r in blocks.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).collect()}
+def shards_of(drawn: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """source_key, block, pass, shard of the drawn blocks. The driver sees one count a source; the leaves' quotas go back as rows and
+    meet the permuted blocks by their rank within the source."""
+    spark = drawn.sparkSession
+    counts = {r["source_key"]: r["n"] for r in drawn.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).collect()}
     tree = split(counts, shards, seed) if counts else {}
-    quotas = [(k, s, n) for s, by in tree.items() for k, n in by.items() if n]
-    quota = spark.createDataFrame(pd.DataFrame(quotas, columns=["source_key", "shard", "n"]), "source_key long, shard int, n long")
-    upto = F.sum("n").over(Window.partitionBy("source_key").orderBy("shard"))
-    quota = quota.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n"))
-    place = _key(F.lit(f"{seed}s"), F.col("source_key").cast("string"), F.col("block").cast("string"))
-    ranked = blocks.withColumn("r", F.row_number().over(Window.partitionBy("source_key").orderBy(place, "block")) - 1)
+    quotas, upto = [], Counter()
+    for shard in sorted(tree):
+        for key, n in tree[shard].items():
+            if n:
+                quotas.append((key, shard, upto[key], upto[key] + n))
+                upto[key] += n
+    quota = spark.createDataFrame(pd.DataFrame(quotas, columns=["source_key", "shard", "lo", "hi"]), "source_key long, shard int, lo long, hi long")
+    place = _key(F.lit(f"{seed}s"), F.col("source_key").cast("string"), F.col("block").cast("string"), F.col("pass").cast("string"))
+    ranked = before(stored(drawn.withColumn("place", place).withColumn("_one", F.lit(1))), "_one", "r", ("block", "pass"))
     dealt = ranked.join(quota, "source_key").filter((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-    return dealt.select("source_key", "block", "shard")
+    return dealt.select("source_key", "block", "pass", "shard")
 
 
 def mix(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, shard for every document (copies 0: not in the mix)."""
+    """doc_id, source, size, source_size, target, copies, taken, shards (each copy's; empty: not in the mix) and ord of every document."""
     sizes = stored(docs.select("doc_id", "source", n_words_of(text_of()).alias("size")))
-    rows, _ = draw(sizes, docs_per_block, seed)
-    rows = stored(rows.select("doc_id", "source", "source_key", "block", "size", "source_size", "target", "ord", "copies", "taken"))
-    dealt = shards_of(rows.select("source_key", "block").distinct(), shards, seed)
-    return rows.join(dealt, ["source_key", "block"]).select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "shard", "ord")
+    rows = stored(draw(sizes, docs_per_block, seed).select("doc_id", "source", "source_key", "block", "size", "source_size", "target", "ord", "copies", "taken"))
+    drawn = rows.groupBy("source_key", "block").agg(F.max("copies").alias("n")).filter("n > 0")
+    drawn = drawn.select("source_key", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("pass"))
+    dealt = shards_of(drawn, shards, seed).groupBy("source_key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("passes"))
+    rows = rows.join(dealt, ["source_key", "block"], "left")
+    own = F.coalesce(F.slice(F.transform("passes", lambda x: x["shard"]), F.lit(1), F.col("copies").cast("int")), F.array().cast("array<int>"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", own.alias("shards"), "ord")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents' rows, each as often as it is taken, shuffled within their shard. The shards' rows lie
     together, in the order of a hash of the document and the copy."""
-    plan = mix(docs, **options).filter(F.col("copies") > 0).select("doc_id", "copies", "shard", "ord").dropDuplicates(["doc_id"])
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    rows = rows.withColumn("at", F.xxhash64("ord", "copy"))
-    return rows.repartition("shard", F.pmod("at", F.lit(64))).sortWithinPartitions("shard", "at").select(*docs.columns)
+    plan = mix(docs, **options).filter(F.col("copies") > 0).select(F.col("doc_id").alias("_of"), F.col("shards").alias("_shards"), F.col("ord").alias("_ord"))
+    rows = docs.join(plan.dropDuplicates(["_of"]), F.col("doc_id").eqNullSafe(F.col("_of")))
+    rows = rows.select(*docs.columns, "_ord", F.posexplode("_shards").alias("_copy", "_shard"))
+    rows = rows.withColumn("_at", F.xxhash64("_ord", "_copy"))
+    return rows.repartition("_shard", F.pmod("_at", F.lit(64))).sortWithinPartitions("_shard", "_at").select(*docs.columns)
 
 
 def query(spark, sf_dir):
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "shard")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join("shards", ",").alias("shards"))
