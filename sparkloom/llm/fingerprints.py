@@ -1,27 +1,29 @@
 """Document fingerprints from prefix polynomial hashes.
 
-H[i] = sum of c[j] * B**j over j < i, modulo two primes: two spans are equal if their differences of H, shifted to one
-place, are. The fingerprint of a text keeps its length, its whole hash, H at the multiples of a step (a power of two, GRID places
-at most) from the front and from the back, and the SKETCH smallest hashes of its SPAN-character spans. Of two fingerprints, the
-longest common extension from the front, and from the back, is found by binary search over the common grid; with the sketches'
-share of common spans that gives a likeness from 0 to 1: 1 for equal fingerprints only.
+H[i] = sum of c[j] * B**j over j < i, modulo two primes: two spans are equal if their differences of H, moved to one place, are.
+The fingerprint of a text keeps its length, its whole hash, H at the multiples of a step (a power of two, GRID places at most) from
+the front and from the back, and the SKETCH smallest hashes of its SPAN-character spans. Where both texts lie in a task, their
+likeness comes from the H themselves: the longest common extensions from the front and from the back, by binary search, and the
+sketches' share of common spans (for text that moved) give a number from 0 to 1: 1 for equal texts only. `likeness` does the same
+for two stored fingerprints, on their common grid.
 
-Neighbours are those of ascending doc_id, the last one's being the first. Documents are dealt by range; the first document of
-each range also goes to the range before, so that texts move once and no task sees all.
+Neighbours are those of ascending doc_id, the last one's being the first. Documents are dealt by range, a range a task; the first
+document of each range also goes to the range before, so that texts move once and no task sees all. A doc_id with many rows is cut
+into ranges by its texts' hashes.
 
 Cases: a null text is the empty text; all empty texts have one fingerprint; a null doc_id comes first; rows that repeat a doc_id
-follow each other in the order of their texts; a lone document is its own neighbour; empty table, empty result; further columns
-are ignored.
+follow each other in the order of their texts' hashes; a lone document is its own neighbour; very long texts are taken whole; empty
+table, empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._base import documents, text_of
@@ -31,6 +33,8 @@ BASES = (1_000_003, 69_621)
 GRID = 64
 SPAN = 24
 SKETCH = 32
+MOST_RANGES = 100_000
+LEAST = -(2**63)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -58,43 +62,60 @@ def prefix_hashes(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(h: np.ndarray, starts, ends) -> np.ndarray:
-    """One 62-bit number a span, moved to a common place: (H[e] - H[s]) * B**(n - s)."""
-    n = h.shape[1]
-    parts = [(h[k, ends] - h[k, starts]) % p * powers(n, k)[n - 1 - np.asarray(starts)] % p for k, p in enumerate(PRIMES)]
-    return (parts[0] << 31) | parts[1]
+def same_span(a: np.ndarray, b: np.ndarray, i: int, j: int, length: int) -> bool:
+    """Whether the spans of this length from place i of one text and j of another are equal, by their H."""
+    return all(
+        (int(a[k, i + length]) - int(a[k, i])) * int(powers(j + 1, k)[j]) % p == (int(b[k, j + length]) - int(b[k, j])) * int(powers(i + 1, k)[i]) % p
+        for k, p in enumerate(PRIMES)
+    )
 
 
-def longest_common_extension(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """Length of the longest common span from place i of one text and j of another, by binary search over their H."""
-    lo, hi = 0, min(a.shape[1] - 1 - i, b.shape[1] - 1 - j)
+def longest_common_extension(a: np.ndarray, b: np.ndarray, i: int, j: int, back: bool = False) -> int:
+    """Length of the longest common span from (back: up to) place i of one text and j of another, by binary search over their H."""
+    lo, hi = 0, min(i, j) if back else min(a.shape[1] - 1 - i, b.shape[1] - 1 - j)
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        same = all(
-            (a[k, i + mid] - a[k, i]) * int(powers(j + 1, k)[j]) % p == (b[k, j + mid] - b[k, j]) * int(powers(i + 1, k)[i]) % p
-            for k, p in enumerate(PRIMES)
-        )
-        lo, hi = (mid, hi) if same else (lo, mid - 1)
+        lo, hi = (mid, hi) if same_span(a, b, i - mid * back, j - mid * back, mid) else (lo, mid - 1)
     return lo
 
 
-def fingerprint(text: str) -> str:
-    """length:whole hash:step:front grid:back grid:sketch, in hexadecimal; the lists' items have 16, 16 and 8 digits."""
-    points = code_points(text)
-    n = len(points)
-    h = prefix_hashes(points)
-    step = 1
-    while n // step > GRID:
-        step *= 2
-    inner = np.arange(step, n + 1, step)
-    front = (h[0, inner] << 31) | h[1, inner]
-    # the whole text's H minus the prefix's, moved to the text's end: suffixes of equal texts of any place agree
-    back = suffix_hashes(h, inner)
-    spans = span_of_length(h, min(SPAN, n)) if n else np.zeros(0, np.int64)
-    sketch = least(_spread(spans), SKETCH)
-    whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
-    listed = [part.astype(kind).tobytes().hex() for part, kind in ((front, ">u8"), (back, ">u8"), (sketch, ">u4"))]
-    return ":".join([format(n, "x"), whole, format(step, "x"), *listed])
+class Print:
+    """A text's H, sketch and fingerprint."""
+
+    def __init__(self, text: str):
+        self.h = prefix_hashes(code_points(text))
+        self.n = self.h.shape[1] - 1
+        spans = span_of_length(self.h, min(SPAN, self.n)) if self.n else np.zeros(0, np.int64)
+        self.sketch = least(_spread(spans), SKETCH)
+
+    def text(self) -> str:
+        """length:whole hash:step:front grid:back grid:sketch, in hexadecimal; the lists' items have 16, 16 and 8 digits."""
+        h, n, step = self.h, self.n, 1
+        while n // step > GRID:
+            step *= 2
+        inner = np.arange(step, n + 1, step)
+        front = (h[0, inner] << 31) | h[1, inner]
+        whole = (int(h[0, n]) << 31) | int(h[1, n])
+        listed = [part.astype(kind).tobytes().hex() for part, kind in ((front, ">u8"), (suffix_hashes(h, inner), ">u8"), (self.sketch, ">u4"))]
+        return ":".join([format(n, "x"), format(whole, "016x"), format(step, "x"), *listed])
+
+    def like(self, other: Print) -> float:
+        """0 to 1; 1 for equal texts only."""
+        n, m = self.n, other.n
+        if n == m and (n == 0 or (self.h[:, n] == other.h[:, m]).all()):
+            return 1.0
+        if not n or not m:
+            return 0.0
+        front = longest_common_extension(self.h, other.h, 0, 0)
+        back = longest_common_extension(self.h, other.h, n, m, back=True)
+        return _likeness(min(front + back, n, m) / max(n, m), self.sketch, other.sketch)
+
+
+def _likeness(extended: float, x, y) -> float:
+    x, y = set(x), set(y)
+    smallest = sorted(x | y)[:SKETCH]
+    spans = sum(v in x and v in y for v in smallest) / max(1, len(smallest))
+    return min(max(extended, spans), 1 - 1e-9)
 
 
 def suffix_hashes(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -157,11 +178,7 @@ def likeness(one: str, other: str) -> float:
             lo, hi = (mid, hi) if x[mid - 1] == y[mid - 1] else (lo, mid - 1)
         return lo * step
 
-    extended = min(common(0) + common(1), n, m) / max(n, m)
-    x, y = set(lists[0][2]), set(lists[1][2])
-    smallest = sorted(x | y)[:SKETCH]
-    spans = sum(v in x and v in y for v in smallest) / max(1, len(smallest))
-    return min(max(extended, spans), 1 - 1e-9)
+    return _likeness(min(common(0) + common(1), n, m) / max(n, m), lists[0][2], lists[1][2])
 
 
 def edited(text: str, following: str) -> str:
@@ -170,31 +187,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
+def range_bounds(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """At most n - 1 places (key, h) that cut the rows into ranges: quantiles of key, and equal parts of the hashes h for a key that
+    has several of them."""
+    if n < 2:
+        return []
+    found = Counter(int(b) for b in rows.stat.approxQuantile("key", [k / n for k in range(1, n)], min(0.01, 0.1 / n)))
+    return sorted((key, LEAST + (2**64 // times) * k) for key, times in found.items() for k in range(times))
+
+
+def range_of(bounds: list[tuple[int, int]]) -> Column:
+    """The number of bounds at or below (key, h); two levels, so that a row meets about 2 * sqrt(n) bounds."""
+    if not bounds:
+        return F.lit(0)
+    here = F.struct(F.col("key"), F.col("h"))
+    bound = lambda b: F.struct(F.lit(b[0]).cast("long").alias("key"), F.lit(b[1]).cast("long").alias("h"))
+    at_or_below = lambda limits: F.size(F.filter(limits, lambda b: b <= here))
+    width = math.isqrt(len(bounds)) + 1
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    group = at_or_below(F.array(*(bound(g[0]) for g in groups)))
+    inner = F.get(F.array(*(F.array(*map(bound, g)) for g in groups)), group - 1)
+    return F.when(group == 0, 0).otherwise((group - 1) * width + at_or_below(inner))
+
+
 def with_next(docs: DataFrame, run, schema: str, per_range: int = 4000) -> DataFrame:
-    """run(pairs of Arrow rows) over each document and its neighbour; see above. Bounds come from quantiles of doc_id, and the
-    first id of each range, at most one a range, goes to all tasks."""
+    """run(Arrow rows doc_id, text, range, halo) over each range's documents and the first of the range after it (halo 1). The bounds
+    and the first row of each range are gathered, at most MOST_RANGES; beyond, ranges are larger."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    total = rows.count()
-    n = max(1, min(total // per_range + 1, 100_000))
-    bounds = rows.stat.approxQuantile("key", [k / n for k in range(1, n)], min(0.01, 0.1 / n)) if n > 1 and total else []
-    bounds = sorted({int(b) for b in bounds})
-    bucket = F.lit(0)
-    if bounds:  # two levels, so that a row meets about 2 * sqrt(n) bounds
-        width = math.isqrt(len(bounds)) + 1
-        groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-        at_or_below = lambda limits: F.size(F.filter(limits, lambda b: b <= F.col("key")))
-        group = at_or_below(F.array(*(F.lit(g[0]) for g in groups)))
-        inner = F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group - 1)
-        bucket = F.when(group == 0, 0).otherwise((group - 1) * width + at_or_below(inner))
-    firsts = rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()
-    halo = [(f["key"], firsts[k - 1]["bucket"], k == 0) for k, f in enumerate(firsts)]
-    dealt = rows.withColumn("bucket", bucket).withColumn("halo", F.lit(0))
-    if halo:
-        extra = spark.createDataFrame(halo, "key long, bucket int, wraps boolean")
-        copies = rows.join(F.broadcast(extra), "key").select("doc_id", "text", "key", "bucket", F.lit(1).alias("halo"))
-        dealt = dealt.select("doc_id", "text", "key", "bucket", "halo").unionByName(copies)
-    return dealt.repartition(max(1, len(halo)), "bucket").sortWithinPartitions("bucket", "halo", "key", "text").select("doc_id", "text", "bucket", "halo").mapInArrow(run, schema)
+    rows = docs.select("doc_id", text_of().alias("text"), F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("key"), F.xxhash64(text_of()).alias("h"))
+    rows = rows.withColumn("range", range_of(range_bounds(rows, min(rows.count() // per_range + 1, MOST_RANGES))))
+    firsts = rows.groupBy("range").agg(F.min(F.struct("key", "h")).alias("first")).orderBy("range").collect()
+    n = max([0, *(f["range"] for f in firsts)]) + 1
+    if firsts:
+        before = [(f["first"]["key"], f["first"]["h"], firsts[k - 1]["range"]) for k, f in enumerate(firsts)]
+        extra = spark.createDataFrame(before, "key long, h long, to int")
+        copies = rows.join(F.broadcast(extra), ["key", "h"]).select("doc_id", "text", "key", "h", F.col("to").alias("range"), F.lit(1).alias("halo"))
+        rows = rows.withColumn("halo", F.lit(0)).unionByName(copies)
+    else:
+        rows = rows.withColumn("halo", F.lit(0))
+    return rows.repartitionById(n, "range").sortWithinPartitions("range", "halo", "key", "h").select("doc_id", "text", "range", "halo").mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -217,11 +248,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text, bucket, halo in zip(*batch.columns):
                 doc_id, text, bucket, halo = doc_id.as_py(), text.as_py(), bucket.as_py(), halo.as_py()
-                print_ = fingerprint(text)
+                print_ = Print(text)
                 if held is not None and held[2] == bucket and not held[3]:
                     new = edited(held[1], text)
-                    new_print = held[4] if new == held[1] else fingerprint(new)
-                    made.append((held[0], len(held[1]), new, held[4], new_print, likeness(held[4], new_print), likeness(held[4], print_)))
+                    new_print = held[4] if new == held[1] else Print(new)
+                    made.append((held[0], len(held[1]), new, held[4].text(), new_print.text(), held[4].like(new_print), held[4].like(print_)))
                 held = (doc_id, text, bucket, halo, print_)
                 if len(made) >= 256:
                     yield done()

@@ -86,19 +86,66 @@ def test_suffix_dedup_of_equal_ids_with_different_texts(spark, held_runs):
         assert (by[len(twice)], by[len(shares)]) in pairs and sum(gone for _, _, gone in got[doc]) == 300
 
 
+@pytest.mark.parametrize("held_runs", [20_000, 2])
+def test_suffix_dedup_of_repeated_rows(spark, docs, corpus, held_runs):
+    """Each row twice: the same result as for one of each, twice."""
+    once = suffix_dedup.suffix_dedup(docs, held_runs=held_runs).collect()
+    twice = suffix_dedup.suffix_dedup(docs.unionByName(docs), held_runs=held_runs).collect()
+    assert Counter(map(str, twice)) == Counter({k: 2 * n for k, n in Counter(map(str, once)).items()})
+    a, b, shared = (hashlib.sha256(x).hexdigest() * k for x, k in ((b"a", 3), (b"b", 3), (b"c", 2)))
+    df = spark.createDataFrame([(1, a + shared), (1, a + shared), (2, b + shared)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(df, held_runs=held_runs).collect())
+    alone = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df.distinct(), held_runs=held_runs).collect()}
+    assert got == [(1, alone[1]), (1, alone[1]), (2, alone[2])] and alone[2] >= 128
+
+
+def brute_like(a, b):
+    """Common characters at both ends, and the share of common spans."""
+    if a == b:
+        return 1.0
+    front = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    back = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return min(front + back, len(a), len(b)) / max(1, len(a), len(b))
+
+
 def test_fingerprints(docs, corpus):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    prints = defaultdict(set)
     for k, (doc, text, *_) in enumerate(corpus):
         text, after = text or "", corpus[(k + 1) % len(corpus)][1] or ""
         q = len(text) // 4
         new = text[: len(text) - q] + after[:q] if q else text
         r = got[doc]
-        assert (r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint) == (len(text), new, fingerprints.fingerprint(text), fingerprints.fingerprint(new))
-        assert 0 <= r.near_next <= 1 and (r.near_edited >= 0.5 or len(text) < 8)
-    assert got[0].fingerprint == got[12].fingerprint != got[1].fingerprint
-    a, b = (fingerprints.prefix_hashes(fingerprints.code_points(t)) for t in ("xxhello world", "hello wonder"))
-    assert fingerprints.longest_common_extension(a, b, 2, 0) == 8
+        assert (r.n_chars, r.edited) == (len(text), new)
+        prints[text].add(r.fingerprint)
+        prints[new].add(r.edited_fingerprint)
+        for near, other in ((r.near_edited, new), (r.near_next, after)):
+            ends = brute_like(text, other)
+            a, b = ({t[i : i + 24] for i in range(len(t) - 23)} for t in (text, other))
+            assert near == 1 if text == other else ends - 1e-6 <= near < 1
+            assert abs(near - ends) < 1e-6 or abs(near - len(a & b) / max(1, len(a | b))) < 0.35
+    assert all(len(p) == 1 for p in prints.values()) and len({p for x in prints.values() for p in x}) == len(prints)
+    a, b, c = (fingerprints.Print(t) for t in ("xxhello world", "hello wonder", "say hello world"))
+    assert fingerprints.longest_common_extension(a.h, b.h, 2, 0) == 8
+    assert fingerprints.longest_common_extension(a.h, c.h, a.n, c.n, back=True) == 11
     assert fingerprints.likeness(got[3].fingerprint, got[15].fingerprint) > 0.8 > 0.2 > fingerprints.likeness(got[3].fingerprint, got[9].fingerprint)
+    assert all(abs(fingerprints.likeness(r.fingerprint, r.edited_fingerprint) - r.near_edited) < 0.1 for r in got.values())
+
+
+def test_fingerprints_over_many_ranges(spark):
+    """Ranges cut within a doc_id that has many rows; the neighbours are those of the whole order."""
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k * k} " * (k % 7 + 1)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = fingerprints.with_next(df, lambda it: it, "doc_id long, text string, range int, halo int", per_range=10).collect()
+    ranges = defaultdict(list)
+    for r in keys:
+        ranges[r.range].append(r)
+    assert len(ranges) > 8 and sum(r.halo == 0 for r in keys) == 120 and max(map(len, ranges.values())) < 40
+    order = [(r.doc_id, r.text) for k in sorted(ranges) for r in ranges[k] if not r.halo]
+    assert [d for d, _ in order] == sorted([d for d, _ in rows], key=lambda d: -1 if d is None else d)
+    ends = [[(r.doc_id, r.text) for r in ranges[k]][-1] for k in sorted(ranges)]
+    begins = [(ranges[k][0].doc_id, ranges[k][0].text) for k in sorted(ranges)]
+    assert ends == begins[1:] + begins[:1]
 
 
 def sets(corpus, n):
@@ -348,7 +395,32 @@ def test_splitting_tree_is_exact():
     counts = {1: 17, 2: 5, 3: 0, 4: 40}
     tree = mixing.split(counts, 7)
     assert {k: sum(t[k] for t in tree.values()) for k in counts} == counts
-    assert max(sum(t.values()) for t in tree.values()) - min(sum(t.values()) for t in tree.values()) <= 3
+    for shards in range(1, 40):
+        sums = [sum(t.values()) for t in mixing.split(counts, shards).values()]
+        assert len(sums) == shards and max(sums) - min(sums) <= 1
+
+
+def test_shards_hold_the_drawn_blocks(spark):
+    """Of every source that much goes to the shards as is taken, whole blocks of a pass to one shard, and shards differ by one block."""
+    rows = [(k, "one two three four", f"s{k % 3}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, docs_per_block=10, shards=8).collect()
+    assert all(len(r.shards) == r.copies for r in got)
+    words, total = Counter(), Counter()
+    for r in got:
+        for shard in r.shards:
+            words[shard, r.source] += r.size
+        total[r.source] += r.taken
+    assert all(sum(words[k, s] for k in range(8)) == n and abs(n - target) <= 4 for s, n, target in ((r.source, total[r.source], r.target) for r in got))
+    per_shard = [sum(words[k, s] for s in total) for k in range(8)]
+    # blocks hold about 10 documents of 4 words each
+    assert max(per_shard) - min(per_shard) <= 0.35 * max(per_shard)
+    drawn = spark.createDataFrame([(s, b, k) for s, n in ((1, 90), (2, 7), (3, 30)) for b in range(n) for k in range(1, 3)], "source_key long, block long, pass int")
+    dealt = mixing.shards_of(drawn, shards=8).collect()
+    per_shard = Counter(r.shard for r in dealt)
+    assert len({(r.source_key, r.block, r["pass"]) for r in dealt}) == len(dealt) == 254 and set(per_shard.values()) == {31, 32}
+    moved = Counter(r.source for r in mixing.mixed(df, docs_per_block=10, shards=8).collect())
+    assert all(moved[s] * 4 == total[s] for s in total)
 
 
 PAGES = "page_id long, url string, html string"
@@ -392,6 +464,20 @@ def test_warc(spark):
     assert warc_zip.read_packages(warc_zip.write_packages(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_warc_is_read_in_parts(spark, monkeypatch):
+    """Each record falls to one part of its package's index, also where a part has none; odd rows and clashing columns do no harm."""
+    import random
+
+    rng = random.Random(4)
+    pages = [(k, f"http://h/{k}", "".join(rng.choices("abcdefghij", k=k * 13 % 700))) for k in range(150)] + [(None, None, "x"), (5, "http://h/5", "twice"), (5, "http://h/5", "twice")]
+    df = spark.createDataFrame(pages, PAGES).selectExpr("*", "1 AS sha", "'a' AS first", "2 AS n", "3 AS package", "4 AS part", "5 AS bytes")
+    monkeypatch.setattr(warc_zip, "PART_BYTES", 3000)
+    manifest = warc_zip.write_packages(df.coalesce(1), package_bytes=20_000)
+    read = warc_zip.read_packages(manifest)
+    assert read.rdd.getNumPartitions() >= sum(r.bytes // 3000 for r in manifest.collect()) > 5
+    assert Counter(r.page_id for r in read.collect()) == Counter(p for p, *_ in pages)
+
+
 def test_zip_directories(tmp_path):
     """Packages that other writers made, with and without ZIP64 fields and a comment."""
     import zipfile
