@@ -32,7 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def small(df: DataFrame) -> DataFrame:

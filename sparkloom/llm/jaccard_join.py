@@ -14,10 +14,11 @@ The distance of two sets is 1 - |x & y| / |x | y|, a metric. Equal sets are one
    looked at. Pairs are narrowed by bounds that hold for every pair within r: sizes, places of the first common pivot, and the
    triangle inequality for BUCKETS further pivot sets that share out all shingles (the differences of the two points' intersections
    with them add up to the size of the symmetric difference at most). What is left is measured exactly.
-3. Recursion. Regions of one component are done. Small ones, and those where few points are outside the largest component, have
-   their pairs listed: those of points outside it with all points, within the windows of step 2. Others get further pivot documents
-   (of different components), all distances to them are measured, and each point goes to the region of the nearest and to those that
-   are farther by 2r at most (triangle inequality); pivots are done. A region that doesn't get smaller so has its pairs listed.
+3. Recursion. Regions of one component are done. Otherwise the region's points are counted by size and place, which tells how many
+   pairs with a point outside the largest component the bounds leave; where they are few (MOST a point), they are listed. Other regions
+   get further pivot documents (of different components), all distances to them are measured, and each point goes to the region of the
+   nearest and to those that are farther by 2r at most (triangle inequality); pivots are done. A region that doesn't get smaller so has
+   its pairs listed, within the window of the distances to its pivot.
 
 Links between points that are connected anyway are not all listed: the result is components, and these are exact.
 
@@ -139,8 +140,7 @@ def all_seen(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int
 
 
 def windows(seen: DataFrame, last: DataFrame, percent: int) -> DataFrame:
-    """s, p, n, slack, late: the window of each point. Two points whose first common pivot is s stand before it with shingles that
-    the other lacks, so they link only if their slacks add up to 0 or more."""
+    """s, p, n, slack, late: the window of each point."""
 
     def run(batches):
         for batch in batches:
@@ -174,19 +174,27 @@ def _joined_batches(run):
     return whole
 
 
+def may_link(x: str, y: str, percent: int) -> str:
+    """Whether points x and y (n, slack) of a region may link. Their first common pivot is the region's: what stands before it isn't
+    common, so that x has n - place common shingles at most, and slack = (100 - percent) * n - (100 + percent) * place bounds y's n."""
+    n = f"({y}.n - {x}.n)"
+    return f"{x}.slack >= {percent} * {n} AND {y}.slack >= -{percent} * {n} AND {percent} * greatest({x}.n, {y}.n) <= 100 * least({x}.n, {y}.n)"
+
+
 def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> DataFrame:
     """s, p, n, slack, pivot (p, n and slack) of the regions with several points that sizes and places allow to link."""
     rows = stored(windows(*all_seen(docs, points, n, percent, most), percent))
-    pivot = F.max(F.struct("slack", (-F.col("p")).alias("q"), "n"))
-    fits = F.col("slack") + F.col("pivot")["slack"] >= 0
+    pivot, least = F.max(F.struct("slack", (-F.col("p")).alias("q"), "n")), F.min("n")
+    fits = (F.col("slack") + F.col("pivot")["slack"] >= 0) & (F.col("slack") + percent * F.col("n") >= percent * F.col("least"))
     # at most MOST rows a shingle: counted where they meet, moved once
     own = Window.partitionBy("s")
-    few = rows.filter("NOT late").drop("late").repartition("s").withColumn("pivot", pivot.over(own)).filter(fits)
+    few = rows.filter("NOT late").drop("late").repartition("s").withColumn("pivot", pivot.over(own)).withColumn("least", least.over(own)).filter(fits)
     few = few.withColumn("k", F.count(F.lit(1)).over(own)).filter("k > 1").drop("k")
     # any number of rows: reduced before the shuffle, and a join that Spark splits when skewed
     many = rows.filter("late").drop("late")
-    many = many.join(many.groupBy("s").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "s").filter(fits)
-    return few.unionByName(many).withColumn("pivot", F.struct((-F.col("pivot")["q"]).alias("p"), F.col("pivot")["n"].alias("n"), F.col("pivot")["slack"].alias("slack")))
+    many = many.join(many.groupBy("s").agg(pivot.alias("pivot"), least.alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "s").filter(fits)
+    pivot = F.struct((-F.col("pivot")["q"]).alias("p"), F.col("pivot")["n"].alias("n"), F.col("pivot")["slack"].alias("slack"))
+    return few.unionByName(many).drop("least").withColumn("pivot", pivot)
 
 
 def narrowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -219,16 +227,22 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.drop("label").join(labels, "p", "left").withColumn("label", F.coalesce("label", "p"))
 
 
-def listed(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of points of different components of a region, one of them outside the largest (large: s, label)."""
+def open_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """s, n, slack, n2, slack2, inside2, pairs: by size and place, the points (rows: s, p, n, slack, inside) outside their region's largest
+    component and those that may link with them; pairs: how many such pairs there are at most."""
+    cells = stored(rows.groupBy("s", "inside", "n", "slack").agg(F.count(F.lit(1)).alias("c")))
+    x, y = cells.filter("NOT inside").alias("x"), cells.alias("y")
+    both = x.join(y, F.col("x.s") == F.col("y.s")).filter(may_link("x", "y", percent))
+    columns = ["x.s", "x.n", "x.slack", F.col("y.n").alias("n2"), F.col("y.slack").alias("slack2"), F.col("y.inside").alias("inside2"), (F.col("x.c") * F.col("y.c")).alias("pairs")]
+    return stored(both.select(*columns))
+
+
+def listed(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of these cells of points of different components (rows: s, p, n, slack, inside, label, d)."""
     r = 1 - percent / 100
-    outside = rows.join(large, ["s", "label"], "left_anti").alias("y")
-    all_ = rows.join(large.withColumn("inside", F.lit(True)), ["s", "label"], "left").alias("x")
-    pairs = all_.join(outside, F.col("x.s") == F.col("y.s")).filter(
-        f"x.label <> y.label AND (x.inside OR x.p > y.p) AND x.slack + y.slack >= 0 AND {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-        f" AND (x.d IS NULL OR y.d IS NULL OR abs(x.d - y.d) <= {r} + 1e-9)"
-    )
-    return pairs.select(*_pair("x.p", "y.p")).distinct()
+    x = rows.filter("NOT inside").join(cells.drop("pairs"), ["s", "n", "slack"]).select("s", F.col("n2").alias("n"), F.col("slack2").alias("slack"), F.col("inside2").alias("inside"), *(F.col(c).alias(f"{c}1") for c in ("p", "label", "d")))
+    pairs = x.join(rows, ["s", "n", "slack", "inside"]).filter("label <> label1 AND (inside OR p < p1)").filter(f"d IS NULL OR d1 IS NULL OR abs(d - d1) <= {r} + 1e-9")
+    return pairs.select(*_pair("p", "p1")).distinct()
 
 
 def split(rows: DataFrame, by_label: DataFrame, docs: DataFrame, points: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +269,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, most: int = MOST
     points = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select("p", "id", "key")
     points = stored(signed.select("id", "key", "n", "shares", "seen").join(points, ["id", "key"]).dropDuplicates(["id", "key"]))
     rows = stored(first_regions(docs, points, n, percent, most))
-    star = rows.filter(F.col("p") != F.col("pivot")["p"]).filter(f"{percent} * greatest(n, pivot.n) <= 100 * least(n, pivot.n)")
+    star = rows.withColumn("own", F.struct("n", "slack")).filter(F.col("p") != F.col("pivot")["p"]).filter(may_link("own", "pivot", percent))
     near = measured(docs, points, narrowed(star.select(*_pair("p", "pivot.p")).distinct(), points, percent), n, percent)
     labels = merged(None, near.filter("link").select("a", "b"))
     rows = rows.filter(F.col("p") != F.col("pivot")["p"]).drop("pivot").withColumn("d", F.lit(None).cast("double")).withColumn("was", F.lit(None).cast("long"))
@@ -263,22 +277,22 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, most: int = MOST
         rows = stored(labelled(rows, labels))
         by_label = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("slack", (-F.col("p")).alias("q"))).alias("top"), F.max("was").alias("was"))
         by_label = stored(by_label)
-        m, most_of = F.sum("c"), F.max(F.struct("c", "label"))
-        whole = by_label.groupBy("s").agg(m.alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), most_of.alias("large"), F.max("was").alias("was"), F.max("top").alias("top"))
-        whole = whole.filter("m > large.c").withColumn("cross", (F.col("m") * F.col("m") - F.col("squares")) / 2)
-        lists = (F.col("m") <= most) | (F.col("cross") <= most * F.col("m")) | (F.col("was").isNotNull() & (10 * F.col("m") > 9 * F.col("was")))
-        whole = stored(whole.select("s", "m", F.col("large")["label"].alias("label"), lists.alias("lists"), F.col("top")["slack"].alias("top")))
+        whole = by_label.groupBy("s").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("large"), F.max("was").alias("was")).filter("m > large.c")
+        whole = stored(whole.select("s", "m", F.col("large")["label"].alias("inner"), "was"))
         if whole.isEmpty():
             break
-        # what no partner's slack makes up for is done
-        open_ = rows.drop("was").join(whole.select("s", "lists", F.col("m").alias("was"), "top"), "s").filter("slack + top >= 0").drop("top")
-        pairs = listed(open_.filter("lists").drop("lists", "was"), whole.filter("lists").select("s", "label"), percent)
+        open_ = stored(rows.drop("was").join(whole.select("s", "inner"), "s").withColumn("inside", F.col("label") == F.col("inner")).drop("inner"))
+        cells = open_cells(open_, percent)
+        stalled = F.col("was").isNotNull() & (10 * F.col("m") > 9 * F.col("was"))
+        few = cells.groupBy("s").agg(F.sum("pairs").alias("pairs")).join(whole, "s").select("s", "m", ((F.col("pairs") <= most * F.col("m")) | stalled).alias("lists"))
+        few = stored(few)
+        pairs = listed(open_, cells.join(few.filter("lists").select("s"), "s"), percent)
         links = measured(docs, points, narrowed(pairs, points, percent), n, percent).filter("link").select("a", "b")
-        large = whole.filter("NOT lists").select("s")
+        large = few.filter("NOT lists")
         if large.isEmpty():
             labels = merged(labels, links)
             break
-        found, rows = split(open_.filter("NOT lists").drop("lists"), by_label.join(large, "s", "left_semi"), docs, points, n, percent)
+        found, rows = split(open_.drop("inside").join(large.select("s", F.col("m").alias("was")), "s"), by_label.join(large, "s", "left_semi"), docs, points, n, percent)
         labels = merged(labels, links.unionByName(found))
     return signed.select("doc_id", "id", "key", "n", "k1", "k2"), labelled(classes.drop("n"), labels)
 
