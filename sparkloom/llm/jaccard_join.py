@@ -182,17 +182,23 @@ def may_link(x: str, y: str, percent: int) -> str:
 
 
 def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    """s, p, n, slack, pivot (p, n and slack) of the regions with several points that sizes and places allow to link."""
+    """s, p, n, slack, pivot (p, n and slack), rest of the regions with several points that sizes and places allow to link. rest: whether that
+    holds between this point and one that isn't the pivot."""
     rows = stored(windows(*all_seen(docs, points, n, percent, most), percent))
     pivot, least = F.max(F.struct("slack", (-F.col("p")).alias("q"), "n")), F.min("n")
     fits = (F.col("slack") + F.col("pivot")["slack"] >= 0) & (F.col("slack") + percent * F.col("n") >= percent * F.col("least"))
     # at most MOST rows a shingle: counted where they meet, moved once
     own = Window.partitionBy("s")
     few = rows.filter("NOT late").drop("late").repartition("s").withColumn("pivot", pivot.over(own)).withColumn("least", least.over(own)).filter(fits)
-    few = few.withColumn("k", F.count(F.lit(1)).over(own)).filter("k > 1").drop("k")
+    few = few.withColumn("k", F.count(F.lit(1)).over(own)).filter("k > 1")
+    other = F.col("p") != -F.col("pivot")["q"]
+    few = few.withColumn("top", F.max(F.when(other, F.col("slack"))).over(own)).withColumn("least", F.min(F.when(other, F.col("n"))).over(own))
+    few = few.withColumn("rest", other & (F.col("slack") + F.col("top") >= 0) & (F.col("slack") + percent * F.col("n") >= percent * F.col("least")))
+    few = few.withColumn("rest", F.col("rest") & (F.count_if("rest").over(own) > 1)).drop("k", "top")
     # any number of rows: reduced before the shuffle, and a join that Spark splits when skewed
     many = rows.filter("late").drop("late")
     many = many.join(many.groupBy("s").agg(pivot.alias("pivot"), least.alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "s").filter(fits)
+    many = many.withColumn("rest", F.col("p") != -F.col("pivot")["q"])
     pivot = F.struct((-F.col("pivot")["q"]).alias("p"), F.col("pivot")["n"].alias("n"), F.col("pivot")["slack"].alias("slack"))
     return few.unionByName(many).drop("least").withColumn("pivot", pivot)
 
@@ -272,7 +278,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, most: int = MOST
     star = rows.withColumn("own", F.struct("n", "slack")).filter(F.col("p") != F.col("pivot")["p"]).filter(may_link("own", "pivot", percent))
     near = measured(docs, points, narrowed(star.select(*_pair("p", "pivot.p")).distinct(), points, percent), n, percent)
     labels = merged(None, near.filter("link").select("a", "b"))
-    rows = rows.filter(F.col("p") != F.col("pivot")["p"]).drop("pivot").withColumn("d", F.lit(None).cast("double")).withColumn("was", F.lit(None).cast("long"))
+    rows = rows.filter("rest").drop("pivot", "rest").withColumn("d", F.lit(None).cast("double")).withColumn("was", F.lit(None).cast("long"))
     while True:
         rows = stored(labelled(rows, labels))
         by_label = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("slack", (-F.col("p")).alias("q"))).alias("top"), F.max("was").alias("was"))
