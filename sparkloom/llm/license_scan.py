@@ -3,13 +3,16 @@
 A block is a run of consecutive words of the text, across lines, of at most the template's length / THRESHOLD words; a template is
 a notice; both are sets of words. A block matches if it holds THRESHOLD of a template's words (containment). The join is exact: the
 templates' words are ordered by the number of documents of the whole corpus that have them, rarest first; a text with a block that
-matches holds one of a template's first |T| - ceil(threshold * |T|) + 1 words (prefix filter), has ceil(threshold * |T|) words or
-more (length filter), and its first match among the ordered words leaves enough of them behind it (positional filter). In texts that
-pass, blocks slide over the places of the template's words; of blocks that overlap, the fullest and then first counts, and a span's
-line is that of its first word. The templates are a parameter, so each task holds them; texts are never shuffled.
+matches holds one of a template's first |T| - ceil(threshold * |T|) + 1 words (prefix filter: an inverted index from these words to
+templates, so that a text meets only those it shares one with), has ceil(threshold * |T|) words or more (length filter), and its first
+match among the ordered words leaves enough of them behind it (positional filter). In texts that pass, blocks slide over the places of
+the template's words; of blocks that overlap, the fullest and then first counts, and a span's line is that of its first word. The
+templates are a parameter, a dictionary or a table of at most MOST_TEMPLATES rows (label, text), so each task holds them; texts are
+never shuffled.
 
 Cases: a null text is the empty text (no words, places or labels); a phrase may cross lines and any separators; ties and repeated
-rows are each judged by themselves; an empty table gives an empty result; further columns are ignored.
+rows are each judged by themselves; very long texts take time in proportion to their length; a template without words matches nothing;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,6 +59,7 @@ TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
 }
 THRESHOLD = 0.9
+MOST_TEMPLATES = 5000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -77,28 +81,46 @@ def token_counts(docs: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def plan(templates: dict[str, str], counts: dict[bytes, int], threshold: float) -> list[tuple[str, list[bytes], int]]:
-    """(label, words in global order, least overlap) of each template."""
-    out = []
-    for label, text in sorted(templates.items()):
-        tokens = sorted(set(words_of(text.encode())), key=lambda w: (counts.get(w, 0), w))
-        out.append((label, tokens, math.ceil(threshold * len(tokens) - 1e-9)))
-    return out
-
-
-def matches(block: set[bytes], templates) -> list[tuple[str, float]]:
-    """Labels and containments of the templates that a block matches."""
-    found = []
-    for label, tokens, need in templates:
-        if len(block) < need:
-            continue
-        first = next((k for k, w in enumerate(tokens[: len(tokens) - need + 1]) if w in block), None)
-        if first is None or len(tokens) - first < need:
-            continue
-        common = sum(w in block for w in tokens[first:])
-        if common >= need:
-            found.append((label, common / len(tokens)))
-    return found
+def templates_of(given) -> dict[str, str]:
+    """Label to text, of a dictionary or a table (label, text); rows without a text are left out, a table over the bound is refused."""
+    if not isinstance(given, DataFrame):
+        return dict(TEMPLATES if given is None else given)
+    rows = given.select("label", "text").filter("label IS NOT NULL AND text IS NOT NULL").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return {r["label"]: r["text"] for r in rows}
+
+
+class Templates:
+    """(label, words in global order, least overlap) of each template, and the index of their prefixes."""
+
+    def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float):
+        self.all, self.widths = [], {}
+        for label, text in sorted(templates.items()):
+            words = words_of(text.encode())
+            tokens = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
+            if tokens:
+                self.all.append((label, tokens, math.ceil(threshold * len(tokens) - 1e-9)))
+                self.widths[label] = math.ceil(len(words) / threshold - 1e-9)
+        self.index: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (_, tokens, need) in enumerate(self.all):
+            for place, w in enumerate(tokens[: len(tokens) - need + 1]):
+                self.index.setdefault(w, []).append((k, place))
+
+    def matches(self, block: set[bytes]) -> list[tuple[str, float]]:
+        """Labels and containments of the templates that a block matches."""
+        first: dict[int, int] = {}
+        for w in self.index.keys() & block:
+            for k, place in self.index[w]:
+                first[k] = min(place, first.get(k, place))
+        found = []
+        for k in sorted(first):
+            label, tokens, need = self.all[k]
+            if len(block) >= need and len(tokens) - first[k] >= need:
+                common = sum(w in block for w in tokens[first[k] :])
+                if common >= need:
+                    found.append((label, common / len(tokens)))
+        return found
 
 
 def blocks(words: list[bytes], tokens: list[bytes], need: int, width: int) -> list[tuple[int, float]]:
@@ -126,19 +148,21 @@ def blocks(words: list[bytes], tokens: list[bytes], need: int, width: int) -> li
     return [(places[begin], n / len(of)) for n, begin, _ in found]
 
 
-def scan_text(text: bytes, phrases, templates, leading: set[bytes], widths: dict[str, int]) -> tuple:
+def scan_text(text: bytes, phrases, templates: Templates) -> tuple:
     """n_words, n_base, first, last, base labels, spans (label, line, containment)."""
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for pattern, label in phrases:
+        at = upto = 0  # a place and the words before it
         for m in pattern.finditer(joined):
-            places.append(joined.count(b" ", 0, m.start()))
+            upto, at = upto + joined.count(b" ", at, m.start()), m.start()
+            places.append(upto)
             base.add(label)
-    spans = []
-    if not leading.isdisjoint(words):
-        may = {label for label, _ in matches(set(words), templates)}
-        found = [(at, label, c) for label, tokens, need in templates if label in may for at, c in blocks(words, tokens, need, widths[label])]
+    spans, held = [], set(words)
+    may = {label for label, _ in templates.matches(held)}
+    if may:
+        found = [(at, label, c) for label, tokens, need in templates.all if label in may for at, c in blocks(words, tokens, need, templates.widths[label])]
         if found:
             upto = list(accumulate(len(words_of(line)) for line in text.split(b"\n")))
             spans = [(label, bisect_right(upto, at), c) for at, label, c in sorted(found)]
@@ -157,11 +181,9 @@ ARROW = [
 
 def license_scan(docs: DataFrame, phrases=None, templates=None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, counts and places of the phrases, base_labels, and the matching blocks as spans."""
-    templates = TEMPLATES if templates is None else templates
-    tokens = {w for t in templates.values() for w in words_of(t.encode())}
-    planned = plan(templates, token_counts(docs, tokens) if tokens else {}, threshold)
-    widths = {label: math.ceil(len(words_of(t.encode())) / threshold - 1e-9) for label, t in templates.items()}
-    leading = {w for _, t, need in planned for w in t[: len(t) - need + 1]}
+    given = templates_of(templates)
+    tokens = {w for t in given.values() for w in words_of(t.encode())}
+    planned = Templates(given, token_counts(docs, tokens) if tokens else {}, threshold)
     # a phrase's last space is looked at, not taken: the next place may begin there
     phrase_list = [(b" " + p.encode() + b"(?= )", label) for p, label in (PHRASES if phrases is None else phrases).items()]
     kind = dict(docs.dtypes)["doc_id"]
@@ -171,7 +193,7 @@ def license_scan(docs: DataFrame, phrases=None, templates=None, threshold: float
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows = [scan_text(t.as_py().encode(), compiled, planned, leading, widths) for t in batch.column(1)]
+                rows = [scan_text(t.as_py().encode(), compiled, planned) for t in batch.column(1)]
                 made = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(ARROW[:5])]
                 spans = [[{"label": s[0], "line": s[1], "containment": s[2]} for s in r[5]] for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(spans, ARROW[5][1])], ["doc_id", *(n for n, _ in ARROW)])
