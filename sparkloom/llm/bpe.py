@@ -25,11 +25,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm._base import documents, stored, text_of
+from sparkloom.llm._hashes import chunks
 
 LEXICON_WORDS = 50_000
 MIN_COUNT = 3
@@ -37,6 +39,9 @@ MIN_COUNT = 3
 CACHED = 200_000
 #: A space before anything but white space begins a new token of the pattern, whatever stands around it: texts are cut there.
 CUT = re.compile(r" (?=\S)")
+#: Where a space isn't followed by such, plain splitting at spaces would cut elsewhere.
+UNEVEN = re.compile(r" (?!\S)")
+RUN_CHARS = 4 << 20
 
 
 def default_path() -> str:
@@ -266,6 +271,27 @@ class Encoder:
             parts.append(np.fromiter(itertools.chain(self.words(first), itertools.chain.from_iterable(map(self.piece, rest))), np.int32))
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.int32)])
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, and where texts begin and end. Each distinct piece of the run is looked up once, and Arrow
+        puts the pieces' ids in place; texts with special tokens or uneven spaces are encoded by themselves."""
+        special = self.vocabulary.cut
+        even = [not (UNEVEN.search(t) or (special is not None and special.search(t))) for t in texts]
+        split = pc.split_pattern(pa.array([t if e else "" for t, e in zip(texts, even)], pa.string()), " ")
+        begins = split.offsets.to_numpy()[:-1]
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # a text's first piece has no space before it
+        codes[begins] = len(pieces) + np.arange(len(texts))
+        firsts = [self.words(t.split(" ", 1)[0]) if e else self.encode(t) for t, e in zip(texts, even)]
+        table = [*map(self.piece, pieces), *firsts]
+        sizes = np.fromiter(map(len, table), np.int32, len(table))
+        ids = np.fromiter(itertools.chain.from_iterable(table), np.int32, int(sizes.sum()))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
+        flat = lists.take(pa.array(codes)).flatten().to_numpy()
+        upto = np.concatenate(([0], np.cumsum(sizes[codes], dtype=np.int64)))
+        return flat, upto[np.concatenate((begins, [len(codes)]))].astype(np.int32)
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The texts of lists of ids that lie one after another; ends: where lists begin and end. Bytes that aren't UTF-8 are replaced."""
         found = self.strings.take(pa.array(ids))
@@ -339,11 +365,10 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: str | None = None,
     def run(batches):
         encoder = _encoder(path, lexicon)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            texts = whole.column(1).to_pylist()
+            for at, some in chunks(texts, RUN_CHARS):
+                batch = whole.slice(at, len(some))
+                flat, ends = encoder.encode_all(some)
                 columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
                     columns.append(encoder.decode(flat, ends))
