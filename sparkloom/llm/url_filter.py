@@ -1,12 +1,13 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for what no rule fits.
 
 The trees (Spark ML) are trained on URLs that rules have labelled: a sample of TRAIN_ROWS at most, the first by hash. Features:
-length, host and path depth, digit ratio, character entropy, number of parameters, and how often the host's suffixes were
-blocked in the sample (smoothed). Scoring is one pass over all URLs.
+length, host and path depth, digit ratio, character entropy, number of parameters, and how often the host's suffixes, and the last of
+them with the first part of the path, were blocked in the sample (smoothed). In training, these rates come from the other folds of hosts
+only, so that they don't tell a URL's own label. Scoring is one pass over all URLs.
 
 Cases: a null url, or one without ://, has empty host and path, fits no rule and is scored like any other; ties between rules of
 equal length go to the smaller rule; without labelled URLs of both kinds the verdict is the one kind there is, else allow; rows
-that repeat a page_id are judged each; an empty table gives an empty result; further columns are ignored.
+that repeat a page_id are judged each; very long urls are taken whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from sparkloom.llm._base import stored
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "host_depth", "path_depth", "digit_ratio", "entropy", "parameters", "suffix_rate", "domain_rate")
+FEATURES = ("length", "host_depth", "path_depth", "digit_ratio", "entropy", "parameters", "suffix_rate", "domain_rate", "section_rate")
+SUFFIXES = ("suffix", "domain", "section")
 
 
 def split_url(rows: DataFrame) -> DataFrame:
@@ -62,40 +65,59 @@ def lexical(rows: DataFrame) -> DataFrame:
         .withColumn("parameters", count(u, "&?"))
         .withColumn("suffix", F.substring_index("host", ".", -1))
         .withColumn("domain", F.substring_index("host", ".", -2))
+        .withColumn("section", F.concat_ws("/", "suffix", F.regexp_extract("path", "^/([^/]*)", 1)))
     )
 
 
-def _rates(sample: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked URLs by key; the sample bounds its rows."""
-    return sample.groupBy(key).agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias(f"{key}_rate"))
+def _rate(blocked: Column, count: Column) -> Column:
+    return (blocked + 1.0) / (count + 2.0)
+
+
+def _with_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+    for key, table in rates.items():  # at most TRAIN_ROWS rows each
+        on = [key, "fold"] if "fold" in table.columns else key
+        rows = rows.join(F.broadcast(table), on, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(0.5)))
+    return rows
+
+
+class Trees:
+    """Fitted on labelled URLs (url, host, path, label: 1.0 blocked), a bounded sample; None of a kind: a constant."""
+
+    def __init__(self, sample: DataFrame):
+        from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.feature import VectorAssembler
+
+        sample = stored(lexical(sample).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))))
+        kinds = {r["label"] for r in sample.select("label").distinct().collect()}
+        self.constant = None if len(kinds) == 2 else float(kinds == {1.0})
+        if self.constant is not None:
+            return
+        self.rates, others = {}, {}
+        for key in SUFFIXES:
+            by = sample.groupBy(key, "fold").agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("c"))
+            whole = by.groupBy(key).agg(F.sum("b").alias("b_all"), F.sum("c").alias("c_all"))
+            self.rates[key] = stored(whole.select(key, _rate(F.col("b_all"), F.col("c_all")).alias(f"{key}_rate")))
+            others[key] = by.join(whole, key).select(key, "fold", _rate(F.col("b_all") - F.col("b"), F.col("c_all") - F.col("c")).alias(f"{key}_rate"))
+        self.vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        train = self.vector.transform(_with_rates(sample.coalesce(2), others)).select("features", "label")
+        self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED).fit(train)
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Adds score (of being blocked) to rows with url, host and path."""
+        from pyspark.ml.functions import vector_to_array
+
+        if self.constant is not None:
+            return rows.withColumn("score", F.lit(self.constant))
+        return self.model.transform(self.vector.transform(_with_rates(lexical(rows), self.rates))).withColumn("score", vector_to_array("probability")[1])
 
 
 def url_filter(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, url, host, path, rule, score (of being blocked), verdict."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     rows = split_url(pages.select("page_id", "url")).withColumn("rule", rule_of(rules)).withColumn("ruled", verdict_of(rules))
     labelled = rows.filter(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = stored(lexical(labelled.orderBy(F.xxhash64("url"), "page_id").limit(train_rows)))
-    kinds = {r["label"] for r in sample.select("label").distinct().collect()}
-    if len(kinds) < 2:
-        verdict = "block" if kinds == {1.0} else "allow"
-        scored = rows.withColumn("score", F.lit(float(verdict == "block")))
-    else:
-        rates = {k: stored(_rates(sample, k)) for k in ("suffix", "domain")}
-
-        def featured(df: DataFrame) -> DataFrame:
-            for k, t in rates.items():  # at most train_rows rows each
-                df = df.join(F.broadcast(t), k, "left").withColumn(f"{k}_rate", F.coalesce(f"{k}_rate", F.lit(0.5)))
-            return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
-
-        train = featured(sample.coalesce(2)).select("features", "label")
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED).fit(train)
-        scored = model.transform(featured(lexical(rows))).withColumn("score", vector_to_array("probability")[1])
+    trees = Trees(labelled.orderBy(F.xxhash64("url"), "page_id").limit(train_rows))
     own = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return scored.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("ruled", own).alias("verdict"))
+    return trees.scored(rows).select("page_id", "url", "host", "path", "rule", "score", F.coalesce("ruled", own).alias("verdict"))
 
 
 def query(spark, sf_dir):
