@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.storage import dropped, scratch, small, stored  # noqa: F401
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,31 +15,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; where unset, as in tests, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors, gives the planner true sizes."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-BROADCAST_BYTES = 8 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A stored table for a join: sent to all tasks if its counted rows take BROADCAST_BYTES at most, else left to the planner (a shuffle)."""
-    width = 24 + sum(8 if f.dataType.typeName() in ("long", "integer", "double", "boolean") else 64 for f in df.schema)
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
-
-
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

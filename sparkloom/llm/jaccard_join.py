@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _hashes as H
-from sparkloom.llm._base import documents, small, stored, text_of
+from sparkloom.llm._base import documents, dropped, small, stored, text_of
 from sparkloom.llm.components import components, merged
 
 N = 3
@@ -116,27 +116,34 @@ def _each(seen: DataFrame) -> DataFrame:
     return seen.select("p", F.posexplode("seen").alias("place", "s"))
 
 
-def _counted(rows: DataFrame, most: int) -> DataFrame:
-    return rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > most).select("s")
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
 
 
 def all_seen(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(p, n, seen: the shingles that points look at; s: those of them that come last)."""
+    """(p, n, seen: the shingles that points look at; s: those of them that come last).
+
+    Of longer looks only what is new is counted, and added to the counts of two or more from the first; a shingle that these lack
+    counts as seen once before, which it may not have been: what comes last need only be the same for all."""
     seen = points.select("p", "n", "seen")
-    last = stored(_counted(_each(seen), most))
+    counts = stored(_counted(_each(seen)).filter("k > 1"))
+    last = stored(counts.filter(F.col("k") > most).select("s"))
     window = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     upto = F.when(2 * F.col("late") >= F.col("e"), F.col("n")).otherwise(F.least("n", window + 2 * F.col("late") + 4))
+    added = None
     while True:
         late = _each(seen).join(small(last), "s").groupBy("p").agg(F.count(F.lit(1)).alias("late"))
         short = seen.select("p", F.size("seen").cast("long").alias("e")).join(late, "p").join(points.select("p", "id", "key", "n"), "p")
-        short = stored(short.filter((F.col("e") - F.col("late") < window) & (F.col("e") < F.col("n"))).select("p", "id", "key", "n", upto.alias("upto")))
+        short = stored(short.filter((F.col("e") - F.col("late") < window) & (F.col("e") < F.col("n"))).select("p", "id", "key", "n", upto.alias("upto"), "e"))
         if short.isEmpty():
+            dropped(counts)
             return seen, last
-        more = stored(shingles_of(docs, short, n).dropDuplicates(["p"]))
+        more = stored(shingles_of(docs, short.drop("e"), n).dropDuplicates(["p"]))
         seen = seen.join(small(stored(short.select("p"))), "p", "left_anti").unionByName(more)
-        # only what the longer looks have met may be more than MOST now
-        fresh = stored(_each(more).select("s").distinct().join(small(last), "s", "left_anti"))
-        last = stored(last.unionByName(_counted(_each(seen).join(small(fresh), "s", "left_semi"), most)))
+        new = _counted(_each(more).join(small(short.select("p", "e")), "p").filter(F.col("place") >= F.col("e")))
+        added = stored(new if added is None else added.unionByName(new).groupBy("s").agg(F.sum("k").alias("k")))
+        total = added.join(counts.withColumnRenamed("k", "before"), "s", "left").filter(F.col("k") + F.coalesce("before", F.lit(1)) > most)
+        last = stored(last.unionByName(total.select("s")).distinct())
 
 
 def windows(seen: DataFrame, last: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +191,9 @@ def may_link(x: str, y: str, percent: int) -> str:
 def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most: int) -> DataFrame:
     """s, p, n, slack, pivot (p, n and slack), rest of the regions with several points that sizes and places allow to link. rest: whether that
     holds between this point and one that isn't the pivot."""
-    rows = stored(windows(*all_seen(docs, points, n, percent, most), percent))
+    seen, last = all_seen(docs, points, n, percent, most)
+    rows = stored(windows(seen, last, percent))
+    dropped(last)
     pivot, least = F.max(F.struct("slack", (-F.col("p")).alias("q"), "n")), F.min("n")
     fits = (F.col("slack") + F.col("pivot")["slack"] >= 0) & (F.col("slack") + percent * F.col("n") >= percent * F.col("least"))
     # at most MOST rows a shingle: counted where they meet, moved once
@@ -200,7 +209,9 @@ def first_regions(docs: DataFrame, points: DataFrame, n: int, percent: int, most
     many = many.join(many.groupBy("s").agg(pivot.alias("pivot"), least.alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "s").filter(fits)
     many = many.withColumn("rest", F.col("p") != -F.col("pivot")["q"])
     pivot = F.struct((-F.col("pivot")["q"]).alias("p"), F.col("pivot")["n"].alias("n"), F.col("pivot")["slack"].alias("slack"))
-    return few.unionByName(many).drop("least").withColumn("pivot", pivot)
+    regions = stored(few.unionByName(many).drop("least").withColumn("pivot", pivot))
+    dropped(rows)
+    return regions
 
 
 def narrowed(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -273,8 +284,12 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, most: int = MOST
     classes = stored(classes.select("k1", "k2", "n", "f.doc_id", "f.id", "f.key", F.monotonically_increasing_id().alias("p")))
     # a set so small that no other set is within r links with nothing
     points = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select("p", "id", "key")
-    points = stored(signed.select("id", "key", "n", "shares", "seen").join(points, ["id", "key"]).dropDuplicates(["id", "key"]))
-    rows = stored(first_regions(docs, points, n, percent, most))
+    looks = stored(signed.select("id", "key", "n", "shares", "seen").join(points, ["id", "key"]).dropDuplicates(["id", "key"]))
+    whole, signed = signed, stored(signed.select("doc_id", "id", "key", "n", "k1", "k2"))
+    dropped(whole)
+    rows = first_regions(docs, looks, n, percent, most)
+    points = stored(looks.drop("seen"))
+    dropped(looks)
     star = rows.withColumn("own", F.struct("n", "slack")).filter(F.col("p") != F.col("pivot")["p"]).filter(may_link("own", "pivot", percent))
     near = measured(docs, points, narrowed(star.select(*_pair("p", "pivot.p")).distinct(), points, percent), n, percent)
     labels = merged(None, near.filter("link").select("a", "b"))
@@ -300,7 +315,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT, most: int = MOST
             break
         found, rows = split(open_.drop("inside").join(large.select("s", F.col("m").alias("was")), "s"), by_label.join(large, "s", "left_semi"), docs, points, n, percent)
         labels = merged(labels, links.unionByName(found))
-    return signed.select("doc_id", "id", "key", "n", "k1", "k2"), labelled(classes.drop("n"), labels)
+    return signed, labelled(classes.drop("n"), labels)
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
