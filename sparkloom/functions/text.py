@@ -153,7 +153,9 @@ def salvaged_json(content: Column) -> Column:
     fenced = strip(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1))
     braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
     tidy = F.regexp_replace(braces, r",\s*([}\]])", "$1")
-    ok = lambda c: F.when(F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull(), c)
+    # the parser stops after a value; as the only item of an array nothing may follow it
+    listed = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    ok = lambda c: F.when(F.startswith(c, F.lit("{")) & F.try_parse_json(listed(c)).isNotNull() & (F.json_array_length(listed(c)) == 1), c)
     return F.coalesce(*map(ok, (t, fenced, braces, tidy)))
 
 

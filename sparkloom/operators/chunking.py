@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.text import NUMERAL
+from sparkloom.storage import stored
 
 # Fixed values.
 ENDERS = "。！？；;"
@@ -115,45 +118,96 @@ def document_key(path: Column) -> Column:
     return F.concat(F.lit("doc:"), F.replace(path, F.lit("\\"), F.lit("/")))
 
 
+#: White space as (?U)\s has it, for the same rules inside tasks.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_STRIP = re.compile(rf"^[{SPACES}]+|[{SPACES}]+$")
+_ARTICLE = re.compile(rf"[{SPACES}]*(第[{SPACES}]*[{NUMERAL}]*[{SPACES}]*条)[^\n\r\x85\u2028\u2029]*\Z")
+_CHAPTER = re.compile(rf"[{SPACES}]*第[{SPACES}]*[{NUMERAL}]*[{SPACES}]*[章节][^\n\r\x85\u2028\u2029]*\Z")
+_SENTENCE = re.compile(rf"[^{ENDERS}]*[{ENDERS}](?:[{SPACES}]*[{ENDERS}])*|[^{ENDERS}]+\Z")
+_BETWEEN = re.compile(rf"(?<=[{ENDERS}])[{SPACES}]+(?=[{ENDERS}])")
+
+
+def _clauses(lines: list[str]) -> Iterator[tuple[str, str]]:
+    """(section, text) as `clauses` has them, for one document."""
+    section, held = WHOLE, []
+    for raw in lines:
+        line = _STRIP.sub("", raw or "")
+        if not line or (len(line) <= 60 and _CHAPTER.match(line)):
+            continue
+        opens = _ARTICLE.match(line) if len(line) < 120 else None
+        if opens:
+            if held:
+                yield section, " ".join(held)
+            section, held = opens[1].strip(" "), []
+        held.append(line)
+    if held:
+        yield section, " ".join(held)
+
+
+def _pieces(text: str, size: int, overlap: int) -> list[str]:
+    """As `pieces` has them, for one text."""
+    if len(text) <= size:
+        return [text]
+    parts = (_BETWEEN.sub("", _STRIP.sub("", x)) for x in _SENTENCE.findall(text))
+    return list(packed([x for x in parts if x.strip(ENDERS)], size, overlap))
+
+
 def chunks(docs: DataFrame, chunk_size: int, overlap: int, child_window: int, key: str = "doc_id", path: str = "source_path") -> DataFrame:
-    """One row a child: parents partition a clause, children partition a parent with overlap. Ids depend on path, place and head."""
+    """One row a child: parents partition a clause, children partition a parent with overlap. Ids depend on path, place and head.
+
+    A document's row holds all its paragraphs: both levels are cut where it lies, in Arrow batches and without a shuffle."""
     if child_window > chunk_size:
         raise ValueError("child_window must not exceed chunk_size")
-    order = Window.partitionBy(key).orderBy("clause_no", "p")
-    found = clauses(docs, key).select(key, "clause_no", "section", F.posexplode(pieces(F.col("text"), chunk_size, 0)).alias("p", "parent"))
-    parents = found.withColumn("parent_index", F.row_number().over(order) - 1)
-    children = parents.select(key, "section", "parent", "parent_index", F.posexplode(pieces(F.col("parent"), child_window, overlap)).alias("c", "text"))
-    children = children.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("parent_index", "c")) - 1)
-    rows = children.join(docs.select(key, path), key)
+    if overlap >= child_window:
+        raise ValueError("overlap must be smaller than size")
+    names = ["_row", "section", "parent", "parent_index", "chunk_index", "text"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def cut(batches):
+        for whole in batches:
+            rows: list[tuple] = []
+            for at, lines in enumerate(whole.column(2)):
+                parents = ((section, p) for section, text in _clauses(lines.as_py() or []) for p in _pieces(text, chunk_size, 0))
+                children = ((section, p, k, c) for k, (section, p) in enumerate(parents) for c in _pieces(p, child_window, overlap))
+                rows += [(at, section, p, k, n, c) for n, (section, p, k, c) in enumerate(children)]
+                if len(rows) > 5000:
+                    yield made(whole, rows)
+                    rows = []
+            yield made(whole, rows)
+
+    def made(whole, rows):
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([whole.column(0).take(columns[0]), whole.column(1).take(columns[0]), *columns[1:]], ["_key", "_path", *names[1:]])
+
+    given = dict(docs.dtypes)
+    rows = docs.select(F.col(key).alias("_key"), F.col(path).alias("_path"), "paragraphs")
+    rows = rows.mapInArrow(cut, f"_key {given[key]}, _path {given[path]}, section string, parent string, parent_index int, chunk_index int, text string")
     return rows.select(
-        key,
-        chunk_id(F.col(path), F.col("chunk_index"), F.col("text")).alias("id"),
+        F.col("_key").alias(key),
+        chunk_id(F.col("_path"), F.col("chunk_index"), F.col("text")).alias("id"),
         "chunk_index",
         "section",
         "text",
-        chunk_id(F.col(path), F.concat(F.lit("p"), F.col("parent_index").cast("string")), F.lit("")).alias("parent_id"),
+        chunk_id(F.col("_path"), F.concat(F.lit("p"), F.col("parent_index").cast("string")), F.lit("")).alias("parent_id"),
         F.when(F.col("text") == F.col("parent"), "").otherwise(F.col("parent")).alias("parent_text"),
     )
 
 
 def successors(docs: DataFrame, order: str, key: str) -> DataFrame:
-    """key, next: each document and the one after it. Rows meet their successors by rank within ranges of the order column."""
+    """key, next: each document and the one after it. Rows meet their successors by rank."""
     ranked = ranks(docs.select(order, key), order)
     after = ranked.select((F.col("rank") - 1).alias("rank"), F.col(key).alias("next"))
     return ranked.select("rank", key).join(after, "rank").select(key, "next")
 
 
 def ranks(df: DataFrame, order: str) -> DataFrame:
-    """Adds rank (from 0) by a numeric order column without sorting all rows in one task: counts by bucket of the column, then
-    ranks within the bucket."""
-    bounds = df.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"), F.count(F.lit(1)).alias("n"))
-    rows = df.crossJoin(F.broadcast(bounds))
-    width = F.greatest((F.col("hi") - F.col("lo")) / F.greatest(F.floor(F.col("n") / 10_000), F.lit(1)), F.lit(1e-9))
-    rows = rows.withColumn("bucket", F.floor((F.col(order) - F.col("lo")) / width)).drop("lo", "hi", "n")
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("bucket").orderBy(order)) - 1
-    return rows.withColumn("inner", inner).join(before, "bucket").withColumn("rank", F.col("before") + F.col("inner")).drop("bucket", "inner", "before")
+    """Adds rank (from 0) by an order column without sorting all rows in one task: rows are dealt by ranges that Spark samples from the
+    column, whatever its distribution, and stored; counts of the ranges, then ranks within them."""
+    dealt = stored(df.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inner = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return dealt.withColumn("inner", inner).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("inner")).drop("range", "inner", "before")
 
 
 def batches(rows: DataFrame, key: str, order: str, text: str, section: str, most: int = 20, most_chars: int = 12_000) -> DataFrame:

@@ -5,6 +5,8 @@ Node and edge sets are plain tables; a hop is an equi-join. Orders of appearance
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,17 +81,15 @@ def references(clause_rows: DataFrame) -> DataFrame:
 
 
 def structure_stats(clause_rows: DataFrame) -> DataFrame:
-    """measure, n."""
-    c = cites(clause_rows)
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
-    parts = [
-        one(clause_rows, "clauses"), one(clause_rows.select("doc_id").distinct(), "documents"), one(c.filter("outcome = 'edge'"), "citations"), one(c.filter("outcome = 'edge' AND cross_doc"), "citations_cross_doc"),
-        one(c.filter("outcome = 'unknown_law'"), "unresolved_law"), one(c.filter("outcome = 'unknown_clause'"), "unresolved_clause"), one(implements(clause_rows), "implements"), one(references(clause_rows), "references"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """measure, n. Citations are counted once, by outcome, and clauses once, by document; the figures are sums of these counts."""
+    count, total = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+    outcomes = cites(clause_rows).groupBy("outcome", "cross_doc").agg(count)
+    documents = clause_rows.groupBy("doc_id").agg(count)
+    parts = {
+        "clauses": documents.agg(total), "documents": documents.agg(count), "citations": outcomes.filter("outcome = 'edge'").agg(total), "citations_cross_doc": outcomes.filter("outcome = 'edge' AND cross_doc").agg(total),
+        "unresolved_law": outcomes.filter("outcome = 'unknown_law'").agg(total), "unresolved_clause": outcomes.filter("outcome = 'unknown_clause'").agg(total), "implements": implements(clause_rows).agg(count), "references": references(clause_rows).agg(count),
+    }
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("measure"), "n") for name, df in parts.items()))
 
 
 def merged_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -168,27 +168,34 @@ def paths_up_to_two(edges: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def shared_entities(mentions: DataFrame, ends: DataFrame) -> DataFrame:
-    """left, right, shared: the most entities that a clause of one endpoint shares with one of another (ends: endpoint, clause_id)."""
+    """sample, left, right, shared: the most entities that a clause of one endpoint of a sample shares with one of another (ends: sample,
+    endpoint, clause_id)."""
     rows = ends.join(mentions.distinct(), "clause_id")
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, F.expr("x.entity_id = y.entity_id AND x.endpoint < y.endpoint"))
-    each = pairs.groupBy(F.col("x.endpoint").alias("left"), F.col("y.endpoint").alias("right"), F.col("x.clause_id").alias("c1"), F.col("y.clause_id").alias("c2")).agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("left", "right").agg(F.max("n").alias("shared"))
+    pairs = x.join(y, F.expr("x.sample = y.sample AND x.entity_id = y.entity_id AND x.endpoint < y.endpoint"))
+    keys = [F.col("x.sample").alias("sample"), F.col("x.endpoint").alias("left"), F.col("y.endpoint").alias("right")]
+    each = pairs.groupBy(*keys, F.col("x.clause_id").alias("c1"), F.col("y.clause_id").alias("c2")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("sample", "left", "right").agg(F.max("n").alias("shared"))
+
+
+def endpoint_pairs(ends: DataFrame) -> DataFrame:
+    """sample, left, right: the pairs of endpoints of each sample, which names a few."""
+    names = ends.select("sample", "endpoint").distinct()
+    return names.withColumnRenamed("endpoint", "left").join(names.withColumnRenamed("endpoint", "right"), "sample").filter("left < right")
 
 
 def hop_coverage(ends: DataFrame, edges: DataFrame, mentions: DataFrame, min_shared: int) -> DataFrame:
-    """One row: pairs of endpoints, how many are linked by citations (within two steps), by mentions, by either, and whether all are."""
-    names = ends.select("endpoint").distinct()
-    pairs = names.select(F.col("endpoint").alias("left")).join(names.select(F.col("endpoint").alias("right")), F.col("left") < F.col("right"))
+    """One row: pairs of endpoints of a sample, how many are linked by citations, by mentions, by either, and whether all are."""
     direct = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = ends.select("endpoint", "clause_id")
+    e = ends.select("sample", "endpoint", "clause_id")
     cited = (
-        direct.join(e.select(F.col("clause_id").alias("src"), F.col("endpoint").alias("left")), "src")
-        .join(e.select(F.col("clause_id").alias("dst"), F.col("endpoint").alias("right")), "dst")
-        .filter("left < right").groupBy("left", "right").agg(F.count(F.lit(1)).alias("cites"))
+        direct.join(e.select("sample", F.col("clause_id").alias("src"), F.col("endpoint").alias("left")), "src")
+        .join(e.select("sample", F.col("clause_id").alias("dst"), F.col("endpoint").alias("right")), ["sample", "dst"])
+        .filter("left < right").groupBy("sample", "left", "right").agg(F.count(F.lit(1)).alias("cites"))
     )
-    rows = pairs.join(cited, ["left", "right"], "left").join(shared_entities(mentions, ends), ["left", "right"], "left")
-    rows = rows.select("left", "right", (F.coalesce("cites", F.lit(0)) > 0).alias("c"), (F.coalesce("shared", F.lit(0)) >= min_shared).alias("m"))
+    keys = ["sample", "left", "right"]
+    rows = endpoint_pairs(ends).join(cited, keys, "left").join(shared_entities(mentions, ends), keys, "left")
+    rows = rows.select((F.coalesce("cites", F.lit(0)) > 0).alias("c"), (F.coalesce("shared", F.lit(0)) >= min_shared).alias("m"))
     return rows.agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if("c").alias("by_cites"), F.count_if("m").alias("by_mentions"), F.count_if(F.col("c") | F.col("m")).alias("linked"),
         ((F.count(F.lit(1)) > 0) & (F.count_if(F.col("c") | F.col("m")) == F.count(F.lit(1)))).alias("complete"),

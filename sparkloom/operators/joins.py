@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.storage import stored
+
 
 def session_children(runs: DataFrame, agents: DataFrame) -> DataFrame:
     return runs.select("session_id", "request_id").join(agents.select("request_id", "step_index", "agent_id", "id"), "request_id").select("session_id", "request_id", "step_index", "agent_id", "id")
@@ -16,17 +20,23 @@ def known(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return rows.join(have, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def review_chain(reviews: DataFrame, most: int = 5) -> DataFrame:
-    """id, root, depth: each review's first source, at most `most` links away. A recursive query in Spark SQL."""
-    return reviews.sparkSession.sql(
-        """WITH RECURSIVE chain AS (
-             SELECT r.id, r.id AS root, 0 AS depth FROM {reviews} r LEFT ANTI JOIN {reviews} s ON r.source_review_id = s.id
-             UNION ALL
-             SELECT r.id, c.root, c.depth + 1 FROM {reviews} r JOIN chain c ON r.source_review_id = c.id WHERE c.depth < {most})
-           SELECT id, root, depth FROM chain""",
-        reviews=reviews.select("id", "source_review_id"),
-        most=most,
-    )
+def review_chain(reviews: DataFrame) -> DataFrame:
+    """id, root, depth: each review's first source, however far. Pointer jumping: each round doubles the links that are looked through.
+
+    A review whose source is unknown is a root; reviews that lead into a circle have no root and are left out."""
+    links = reviews.select("id", F.col("source_review_id").alias("up"))
+    known = links.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    has = F.coalesce("known", F.lit(False))
+    at = links.join(known, "up", "left").select("id", F.when(has, F.col("up")).otherwise(F.col("id")).alias("root"), has.cast("long").alias("depth"))
+    at = stored(at)
+    for _ in range(math.ceil(math.log2(max(2, at.count()))) + 1):
+        further = at.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        moved = stored(at.join(further, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        at = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return at.withColumn("depth", F.col("depth").cast("int"))
+    roots = at.filter("depth = 0").select(F.col("id").alias("root"))
+    return at.join(roots, "root", "left_semi").select("id", "root", F.col("depth").cast("int").alias("depth"))
 
 
 def owner(submissions: DataFrame, workflows: DataFrame) -> DataFrame:

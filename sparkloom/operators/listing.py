@@ -151,9 +151,9 @@ def first_entry(pool: DataFrame) -> DataFrame:
 
 
 def one_default(pool: DataFrame, order: str = "id") -> DataFrame:
-    """At most one default: the last marked one."""
-    last = Window.partitionBy("is_default").orderBy(F.desc(order))
-    return pool.withColumn("is_default", F.col("is_default") & (F.row_number().over(last) == 1))
+    """At most one default: the last marked one (`order` is unique). One row, its place, goes to all tasks."""
+    last = pool.filter("is_default").agg(F.max(order).alias("_last"))
+    return pool.crossJoin(F.broadcast(last)).withColumn("is_default", F.col("is_default") & F.coalesce(F.col(order) == F.col("_last"), F.lit(False))).drop("_last")
 
 
 def review_links(runs: DataFrame) -> DataFrame:

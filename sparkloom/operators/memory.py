@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from bisect import insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,35 +21,53 @@ def merged(entries: DataFrame, threshold: float = RATIO, candidates: int = CANDI
 
     An entry meets the `candidates` most important, then newest, memories of its (type, scope, scope_key); the first that reads the
     same, or whose ratio reaches the threshold, takes it in: the longer content, the larger importance, tags and requests united in
-    order, merge_count one more. Order-dependent, so each key is folded by itself; a key holds the memories of one user or project.
+    order, merge_count one more. Order-dependent, so a key's entries are folded one after the other, in one task: a key is one user's or
+    project's. The task reads them as a sorted stream and holds only the key's memories, not its entries.
     """
-    keyed = entries.withColumn("key", statement_key(F.col("content")))
-    schema = "id long, memory_type string, scope string, scope_key string, content string, importance int, tags string, merge_count int, requests string"
+    by = ["memory_type", "scope", "scope_key"]
+    keyed = entries.withColumn("key", statement_key(F.col("content"))).select(*by, "ord", "id", "content", "importance", "tags", "request_id", "key")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: list[dict] = []
-        for e in pdf.sort_values("ord").to_dict("records"):
-            match = None
-            if e["key"]:
-                for m in sorted(known, key=lambda m: (-m["importance"], -m["ord"]))[:candidates]:
-                    if m["key"] and (m["key"] == e["key"] or (threshold > 0 and difflib.SequenceMatcher(None, m["key"], e["key"]).ratio() >= threshold)):
-                        match = m
-                        break
-            tags, requests = [t for t in (e["tags"] if e["tags"] is not None else [])], [e["request_id"]]
-            if match is None:
-                known.append({**e, "tags": tags, "requests": requests, "merge_count": 0})
-                continue
+    def fold(known: list[dict], e: dict) -> None:
+        """known: most important first, then newest."""
+        match = None
+        if e["key"]:
+            for k, m in enumerate(known[:candidates]):
+                if m["key"] and (m["key"] == e["key"] or (threshold > 0 and difflib.SequenceMatcher(None, m["key"], e["key"]).ratio() >= threshold)):
+                    match = known.pop(k)
+                    break
+        tags, requests = [t for t in (e["tags"] if e["tags"] is not None else [])], [e["request_id"]]
+        if match is None:
+            match = {**e, "tags": tags, "requests": requests, "merge_count": 0}
+        else:
             if len(e["content"]) > len(match["content"]):
                 match["content"], match["key"] = e["content"], e["key"]
             match["importance"] = max(match["importance"], e["importance"])
             match["tags"] = list(dict.fromkeys(match["tags"] + tags))
             match["requests"] = list(dict.fromkeys(match["requests"] + requests))
             match["merge_count"] += 1
-        names = ["id", "memory_type", "scope", "scope_key", "content", "importance", "tags", "merge_count", "requests"]
+        insort(known, match, key=lambda m: (-m["importance"], -m["ord"]))
+
+    names = ["id", "memory_type", "scope", "scope_key", "content", "importance", "tags", "merge_count", "requests"]
+
+    def table(known: list[dict]) -> pd.DataFrame:
         rows = [{**m, "tags": ",".join(m["tags"]), "requests": json.dumps(m["requests"])} for m in known]
         return pd.DataFrame([{n: r[n] for n in names} for r in rows], columns=names)
 
-    return keyed.groupBy("memory_type", "scope", "scope_key").applyInPandas(fold, schema)
+    def run(batches):
+        at, known = None, []
+        for batch in batches:
+            for e in batch.to_dict("records"):
+                here = tuple(e[c] for c in by)
+                if here != at:
+                    if known:
+                        yield table(known)
+                    at, known = here, []
+                fold(known, e)
+        if known:
+            yield table(known)
+
+    schema = "id long, memory_type string, scope string, scope_key string, content string, importance int, tags string, merge_count int, requests string"
+    return keyed.repartition(*by).sortWithinPartitions(*by, "ord").mapInPandas(run, schema)
 
 
 def merged_exact(entries: DataFrame) -> DataFrame:

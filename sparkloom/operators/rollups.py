@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +48,24 @@ def total_of(df: DataFrame, label: str, condition: Column | None = None) -> Data
     return df.agg(n.alias("n")).select(F.lit(label).alias("measure"), F.lit("all").alias("key"), "n")
 
 
+STATES = {"task_runs": ("status",), "tool_calls": ("status",), "workflow_runs": ("status",), "reviews": ("status",), "memories": ("scope", "source")}
+LINKS = {"reviews": ("continuation_request_id", "source_review_id")}
+
+
 def dashboard(tables: dict[str, DataFrame]) -> DataFrame:
-    """measure, key, n: the totals of every table and its counts by state, in one table."""
-    parts = [total_of(df, name) for name, df in tables.items()]
-    parts += [counts_by(tables[t], "status", f"{t}_by_status") for t in ("task_runs", "tool_calls", "workflow_runs", "reviews") if t in tables]
-    if "memories" in tables:
-        parts += [counts_by(tables["memories"], c, f"memories_by_{c}") for c in ("scope", "source")]
-    if "reviews" in tables:
-        parts += [total_of(tables["reviews"], f"with_{c}", F.col(c).isNotNull()) for c in ("continuation_request_id", "source_review_id")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """measure, key, n: the totals of every table and its counts by state, in one table. Each table is counted once, by all its states; the
+    figures are sums of these few cells."""
+    n, parts = F.coalesce(F.sum("n"), F.lit(0)).alias("n"), []
+    for name, df in tables.items():
+        states, links = STATES.get(name, ()), LINKS.get(name, ())
+        cells = df.groupBy(*states, *(F.col(c).isNotNull().alias(c) for c in links)).agg(F.count(F.lit(1)).alias("n"))
+        total = lambda rows, label: rows.agg(n).select(F.lit(label).alias("measure"), F.lit("all").alias("key"), "n")
+        parts.append(total(cells, name))
+        for c in states:
+            by = cells.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("key")).agg(n)
+            parts.append(by.select(F.lit(f"{name}_by_{c}").alias("measure"), "key", "n"))
+        parts += [total(cells.filter(c), f"with_{c}") for c in links]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def recent_tool_stats(tools: DataFrame, newest: int = 500) -> DataFrame:

@@ -11,10 +11,11 @@ def usage_report(
     failed: Column | None = None,
     limits: dict[str, int] | None = None,
 ) -> DataFrame:
-    """One pass over the calls for the totals, by model, by user and by both.
+    """Totals, and figures by model, by user and by both, from one aggregation of the calls by both keys.
 
     A null user is a bucket of its own, told from the totals by grouping_id(). The totals row exists for an empty table.
-    Groups are ranked by tokens (descending), then by key; `limits` keeps the first rows of a grouping.
+    Groups are ranked by tokens (descending), then by key; `limits` keeps the first rows of a grouping. With limits, each task keeps
+    its best rows of a grouping before they meet.
     """
     failed = F.col("status") != "success" if failed is None else failed
     rows = calls.select(
@@ -27,24 +28,26 @@ def usage_report(
         failed.alias("failed"),
     )
     keys = [F.col("model"), F.col("user_id")]
-    measures = [
-        *(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")),
-        F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"),
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if("failed").alias("failed_calls"),
-    ]
-    grouped = rows.groupingSets([[], [keys[0]], [keys[1]], keys], *keys).agg(F.grouping_id().cast("int").alias("gid"), *measures)
-    # Spark gives no totals row for an empty table: a row of zeros is added to the totals
-    names = [c for c in grouped.columns if c not in ("gid", "model", "user_id")]
-    kinds = dict(grouped.dtypes)
-    zero = rows.sparkSession.range(1).select(F.lit(3).alias("gid"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("model", "user_id")), *(F.lit(0).cast(kinds[c]).alias(c) for c in names))
-    grouped = grouped.unionByName(zero).groupBy("gid", "model", "user_id").agg(*(F.sum(c).alias(c) for c in names))
+    sums = ["prompt_tokens", "completion_tokens", "total_tokens", "calls", "failed_calls"]
+    cells = rows.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "cost_usd")), F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed_calls")
+    )
+    measures = [*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in sums[:3]), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums[3:])]
+    grouped = cells.groupingSets([[keys[0]], [keys[1]], keys], *keys).agg(F.grouping_id().cast("int").alias("gid"), *measures)
+    kinds = dict(rows.dtypes)
+    total = cells.agg(*measures).select(*(F.lit(None).cast(kinds[c]).alias(c) for c in ("model", "user_id")), F.lit(3).alias("gid"), "*")
+    grouped = grouped.unionByName(total)
     order = Window.partitionBy("gid").orderBy(F.desc("total_tokens"), F.asc_nulls_first("user_id"), F.asc_nulls_first("model"))
     named = grouped.withColumn(
         "grouping", F.when(F.col("gid") == 3, "total").when(F.col("gid") == 1, "model").when(F.col("gid") == 2, "user").otherwise("user_model")
     )
-    limit = F.coalesce(*[F.when(F.col("grouping") == g, F.lit(n)) for g, n in (limits or {}).items()], F.lit(2**31 - 1))
-    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("gid")
+    ranked = named.withColumn("rank", F.row_number().over(order))
+    if limits:
+        limit = F.coalesce(*[F.when(F.col("grouping") == g, F.lit(n)) for g, n in limits.items()], F.lit(2**31 - 1))
+        ranked = ranked.filter(F.col("rank") <= limit)
+        if {"model", "user", "user_model"} <= limits.keys():  # a constant bound, which the planner can apply in each task
+            ranked = ranked.filter(F.col("rank") <= max(limits.values()))
+    return ranked.drop("gid")
 
 
 def usage_cards(report: DataFrame) -> DataFrame:

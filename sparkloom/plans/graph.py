@@ -43,20 +43,22 @@ def mentions(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("clause_id"), F.col("l_partkey").alias("entity_id"))
 
 
-def seeds(s, d, step=200):
-    return table(s, d, "orders").filter(F.col("o_orderkey") % step == 1).select(F.col("o_orderkey").alias("seed"))
+def seeds(s, d):
+    return table(s, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("seed"))
 
 
 def part_seeds(s, d):
-    return table(s, d, "part").filter("p_partkey % 50 = 1").select(F.col("p_partkey").alias("seed"))
+    return table(s, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"))
 
 
 def ends(s, d):
-    return table(s, d, "orders").filter("o_orderkey < 400").select((F.col("o_orderkey") % 40).alias("endpoint"), F.col("o_orderkey").alias("clause_id"))
+    """A sample for each hundred orders, ten endpoints of ten clauses each."""
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(F.floor(k / 100).alias("sample"), (k % 10).alias("endpoint"), k.alias("clause_id"))
 
 
 def order_edges(s, d):
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), ((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 400).alias("dst"))
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") - F.col("l_orderkey") % 400 + (F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 400).alias("dst"))
 
 
 def both_legs(s, d):
@@ -112,7 +114,7 @@ QUERIES = {
     "g07_ranked_neighbours": lambda s, d: G.ranked_neighbours(G.mentions_neighbours(mentions(s, d), seeds(s, d), 1, 5), "mentions", 30).drop("kinds"),
     "g08_merged_neighbours": lambda s, d: both_legs(s, d).withColumn("kinds", F.array_join("kinds", "+")),
     "j08_rehydrated": lambda s, d: G.rehydrated(both_legs(s, d).withColumn("clause_id", F.col("clause_id").cast("string")), chunks(s, d)).select("clause_id", "rank", "title"),
-    "g10_paths_up_to_two": lambda s, d: G.paths_up_to_two(edges(s, d), table(s, d, "part").filter("p_partkey % 20 = 1").select(F.col("p_partkey").alias("id"))),
+    "g10_paths_up_to_two": lambda s, d: G.paths_up_to_two(edges(s, d), table(s, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"))),
     "g11_shared_entities": lambda s, d: G.shared_entities(mentions(s, d), ends(s, d)),
     "a21_hop_coverage": lambda s, d: G.hop_coverage(ends(s, d), order_edges(s, d), mentions(s, d), 1),
     "a10_graph_counts": lambda s, d: Q.graph_counts({"Clause": table(s, d, "orders"), "Entity": table(s, d, "part")}, {"CITES": edges(s, d), "MENTIONS": mentions(s, d)}),
@@ -130,7 +132,7 @@ QUERIES = {
         table(s, d, "orders").select(F.col("o_orderkey").alias("clause_id"), (F.col("o_custkey") % 30).alias("doc_id"), F.concat(F.repeat(F.lit("字"), (F.col("o_custkey") % 80).cast("int")), F.when(F.col("o_custkey") % 3 == 0, F.lit("同时废止")).otherwise("")).alias("text")),
         mentions(s, d).filter("entity_id % 3 = 0").select((F.col("clause_id") * 2).alias("clause_id")), s.range(5).select(F.col("id").alias("doc_id")),
     ).withColumn("coverage", F.round("coverage", 6)),
-    "a22_target_ranks": lambda s, d: Q.target_ranks(table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), F.col("turn").alias("rank")), s.range(20).select(F.col("id").alias("query_id"), F.lit(3).cast("bigint").alias("id"))),
+    "a22_target_ranks": lambda s, d: Q.target_ranks(table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), F.col("turn").alias("rank")), table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.lit(3).cast("bigint").alias("id")).distinct()),
     "a24_evaluation_means": lambda s, d: Q.evaluation_means(items(s, d), ("recall", "faith")).withColumn("reasons", F.array_join("reasons", "|")),
     "a25_evaluation_summary": lambda s, d: table(s, d, "events").filter("event_type <> 'error'").agg(F.round(F.avg("value"), 6).alias("latency"), F.count(F.lit(1)).alias("items")),
     "a26_arm_comparison": lambda s, d: Q.arm_comparison(table(s, d, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_linestatus").alias("group"), (F.col("l_partkey") % 3 == 0).alias("hit"), F.col("l_linenumber").alias("contexts"), (F.col("l_linenumber") % 2).alias("graph_contexts"))),
@@ -158,18 +160,18 @@ refs1 AS (SELECT r.doc_id, r.name, arg_max(t.doc_id, length(t.title)) AS dst FRO
 refs AS (SELECT DISTINCT doc_id AS src, dst FROM refs1 WHERE dst <> doc_id)"""
 EDGES = "e AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey AS src, l_suppkey * 7 AS dst FROM lineitem)"
 MENTIONS = "m AS (SELECT DISTINCT l_orderkey AS clause_id, l_partkey AS entity_id FROM lineitem)"
-SEEDS = "s AS (SELECT o_orderkey AS seed FROM orders WHERE o_orderkey % 200 = 1)"
+SEEDS = "s AS (SELECT o_orderkey AS seed FROM orders WHERE o_orderkey % 20 = 0)"
 NEAR = f"""{MENTIONS}, {SEEDS}, w AS (SELECT a.clause_id AS seed, b.clause_id, count(*) AS weight FROM m a JOIN m b USING (entity_id) WHERE a.clause_id IN (SELECT seed FROM s) AND b.clause_id NOT IN (SELECT seed FROM s) GROUP BY 1, 2)"""
 TOP = "SELECT seed, clause_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, clause_id) AS r FROM {t}) WHERE r <= {k}"
 LEGS = f"""{NEAR}, mt AS ({TOP.format(t='w', k=50)}), ma AS (SELECT clause_id, CAST(sum(weight) AS BIGINT) AS weight, count(DISTINCT seed) AS seeds, 'mentions' AS kind FROM mt GROUP BY 1 ORDER BY weight DESC, seeds DESC, clause_id LIMIT 100),
-oe AS (SELECT l_orderkey AS src, (l_orderkey * 3 + l_linenumber) % 400 AS dst FROM lineitem), ob AS (SELECT src AS seed, dst AS clause_id FROM oe UNION ALL SELECT dst, src FROM oe),
+oe AS (SELECT l_orderkey AS src, l_orderkey - l_orderkey % 400 + (l_orderkey * 3 + l_linenumber) % 400 AS dst FROM lineitem), ob AS (SELECT src AS seed, dst AS clause_id FROM oe UNION ALL SELECT dst, src FROM oe),
 cw AS (SELECT seed, clause_id, count(*) AS weight FROM ob WHERE seed IN (SELECT seed FROM s) AND clause_id NOT IN (SELECT seed FROM s) GROUP BY 1, 2), ct AS ({TOP.format(t='cw', k=50)}),
 ca AS (SELECT clause_id, CAST(sum(weight) AS BIGINT) AS weight, count(DISTINCT seed) AS seeds, 'cites' AS kind FROM ct GROUP BY 1 ORDER BY weight DESC, seeds DESC, clause_id LIMIT 100),
 u AS (SELECT clause_id, CAST(sum(weight) AS BIGINT) AS weight, max(seeds) AS seeds, string_agg(kind, '+' ORDER BY kind) AS kinds FROM (SELECT * FROM ma UNION ALL SELECT * FROM ca) GROUP BY 1),
 legs AS (SELECT *, CAST(row_number() OVER (ORDER BY weight DESC, seeds DESC, CASE WHEN contains(kinds, 'cites') THEN 0 ELSE 1 END, clause_id) AS INTEGER) AS rank FROM u QUALIFY rank <= 50)"""
-ENDS = "n AS (SELECT o_orderkey % 40 AS endpoint, o_orderkey AS clause_id FROM orders WHERE o_orderkey < 400)"
-SHARED = f"""{MENTIONS}, {ENDS}, sh AS (SELECT a.endpoint AS "left", b.endpoint AS "right", a.clause_id AS c1, b.clause_id AS c2, count(*) AS k FROM (SELECT * FROM n JOIN m USING (clause_id)) a JOIN (SELECT * FROM n JOIN m USING (clause_id)) b
-  ON a.entity_id = b.entity_id AND a.endpoint < b.endpoint GROUP BY ALL), shared AS (SELECT "left", "right", max(k) AS shared FROM sh GROUP BY 1, 2)"""
+ENDS = "n AS (SELECT o_orderkey // 100 AS sample, o_orderkey % 10 AS endpoint, o_orderkey AS clause_id FROM orders)"
+SHARED = f"""{MENTIONS}, {ENDS}, sh AS (SELECT a.sample, a.endpoint AS "left", b.endpoint AS "right", a.clause_id AS c1, b.clause_id AS c2, count(*) AS k FROM (SELECT * FROM n JOIN m USING (clause_id)) a JOIN (SELECT * FROM n JOIN m USING (clause_id)) b
+  ON a.sample = b.sample AND a.entity_id = b.entity_id AND a.endpoint < b.endpoint GROUP BY ALL), shared AS (SELECT sample, "left", "right", max(k) AS shared FROM sh GROUP BY 1, 2, 3)"""
 AUDIT = """x AS (SELECT l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS type, 'T' || CAST(l_suppkey % 13 AS VARCHAR) AS name, l_linenumber = 7 AS lost, l_partkey FROM lineitem),
 a AS (SELECT x.*, count(*) OVER (PARTITION BY type, name) AS degree, CASE WHEN lost THEN NULL WHEN contains(regexp_replace('T1 ' || p_name, '\\s+', '', 'g'), name) THEN 'exact'
   WHEN length(name) = 3 AND contains(regexp_replace('T1 ' || p_name, '\\s+', '', 'g'), name) THEN 'partial' ELSE 'absent' END AS kind FROM x JOIN part ON p_partkey = l_partkey)""".replace("\\\\", "\\")
@@ -186,20 +188,21 @@ ORACLES = {
       UNION ALL SELECT 'unresolved_clause', count(*) FROM cites WHERE outcome = 'unknown_clause' UNION ALL SELECT 'implements', count(*) FROM impl WHERE src <> dst UNION ALL SELECT 'references', count(*) FROM refs""",
     "q04_merged_edges": f"WITH {EDGES} SELECT src, dst, count(*) AS occurrences, arg_min(edge_id % 7, edge_id) AS attribute FROM e GROUP BY 1, 2",
     "j13_edges_of_known_ends": f"WITH {EDGES} SELECT src, dst, count(*) AS occurrences FROM e WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part) GROUP BY 1, 2",
-    "g05_cites_neighbours": f"""WITH {EDGES}, b AS (SELECT src AS seed, dst AS clause_id FROM e UNION ALL SELECT dst, src FROM e), w AS (SELECT seed, clause_id, count(*) AS weight FROM b WHERE seed IN (SELECT p_partkey FROM part WHERE p_partkey % 50 = 1)
-      AND clause_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 50 = 1) GROUP BY 1, 2) {TOP.format(t='w', k=5)}""",
+    "g05_cites_neighbours": f"""WITH {EDGES}, b AS (SELECT src AS seed, dst AS clause_id FROM e UNION ALL SELECT dst, src FROM e), w AS (SELECT seed, clause_id, count(*) AS weight FROM b WHERE seed IN (SELECT p_partkey FROM part WHERE p_partkey % 20 = 0)
+      AND clause_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 20 = 0) GROUP BY 1, 2) {TOP.format(t='w', k=5)}""",
     "g06_mentions_neighbours": f"WITH {NEAR} {TOP.format(t='w', k=5)}",
     "g09_mentions_neighbours_uncapped": f"WITH {NEAR} SELECT * FROM w WHERE weight >= 2",
     "g07_ranked_neighbours": f"""WITH {NEAR}, k AS ({TOP.format(t='w', k=5)}), g AS (SELECT clause_id, CAST(sum(weight) AS BIGINT) AS weight, count(DISTINCT seed) AS seeds FROM k GROUP BY 1)
       SELECT *, CAST(row_number() OVER (ORDER BY weight DESC, seeds DESC, clause_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 30""",
     "g08_merged_neighbours": f"WITH {LEGS} SELECT * FROM legs",
     "j08_rehydrated": f"WITH {LEGS}, {CLAUSES} SELECT c.clause_id, legs.rank, c.title FROM legs JOIN c ON c.clause_id = CAST(legs.clause_id AS VARCHAR)",
-    "g10_paths_up_to_two": f"""WITH {EDGES}, b AS (SELECT edge_id, src AS u, dst AS v FROM e UNION ALL SELECT edge_id, dst, src FROM e), i AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 20 = 1),
+    "g10_paths_up_to_two": f"""WITH {EDGES}, b AS (SELECT edge_id, src AS u, dst AS v FROM e UNION ALL SELECT edge_id, dst, src FROM e), i AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 20 = 0),
       p AS (SELECT u AS a, v AS b FROM b UNION ALL SELECT x.u, y.v FROM b x JOIN b y ON x.v = y.u AND x.edge_id <> y.edge_id) SELECT a, b, count(*) AS paths FROM p WHERE a < b AND a IN (SELECT id FROM i) AND b IN (SELECT id FROM i) GROUP BY 1, 2""",
     "g11_shared_entities": f"WITH {SHARED} SELECT * FROM shared",
-    "a21_hop_coverage": f"""WITH {SHARED}, oe AS (SELECT l_orderkey AS src, (l_orderkey * 3 + l_linenumber) % 400 AS dst FROM lineitem), d AS (SELECT src, dst FROM oe UNION SELECT dst, src FROM oe),
-      cited AS (SELECT DISTINCT x.endpoint AS l, y.endpoint AS r FROM d JOIN n x ON x.clause_id = d.src JOIN n y ON y.clause_id = d.dst WHERE x.endpoint < y.endpoint), k AS (SELECT DISTINCT endpoint FROM n),
-      p AS (SELECT cited.l IS NOT NULL AS c, coalesce(shared, 0) >= 1 AS m FROM k a JOIN k b ON a.endpoint < b.endpoint LEFT JOIN cited ON cited.l = a.endpoint AND cited.r = b.endpoint LEFT JOIN shared ON shared."left" = a.endpoint AND shared."right" = b.endpoint)
+    "a21_hop_coverage": f"""WITH {SHARED}, oe AS (SELECT l_orderkey AS src, l_orderkey - l_orderkey % 400 + (l_orderkey * 3 + l_linenumber) % 400 AS dst FROM lineitem), d AS (SELECT src, dst FROM oe UNION SELECT dst, src FROM oe),
+      cited AS (SELECT DISTINCT x.sample, x.endpoint AS l, y.endpoint AS r FROM d JOIN n x ON x.clause_id = d.src JOIN n y ON y.clause_id = d.dst AND y.sample = x.sample WHERE x.endpoint < y.endpoint), k AS (SELECT DISTINCT sample, endpoint FROM n),
+      p AS (SELECT cited.l IS NOT NULL AS c, coalesce(shared, 0) >= 1 AS m FROM k a JOIN k b ON a.sample = b.sample AND a.endpoint < b.endpoint LEFT JOIN cited ON cited.sample = a.sample AND cited.l = a.endpoint AND cited.r = b.endpoint
+        LEFT JOIN shared ON shared.sample = a.sample AND shared."left" = a.endpoint AND shared."right" = b.endpoint)
       SELECT count(*) AS pairs, count(*) FILTER (c) AS by_cites, count(*) FILTER (m) AS by_mentions, count(*) FILTER (c OR m) AS linked, count(*) > 0 AND count(*) = count(*) FILTER (c OR m) AS complete FROM p""",
     "a10_graph_counts": "SELECT 'node' AS kind, 'Clause' AS name, count(*) AS n FROM orders UNION ALL SELECT 'node', 'Entity', count(*) FROM part UNION ALL SELECT 'edge', 'CITES', count(*) FROM lineitem UNION ALL SELECT 'edge', 'MENTIONS', count(*) FROM lineitem",
     "a11_type_counts": "SELECT l_returnflag AS type, count(*) AS entities, count(*) FILTER (n = 1) AS singletons FROM (SELECT l_returnflag, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1",
@@ -222,7 +225,7 @@ ORACLES = {
         o_custkey % 3 = 0 AS dull FROM orders LEFT JOIN i ON i.c = o_orderkey), l AS (SELECT unnest([{'layer': '1_all', 'k': true}, {'layer': '2_extracted', 'k': ok}, {'layer': '3_long', 'k': ok AND long}, {'layer': '4_substantial', 'k': ok AND long AND NOT dull},
         {'layer': '5_procedural', 'k': ok AND long AND dull}]) AS x, a FROM r), g AS (SELECT x.layer AS layer, count(*) FILTER (x.k) AS clauses, count(*) FILTER (x.k AND a) AS anchored FROM l GROUP BY 1
         UNION ALL SELECT '6_orphans', count(*), count(*) FROM i WHERE c NOT IN (SELECT o_orderkey FROM orders)) SELECT *, round(anchored / nullif(clauses, 0), 6) AS coverage FROM g""",
-    "a22_target_ranks": "SELECT conv_id AS query_id, count(*) AS total, count(*) FILTER (turn = 3 AND conv_id < 20) AS hits, min(CASE WHEN turn = 3 AND conv_id < 20 THEN turn END) AS first_rank FROM conversations GROUP BY 1",
+    "a22_target_ranks": "SELECT conv_id AS query_id, count(*) AS total, count(*) FILTER (turn = 3) AS hits, min(CASE WHEN turn = 3 THEN turn END) AS first_rank FROM conversations GROUP BY 1",
     "a24_evaluation_means": """WITH i AS (SELECT doc_id AS k, quality / 2.0 AS recall, CASE WHEN doc_id % 5 <> 0 THEN toxic + 0.25 END AS faith, NOT (doc_id % 7 = 0 OR doc_id % 11 = 0) AS ok FROM labels),
       r AS (SELECT 'recall' AS metric, CASE WHEN NOT ok THEN 'skipped' WHEN k % 3 <> 0 THEN 'skipped' ELSE 'scored' END AS state, CASE WHEN k % 7 = 0 THEN 'no answer' WHEN NOT ok THEN 'answer generation failed' WHEN k % 3 <> 0 THEN 'sample has no reference answer' END AS why, recall AS v FROM i
         UNION ALL SELECT 'faith', CASE WHEN NOT ok THEN 'skipped' WHEN faith IS NULL THEN 'errored' ELSE 'scored' END, CASE WHEN k % 7 = 0 THEN 'no answer' WHEN NOT ok THEN 'answer generation failed' WHEN faith IS NULL THEN 'judge failed' END, faith FROM i)

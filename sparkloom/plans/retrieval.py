@@ -1,5 +1,8 @@
 """Retrieval on documents, embeddings and benchmark passages."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
@@ -11,23 +14,42 @@ def corpus(s, d):
 
 
 def questions(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    """The query set: all benchmark passages, whole."""
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def hits(s, d):
-    """Three legs of ranked documents for twenty queries, from arithmetic on the ids."""
-    base = table(s, d, "documents").select(F.col("doc_id").alias("id"), "source").filter("id < 400")
-    rows = base.crossJoin(s.range(20).select(F.col("id").alias("query_id"))).crossJoin(s.range(3).select(F.col("id").alias("leg")))
-    rank = ((F.col("id") * (F.col("leg") * 2 + 7) + F.col("query_id") * 13) % 401).alias("rank")
-    rows = rows.select("query_id", "leg", "id", rank, "source", F.concat(F.lit("p"), (F.col("id") / 3).cast("int").cast("string")).alias("parent_id"))
-    return rows.filter("rank BETWEEN 1 AND 50")
+    """Three legs of 50 ranked documents a query: BM25, cosine (by the vector of the query's number) and keyword overlap."""
+    near = R.cosine_top_k(vectors(s, d).join(questions(s, d), F.col("id") == F.col("query_id"), "left_semi").select(F.col("id").alias("query_id"), "vector"), vectors(s, d), 50)
+    legs = (R.bm25(questions(s, d), corpus(s, d), 50), near, R.keyword_overlap(questions(s, d), corpus(s, d).withColumn("tags", F.array(F.lit("t"))), 0.2, 50))
+    rows = reduce(DataFrame.unionByName, (h.select("query_id", F.lit(k).alias("leg"), "id", "rank") for k, h in enumerate(legs)))
+    return rows.join(chunks(s, d).select("id", "source", "parent_id"), "id")
+
+
+def chunks(s, d):
+    """Documents as chunks; three share a parent, and every second one's parent has a text."""
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("ctx "), "content")).otherwise("")
+    return corpus(s, d).select("id", "title", "content", F.col("title").alias("source"), F.concat(F.lit("p"), (F.col("id") / 3).cast("int").cast("string")).alias("parent_id"), text.alias("parent_text"))
 
 
-HITS = """hits AS (SELECT * FROM (SELECT q.query_id, l.leg, doc_id AS id, (doc_id * (l.leg * 2 + 7) + q.query_id * 13) % 401 AS rank, source, 'p' || CAST(doc_id // 3 AS VARCHAR) AS parent_id
-  FROM documents, (SELECT unnest(range(20)) AS query_id) q, (SELECT unnest(range(3)) AS leg) l WHERE doc_id < 400) WHERE rank BETWEEN 1 AND 50)"""
+TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[ \t\n\x0B\f\r]+'), lambda t: regexp_matches(t, '^[\p{{L}}\p{{M}}\p{{N}}]+$'))"
+TOP = "SELECT {c}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {o}) AS INTEGER) AS rank FROM {t} QUALIFY rank <= {k}"
+OVERLAP = r"""kq AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS ws FROM benchmark),
+kw AS (SELECT query_id, len(ws) AS n, unnest(ws) AS w FROM kq),
+kd AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(source || ' ' || text || ' t'), '[\p{L}\p{M}\p{N}\p{Pc}]+'))) AS w FROM documents),
+kh AS (SELECT query_id, id, least(1.0, round(count(*) / any_value(n), 4)) AS score FROM kd JOIN kw USING (w) GROUP BY query_id, id HAVING score >= 0.2)"""
+BM25 = f"""bt AS (SELECT doc_id AS id, {TOKENS.format("source || ' ' || text")} AS ts FROM documents),
+bs AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM bt), bq AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM benchmark),
+bp AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM bt) WHERE term IN (SELECT term FROM bq) GROUP BY ALL),
+bf AS (SELECT term, count(*) AS df FROM bp GROUP BY term),
+bx AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM bp JOIN bf USING (term) JOIN bq USING (term), bs GROUP BY 1, 2 HAVING score > 0)"""
+COSINE = """cv AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+cx AS (SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.e, v.e), 12) AS score FROM cv v, (SELECT * FROM cv WHERE {which}) q)"""
+B_TOP, C_TOP, K_TOP = (lambda k, t=t, o=o: TOP.format(c="query_id, id, score", o=o, t=t, k=k) for t, o in (("bx", "round(score, 9) DESC, id"), ("cx", "score DESC, id"), ("kh", "score DESC, CAST(id AS VARCHAR)")))
+HITS = f"""{OVERLAP}, {BM25}, {COSINE.format(which='id IN (SELECT item_id FROM benchmark)')}, legs AS (SELECT 0 AS leg, * FROM ({B_TOP(50)}) UNION ALL SELECT 1, * FROM ({C_TOP(50)}) UNION ALL SELECT 2, * FROM ({K_TOP(50)})),
+hits AS (SELECT query_id, leg, id, rank, source, 'p' || CAST(id // 3 AS VARCHAR) AS parent_id FROM legs JOIN documents ON doc_id = id)"""
 FUSED = f"""{HITS}, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, best, id) AS rank FROM (
   SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, min(rank) AS best, min(leg) AS leg, any_value(source) AS source, any_value(parent_id) AS parent_id FROM hits GROUP BY query_id, id))"""
-TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[ \t\n\x0B\f\r]+'), lambda t: regexp_matches(t, '^[\p{{L}}\p{{M}}\p{{N}}]+$'))"
 
 
 def fused(s, d):
@@ -47,16 +69,14 @@ def prompts(s, d):
 QUERIES = {
     "r01_keyword_overlap": lambda s, d: R.keyword_overlap(questions(s, d), corpus(s, d).withColumn("tags", F.array(F.lit("t"))), 0.2, 10),
     "r04_bm25": lambda s, d: R.bm25(questions(s, d), corpus(s, d), 10),
-    "r06_cosine_top_k": lambda s, d: R.cosine_top_k(vectors(s, d).filter("id < 10").select(F.col("id").alias("query_id"), "vector"), vectors(s, d), 10).select("query_id", "id", "rank"),
+    "r06_cosine_top_k": lambda s, d: R.cosine_top_k(vectors(s, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), vectors(s, d), 10).select("query_id", "id", "rank"),
     "r07_reciprocal_rank_fusion": lambda s, d: R.fuse(hits(s, d)).select("query_id", "id", "rank", "best", F.round("rrf_score", 9).alias("rrf_score")),
     "r08_collapse": lambda s, d: R.collapse(fused(s, d)).select("query_id", "id", "rank", "collapsed_siblings"),
     "r09_quota": lambda s, d: R.quota(fused(s, d), 3, 20, 3).select("query_id", "id", "role", "place"),
     "r09_quota_backfill": lambda s, d: R.quota(fused(s, d).withColumn("source", F.lit("one")), 3, 5, 2).select("query_id", "id", "role", "place"),
     "r11_expand": lambda s, d: R.expand(corpus(s, d).select("id", "content", F.when(F.col("id") % 2 == 0, F.concat(F.lit("ctx "), "content")).otherwise("").alias("parent_text"))).select("id", F.length("content").alias("n"), "matched_child_id", "matched_child_char_len", "expanded_to_parent"),
-    "r12_hybrid": lambda s, d: R.hybrid(
-        hits(s, d), corpus(s, d).select("id", "title", "content", F.col("title").alias("source"), F.concat(F.lit("p"), (F.col("id") / 3).cast("int").cast("string")).alias("parent_id"), F.lit("").alias("parent_text")),
-        s.range(20).select(F.col("id").alias("query_id"), F.lit("q").alias("query")), lambda q, t: F.length(t).cast("double"),
-    ).select("query_id", "id", "rank", "quota_overflow", "rerank_score"),
+    "r12_hybrid": lambda s, d: R.hybrid(hits(s, d).select("query_id", "leg", "id", "rank"), chunks(s, d), questions(s, d), lambda q, t: F.length(t).cast("double"))
+        .select("query_id", "id", "rank", "quota_overflow", "rerank_score", "expanded_to_parent", "matched_child_char_len", F.length("content").alias("n_chars")),
     "r14_prompt_budget": lambda s, d: R.within_budget(prompts(s, d), 600).select("query_id", F.col("rank").alias("turn"), "index", "size", "used"),
     "r16_refusals": lambda s, d: table(s, d, "part").select("p_partkey", R.refused(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("抱歉，检索到的法规片段不足，"), "p_name")).otherwise(F.col("p_name"))).alias("refused")),
     "r17_passes": lambda s, d: R.passes_summed(table(s, d, "lineitem").select(F.col("l_orderkey").alias("answer_id"), F.lit(0.25).alias("cost"), F.col("l_partkey").alias("latency_ms"), F.col("l_suppkey").alias("tokens"))),
@@ -79,20 +99,9 @@ quota AS (SELECT * FROM v WHERE role = 'kept' OR place <= {over})"""
 COLLAPSED = """, collapsed AS (SELECT query_id, id, source, CASE WHEN n > 0 THEN n END AS collapsed_siblings, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS r, count(*) OVER (PARTITION BY query_id, parent_id) - 1 AS n FROM fused) WHERE r = 1)"""
 ORACLES = {
-    "r01_keyword_overlap": r"""WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 40)), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS ws FROM benchmark),
-      qw AS (SELECT query_id, len(ws) AS n, unnest(ws) AS w FROM q),
-      dw AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(source || ' ' || text || ' t'), '[\p{L}\p{M}\p{N}\p{Pc}]+'))) AS w FROM documents),
-      h AS (SELECT query_id, id, least(1.0, round(count(*) / any_value(n), 4)) AS score FROM dw JOIN qw USING (w) GROUP BY query_id, id)
-      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS INTEGER) AS rank FROM h WHERE score >= 0.2) WHERE rank <= 10""",
-    "r04_bm25": f"""WITH t AS (SELECT doc_id AS id, {TOKENS.format("source || ' ' || text")} AS ts FROM documents),
-      st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t), q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS.format('substring(text, 1, 40)')})) AS term FROM benchmark),
-      p AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-      f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-      x AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN f USING (term) JOIN q USING (term), st GROUP BY 1, 2)
-      SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM x WHERE score > 0) WHERE rank <= 10""",
-    "r06_cosine_top_k": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-      x AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS score FROM v, (SELECT * FROM v WHERE id < 10) q)
-      SELECT query_id, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM x) WHERE rank <= 10""",
+    "r01_keyword_overlap": f"WITH {OVERLAP} {K_TOP(10)}",
+    "r04_bm25": f"WITH {BM25} SELECT query_id, id, round(score, 4) AS score, rank FROM ({B_TOP(10)})",
+    "r06_cosine_top_k": f"WITH {COSINE.format(which='id % 20 = 0')} SELECT query_id, id, rank FROM ({C_TOP(10)})",
     "r07_reciprocal_rank_fusion": f"WITH {FUSED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, best, round(rrf_score, 9) AS rrf_score FROM fused",
     "r08_collapse": f"WITH {FUSED}{COLLAPSED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, collapsed_siblings FROM collapsed",
     "r09_quota": f"WITH {FUSED}{QUOTA.format(t='fused', limit=20, over=3)} SELECT query_id, id, role, place FROM quota",
@@ -100,9 +109,10 @@ ORACLES = {
     "r11_expand": """SELECT doc_id AS id, length(text) + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END AS n, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS matched_child_id,
       CASE WHEN doc_id % 2 = 0 THEN length(text) END AS matched_child_char_len, doc_id % 2 = 0 AS expanded_to_parent FROM documents""",
     "r12_hybrid": f"""WITH {FUSED}{COLLAPSED}{QUOTA.format(t='collapsed', limit=20, over=3)},
-      b AS (SELECT q.query_id, q.id, q.role, q.place, CAST(length(d.source || chr(10) || d.text) AS DOUBLE) AS rerank_score FROM quota q JOIN documents d ON d.doc_id = q.id)
-      SELECT query_id, id, CAST(r AS INTEGER) AS rank, false AS quota_overflow, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS r FROM b WHERE role = 'kept') WHERE r <= 5
-      UNION ALL SELECT query_id, id, 5 + place, true, NULL FROM b WHERE role = 'overflow'""",
+      b AS (SELECT q.query_id, q.id, q.role, q.place, CAST(length(d.source || chr(10) || d.text) AS DOUBLE) AS rerank_score, length(d.text) AS n FROM quota q JOIN documents d ON d.doc_id = q.id),
+      o AS (SELECT query_id, id, n, CAST(r AS INTEGER) AS rank, false AS quota_overflow, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS r FROM b WHERE role = 'kept') WHERE r <= 5
+      UNION ALL SELECT query_id, id, n, 5 + place, true, NULL FROM b WHERE role = 'overflow')
+      SELECT * EXCLUDE (n), id % 2 = 0 AS expanded_to_parent, CASE WHEN id % 2 = 0 THEN n END AS matched_child_char_len, n + CASE WHEN id % 2 = 0 THEN 4 ELSE 0 END AS n_chars FROM o""",
     "r14_prompt_budget": """WITH RECURSIVE r AS (SELECT conv_id AS query_id, turn, turn % 3 = 2 AS sup, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3 = 2, turn) AS index FROM conversations),
       b AS (SELECT *, length('[' || CAST(index AS VARCHAR) || '] ' || role || chr(10) || substring(text, 1, 2000)) AS size FROM r),
       g AS (SELECT query_id, index, turn, size, sup, size AS used, true AS taken, false AS stop FROM b WHERE index = 1

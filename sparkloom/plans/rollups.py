@@ -105,7 +105,7 @@ ORACLES = {
     "j02_session_children": f"""WITH {ctes('task_runs', 'agent_runs')} SELECT t.session_id, t.request_id, a.step_index, a.agent_id, a.id FROM task_runs t JOIN agent_runs a USING (request_id)""",
     "j11_known_requests": f"""WITH {ctes('calls', 'task_runs')} SELECT request_id, request_id IN (SELECT request_id FROM task_runs) AS known FROM (SELECT DISTINCT request_id FROM calls)""",
     "j12_review_chain": f"""WITH RECURSIVE {ctes('reviews')}, c AS (SELECT id, id AS root, 0 AS depth FROM reviews WHERE source_review_id IS NULL OR source_review_id NOT IN (SELECT id FROM reviews)
-      UNION ALL SELECT r.id, c.root, c.depth + 1 FROM reviews r JOIN c ON r.source_review_id = c.id WHERE c.depth < 5) SELECT id, root, depth FROM c""",
+      UNION ALL SELECT r.id, c.root, c.depth + 1 FROM reviews r JOIN c ON r.source_review_id = c.id) SELECT id, root, depth FROM c""",
     "j14_owner": f"""WITH {ctes('submissions', 'workflow_runs')} SELECT s.request_id, coalesce(CASE WHEN s.user_id % 3 <> 0 THEN CAST(s.user_id AS VARCHAR) END, json_extract_string(w.metadata_payload, '$.user_id')) AS owner
       FROM submissions s LEFT JOIN workflow_runs w USING (request_id)""",
     "k02_session_upsert": f"WITH {ctes('task_runs')} SELECT session_id, request_id, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, request_id DESC) AS r FROM task_runs) WHERE r = 1",

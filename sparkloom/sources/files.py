@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from xml.etree import ElementTree
 
@@ -40,17 +41,24 @@ def _word_lines(data: bytes) -> list[str]:
 
 
 def _sheet_lines(data: bytes) -> list[str]:
-    """A workbook's rows as texts, each sheet headed by its name; empty cells and rows dropped."""
+    """A workbook's rows as texts, each sheet headed by its name; empty cells and rows dropped. The workbook's relationships say in which
+    file a sheet is."""
     m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{m}sheet")]
+        sheets = [(s.get("name"), s.get(rel)) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{m}sheet")]
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                target = r.get("Target")
+                targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{m}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{m}si")]
         out = []
-        for k, name in enumerate(names, 1):
+        for k, (name, ref) in enumerate(sheets, 1):
             out.append(f"[Sheet: {name}]")
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{m}row"):
+            for row in ElementTree.fromstring(z.read(targets.get(ref, f"xl/worksheets/sheet{k}.xml"))).iter(f"{m}row"):
                 cells = []
                 for c in row.iter(f"{m}c"):
                     v = c.find(f"{m}v")
@@ -116,18 +124,41 @@ def append_entities(rows: DataFrame, path: str) -> None:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation samples; a damaged line, or a file without samples, is an error."""
-    rows = spark.read.schema(SAMPLE_SCHEMA).option("mode", "FAILFAST").json(path)
+    """Evaluation samples, one a line; blank lines are skipped. A damaged line is an error that names it, and so is a file without samples."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"), F.input_file_name().alias("file"))
+    rows = lines.filter(F.trim("line") != "").select("file", "at", F.from_json("line", SAMPLE_SCHEMA + ", _damaged string", {"columnNameOfCorruptRecord": "_damaged"}).alias("x"))
+    lacking = F.col("x._damaged").isNotNull() | F.col("x.id").isNull() | F.col("x.question").isNull()
+    bad = rows.filter(lacking).orderBy("file", "at").select("file", "at").first()
+    if bad:
+        raise ValueError(f"{bad['file']}, line {bad['at'] + 1}: no sample")
+    rows = rows.select("x.*").drop("_damaged")
     if rows.isEmpty():
         raise ValueError(f"{path} holds no samples")
     return rows
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A report of a few rows as one JSON file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+MOST_REPORT_ROWS = 100_000
 
 
-def unprocessed(files: DataFrame, done: DataFrame) -> DataFrame:
-    """Files whose path isn't marked as done."""
-    return files.join(done.select("path"), "path", "left_anti")
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as one indented JSON file in UTF-8: its only row's object, or the list of its rows (MOST_REPORT_ROWS at most). The file appears
+    when it is whole."""
+    spark = report.sparkSession
+    rows = [json.loads(r[0]) for r in report.select(F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"})).limit(MOST_REPORT_ROWS + 1).collect()]
+    if len(rows) > MOST_REPORT_ROWS:
+        raise ValueError("too many rows for a report")
+    data = json.dumps(rows[0] if len(rows) == 1 else rows, ensure_ascii=False, indent=2).encode()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target, part = jvm.Path(path), jvm.Path(f"{path}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+
+
+def listed_documents(spark: SparkSession, documents: list[dict]) -> DataFrame:
+    """Documents that a configuration lists (id, title, content, tags), numbered in their order."""
+    rows = [(k, str(d["id"]), d.get("title", ""), d.get("content", ""), list(d.get("tags", []))) for k, d in enumerate(documents)]
+    return spark.createDataFrame(rows, "ord long, id string, title string, content string, tags array<string>")

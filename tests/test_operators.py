@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
@@ -110,6 +111,103 @@ def test_chunks(spark):
         C.chunks(docs, 10, 0, 20)
 
 
+def native_chunks(docs, size, overlap, child):
+    """The same by the column functions and windows: clauses, pieces of clauses, pieces of pieces."""
+    order = Window.partitionBy("doc_id").orderBy("clause_no", "p")
+    found = C.clauses(docs).select("doc_id", "clause_no", "section", F.posexplode(C.pieces(F.col("text"), size, 0)).alias("p", "parent"))
+    parents = found.withColumn("parent_index", F.row_number().over(order) - 1)
+    rows = parents.select("doc_id", "section", "parent", "parent_index", F.posexplode(C.pieces(F.col("parent"), child, overlap)).alias("c", "text"))
+    return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_index", "c")) - 1)
+
+
+def test_chunks_against_column_functions(spark):
+    rng = random.Random(12)
+    lines = ["第一章 总则", "第十二条 甲。", " 第 3 条　短", "第条 空", "乙" * 50 + "。", "丙；丁！ ？戊", "a b. c;d", "。；", "\t", "", "第二节 " + "长" * 70, "第5条" + "字" * 130, "尾 \u2003", "x\x85第7条", "第8条 y\rz", "己。庚" * 30]
+    rows = [(k, f"p{k}", [rng.choice(lines) for _ in range(rng.randint(0, 12))]) for k in range(120)] + [(200, "n", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, source_path string, paragraphs array<string>")
+    for size, overlap, child in ((40, 0, 15), (400, 5, 30)):
+        want = {(r.doc_id, r.chunk_index): (r.section, r.text, "" if r.text == r.parent else r.parent) for r in native_chunks(docs, size, overlap, child).collect()}
+        got = {(r.doc_id, r.chunk_index): (r.section, r.text, r.parent_text) for r in C.chunks(docs, size, overlap, child).collect()}
+        assert len(want) > 300 and got == want
+    assert "Exchange" not in C.chunks(docs, 40, 0, 15)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_against_a_loop(spark):
+    rng = random.Random(2)
+    rows = [(k % 7, k, "t" * rng.randint(0, 90), "s" * rng.randint(0, 20)) for k in range(300)] + [(9, 999, "z" * 5000, "s")]
+    got = {(r.key, r.ord): (r.batch, r.ref) for r in C.batches(spark.createDataFrame(rows, "key int, ord int, t string, x string"), "key", "ord", "t", "x", most=6, most_chars=300).collect()}
+    for key in {r[0] for r in rows}:
+        batch, held = 0, []
+        for _, at, t, x in sorted(r for r in rows if r[0] == key):
+            cost = len(t) + len(x) + 8
+            if held and (len(held) == 6 or sum(held) + cost > 300):
+                batch, held = batch + 1, []
+            held.append(cost)
+            assert got[key, at] == (batch, f"c{len(held)}")
+
+
+def test_sequence_ratio(spark):
+    import difflib
+
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("abcd 税", k=rng.randint(0, 30))), "".join(rng.choices("abcd 税", k=rng.randint(0, 30)))) for _ in range(200)] + [(None, "a"), ("", None)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.sequence_ratio("a", "b").alias("r")).collect()
+    assert all(r.r == difflib.SequenceMatcher(None, r.a or "", r.b or "").ratio() for r in got)
+
+
+def test_cosine_against_a_loop(spark):
+    import math
+
+    rng = random.Random(1)
+    rows = [(k, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for k in range(300)] + [(900, None), (None, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<float>").repartition(5)
+    length = lambda v: math.sqrt(sum(x * x for x in v))
+    full = {k: v for k, v in rows if k is not None and v and length(v)}
+    for block in (4096, 7):
+        got = R.cosine_top_k(df.filter("id % 20 = 0").selectExpr("id AS query_id", "vector"), df, 9, block).collect()
+        for q in (k for k in full if k % 20 == 0):
+            want = sorted(full, key=lambda k: (-round(sum(x * y for x, y in zip(full[q], full[k])) / length(full[q]) / length(full[k]), 9), k))[:9]
+            assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    assert R.cosine_top_k(df.limit(0).selectExpr("id AS query_id", "vector"), df, 3).count() == 0
+
+
+def test_ranks_of_a_skewed_column(spark):
+    df = spark.range(1000).selectExpr("id * id * id AS v", "id AS k").union(spark.range(200).selectExpr("1000000000000 + id AS v", "id + 1000 AS k"))
+    got = sorted((r.v, r["rank"]) for r in C.ranks(df, "v").collect())
+    assert [n for _, n in got] == list(range(1200))
+
+
+def brute_memories(rows, threshold, candidates):
+    import difflib
+
+    out = []
+    for _, kind, scope, key, content, importance, tags, request, at in sorted(rows, key=lambda r: r[8]):
+        norm = "".join(c for c in (content or "").lower() if c.isalnum())
+        group = [m for m in out if m["where"] == (kind, scope, key)]
+        hit = None
+        for m in sorted(group, key=lambda m: (-m["importance"], -m["ord"]))[:candidates]:
+            if norm and m["key"] and (norm == m["key"] or difflib.SequenceMatcher(None, m["key"], norm).ratio() >= threshold):
+                hit = m
+                break
+        if hit is None:
+            out.append({"where": (kind, scope, key), "key": norm, "content": content, "importance": importance, "ord": at, "n": 0, "id": _})
+        else:
+            if len(content) > len(hit["content"]):
+                hit["content"], hit["key"] = content, norm
+            hit["importance"], hit["n"] = max(hit["importance"], importance), hit["n"] + 1
+    return {m["id"]: (m["where"][2], m["content"], m["importance"], m["n"]) for m in out}
+
+
+def test_memories_against_a_loop(spark):
+    rng = random.Random(8)
+    words = ["likes", "tea", "coffee", "short", "answers", "lives in", "Rome", "Oslo"]
+    rows = [(k, "fact", "user", f"u{k % 5}", " ".join(rng.choices(words, k=rng.randint(0, 5))) + rng.choice(["", "!", "."]), rng.randint(1, 5), [], f"r{k}", k) for k in range(250)]
+    schema = "id long, memory_type string, scope string, scope_key string, content string, importance int, tags array<string>, request_id string, ord long"
+    for threshold, candidates in ((0.85, 200), (0.7, 3)):
+        got = {r.id: (r.scope_key, r.content, r.importance, r.merge_count) for r in M.merged(spark.createDataFrame(rows, schema).repartition(6), threshold, candidates).collect()}
+        assert got == brute_memories(rows, threshold, candidates)
+
+
 def test_memories_merge(spark):
     schema = "id long, memory_type string, scope string, scope_key string, content string, importance int, tags array<string>, request_id string, ord long"
     rows = [(1, "fact", "user", "u", "Prefers short answers.", 3, ["style"], "req-a", 1), (2, "fact", "user", "u", "prefers SHORT answers", 5, ["tone"], "req-b", 2), (3, "fact", "user", "u", "Lives in Rome", 1, None, "req-c", 3)]
@@ -183,3 +281,30 @@ def test_streams(spark, sf, tmp_path):
     stream.stop()
     total = spark.sql("SELECT sum(calls) AS n FROM usage").first().n
     assert total == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_stream_sessions_requests_and_beats(spark, tmp_path):
+    import datetime as dt
+    import time
+
+    from sparkloom.streaming import rollups as T
+
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    rows = [(1, at(0), 7), (2, at(10), 7), (2, at(12), 7), (3, at(100), 7), (4, at(0), 8)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(name, make, mode):
+        stream = make(spark.readStream.schema("event_id long, ts timestamp, user_id long").parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+        for _ in range(120):  # timers keep the last one busy, so its end isn't awaited
+            time.sleep(0.5)
+            if len(spark.sql(f"SELECT * FROM {name}").take(2)) == 2 or query.exception():
+                break
+        query.stop()
+        return spark.sql(f"SELECT * FROM {name}").collect()
+
+    got = run("user_sessions", lambda e: T.user_sessions(e, "30 minutes", "1 day"), "complete")
+    assert sorted((r.user_id, r.start, r.calls) for r in got) == [(7, at(0), 3), (7, at(100), 1), (8, at(0), 1)]
+    assert sorted(r.event_id for r in run("new_requests", lambda e: T.new_requests(e, "event_id", "1 day"), "append")) == [1, 2, 3, 4]
+    beats = run("beats", lambda e: T.latest_beats(e.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("beat_at")), 3_600_000), "update")
+    assert sorted((r.worker_id, r.beat_at, r.live) for r in beats) == [(7, at(100), True), (8, at(0), True)]
