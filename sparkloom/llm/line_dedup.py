@@ -9,8 +9,9 @@ template, or a group, found in MIN_DOCS documents or more recurs, and so does a
 Representatives are found REPS a leaf and round, until what is left of a leaf can't recur.
 
 Cases: a null text is the empty text; lines without a word never recur and stay; ties between representatives go to the smaller
-hash; rows that repeat a doc_id count once each and get equal results; an empty table gives an empty result; further columns
-are ignored by the report and kept by `deduped`.
+hash; rows that repeat a doc_id count as one document and lose the lines at the same numbers; null doc_ids count as one document, whose
+lines stay; very long texts and lines are taken whole; an empty table gives an empty result; further columns are ignored by the report
+and kept by `deduped`.
 """
 
 from __future__ import annotations

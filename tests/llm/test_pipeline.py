@@ -41,3 +41,20 @@ def test_pipeline_of_nothing(spark, none, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Null and repeated ids, nulls in every column, empty and very long texts, and further columns whose names the operators use."""
+    words = lambda k, n: " ".join(f"k{k}w{j}" for j in range(n))
+    rows = [(None, words(0, 60), None, None, None), (None, words(1, 60), "en", "s", 1), (2, words(2, 70), "en", None, 9), (2, words(2, 70), "en", None, 9), (3, None, None, "s", None), (4, "", "en", "s", 0), (5, words(5, 50_000), "en", "s", 7)]
+    clash = "1 AS n, 'x' AS word, 0 AS label, 'y' AS rep, 2 AS spans, 3 AS size, 4 AS copies, 5 AS shard, 6 AS dropped, 7 AS kept_text, 8 AS p, 9 AS k1, 'z' AS line, 1 AS leaf, 2 AS `key`, 3 AS id, 4 AS s, 5 AS kept, 6 AS host, 7 AS target, 8 AS block"
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *clash.split(", "))
+    kept = {"quality_rules": [None, None, 2, 2, 5], "line_dedup": [None, None, 2, 2, 3, 4, 5], "near_duplicates": [None, None, 2, 3, 4, 5], "bpe": [None, None, 2, 2, 3, 4, 5]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf)
+        assert name == "bpe" or out.columns == df.columns
+        ids = sorted((r.doc_id for r in out.select("doc_id").collect()), key=lambda d: -1 if d is None else d)
+        if name == "mixing":
+            assert set(ids) <= {None, 2, 3, 4, 5} and 5 in ids
+        else:
+            assert ids == kept[name], name
