@@ -135,3 +135,26 @@ def test_review_chains_of_any_length(spark):
     rows = [(k, k - 1 if k else None) for k in range(41)] + [(100, 999), (200, 201), (201, 200), (202, 201), (300, 300)]
     got = {r.id: (r.root, r.depth) for r in J.review_chain(spark.createDataFrame(rows, "id long, source_review_id long")).collect()}
     assert got == {**{k: (0, k) for k in range(41)}, 100: (100, 0)}
+
+
+def test_shared_folder(spark, tmp_path):
+    """A cluster has to name the folder; only local sessions get a temporary one. Tables that are done with are deleted."""
+    from types import SimpleNamespace
+
+    from sparkloom import storage
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+
+    assert storage.scratch(session("local[2]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            storage.scratch(session(master))
+    df = storage.stored(spark.range(10))
+    assert df.count() == 10 and df._stored_at.startswith(spark.conf.get("spark.checkpoint.dir"))
+    storage.dropped(df)
+    fs, where = tables._files(spark, df._stored_at)
+    assert not fs.exists(where)
+    joined = lambda t: spark.range(9).join(storage.small(t), "id")._jdf.queryExecution().analyzed().toString()
+    few = storage.stored(spark.range(5))
+    assert "strategy=broadcast" in joined(few) and "strategy=broadcast" not in joined(storage.stored(spark.range(storage.BROADCAST_BYTES // 32 + 1)))
