@@ -214,3 +214,27 @@ def query(spark, sf_dir):
         F.array_join(F.sort_array(F.array_distinct(F.concat("base_labels", own))), ",").alias("labels"),
         F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
+
+
+def sql() -> str:
+    """The query's rows: phrases by neighbouring words; templates by the most of their words within any run of the block's width."""
+    made = Templates(TEMPLATES, {}, THRESHOLD)
+    rows = ", ".join(f"('{label}', '{w.decode()}', {len(tokens)}, {need}, {made.widths[label]})" for label, tokens, need in made.all for w in sorted(tokens))
+    return rf"""WITH t(label, w, size, need, width) AS (VALUES {rows}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, ws[i + 1] AS w, ws[i + 2] AS w2, ws[i + 3] AS w3 FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d)),
+b AS (SELECT doc_id, i, CASE WHEN w = 'cc' AND w2 = 'by' THEN 'cc-by' WHEN w = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' WHEN w = 'all' AND w2 = 'rights' AND w3 = 'reserved' THEN 'reserved' END AS label FROM p),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b WHERE label IS NOT NULL GROUP BY doc_id),
+hit AS (SELECT doc_id, i, w, label, size, need, width FROM p JOIN t USING (w)),
+may AS (SELECT doc_id, label FROM hit GROUP BY doc_id, label, need HAVING count(DISTINCT w) >= need),
+run AS (SELECT x.doc_id, x.label, x.i, any_value(x.size) AS size, any_value(x.need) AS need, count(DISTINCT y.w) AS n FROM (SELECT * FROM hit SEMI JOIN may USING (doc_id, label)) x
+  JOIN hit y ON y.doc_id = x.doc_id AND y.label = x.label AND y.i >= x.i AND y.i < x.i + x.width GROUP BY 1, 2, 3),
+own AS (SELECT doc_id, label, max(n) / any_value(size) AS c FROM run GROUP BY doc_id, label HAVING max(n) >= any_value(need)),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM own UNION ALL SELECT doc_id, label FROM b WHERE label IS NOT NULL) GROUP BY doc_id),
+best AS (SELECT doc_id, max(c) AS c FROM own GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(c, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+SQL = sql()

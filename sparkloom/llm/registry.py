@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_jaccard_join": jaccard_join.SQL, "op9_quality_rules": quality_rules.SQL}
+ORACLES = {"op1_suffix_dedup": suffix_dedup.SQL, "op3_jaccard_join": jaccard_join.SQL, "op4_license_scan": license_scan.SQL, "op8_warc_zip": warc_zip.SQL, "op9_quality_rules": quality_rules.SQL}

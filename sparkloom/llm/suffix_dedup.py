@@ -298,3 +298,16 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, held
 def query(spark, sf_dir):
     rows = suffix_dedup(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5_number(b[i + 1 : i + 100]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS i FROM d WHERE octet_length(b) >= 100)),
+again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+begins AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM again),
+numbered AS (SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begins),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY doc_id, k),
+edges AS (SELECT doc_id, hi AS a, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS e FROM spans UNION ALL SELECT doc_id, 0, min(lo) FROM spans GROUP BY doc_id),
+parts AS (SELECT doc_id, string_agg(hex(b[a + 1 : coalesce(e, octet_length(b))]), '' ORDER BY a) AS x FROM edges JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN x IS NULL THEN b ELSE from_hex(x) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN parts USING (doc_id)"""

@@ -220,3 +220,10 @@ def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
 def query(spark, sf_dir):
     manifest = write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_packages(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, CAST(CAST(from_hex(h) AS BIT) AS VARCHAR) AS bits FROM h)
+SELECT page_id, n AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: CASE WHEN substring(bits, 5 * i + k + 1, 1) = '1' THEN 1 << (4 - k) ELSE 0 END))::BIGINT, 1)), '') AS payload_digest FROM f"""
