@@ -33,13 +33,17 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more, and lets Spark remove the shuffle files of finished jobs (its cleaner does so for
-    what the driver's garbage collector has found)."""
+    """Deletes stored tables that nothing reads any more, and what finished jobs left."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+    if tables:
+        swept(tables[0].sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: its cleaner does so for what the driver's garbage collector has found."""
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame) -> DataFrame:
