@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.storage import dropped, scratch, small, stored  # noqa: F401
+from sparkloom.storage import dropped, scratch, small, stored, swept  # noqa: F401
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -36,12 +36,12 @@ from sparkloom.llm._hashes import chunks
 LEXICON_WORDS = 50_000
 MIN_COUNT = 3
 #: Keys of one generation; two are held, of words and of pieces.
-CACHED = 200_000
+CACHED = 100_000
 #: A space before anything but white space begins a new token of the pattern, whatever stands around it: texts are cut there.
 CUT = re.compile(r" (?=\S)")
 #: Where a space isn't followed by such, plain splitting at spaces would cut elsewhere.
 UNEVEN = re.compile(r" (?!\S)")
-RUN_CHARS = 4 << 20
+RUN_CHARS = 1 << 20
 
 
 def default_path() -> str:
@@ -365,14 +365,14 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: str | None = None,
     def run(batches):
         encoder = _encoder(path, lexicon)
         for whole in batches:
-            texts = whole.column(1).to_pylist()
-            for at, some in chunks(texts, RUN_CHARS):
-                batch = whole.slice(at, len(some))
-                flat, ends = encoder.encode_all(some)
-                columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                if decoded:
-                    columns.append(encoder.decode(flat, ends))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+            for begin in range(0, whole.num_rows, 1024):
+                part = whole.slice(begin, 1024)
+                for at, texts in chunks(part.column(1).to_pylist(), RUN_CHARS):
+                    flat, ends = encoder.encode_all(texts)
+                    columns = [part.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                    if decoded:
+                        columns.append(encoder.decode(flat, ends))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 

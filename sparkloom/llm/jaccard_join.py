@@ -233,7 +233,9 @@ def measured(docs: DataFrame, points: DataFrame, pairs: DataFrame, n: int, perce
     a, b = (sets.select(F.col("p").alias(k), F.col("seen").alias(f"s{k}")) for k in "ab")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     rows = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb") - common).alias("u"))
-    return stored(rows.select("a", "b", (1 - F.col("c") / F.col("u")).alias("d"), (100 * F.col("c") >= percent * F.col("u")).alias("link")).distinct())
+    known = stored(rows.select("a", "b", (1 - F.col("c") / F.col("u")).alias("d"), (100 * F.col("c") >= percent * F.col("u")).alias("link")).distinct())
+    dropped(sets, wanted, pairs)
+    return known
 
 
 def _pair(x: str, y: str) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import WORD, documents, n_words_of, stored, text_of, words_of
+from sparkloom.llm._base import WORD, documents, n_words_of, small, stored, text_of, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -116,16 +116,18 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_p
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """The kept documents without the lines above the limit (in all documents of the host), save in the first kept document of each."""
-    # a filter on kept without the store would be pushed into the counts and work their expressions out twice
-    kept = stored(quality_rules(docs, max_docs, min_kept_percent)).filter("kept").select(F.col("doc_id").alias("_of"))
-    rows = stored(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi"))
+    kept = quality_rules(docs, max_docs, min_kept_percent).select("doc_id", "kept")
+    # stored before the filter, which would else be pushed into the counts and work their expressions out twice
+    kept = stored(stored(kept).filter("kept").select(F.col("doc_id").alias("_of")).distinct())
     common = stored(common_lines(hosted(docs), max_docs).select("host", "line"))
-    each = hosted(rows).select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"))
-    found = stored(each.join(common, ["host", "line"]).distinct())
+    each = hosted(docs).select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"))
+    found = each.join(small(common), ["host", "line"]).distinct()
+    found = stored(found.join(small(kept), F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi"))
     first = found.groupBy("host", "line").agg(F.min("doc_id").alias("first_doc"))
     found = found.join(first, ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
-    gone = found.groupBy(F.col("doc_id").alias("_of"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
-    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_host")), "left")
+    gone = stored(found.groupBy(F.col("doc_id").alias("_of"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone")))
+    rows = docs.join(small(kept), F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
+    out = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_of")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_host")), "left")
     left = F.filter(F.split(text_of(), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
     out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     n_chars = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long") if "n_chars" in docs.columns else None
