@@ -1,8 +1,9 @@
 """Quality rules: surface counts of a text, and lines that recur across the documents of a host. Native expressions only.
 
-Cases: a null text counts as empty, so it has no words and fails; a null host is the empty host; an empty table gives an
-empty result; rows that repeat a doc_id share the sum of their recurring words; a null doc_id never has recurring words; very long texts are
-worked on in time proportional to their length (but for a sort); further columns are ignored by the report and kept by `cleaned`.
+Cases: a null text counts as empty, so it has no words and fails; a null host is the empty host; an empty table gives an empty
+result; rows that repeat a doc_id count as one document and share the sum of their recurring words; null doc_ids count as one document,
+which never has recurring words; very long texts are worked on in time proportional to their length (but for a sort); further columns
+are ignored by the report and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import WORD, documents, n_words_of, small, stored, text_of, words_of
+from sparkloom.llm._base import WORD, documents, dropped, n_words_of, small, stored, text_of, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -73,41 +74,38 @@ def surface(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
 
 
-def common_lines(rows: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """host, line (hash), first_doc of the lines that more than max_docs documents of the host have. rows: doc_id, host, lines."""
-    hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(normal_line(x))))
-    return (
-        rows.select("doc_id", "host", F.explode(hashes).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
-        .filter(F.col("n_docs") > max_docs)
-        .select("host", "line", "first_doc")
-    )
+def host_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, host, line (hash of the normalised line), w: the lines with words of each document, and all the words in them, stored."""
+    lines = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.explode(lines_with_words(text_of())).alias("x"))
+    rows = lines.select("doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"), n_words_of(F.col("x")).alias("w"))
+    return stored(rows.groupBy("doc_id", "host", "line").agg(F.sum("w").alias("w")))
 
 
-def hosted(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), lines_with_words(text_of()).alias("lines"))
+def common_lines(lines: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+    """host, line, first_doc of the lines that more than max_docs documents of the host have, stored. lines: host_lines(docs)."""
+    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return stored(counted.filter(F.col("n_docs") > max_docs).select("host", "line", "first_doc"))
 
 
-def recurring_words(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
+def recurring_words(lines: DataFrame, common: DataFrame) -> DataFrame:
     """doc_id, n_recurring: words in lines that more than max_docs documents of the host have, save in the first of them."""
-    rows = hosted(docs)
-    common = common_lines(rows, max_docs)
-    each = rows.select("doc_id", "host", F.explode("lines").alias("x")).select(
-        "doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"), n_words_of(F.col("x")).alias("w")
-    )
-    found = each.join(common, ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
+    found = lines.join(small(common), ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
     return found.groupBy("doc_id").agg(F.sum("w").alias("n_recurring"))
 
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """Counts, n_recurring, base_failed and kept for each document. Kept: passes the base rules and isn't depleted."""
+    lines = host_lines(docs)
+    return judged(docs, lines, common_lines(lines, max_docs), min_kept_percent)
+
+
+def judged(docs: DataFrame, lines: DataFrame, common: DataFrame, min_kept_percent: int) -> DataFrame:
     n, left = F.col("n_words"), F.col("n_words") - F.col("n_recurring")
     base_failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
     depleted = (F.col("n_recurring") > 0) & ((left < MIN_WORDS) | (100 * left < min_kept_percent * n))
     return (
         surface(docs)
-        .join(recurring_words(docs, max_docs), "doc_id", "left")
+        .join(recurring_words(lines, common), "doc_id", "left")
         .withColumn("n_recurring", F.least(F.coalesce("n_recurring", F.lit(0)), n))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
@@ -116,16 +114,17 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_p
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """The kept documents without the lines above the limit (in all documents of the host), save in the first kept document of each."""
-    kept = quality_rules(docs, max_docs, min_kept_percent).select("doc_id", "kept")
+    lines = host_lines(docs)
+    common = common_lines(lines, max_docs)
     # stored before the filter, which would else be pushed into the counts and work their expressions out twice
-    kept = stored(stored(kept).filter("kept").select(F.col("doc_id").alias("_of")).distinct())
-    common = stored(common_lines(hosted(docs), max_docs).select("host", "line"))
-    each = hosted(docs).select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", F.xxhash64(normal_line(F.col("x"))).alias("line"))
-    found = each.join(small(common), ["host", "line"]).distinct()
-    found = stored(found.join(small(kept), F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi"))
+    verdicts = stored(judged(docs, lines, common, min_kept_percent).select("doc_id", "kept"))
+    kept = stored(verdicts.filter("kept").select(F.col("doc_id").alias("_of")).distinct())
+    found = lines.join(small(common.select("host", "line")), ["host", "line"])
+    found = stored(found.join(small(kept), F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi").select("doc_id", "host", "line"))
     first = found.groupBy("host", "line").agg(F.min("doc_id").alias("first_doc"))
-    found = found.join(first, ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
-    gone = stored(found.groupBy(F.col("doc_id").alias("_of"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone")))
+    gone = found.join(first, ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
+    gone = stored(gone.groupBy(F.col("doc_id").alias("_of"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone")))
+    dropped(lines, common, verdicts, found)
     rows = docs.join(small(kept), F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
     out = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_of")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_host")), "left")
     left = F.filter(F.split(text_of(), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
