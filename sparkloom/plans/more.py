@@ -11,6 +11,8 @@ from sparkloom.plans import graph as PG
 from sparkloom.plans import listing as PL
 from sparkloom.plans import retrieval as PR
 from sparkloom.plans.views import view
+from sparkloom.sources import tables
+from sparkloom.storage import scratch
 from sparkloom.tables import table
 
 
@@ -35,7 +37,42 @@ def reached(s, d):
     return G.reachability(PG.mentions(s, d), PG.seeds(s, d), targets, s.range(1, 5).select(F.col("id").cast("int").alias("min_shared")), 10)
 
 
+def merged_graph(s, d):
+    """Nodes and edges merged twice into stored tables; the edges."""
+    folder = scratch(s)
+    nodes = {"Clause": table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))}
+    edges = {"CITES": PG.edges(s, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("occurrences"))}
+    for _ in range(2):
+        tables.merge_graph(s, folder, nodes, edges)
+    return tables.read(s, f"{folder}/edges/CITES")
+
+
+def stored_table(s, rows, change):
+    path = scratch(s)
+    tables.replace(rows, path)
+    change(path)
+    return tables.read(s, path)
+
+
+def counted(s, d):
+    """Vectors of a stored table, and of one that isn't there, whose statistics say 7."""
+    path, statistics = scratch(s), s.createDataFrame([(7,)], "n long")
+    tables.replace(PR.vectors(s, d), path)
+    return s.createDataFrame([(tables.count(s, path), tables.count(s, scratch(s), statistics))], "n long, missing long")
+
+
+def pending(s, d):
+    files, marker = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "doc_id"), scratch(s)
+    for k in range(2):
+        tables.mark_done(files.filter(F.col("doc_id") % 3 == k), marker)
+    return tables.pending(files, marker)
+
+
 QUERIES = {
+    "s14_vector_count": counted,
+    "s16_merged_graph": merged_graph,
+    "s17_pending": pending,
+    "s19_deleted": lambda s, d: stored_table(s, table(s, d, "customer").select("c_custkey", "c_nationkey"), lambda path: tables.delete(table(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")), path, ["c_nationkey"])),
     "j04_price_fallback": twice,
     "b13_ingest_report": report,
     "b12_embedded": lambda s, d: C.embedded(table(s, d, "part").select("p_partkey", F.col("p_name").alias("text")), lambda t: F.array(F.length(t).cast("double")), instruction="q: ").select("p_partkey", F.element_at("vector", 1).alias("v")),
@@ -48,6 +85,10 @@ QUERIES = {
 }
 T50, T20 = (PG.TITLE.format(n=f"(o_orderkey % {m} + 1)") for m in (50, 20))
 ORACLES = {
+    "s14_vector_count": "SELECT count(*) AS n, CAST(7 AS BIGINT) AS missing FROM embeddings",
+    "s16_merged_graph": f"WITH {PG.EDGES} SELECT src, dst, count(*) AS occurrences FROM e WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part) GROUP BY 1, 2",
+    "s17_pending": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS path, doc_id FROM documents WHERE doc_id % 3 = 2",
+    "s19_deleted": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     "j04_price_fallback": f"""{PL.PRICED} , y AS (SELECT id, model, CASE WHEN id % 2 = 0 THEN 'house' ELSE 'nothing' END AS requested FROM c)
       SELECT y.id, y.model, coalesce(f.i, g.i) AS input_per_million FROM y LEFT JOIN f ON f.model = y.model LEFT JOIN f g ON g.model = y.requested""",
     "b13_ingest_report": """SELECT count(*) AS files, count(*) FILTER (doc_id % 9 = 0) AS failed, count(DISTINCT doc_id) FILTER (doc_id % 9 <> 0) AS documents, count(*) FILTER (doc_id % 9 <> 0) AS chunks,

@@ -172,6 +172,14 @@ ORACLES = {
     "x13_statement_keys": "SELECT p_partkey, regexp_replace(lower(p_name || 'a' || p_brand), '[^a-z0-9]+', '', 'g') AS key FROM part",
     "x27_payload_rows": """WITH b AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'user' ELSE 'project' END AS scope, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_brand END AS scope_key, p_name FROM part)
       SELECT 'preference' AS memory_type, scope, scope_key, p_name AS content, 5 AS importance FROM b UNION ALL SELECT 'fact', scope, scope_key, 'f', 3 FROM b""",
+    "b11_batches": """WITH RECURSIVE r AS (SELECT p_size, p_partkey, length(p_name) + length(p_type) + 8 AS cost, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part),
+      g AS (SELECT p_size, p_partkey, i, 0 AS batch, 1 AS n, cost AS used FROM r WHERE i = 1
+        UNION ALL SELECT r.p_size, r.p_partkey, r.i, g.batch + CASE WHEN full_ THEN 1 ELSE 0 END, CASE WHEN full_ THEN 1 ELSE g.n + 1 END, CASE WHEN full_ THEN r.cost ELSE g.used + r.cost END
+        FROM (SELECT g.*, r.cost AS next_cost, g.n >= 7 OR g.used + r.cost > 300 AS full_ FROM g JOIN r ON r.p_size = g.p_size AND r.i = g.i + 1) g JOIN r ON r.p_size = g.p_size AND r.i = g.i + 1)
+      SELECT p_size, p_partkey, CAST(batch AS INTEGER) AS batch, 'c' || CAST(n AS VARCHAR) AS ref FROM g""",
+    # the contents differ by a mark at most, or by far more than the ratio allows
+    "k01_memory_merge": """WITH m AS (SELECT c_custkey AS o, CAST(c_custkey // 12 AS VARCHAR) AS scope_key, c_mktsegment AS s, 'Likes ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '!' ELSE '' END AS content, CAST(c_custkey % 5 + 1 AS INTEGER) AS importance FROM customer)
+      SELECT min(o) AS id, scope_key, arg_max(content, (length(content), -o)) AS content, max(importance) AS importance, CAST(count(*) - 1 AS INTEGER) AS merge_count FROM m GROUP BY scope_key, s""",
     "k01_memory_merge_exact": """WITH m AS (SELECT c_custkey AS o, CAST(c_custkey // 12 AS VARCHAR) AS scope_key, c_mktsegment AS s, 'Likes ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '!' ELSE '' END AS content, CAST(c_custkey % 5 + 1 AS INTEGER) AS importance FROM customer)
       SELECT 'fact' AS memory_type, 'user' AS scope, scope_key, arg_max(content, (length(content), -o)) AS content, max(importance) AS importance, count(*) - 1 AS merge_count FROM m GROUP BY scope_key, s""",
     "l01_joined_deltas": """SELECT conv_id AS request_id, string_agg(role, '' ORDER BY turn) AS text, max(CASE WHEN turn % 2 = 0 THEN turn END) AS tokens, max(CASE WHEN turn = 1 THEN 'stop' END) AS finish_reason FROM conversations GROUP BY 1""",

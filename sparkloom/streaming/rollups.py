@@ -38,6 +38,15 @@ def new_requests(events: DataFrame, key: str = "event_id", late: str = "2 hours"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def answered(requests: DataFrame, answers: DataFrame, within: str = "10 minutes", late: str = "2 hours") -> DataFrame:
+    """request_id, ts, answered_at: requests (request_id, ts) with their answers (request_id, answered_at) that come within the time. Two
+    streams: watermarks and the time range bound what either side keeps."""
+    left = requests.select("request_id", "ts").withWatermark("ts", late)
+    right = answers.select(F.col("request_id").alias("_of"), "answered_at").withWatermark("answered_at", late)
+    rows = left.join(right, F.expr(f"request_id = _of AND answered_at >= ts AND answered_at <= ts + INTERVAL {within}"))
+    return rows.select("request_id", "ts", "answered_at")
+
+
 def latest_beats(beats: DataFrame, time_to_live_ms: int) -> DataFrame:
     """worker_id, beat_at, live: the newest beat of each worker (worker_id, beat_at); a worker silent for the time to live is
     reported once as not live and forgotten. State is one timestamp a worker."""

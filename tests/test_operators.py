@@ -308,3 +308,7 @@ def test_stream_sessions_requests_and_beats(spark, tmp_path):
     assert sorted(r.event_id for r in run("new_requests", lambda e: T.new_requests(e, "event_id", "1 day"), "append")) == [1, 2, 3, 4]
     beats = run("beats", lambda e: T.latest_beats(e.select(F.col("user_id").alias("worker_id"), F.col("ts").alias("beat_at")), 3_600_000), "update")
     assert sorted((r.worker_id, r.beat_at, r.live) for r in beats) == [(7, at(100), True), (8, at(0), True)]
+    requests = lambda e: e.select(F.col("event_id").alias("request_id"), "ts")
+    replies = lambda e: e.select((F.col("event_id") - 1).alias("request_id"), F.col("ts").alias("answered_at"))
+    pairs = run("answered", lambda e: T.answered(requests(e), replies(e), "20 minutes", "1 day"), "append")
+    assert sorted((r.request_id, r.ts, r.answered_at) for r in pairs) == [(1, at(0), at(10)), (1, at(0), at(12))]
