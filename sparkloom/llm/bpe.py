@@ -284,7 +284,10 @@ class Encoder:
         # a text's first piece has no space before it
         codes[begins] = len(pieces) + np.arange(len(texts))
         firsts = [self.words(t.split(" ", 1)[0]) if e else self.encode(t) for t, e in zip(texts, even)]
-        table = [*map(self.piece, pieces), *firsts]
+        # letters alone are one word of the pattern, kept as such
+        word, piece = self.word, self.piece
+        table = [word(" " + p) if p.isalpha() else piece(p) for p in pieces]
+        table += firsts
         sizes = np.fromiter(map(len, table), np.int32, len(table))
         ids = np.fromiter(itertools.chain.from_iterable(table), np.int32, int(sizes.sum()))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
