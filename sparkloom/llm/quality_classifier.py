@@ -1,7 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics, flattened into arrays for numpy traversal.
 
 The statistics come from the whole text alone: lengths, shares of kinds of characters, how words and lines repeat. Spark ML grows the
-trees (features in MAX_BINS bins, node histograms summed over tasks) on a sample of TRAIN_ROWS labelled documents at most, the first by
+trees (features in MAX_BINS bins, node histograms summed over tasks; each tree sees a part of the rows, each node a third of the
+features) on a sample of TRAIN_ROWS labelled documents at most, the first by
 hash of the doc_id, none of them held out. Their nodes are laid out as arrays of feature, threshold, children and value; a task walks
 all trees for a run of documents at once. Documents aren't shuffled: one pass for the sample's texts, one for the scores.
 
@@ -24,7 +25,7 @@ from sparkloom.llm import _hashes as H
 from sparkloom.llm._base import documents, dropped, stored
 
 TRAIN_ROWS = 20_000
-TREES, DEPTH, MAX_BINS, STEP, SEED = 30, 4, 64, 0.2, 7
+TREES, DEPTH, MAX_BINS, STEP, SEED = 40, 4, 64, 0.2, 7
 #: Bytes of text that a task works on at once (or one longer text).
 RUN_BYTES = 1 << 20
 
@@ -89,7 +90,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     full = ends > begins
     lines = np.maximum(np.bincount(line_doc[full], minlength=n), 1)
     different, _, _ = _groups(line_doc[full], line[full], n)
-    out += [np.log1p(size - 1), np.log1p(words), mean, spread, distinct / some, most / some, again / some, 1 - alone / np.maximum(words - 2, 1), words / lines, different / lines]
+    out += [np.log1p(size - 1), np.log1p(words), mean, spread, distinct / some, most / some, again / some, np.maximum(words - 2 - alone, 0) / np.maximum(words - 2, 1), words / lines, different / lines]
     return np.stack(out, axis=1)
 
 
@@ -170,7 +171,7 @@ def fit(train: DataFrame) -> Trees | float:
     kinds = sorted(r["label"] for r in train.select("label").distinct().collect())
     if len(kinds) < 2:
         return kinds[0] if kinds else 0.5
-    grower = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=MAX_BINS, stepSize=STEP, seed=SEED)
+    grower = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=MAX_BINS, stepSize=STEP, subsamplingRate=0.6, featureSubsetStrategy="onethird", minInstancesPerNode=5, seed=SEED)
     return Trees.of_model(grower.fit(train.coalesce(2).select("label", array_to_vector("x").alias("features"))))
 
 
