@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.storage import small, stored
 
 
 def clauses(chunks: DataFrame) -> DataFrame:
@@ -47,6 +48,10 @@ def title_index(clause_rows: DataFrame) -> DataFrame:
     return first_by(names.filter("name <> ''"), ["name"], "ord").select("name", "doc_id")
 
 
+def _index(clause_rows: DataFrame, index: DataFrame | None) -> DataFrame:
+    return title_index(clause_rows) if index is None else index
+
+
 def resolved(names: DataFrame, index: DataFrame) -> DataFrame:
     """Adds doc (null if unknown) to rows with `name`: the longest known suffix of the name. All suffixes meet the index by equality."""
     distinct = names.select("name").distinct().withColumn("n", X.normal_title(F.col("name"))).filter("n <> ''")
@@ -56,38 +61,40 @@ def resolved(names: DataFrame, index: DataFrame) -> DataFrame:
     return names.join(best, "name", "left")
 
 
-def cites(clause_rows: DataFrame) -> DataFrame:
+def cites(clause_rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """src, dst, place, law, article, paragraph, item, cross_doc, outcome (edge, unknown_law, unknown_clause) of every citation. A
     self-reference means the own document; an article that isn't there, or the clause itself, is an unknown clause."""
     found = clause_rows.select("clause_id", "doc_id", F.posexplode(X.citations(F.col("text"))).alias("place", "c"))
     found = found.select(F.col("clause_id").alias("src"), F.col("doc_id").alias("own"), "place", F.col("c.law").alias("name"), "c.article", "c.paragraph", "c.item")
-    rows = resolved(found, title_index(clause_rows)).withColumn("target", F.when(F.col("name").startswith("本"), F.col("own")).otherwise(F.col("doc")))
+    rows = resolved(found, _index(clause_rows, index)).withColumn("target", F.when(F.col("name").startswith("本"), F.col("own")).otherwise(F.col("doc")))
     where = articles(clause_rows).select(F.col("doc_id").alias("target"), "article", F.col("clause_id").alias("dst"))
     rows = rows.join(where, ["target", "article"], "left")
     outcome = F.when(F.col("target").isNull(), "unknown_law").when(F.col("dst").isNull() | (F.col("dst") == F.col("src")), "unknown_clause").otherwise("edge")
     return rows.select("src", F.when(outcome == "edge", F.col("dst")).alias("dst"), "place", F.col("name").alias("law"), "article", "paragraph", "item", (F.col("target") != F.col("own")).alias("cross_doc"), outcome.alias("outcome"))
 
 
-def implements(clause_rows: DataFrame) -> DataFrame:
+def implements(clause_rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """src, dst: from a regulation's document to the law that it implements."""
     docs = first_by(clause_rows, ["doc_id"], "ord").select("doc_id", X.implemented_title(F.col("title")).alias("name")).filter("name IS NOT NULL")
-    return resolved(docs, title_index(clause_rows)).filter("doc IS NOT NULL AND doc <> doc_id").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
+    return resolved(docs, _index(clause_rows, index)).filter("doc IS NOT NULL AND doc <> doc_id").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst"))
 
 
-def references(clause_rows: DataFrame) -> DataFrame:
+def references(clause_rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """src, dst: distinct, from a document to another that it names in 《》."""
     named = clause_rows.select("doc_id", F.explode(X.title_references(F.col("text"))).alias("name"))
-    return resolved(named, title_index(clause_rows)).filter("doc IS NOT NULL AND doc <> doc_id").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst")).distinct()
+    return resolved(named, _index(clause_rows, index)).filter("doc IS NOT NULL AND doc <> doc_id").select(F.col("doc_id").alias("src"), F.col("doc").alias("dst")).distinct()
 
 
 def structure_stats(clause_rows: DataFrame) -> DataFrame:
     """measure, n. Citations are counted once, by outcome, and clauses once, by document; the figures are sums of these counts."""
+    clause_rows = stored(clause_rows)
+    index = stored(title_index(clause_rows))
     count, total = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    outcomes = cites(clause_rows).groupBy("outcome", "cross_doc").agg(count)
-    documents = clause_rows.groupBy("doc_id").agg(count)
+    outcomes = stored(cites(clause_rows, index).groupBy("outcome", "cross_doc").agg(count))
+    documents = stored(clause_rows.groupBy("doc_id").agg(count))
     parts = {
         "clauses": documents.agg(total), "documents": documents.agg(count), "citations": outcomes.filter("outcome = 'edge'").agg(total), "citations_cross_doc": outcomes.filter("outcome = 'edge' AND cross_doc").agg(total),
-        "unresolved_law": outcomes.filter("outcome = 'unknown_law'").agg(total), "unresolved_clause": outcomes.filter("outcome = 'unknown_clause'").agg(total), "implements": implements(clause_rows).agg(count), "references": references(clause_rows).agg(count),
+        "unresolved_law": outcomes.filter("outcome = 'unknown_law'").agg(total), "unresolved_clause": outcomes.filter("outcome = 'unknown_clause'").agg(total), "implements": implements(clause_rows, index).agg(count), "references": references(clause_rows, index).agg(count),
     }
     return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("measure"), "n") for name, df in parts.items()))
 
@@ -110,13 +117,31 @@ def cites_neighbours(edges: DataFrame, seeds: DataFrame, per_seed: int | None) -
     return _capped(rows.groupBy("seed", "clause_id").agg(F.count(F.lit(1)).alias("weight")), per_seed)
 
 
-def mentions_neighbours(mentions: DataFrame, seeds: DataFrame, min_shared: int, per_seed: int | None) -> DataFrame:
+#: An entity with more mentions than this is heavy: its mentions are dealt into parts of about this many.
+HEAVY = 10_000
+
+
+def met_by_entity(left: DataFrame, right: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """left joined with right on entity_id, by a heavy/light split: an entity with more than `heavy` rows in right has them dealt into
+    salted parts, and its rows in left go to each part; all other entities meet in one task. Columns of the two must differ but for it."""
+    degrees = right.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy)
+    parts = small(stored(degrees.select("entity_id", F.ceil(F.col("_n") / heavy).cast("int").alias("_parts"))))
+    dealt = lambda rows, salt: rows.join(parts, "entity_id", "left").withColumn("_salt", salt).drop("_parts")
+    spread = F.when(F.col("_parts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_parts"))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    # the salt is drawn and kept before the join, so that a part that is worked on again is the same
+    return dealt(left, every).join(stored(dealt(right, spread)), ["entity_id", "_salt"]).drop("_salt")
+
+
+def mentions_neighbours(mentions: DataFrame, seeds: DataFrame, min_shared: int, per_seed: int | None, heavy: int = HEAVY) -> DataFrame:
     """seed, clause_id, weight: clauses that share min_shared distinct entities or more with a seed (mentions: clause_id, entity_id).
-    Only the seeds' mentions meet the others, so the join is as large as what the seeds touch."""
-    own = mentions.distinct()
-    start = own.join(seeds.select(F.col("seed").alias("clause_id")).distinct(), "clause_id", "left_semi").select(F.col("clause_id").alias("seed"), "entity_id")
-    others = own.join(seeds.select(F.col("seed").alias("clause_id")).distinct(), "clause_id", "left_anti")
-    rows = start.join(others, "entity_id").groupBy("seed", "clause_id").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= min_shared)
+    Only the seeds' mentions meet the others, so the join is as large as what the seeds touch; hub entities are met in salted parts, and
+    what they have in common is summed where they meet before it is shuffled."""
+    own = stored(mentions.select("clause_id", "entity_id").distinct())
+    seeds = stored(seeds.select(F.col("seed").alias("clause_id")).distinct())
+    start = own.join(small(seeds), "clause_id", "left_semi").select(F.col("clause_id").alias("seed"), "entity_id")
+    others = own.join(small(seeds), "clause_id", "left_anti")
+    rows = met_by_entity(start, others, heavy).groupBy("seed", "clause_id").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= min_shared)
     return _capped(rows, per_seed)
 
 
@@ -167,14 +192,15 @@ def paths_up_to_two(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return one.unionByName(two).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("paths"))
 
 
-def shared_entities(mentions: DataFrame, ends: DataFrame) -> DataFrame:
+def shared_entities(mentions: DataFrame, ends: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """sample, left, right, shared: the most entities that a clause of one endpoint of a sample shares with one of another (ends: sample,
-    endpoint, clause_id)."""
-    rows = ends.join(mentions.distinct(), "clause_id")
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, F.expr("x.sample = y.sample AND x.entity_id = y.entity_id AND x.endpoint < y.endpoint"))
-    keys = [F.col("x.sample").alias("sample"), F.col("x.endpoint").alias("left"), F.col("y.endpoint").alias("right")]
-    each = pairs.groupBy(*keys, F.col("x.clause_id").alias("c1"), F.col("y.clause_id").alias("c2")).agg(F.count(F.lit(1)).alias("n"))
+    endpoint, clause_id). Samples meet entities, and an entity that crowds a sample is met in salted parts."""
+    rows = stored(ends.select("sample", "endpoint", "clause_id").join(mentions.select("clause_id", "entity_id").distinct(), "clause_id"))
+    at = F.struct("sample", "entity_id").alias("entity_id")
+    x = rows.select(at, F.col("endpoint").alias("left"), F.col("clause_id").alias("c1"))
+    y = rows.select(at, F.col("endpoint").alias("right"), F.col("clause_id").alias("c2"))
+    pairs = met_by_entity(x, y, heavy).filter("left < right")
+    each = pairs.groupBy(F.col("entity_id.sample").alias("sample"), "left", "right", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("sample", "left", "right").agg(F.max("n").alias("shared"))
 
 

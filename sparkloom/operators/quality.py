@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators.rollups import ratio
+from sparkloom.storage import small, stored
 
 COUNTERS = ("refs_sent", "refs_returned", "refs_missing", "refs_unknown", "raw_entities", "unknown_types", "invalid_names", "duplicates", "over_limit", "mentions", "entities")
 DISCARDS = ("unknown_types", "invalid_names", "duplicates", "over_limit")
@@ -15,14 +16,57 @@ ENUM_MARKS = 8
 MIN_CHARS = 40
 
 
-def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
-    """The values at place round(q * (n - 1)), half to even, from 0, one column a share. Values are counted first: what is ordered
-    in one window is distinct values, not rows."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("_hi", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    at = lambda q: F.least(F.bround(q * (F.col("_all") - 1), 0), F.col("_all") - 1)
-    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_hi") > at(q), F.col(value))).alias(f"p{round(100 * q)}") for q in shares))
+#: Rows of a key that are ordered in one window at most; above, selection goes on.
+ORDERED = 100_000
+#: Of percentile_approx: its ranks are off by a row in so many.
+ACCURACY = 10_000
+
+
+def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = (), ordered: int = ORDERED, accuracy: int = ACCURACY) -> DataFrame:
+    """The values at place round(q * (n - 1)), half to even, from 0, one column a share; exact, by selection in passes.
+
+    A pass cuts the distinct values that are left for a place into some 32 bins (by a mergeable sketch, combined before the shuffle),
+    counts the rows of each bin exactly and keeps the one bin that holds the place. Once no place has more than `ordered` distinct values
+    left, these are ordered, with their counts. So neither rows nor all distinct values of a key ever meet in one task. Null values don't
+    count; a key without values isn't there, but without keys there is one row of nulls."""
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = stored(df.filter(F.col(value).isNotNull()).groupBy(*own, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    totals = rows.groupBy(*names).agg(F.sum("_n").alias("_all")).filter("_all IS NOT NULL")
+    at = F.array(*(F.struct(F.lit(i).alias("i"), F.least(F.bround(q * (F.col("_all") - 1), 0), F.col("_all") - 1).cast("bigint").alias("at")) for i, q in enumerate(shares)))
+    # a place: the rank wanted among the values that are left (of rows, not of distinct values)
+    places = stored(totals.select(*names, F.explode(at).alias("x")).select(*names, F.col("x.i").alias("_i"), F.col("x.at").alias("_at")))
+    by = [*names, "_i"]
+    left = _joined(rows, places.select(*by), names)
+    while True:
+        sizes = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"))
+        crowded = stored(sizes.filter(F.col("_d") > ordered).select(*by))
+        if crowded.isEmpty():
+            break
+        # shares of distinct values: their counts' sums tell the true places of the bounds
+        many = _joined(left, crowded, by)
+        bounds = many.groupBy(*by).agg(F.percentile_approx("_v", [k / 32 for k in range(33)], accuracy).alias("_b"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        bounds = stored(bounds.select(*by, F.array_distinct(F.concat(F.array("_lo"), "_b", F.array("_hi"))).alias("_b")))
+        binned = _joined(many, bounds, by).withColumn("_bin", F.size(F.filter("_b", lambda x: x <= F.col("_v"))))
+        counts = stored(binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_s")))
+        upto = F.sum("_s").over(Window.partitionBy(*by).orderBy("_bin"))  # 35 bins at most
+        chosen = _joined(counts.withColumn("_upto", upto), places, by).filter((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_s")))
+        chosen = stored(chosen.select(*by, F.col("_bin").alias("_in"), (F.col("_at") - F.col("_upto") + F.col("_s")).alias("_new")))
+        kept = _joined(binned, chosen, by).filter(F.col("_bin") == F.col("_in")).select(*by, "_v", "_n")
+        left = stored(kept.unionByName(_joined(left, crowded, by, "left_anti").select(*by, "_v", "_n")))
+        places = stored(_joined(places, chosen, by, "left").select(*by, F.coalesce("_new", "_at").alias("_at")))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = _joined(left.withColumn("_upto", upto), places, by).filter(F.col("_upto") > F.col("_at"))
+    hit = hit.groupBy(*by).agg(F.min("_v").alias("_v"))
+    return hit.groupBy(*(F.col(n).alias(k) for n, k in zip(names, keys))).agg(*(F.min(F.when(F.col("_i") == i, F.col("_v"))).alias(f"p{round(100 * q)}") for i, q in enumerate(shares)))
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, nulls being equal; without keys every row meets the right side's, which then has one row a place at most."""
+    renamed = right.withColumnsRenamed({k: f"_r{k}" for k in by})
+    on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in by]
+    out = left.join(F.broadcast(renamed) if not by else small(renamed), on if on else F.lit(True), how)
+    return out.drop(*(f"_r{k}" for k in by))
 
 
 def degree_summary(degrees: DataFrame, hubs: tuple[int, ...] = HUBS) -> DataFrame:

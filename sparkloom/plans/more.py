@@ -6,6 +6,8 @@ from sparkloom.operators import chunking as C
 from sparkloom.operators import graph as G
 from sparkloom.operators import listing as L
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import similar as S
+from sparkloom.operators.segmentation import segmented
 from sparkloom.operators.usage import priced_twice
 from sparkloom.plans import graph as PG
 from sparkloom.plans import listing as PL
@@ -68,7 +70,24 @@ def pending(s, d):
     return tables.pending(files, marker)
 
 
+def law_words(s, d):
+    """A dictionary from `part`: the titles' words, as frequent as parts have them, and the general words of the texts."""
+    titles = table(s, d, "part").select(PG._title(F.col("p_size")).alias("title"))
+    general = F.array(*map(F.lit, ("税法", "实施条例", "条例", "依照", "参见", "本法")))
+    named = titles.select(F.col("title").alias("word")).unionByName(titles.select(F.explode(general).alias("word")))
+    return named.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def similar_statements(s, d):
+    """Statements about parts: names of a brand's parts, of which some are written in two ways."""
+    rows = table(s, d, "part")
+    content = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_partkey") % 3 == 0, F.lit("!")).otherwise(""))
+    return S.duplicate_statements(rows.select(F.lit("fact").alias("memory_type"), F.lit("user").alias("scope"), F.col("p_brand").alias("scope_key"), F.col("p_partkey").alias("ord"), content.alias("content")))
+
+
 QUERIES = {
+    "r02_segmented": lambda s, d: segmented(PG.chunks(s, d).select("id", F.concat("title", "content").alias("text")), law_words(s, d)).select("id", F.array_join("tokens", "|").alias("tokens")),
+    "q06_similar_statements": similar_statements,
     "s14_vector_count": counted,
     "s16_merged_graph": merged_graph,
     "s17_pending": pending,

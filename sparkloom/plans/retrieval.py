@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import retrieval as R
+from sparkloom.operators import text_index as T
+from sparkloom.operators import vector_index as V
+from sparkloom.storage import stored
 from sparkloom.tables import table
 
 
@@ -23,7 +26,7 @@ def hits(s, d):
     near = R.cosine_top_k(vectors(s, d).join(questions(s, d), F.col("id") == F.col("query_id"), "left_semi").select(F.col("id").alias("query_id"), "vector"), vectors(s, d), 50)
     legs = (R.bm25(questions(s, d), corpus(s, d), 50), near, R.keyword_overlap(questions(s, d), corpus(s, d).withColumn("tags", F.array(F.lit("t"))), 0.2, 50))
     rows = reduce(DataFrame.unionByName, (h.select("query_id", F.lit(k).alias("leg"), "id", "rank") for k, h in enumerate(legs)))
-    return rows.join(chunks(s, d).select("id", "source", "parent_id"), "id")
+    return stored(rows.join(chunks(s, d).select("id", "source", "parent_id"), "id"))
 
 
 def chunks(s, d):
@@ -61,6 +64,16 @@ def vectors(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def near_queries(s, d):
+    return vectors(s, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def ivf(s, d):
+    """The approximate search, with as many probes as its tuning asks for."""
+    index = V.build(vectors(s, d))
+    return V.search(index, near_queries(s, d), 10, V.probes_for(index, near_queries(s, d), 10)).select("query_id", "id", "rank")
+
+
 def prompts(s, d):
     rows = table(s, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("title"), F.col("text").alias("content"))
     return rows.withColumn("supplementary", F.col("rank") % 3 == 2)
@@ -69,7 +82,10 @@ def prompts(s, d):
 QUERIES = {
     "r01_keyword_overlap": lambda s, d: R.keyword_overlap(questions(s, d), corpus(s, d).withColumn("tags", F.array(F.lit("t"))), 0.2, 10),
     "r04_bm25": lambda s, d: R.bm25(questions(s, d), corpus(s, d), 10),
-    "r06_cosine_top_k": lambda s, d: R.cosine_top_k(vectors(s, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), vectors(s, d), 10).select("query_id", "id", "rank"),
+    "r04_bm25_blocks": lambda s, d: T.search(T.build(corpus(s, d)), questions(s, d), 10)[0],
+    "r06_cosine_top_k": lambda s, d: R.cosine_top_k(near_queries(s, d), vectors(s, d), 10).select("query_id", "id", "rank"),
+    "r06_ivf_top_k": ivf,
+    "r06_ivf_exact": lambda s, d: V.search_exact(V.build(vectors(s, d)), near_queries(s, d), 10, 2).select("query_id", "id", "rank"),
     "r07_reciprocal_rank_fusion": lambda s, d: R.fuse(hits(s, d)).select("query_id", "id", "rank", "best", F.round("rrf_score", 9).alias("rrf_score")),
     "r08_collapse": lambda s, d: R.collapse(fused(s, d)).select("query_id", "id", "rank", "collapsed_siblings"),
     "r09_quota": lambda s, d: R.quota(fused(s, d), 3, 20, 3).select("query_id", "id", "role", "place"),
@@ -101,7 +117,9 @@ COLLAPSED = """, collapsed AS (SELECT query_id, id, source, CASE WHEN n > 0 THEN
 ORACLES = {
     "r01_keyword_overlap": f"WITH {OVERLAP} {K_TOP(10)}",
     "r04_bm25": f"WITH {BM25} SELECT query_id, id, round(score, 4) AS score, rank FROM ({B_TOP(10)})",
+    "r04_bm25_blocks": f"WITH {BM25} SELECT query_id, id, round(score, 4) AS score, rank FROM ({B_TOP(10)})",
     "r06_cosine_top_k": f"WITH {COSINE.format(which='id % 20 = 0')} SELECT query_id, id, rank FROM ({C_TOP(10)})",
+    "r06_ivf_exact": f"WITH {COSINE.format(which='id % 20 = 0')} SELECT query_id, id, rank FROM ({C_TOP(10)})",
     "r07_reciprocal_rank_fusion": f"WITH {FUSED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, best, round(rrf_score, 9) AS rrf_score FROM fused",
     "r08_collapse": f"WITH {FUSED}{COLLAPSED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, collapsed_siblings FROM collapsed",
     "r09_quota": f"WITH {FUSED}{QUOTA.format(t='fused', limit=20, over=3)} SELECT query_id, id, role, place FROM quota",
