@@ -26,3 +26,17 @@ def words_of(text: Column) -> Column:
 
 def n_words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns in one, `row`, so that a stage's own names can't meet those of the table."""
+    return docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"))
+
+
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of `row` again, but for those that are replaced."""
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in columns))

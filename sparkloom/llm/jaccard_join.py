@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import _hashes as H
-from sparkloom.llm._base import documents, dropped, small, stored, text_of
+from sparkloom.llm._base import documents, dropped, packed, small, stored, text_of, unpacked
 from sparkloom.llm.components import components, merged
 
 N = 3
@@ -342,11 +342,11 @@ def deduped(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = signed.join(classes, ["k1", "k2"], "left").filter("n = 0 OR (id = of.id AND key = of.key)")
     kept = stored(kept.groupBy("id", "key").agg(F.count(F.lit(1)).alias("_rows"), F.max("n").alias("_n")))
     kept = kept.select(F.col("id").alias("_id"), F.col("key").alias("_key"), ((F.col("_rows") > 1) & (F.col("_n") > 0)).alias("_again"))
-    own = keyed(docs)
-    id_, key = own.select("id").schema[0].dataType, F.xxhash64(text_of())
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast(id_), F.lit(NO_ID).cast(id_))).withColumn("_key", key).join(kept, ["_id", "_key"])
+    id_ = keyed(docs).select("id").schema[0].dataType
+    own, key = F.coalesce(F.col("row")["doc_id"].cast(id_), F.lit(NO_ID).cast(id_)), F.xxhash64(F.coalesce(F.col("row")["text"], F.lit("")))
+    rows = packed(docs).withColumn("_id", own).withColumn("_key", key).join(kept, ["_id", "_key"])
     once = rows.filter("_again").dropDuplicates(["_id", "_key"])
-    return rows.filter("NOT _again").unionByName(once).select(*docs.columns)
+    return unpacked(rows.filter("NOT _again").unionByName(once), docs.columns)
 
 
 def query(spark, sf_dir):

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import WORD, documents, stored, text_of
+from sparkloom.llm._base import WORD, documents, packed, stored, text_of, unpacked
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -138,24 +138,23 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def _with_kept(docs: DataFrame, **options) -> DataFrame:
-    """The documents with _gone (line numbers) and _kept (text); names that no table has."""
-    gone = dropped_lines(docs, **options).select(F.col("doc_id").alias("_of"), F.col("dropped").alias("_gone"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    kept = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    """row (the document's columns), gone (line numbers) and kept (text)."""
+    gone = dropped_lines(docs, **options).select(F.col("doc_id").alias("of"), F.col("dropped").alias("gone"))
+    text = F.col("row")["text"]
+    out = packed(docs).join(gone, F.col("row")["doc_id"].eqNullSafe(F.col("of")), "left")
+    kept = F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return out.select("row", F.when(F.col("gone").isNull(), text).otherwise(kept).alias("kept"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """The documents with `dropped` (line numbers; empty if none) and `kept_text`, which replace columns of these names."""
     own = [c for c in docs.columns if c not in ("dropped", "kept_text")]
-    return _with_kept(docs, **options).select(*own, F.col("_gone").alias("dropped"), F.col("_kept").alias("kept_text"))
+    return unpacked(_with_kept(docs, **options), [*own, "dropped", "kept_text"], dropped=F.col("gone"), kept_text=F.col("kept"))
 
 
 def deduped(docs: DataFrame, **options) -> DataFrame:
     """The documents, without the dropped lines."""
-    new = {"text": F.col("_kept").alias("text"), "n_chars": F.length("_kept").cast("long").alias("n_chars")}
-    return _with_kept(docs, **options).select(*(new.get(c, F.col(c)) for c in docs.columns))
+    return unpacked(_with_kept(docs, **options), docs.columns, text=F.col("kept"), n_chars=F.length("kept").cast("long"))
 
 
 def query(spark, sf_dir):

@@ -6,9 +6,12 @@ What the mix takes of a block in one pass is a drawn block. The tree splits the
 a node halves its shards and draws, without replacement, how many drawn blocks of each source go left, so that shards differ by one
 block at most. A leaf's blocks are disjoint, and its rows are ordered by hash.
 
+Rows are known by doc_id and a hash of all their columns. Rows that are equal in these stand as one with their number; how many of them
+are in the part of the last pass is a number, too, so that they may be any share of all rows.
+
 Cases: a null text has size 0; null is a source of its own, the last; empty documents are taken whole passes only; rows that
-repeat a doc_id are separate rows that are taken alike; null doc_ids are in one block; very long texts are taken whole; an empty table
-gives an empty result; further columns are kept by `mixed` and ignored by `mix`.
+share a doc_id, or have none, are judged each; very long texts are taken whole; an empty table gives an empty result; further columns,
+of any name, are kept by `mixed` and part of what knows a row.
 """
 
 from __future__ import annotations
@@ -20,22 +23,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import documents, n_words_of, stored, text_of
+from sparkloom.llm._base import documents, n_words_of, packed, small, stored, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 DOCS_PER_BLOCK = 2000
 SHARDS = 16
+#: Equal rows that are listed together.
+CUT = 4096
 SEED = 7
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """source, source_size, n_docs, target of each source; one row a source.
+    """source, source_size, n_docs, target of each source; one row a source. sizes: source, size, m (how many rows are so).
 
     With the sources sorted by max_passes * size / weight, those that reach their limit are a prefix; the share of a unit
     of weight follows from what the prefix leaves, so no rounds of resharing are needed.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n_docs"))
     ranked = by.withColumn("i", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", weight).withColumn("most", max_passes * F.col("source_size"))
@@ -68,27 +73,24 @@ def before(rows: DataFrame, amount: str, name: str, tie: tuple) -> DataFrame:
 
 
 def draw(sizes: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, seed: int = SEED) -> DataFrame:
-    """The documents with block, order, passes, extra (whether taken once more) and taken."""
+    """The groups of equal rows (doc_id, key, source, size, m) with block, ord, passes (of all rows) and extra (rows taken once more)."""
     goal = targets(sizes).withColumn("n_blocks", F.ceil(F.col("n_docs") / docs_per_block)).withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
     rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    doc = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key")
     rows = rows.withColumn("block", _key(F.lit(f"{seed}b"), doc) % F.col("n_blocks")).withColumn("ord", _key(F.lit(f"{seed}o"), doc))
     rows = rows.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rows = rows.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    blocks = rows.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"), F.min("rest").alias("rest"))
+    blocks = rows.groupBy("source_key", "block").agg(F.sum(F.col("size") * F.col("m")).alias("block_size"), F.min("rest").alias("rest"))
     place = _key(F.lit(f"{seed}p"), F.col("source_key").cast("string"), F.col("block").cast("string"))
     blocks = before(stored(blocks.withColumn("place", place)), "block_size", "before", ("block",))
     blocks = blocks.withColumn("left", F.col("rest") - F.col("before")).select("source_key", "block", "left", "block_size")
     rows = rows.join(blocks, ["source_key", "block"])
-    within = Window.partitionBy("source_key", "block").orderBy("ord", "doc_id")
-    whole = F.col("left") >= F.col("block_size")
-    # rows that repeat a doc_id are in or out together
-    upto = F.sum("size").over(within) - F.sum("size").over(Window.partitionBy("source_key", "block", "ord", "doc_id"))
-    # the document at the cut is in if more than half of it fits
-    extra = (whole | ((F.col("left") > 0) & (upto + F.col("size") / 2 <= F.col("left")))) & (F.col("size") > 0)
-    rows = rows.withColumn("extra", extra)
-    rows = rows.withColumn("copies", F.least(F.col("passes") + F.col("extra").cast("long"), F.lit(MAX_PASSES))).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows
+    within = Window.partitionBy("source_key", "block").orderBy("ord", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum(F.col("size") * F.col("m")).over(within), F.lit(0))
+    # the row at the cut is in if half of it or more fits
+    fit = F.floor((F.col("left") - upto) / F.col("size") + 0.5)
+    some = F.when(F.col("left") >= F.col("block_size"), F.col("m")).when(F.col("left") > 0, F.greatest(F.lit(0), F.least(F.col("m"), fit))).otherwise(0)
+    return rows.withColumn("extra", F.when((F.col("size") > 0) & (F.col("passes") < MAX_PASSES), some).otherwise(0).cast("long"))
 
 
 def split(counts: dict, shards: int, seed: int = SEED) -> dict:
@@ -131,26 +133,61 @@ def shards_of(drawn: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     return dealt.select("source_key", "block", "pass", "shard")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of `row` (those that can't be hashed, as JSON)."""
+    plain = ("map", "variant", "interval")
+    kind = lambda f: any(k in f.dataType.simpleString() for k in plain)
+    parts = [F.to_json(F.struct(F.col("row")[f.name])) if kind(f) else F.col("row")[f.name] for f in docs.schema]
+    # a null is left out by the hash: its place is hashed as well
+    return F.xxhash64(*parts, *(F.col("row")[f.name].isNull() for f in docs.schema))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return packed(docs).select("row", F.col("row")["doc_id"].alias("doc_id"), row_key(docs).alias("key"))
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """A row for each of a group's m equal rows, with its number i; large groups are cut first and their parts dealt anew."""
+    numbered = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    few = rows.filter(F.col("m") <= CUT).withColumn("i", numbered(F.lit(0).cast("long"), F.col("m") - 1))
+    cut = rows.filter(F.col("m") > CUT).withColumn("part", numbered(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CUT)))
+    cut = cut.repartition("key", "part").withColumn("i", numbered(F.col("part") * CUT, F.least(F.col("m"), (F.col("part") + 1) * CUT) - 1))
+    return few.unionByName(cut.drop("part"))
+
+
+def _plan(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, key, m, i and what `mix` says of each row."""
+    sizes = _keyed(docs).select("doc_id", "key", F.col("row")["source"].alias("source"), n_words_of(F.coalesce(F.col("row")["text"], F.lit(""))).alias("size"))
+    sizes = stored(sizes.groupBy("doc_id", "key", "source", "size").agg(F.count(F.lit(1)).alias("m")))
+    rows = stored(draw(sizes, docs_per_block, seed).select("doc_id", "key", "source", "source_key", "block", "size", "m", "source_size", "target", "ord", "passes", "extra"))
+    most = F.max(F.col("passes") + (F.col("extra") > 0).cast("long")).alias("n")
+    drawn = rows.groupBy("source_key", "block").agg(most).filter("n > 0")
+    drawn = drawn.select("source_key", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("pass"))
+    dealt = shards_of(drawn, shards, seed).groupBy("source_key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
+    rows = _each(rows.join(dealt, ["source_key", "block"], "left"))
+    rows = rows.withColumn("copies", F.col("passes") + (F.col("i") < F.col("extra")).cast("long"))
+    own = F.coalesce(F.slice(F.transform("dealt", lambda x: x["shard"]), F.lit(1), F.col("copies").cast("int")), F.array().cast("array<int>"))
+    return rows.select("doc_id", "key", "m", "i", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), own.alias("shards"), "ord")
+
+
 def mix(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, shards (each copy's; empty: not in the mix) and ord of every document."""
-    sizes = stored(docs.select("doc_id", "source", n_words_of(text_of()).alias("size")))
-    rows = stored(draw(sizes, docs_per_block, seed).select("doc_id", "source", "source_key", "block", "size", "source_size", "target", "ord", "copies", "taken"))
-    drawn = rows.groupBy("source_key", "block").agg(F.max("copies").alias("n")).filter("n > 0")
-    drawn = drawn.select("source_key", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("pass"))
-    dealt = shards_of(drawn, shards, seed).groupBy("source_key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("passes"))
-    rows = rows.join(dealt, ["source_key", "block"], "left")
-    own = F.coalesce(F.slice(F.transform("passes", lambda x: x["shard"]), F.lit(1), F.col("copies").cast("int")), F.array().cast("array<int>"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", own.alias("shards"), "ord")
+    return _plan(docs, docs_per_block, shards, seed).drop("key", "m", "i")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the documents' rows, each as often as it is taken, shuffled within their shard. The shards' rows lie
-    together, in the order of a hash of the document and the copy."""
-    plan = mix(docs, **options).filter(F.col("copies") > 0).select(F.col("doc_id").alias("_of"), F.col("shards").alias("_shards"), F.col("ord").alias("_ord"))
-    rows = docs.join(plan.dropDuplicates(["_of"]), F.col("doc_id").eqNullSafe(F.col("_of")))
-    rows = rows.select(*docs.columns, "_ord", F.posexplode("_shards").alias("_copy", "_shard"))
-    rows = rows.withColumn("_at", F.xxhash64("_ord", "_copy"))
-    return rows.repartition("_shard", F.pmod("_at", F.lit(64))).sortWithinPartitions("_shard", "_at").select(*docs.columns)
+    """The mix itself: the documents' rows, each as often as it is taken. A shard's rows lie in 64 pieces at most, each in the order of a
+    hash of the document and the copy, which shuffles them."""
+    plan = stored(_plan(docs, **options).filter(F.col("copies") > 0).select(F.col("doc_id").alias("of"), F.col("key").alias("k"), "m", "i", "shards", "ord"))
+    rows, same = _keyed(docs), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("k"))
+    out = rows.join(plan.filter("m = 1"), same)
+    again = stored(plan.filter("m > 1").select("of", "k").distinct())
+    if not again.isEmpty():  # of rows that are equal one stands for all
+        one = rows.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "key"])
+        out = out.unionByName(one.join(plan.filter("m > 1"), same))
+    out = out.select("row", "ord", "i", F.posexplode("shards").alias("copy", "shard")).withColumn("at", F.xxhash64("ord", "i", "copy"))
+    out = out.repartition("shard", F.pmod(F.col("at"), F.lit(64))).sortWithinPartitions("shard", "at")
+    return unpacked(out, docs.columns)
 
 
 def query(spark, sf_dir):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import WORD, documents, dropped, n_words_of, small, stored, text_of, words_of
+from sparkloom.llm._base import WORD, documents, dropped, n_words_of, packed, small, stored, text_of, unpacked, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -125,13 +125,15 @@ def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_kept_percent
     gone = found.join(first, ["host", "line"]).filter(F.col("doc_id") != F.col("first_doc"))
     gone = stored(gone.groupBy(F.col("doc_id").alias("_of"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone")))
     dropped(lines, common, verdicts, found)
-    rows = docs.join(small(kept), F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
-    out = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_of")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_host")), "left")
-    left = F.filter(F.split(text_of(), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    n_chars = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long") if "n_chars" in docs.columns else None
-    new = {"text": F.col("_kept").alias("text"), "n_chars": n_chars if n_chars is None else n_chars.alias("n_chars")}
-    return out.select(*(new.get(c, F.col(c)) for c in docs.columns))
+    of, text = F.col("row")["doc_id"], F.col("row")["text"]
+    rows = packed(docs).join(small(kept), of.eqNullSafe(F.col("_of")), "left_semi")
+    out = rows.join(small(gone), of.eqNullSafe(F.col("_of")) & (F.coalesce(F.col("row")["source"], F.lit("")) == F.col("_host")), "left")
+    left = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
+    out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")))
+    new = {"text": F.col("_kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("row")["n_chars"]).otherwise(F.length("_kept")).cast("long")
+    return unpacked(out, docs.columns, **new)
 
 
 def query(spark, sf_dir):

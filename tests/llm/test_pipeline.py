@@ -1,5 +1,10 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import re
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sparkloom.llm import jaccard_join, line_dedup, mixing, quality_rules
 from sparkloom.llm._base import stored
@@ -58,3 +63,27 @@ def test_stages_of_odd_rows(spark, sf):
             assert set(ids) <= {None, 2, 3, 4, 5} and 5 in ids
         else:
             assert ids == kept[name], name
+
+
+def internal_names():
+    """Every column name that the stages' modules give, taken from their code."""
+    folder = Path(corpus_pipeline.__file__).parent / "sparkloom"
+    code = "".join((folder / "llm" / f"{m}.py").read_text() for m in ("_base", "quality_rules", "line_dedup", "jaccard_join", "components", "mixing", "bpe")) + (folder / "operators/components.py").read_text()
+    found = set(re.findall(r'(?:alias|withColumn|withColumnRenamed|col|select|drop|groupBy|agg)\("(\w+)"', code)) | set(re.findall(r'"(\w+)", F\.', code)) | set(re.findall(r'"(_\w+)"', code))
+    return sorted({n for n in found if len(n) < 20} - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def test_names_of_the_stages_in_the_table(spark, sf):
+    """Columns that are named as the stages' own come back with the user's values."""
+    names = [n for n in internal_names() if n not in ("dropped", "kept_text")]
+    assert {"_gone", "_of", "_host", "_again", "_kept", "_id", "_key", "row", "shards", "ord", "at", "copy", "key"} <= set(names)
+    words = lambda k, n: " ".join(f"k{k}w{j}" for j in range(n))
+    shared = "\nthis line is in all of these documents"
+    rows = [(k, words(k % 55, 60 + k % 55) + shared, "en", f"s{k % 2}" if k > 60 else "s", 0) for k in range(70)] + [(None, words(99, 60), None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *(F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names), F.lit(1).alias("a b.c`d"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}:{'null' if r.doc_id is None else r.doc_id}" for r in got for n in names), name
