@@ -13,7 +13,7 @@ from sparkloom.plans import graph as PG
 from sparkloom.plans import listing as PL
 from sparkloom.plans import retrieval as PR
 from sparkloom.plans.views import view
-from sparkloom.sources import tables
+from sparkloom.sources import deltas, tables
 from sparkloom.storage import scratch
 from sparkloom.tables import table
 
@@ -45,8 +45,8 @@ def merged_graph(s, d):
     nodes = {"Clause": table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))}
     edges = {"CITES": PG.edges(s, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("occurrences"))}
     for _ in range(2):
-        tables.merge_graph(s, folder, nodes, edges)
-    return tables.read(s, f"{folder}/edges/CITES")
+        deltas.merge_graph(s, folder, nodes, edges)
+    return deltas.read(s, f"{folder}/edges/CITES")
 
 
 def stored_table(s, rows, change):
@@ -66,8 +66,8 @@ def counted(s, d):
 def pending(s, d):
     files, marker = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "doc_id"), scratch(s)
     for k in range(2):
-        tables.mark_done(files.filter(F.col("doc_id") % 3 == k), marker)
-    return tables.pending(files, marker)
+        deltas.mark_done(files.filter(F.col("doc_id") % 3 == k), marker)
+    return deltas.pending(files, marker)
 
 
 def law_words(s, d):

@@ -33,10 +33,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{found[-1]}")
 
 
+def _claimed(spark: SparkSession, path: str) -> int:
+    """The number of a new version, which no other writer gets: its claim is a file that is made only if it isn't there."""
+    number = max(versions(spark, path), default=0) + 1
+    while True:
+        fs, where = _files(spark, f"{path}/claims/v{number}")
+        try:
+            fs.create(where, False).close()
+            return number
+        except Exception as e:
+            if "already exists" not in str(e):
+                raise
+            number += 1
+
+
 def replace(df: DataFrame, path: str, keep: int = 2) -> None:
     """df becomes the table; the last `keep` versions stay, for those who still read them."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}/v{max(versions(spark, path), default=0) + 1}")
+    df.write.parquet(f"{path}/v{_claimed(spark, path)}")
     fs, where = _files(spark, path)
     for old in versions(spark, path)[:-keep]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(where, f"v{old}"), True)
@@ -85,30 +99,3 @@ def count(spark: SparkSession, path: str, statistics: DataFrame | None = None) -
             return 0
         row = statistics.select(F.max("n").alias("n")).first()
         return int(row["n"] or 0)
-
-
-def merge_graph(spark: SparkSession, folder: str, nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> None:
-    """Merges nodes (by id) and edges (by src, dst) into a table for each label and type; edges whose ends no node table has are left out."""
-    for label, rows in nodes.items():
-        merge(rows, f"{folder}/nodes/{label}", ["id"])
-    ids = None
-    fs, where = _files(spark, f"{folder}/nodes")
-    for label in [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []:
-        some = read(spark, f"{folder}/nodes/{label}").select(F.col("id").cast("string").alias("_id"))
-        ids = some if ids is None else ids.unionByName(some)
-    for kind, rows in edges.items():
-        known = rows
-        for end in ("src", "dst"):
-            known = known.limit(0) if ids is None else known.join(ids.distinct(), F.col(end).cast("string") == F.col("_id"), "left_semi")
-        merge(known, f"{folder}/edges/{kind}", ["src", "dst"])
-
-
-def mark_done(done: DataFrame, path: str) -> None:
-    """Adds paths to a marker of work done, all or none of them."""
-    merge(done.select("path"), path, ["path"])
-
-
-def pending(files: DataFrame, marker: str) -> DataFrame:
-    """The files whose path no marker has."""
-    spark = files.sparkSession
-    return files.join(read(spark, marker).select("path"), "path", "left_anti") if exists(spark, marker) else files

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import joins as J
 from sparkloom.operators import retrieval as R
 from sparkloom.sources import files as S
-from sparkloom.sources import relational, tables
+from sparkloom.sources import deltas, relational, tables
 
 M = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -97,18 +97,18 @@ def test_graph_is_merged(spark, tmp_path):
     nodes = {"Clause": spark.createDataFrame([("c1", "x"), ("c2", "y")], "id string, title string"), "Entity": spark.createDataFrame([("e1", "tax")], "id string, name string")}
     edges = {"CITES": spark.createDataFrame([("c1", "c2", 3), ("c1", "gone", 1)], "src string, dst string, occurrences int"), "MENTIONS": spark.createDataFrame([("c1", "e1", 1)], "src string, dst string, occurrences int")}
     for _ in range(2):
-        tables.merge_graph(spark, folder, nodes, edges)
-    assert [tuple(r) for r in tables.read(spark, f"{folder}/edges/CITES").collect()] == [("c1", "c2", 3)]
-    assert tables.read(spark, f"{folder}/edges/MENTIONS").count() == 1 and tables.read(spark, f"{folder}/nodes/Clause").count() == 2
+        deltas.merge_graph(spark, folder, nodes, edges)
+    assert [tuple(r) for r in deltas.read(spark, f"{folder}/edges/CITES").collect()] == [("c1", "c2", 3)]
+    assert deltas.read(spark, f"{folder}/edges/MENTIONS").count() == 1 and deltas.read(spark, f"{folder}/nodes/Clause").count() == 2
 
 
 def test_resume_marker(spark, tmp_path):
     marker = str(tmp_path / "done")
     files = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
-    assert tables.pending(files, marker).count() == 3
-    tables.mark_done(files.filter("path < 'b'"), marker)
-    tables.mark_done(files.filter("path < 'c'"), marker)
-    assert [r.path for r in tables.pending(files, marker).collect()] == ["c"]
+    assert deltas.pending(files, marker).count() == 3
+    deltas.mark_done(files.filter("path < 'b'"), marker)
+    deltas.mark_done(files.filter("path < 'c'"), marker)
+    assert [r.path for r in deltas.pending(files, marker).collect()] == ["c"]
 
 
 def test_relational_source(spark, tmp_path):
@@ -158,3 +158,19 @@ def test_shared_folder(spark, tmp_path):
     joined = lambda t: spark.range(9).join(storage.small(t), "id")._jdf.queryExecution().analyzed().toString()
     few = storage.stored(spark.range(5))
     assert "strategy=broadcast" in joined(few) and "strategy=broadcast" not in joined(storage.stored(spark.range(storage.BROADCAST_BYTES // 32 + 1)))
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    """A number that another writer has claimed isn't written to; what is read is the newest that is finished."""
+    path = str(tmp_path / "t")
+    tables.replace(spark.range(3), path)
+    assert tables._claimed(spark, path) == 2
+    tables.replace(spark.range(5), path)
+    assert tables.versions(spark, path) == [1, 3] and tables.count(spark, path) == 5
+
+
+def test_missing_columns(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, vector string")
+    assert R.missing_columns(df, {"id", "vector"}) == set() == R.missing_columns(df, set())
+    with pytest.raises(ValueError, match=r"\['score', 'text'\]"):
+        R.missing_columns(df, {"text", "id", "score"})
