@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.storage import small, stored
+from sparkloom.storage import BROADCAST_BYTES, small, stored
 
 
 def clauses(chunks: DataFrame) -> DataFrame:
@@ -52,12 +52,45 @@ def _index(clause_rows: DataFrame, index: DataFrame | None) -> DataFrame:
     return title_index(clause_rows) if index is None else index
 
 
-def resolved(names: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds doc (null if unknown) to rows with `name`: the longest known suffix of the name. All suffixes meet the index by equality."""
+class SuffixTrie:
+    """Names read from their ends, as arcs (node, letter) to a node; a node where a name begins has that name's document."""
+
+    def __init__(self, names: list[tuple[str, str]]):
+        self.arcs: dict = {}
+        self.docs: dict = {}
+        for name, doc in names:
+            node = 0
+            for letter in reversed(name):
+                node = self.arcs.setdefault((node, letter), len(self.arcs) + 1)
+            self.docs[node] = doc
+
+    def longest(self, text: str) -> str | None:
+        """The document of the longest name that the text ends with."""
+        node, found = 0, None
+        for letter in reversed(text):
+            node = self.arcs.get((node, letter))
+            if node is None:
+                break
+            found = self.docs.get(node, found)
+        return found
+
+
+def resolved(names: DataFrame, index: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Adds doc (null if unknown) to rows with `name`: the longest known suffix of the name. An index of most_bytes at most becomes a
+    trie of reversed names, which is sent to the tasks and walked once a distinct name; beyond, the suffixes of the lengths that known
+    names have meet the index by equality."""
+    index = stored(index)
     distinct = names.select("name").distinct().withColumn("n", X.normal_title(F.col("name"))).filter("n <> ''")
-    ends = distinct.select("name", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.substring(F.col("n"), i, F.length("n")))).alias("start", "suffix"))
-    found = ends.join(index.select(F.col("name").alias("suffix"), F.col("doc_id").alias("doc")), "suffix")
-    best = found.groupBy("name").agg(F.min(F.struct("start", "doc"))["doc"].alias("doc"))
+    size = index.agg(F.coalesce(F.sum(F.length("name") * 120 + F.length("doc_id") + 100), F.lit(0)).alias("b")).first()["b"]  # arcs are dictionary entries
+    if size <= most_bytes:
+        trie = SuffixTrie([(r["name"], r["doc_id"]) for r in index.select("name", "doc_id").collect()])
+        walk = F.pandas_udf(lambda n: n.map(trie.longest), "string")
+        best = distinct.select("name", walk("n").alias("doc")).filter("doc IS NOT NULL")
+    else:
+        lengths = index.select(F.length("name").alias("size")).distinct()
+        ends = distinct.join(small(stored(lengths)), F.col("size") <= F.length("n")).withColumn("suffix", F.right("n", F.col("size")))
+        found = ends.join(index.select(F.col("name").alias("suffix"), F.col("doc_id").alias("doc")), "suffix")
+        best = found.groupBy("name").agg(F.max_by("doc", "size").alias("doc"))
     return names.join(best, "name", "left")
 
 
@@ -110,10 +143,13 @@ def merged_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def cites_neighbours(edges: DataFrame, seeds: DataFrame, per_seed: int | None) -> DataFrame:
-    """seed, clause_id, weight: over citations in either direction, seeds left out, weight the number of edges."""
+def cites_neighbours(edges: DataFrame, seeds: DataFrame, per_seed: int | None, apart: bool = True) -> DataFrame:
+    """seed, clause_id, weight: over citations in either direction, weight the number of edges; all seeds are left out (apart), or only
+    the seed itself."""
     both = edges.select(F.col("src").alias("seed"), F.col("dst").alias("clause_id")).unionByName(edges.select(F.col("dst").alias("seed"), F.col("src").alias("clause_id")))
-    rows = both.join(seeds.select("seed").distinct(), "seed", "left_semi").join(seeds.select(F.col("seed").alias("clause_id")).distinct(), "clause_id", "left_anti")
+    rows = both.join(seeds.select("seed").distinct(), "seed", "left_semi").filter("seed <> clause_id")
+    if apart:
+        rows = rows.join(seeds.select(F.col("seed").alias("clause_id")).distinct(), "clause_id", "left_anti")
     return _capped(rows.groupBy("seed", "clause_id").agg(F.count(F.lit(1)).alias("weight")), per_seed)
 
 
@@ -133,15 +169,16 @@ def met_by_entity(left: DataFrame, right: DataFrame, heavy: int = HEAVY) -> Data
     return dealt(left, every).join(stored(dealt(right, spread)), ["entity_id", "_salt"]).drop("_salt")
 
 
-def mentions_neighbours(mentions: DataFrame, seeds: DataFrame, min_shared: int, per_seed: int | None, heavy: int = HEAVY) -> DataFrame:
-    """seed, clause_id, weight: clauses that share min_shared distinct entities or more with a seed (mentions: clause_id, entity_id).
+def mentions_neighbours(mentions: DataFrame, seeds: DataFrame, min_shared: int, per_seed: int | None, heavy: int = HEAVY, apart: bool = True) -> DataFrame:
+    """seed, clause_id, weight: clauses that share min_shared distinct entities or more with a seed (mentions: clause_id, entity_id);
+    all seeds are left out (apart), or only the seed itself.
     Only the seeds' mentions meet the others, so the join is as large as what the seeds touch; hub entities are met in salted parts, and
     what they have in common is summed where they meet before it is shuffled."""
     own = stored(mentions.select("clause_id", "entity_id").distinct())
     seeds = stored(seeds.select(F.col("seed").alias("clause_id")).distinct())
     start = own.join(small(seeds), "clause_id", "left_semi").select(F.col("clause_id").alias("seed"), "entity_id")
-    others = own.join(small(seeds), "clause_id", "left_anti")
-    rows = met_by_entity(start, others, heavy).groupBy("seed", "clause_id").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= min_shared)
+    others = own.join(small(seeds), "clause_id", "left_anti") if apart else own
+    rows = met_by_entity(start, others, heavy).filter("seed <> clause_id").groupBy("seed", "clause_id").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= min_shared)
     return _capped(rows, per_seed)
 
 
@@ -175,6 +212,26 @@ def merged_neighbours(legs: list[DataFrame], cap: int) -> DataFrame:
     return _ranked(one, cap)
 
 
+def graph_leg(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, min_shared: int, per_seed: int, cap: int) -> DataFrame:
+    """query_id, id, rank: what the graph reaches from each query's seeds (query_id, seed), over citations and shared entities: of each
+    seed and kind the best per_seed that aren't seeds of the query, weights added, the best `cap` of each query.
+
+    A seed's neighbours are found once, whatever the queries; since a query's own seeds have to be left out of them, so many more are
+    taken for each."""
+    seeds = stored(seeds.select("query_id", "seed").distinct())
+    most = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    kinds = {"cites": cites_neighbours(edges, seeds, per_seed + most, apart=False), "mentions": mentions_neighbours(mentions, seeds, min_shared, per_seed + most, apart=False)}
+    near = reduce(DataFrame.unionByName, (rows.select("seed", "clause_id", "weight", F.lit(kind).alias("kind")) for kind, rows in kinds.items()))
+    near = near.filter(F.coalesce(F.col("clause_id").cast("string"), F.lit("")) != "")
+    rows = seeds.join(near, "seed").join(seeds.select("query_id", F.col("seed").alias("clause_id")), ["query_id", "clause_id"], "left_anti")
+    best = Window.partitionBy("query_id", "seed", "kind").orderBy(F.desc("weight"), "clause_id")
+    rows = rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= per_seed)
+    by_kind = rows.groupBy("query_id", "clause_id", "kind").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("seeds"))
+    one = by_kind.groupBy("query_id", "clause_id").agg(F.sum("weight").alias("weight"), F.max("seeds").alias("seeds"), F.max(F.col("kind") == "cites").alias("cited"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("weight"), F.desc("seeds"), F.desc("cited"), "clause_id")
+    return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("query_id", F.col("clause_id").alias("id"), "rank")
+
+
 def rehydrated(neighbours: DataFrame, chunks: DataFrame) -> DataFrame:
     """Neighbours with the first chunk of their clause; those without one are dropped."""
     rows = chunks.withColumn("clause_id", F.coalesce(F.nullif(F.col("parent_id"), F.lit("")), F.col("id")))
@@ -254,7 +311,7 @@ def endpoints(samples: DataFrame, clause_rows: DataFrame) -> DataFrame:
 def reachability(mentions: DataFrame, seeds: DataFrame, targets: DataFrame, thresholds: DataFrame, cap: int) -> DataFrame:
     """seed, min_shared, neighbours, capped_rank, rank: for each threshold (min_shared) how many clauses a seed reaches, and the rank of
     its target (seed, target) among all and, if within it, under the cap."""
-    near = mentions_neighbours(mentions, seeds, 1, None).join(F.broadcast(thresholds), F.col("weight") >= F.col("min_shared"))
+    near = mentions_neighbours(mentions, seeds, 1, None).join(small(stored(thresholds)), F.col("weight") >= F.col("min_shared"))
     order = Window.partitionBy("seed", "min_shared").orderBy(F.desc("weight"), "clause_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).join(targets, "seed")
     rank = F.min(F.when(F.col("clause_id") == F.col("target"), F.col("rank")))

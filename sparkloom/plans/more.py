@@ -13,7 +13,7 @@ from sparkloom.plans import graph as PG
 from sparkloom.plans import listing as PL
 from sparkloom.plans import retrieval as PR
 from sparkloom.plans.views import view
-from sparkloom.sources import deltas, tables
+from sparkloom.sources import deltas, paged, tables
 from sparkloom.storage import scratch
 from sparkloom.tables import table
 
@@ -63,6 +63,17 @@ def counted(s, d):
     return s.createDataFrame([(tables.count(s, path), tables.count(s, scratch(s), statistics))], "n long, missing long")
 
 
+PAGE = ("-o_orderdate", "o_orderkey")
+
+
+def deep_page(s, d):
+    """Page 40 of the orders, newest first: the cursor behind page 39, then what comes after it."""
+    path = scratch(s)
+    paged.write(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), path, PAGE, rows_per_file=5000)
+    last, _ = paged.at_offset(s, path, PAGE, 39 * 20 - 1, 1)
+    return paged.after(s, path, PAGE, paged.cursor_of(last.first(), PAGE), 20)[0]
+
+
 def pending(s, d):
     files, marker = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "doc_id"), scratch(s)
     for k in range(2):
@@ -91,6 +102,7 @@ QUERIES = {
     "s14_vector_count": counted,
     "s16_merged_graph": merged_graph,
     "s17_pending": pending,
+    "t01_deep_page": deep_page,
     "s19_deleted": lambda s, d: stored_table(s, table(s, d, "customer").select("c_custkey", "c_nationkey"), lambda path: tables.delete(table(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")), path, ["c_nationkey"])),
     "j04_price_fallback": twice,
     "b13_ingest_report": report,
@@ -107,6 +119,7 @@ ORACLES = {
     "s14_vector_count": "SELECT count(*) AS n, CAST(7 AS BIGINT) AS missing FROM embeddings",
     "s16_merged_graph": f"WITH {PG.EDGES} SELECT src, dst, count(*) AS occurrences FROM e WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part) GROUP BY 1, 2",
     "s17_pending": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS path, doc_id FROM documents WHERE doc_id % 3 = 2",
+    "t01_deep_page": "SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 780",
     "s19_deleted": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
     "j04_price_fallback": f"""{PL.PRICED} , y AS (SELECT id, model, CASE WHEN id % 2 = 0 THEN 'house' ELSE 'nothing' END AS requested FROM c)
       SELECT y.id, y.model, coalesce(f.i, g.i) AS input_per_million FROM y LEFT JOIN f ON f.model = y.model LEFT JOIN f g ON g.model = y.requested""",

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import graph as G
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import text_index as T
 from sparkloom.operators import vector_index as V
@@ -29,6 +30,30 @@ def hits(s, d):
     return stored(rows.join(chunks(s, d).select("id", "source", "parent_id"), "id"))
 
 
+#: Seeds of a query, neighbours of a seed, and what the graph adds to a query at most.
+SEEDS, PER_SEED, GRAPH_CAP = 4, 5, 20
+
+
+def document_edges(s, d):
+    """A graph over documents: lines cite from their order's number to their part's, and an order mentions its suppliers."""
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+def document_mentions(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("clause_id"), F.col("l_suppkey").alias("entity_id"))
+
+
+def graph_hits(s, d):
+    """Vector, BM25 and graph legs; the graph starts from the first documents of the other two, taken in turns."""
+    near = R.cosine_top_k(vectors(s, d).join(questions(s, d), F.col("id") == F.col("query_id"), "left_semi").select(F.col("id").alias("query_id"), "vector"), vectors(s, d), 50)
+    lexical = (near, R.bm25(questions(s, d), corpus(s, d), 50))
+    known = corpus(s, d).select("id")
+    rows = stored(reduce(DataFrame.unionByName, (h.select("query_id", F.lit(k).alias("leg"), "id", "rank") for k, h in enumerate(lexical))).join(known, "id", "left_semi"))
+    seeds = R.interleave(rows.withColumn("key", F.col("id")), SEEDS).select("query_id", F.col("id").alias("seed"))
+    reached = G.graph_leg(seeds, document_edges(s, d), document_mentions(s, d), 2, PER_SEED, GRAPH_CAP).withColumn("leg", F.lit(2))
+    return stored(rows.unionByName(reached.select("id", "query_id", "leg", "rank")).join(known, "id", "left_semi"))
+
+
 def chunks(s, d):
     """Documents as chunks; three share a parent, and every second one's parent has a text."""
     text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("ctx "), "content")).otherwise("")
@@ -93,6 +118,9 @@ QUERIES = {
     "r11_expand": lambda s, d: R.expand(corpus(s, d).select("id", "content", F.when(F.col("id") % 2 == 0, F.concat(F.lit("ctx "), "content")).otherwise("").alias("parent_text"))).select("id", F.length("content").alias("n"), "matched_child_id", "matched_child_char_len", "expanded_to_parent"),
     "r12_hybrid": lambda s, d: R.hybrid(hits(s, d).select("query_id", "leg", "id", "rank"), chunks(s, d), questions(s, d), lambda q, t: F.length(t).cast("double"))
         .select("query_id", "id", "rank", "quota_overflow", "rerank_score", "expanded_to_parent", "matched_child_char_len", F.length("content").alias("n_chars")),
+    "r12_graph_leg": lambda s, d: graph_hits(s, d).filter("leg = 2").select("query_id", "id", "rank"),
+    "r12_hybrid_graph": lambda s, d: R.hybrid(graph_hits(s, d), chunks(s, d), questions(s, d), lambda q, t: F.length(t).cast("double"))
+        .select("query_id", "id", "rank", "quota_overflow", "rerank_score", "expanded_to_parent", "matched_child_char_len", F.length("content").alias("n_chars")),
     "r14_prompt_budget": lambda s, d: R.within_budget(prompts(s, d), 600).select("query_id", F.col("rank").alias("turn"), "index", "size", "used"),
     "r16_refusals": lambda s, d: table(s, d, "part").select("p_partkey", R.refused(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("抱歉，检索到的法规片段不足，"), "p_name")).otherwise(F.col("p_name"))).alias("refused")),
     "r17_passes": lambda s, d: R.passes_summed(table(s, d, "lineitem").select(F.col("l_orderkey").alias("answer_id"), F.lit(0.25).alias("cost"), F.col("l_partkey").alias("latency_ms"), F.col("l_suppkey").alias("tokens"))),
@@ -104,6 +132,21 @@ QUERIES = {
     "s12_upsert": lambda s, d: R.upserted(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("ord"), "p_name"), table(s, d, "part").filter("p_partkey % 4 = 0").select((F.col("p_partkey") + 2).alias("id"), F.lit(1).alias("ord"), F.lit("new").alias("p_name")), "id").select("id", "p_name"),
     "s13_point_lookup": lambda s, d: corpus(s, d).join(s.range(0, 50, 7).select("id"), "id", "left_semi").select("id", "title"),
 }
+RERANKED = """b AS (SELECT q.query_id, q.id, q.role, q.place, CAST(length(d.source || chr(10) || d.text) AS DOUBLE) AS rerank_score, length(d.text) AS n FROM quota q JOIN documents d ON d.doc_id = q.id),
+      o AS (SELECT query_id, id, n, CAST(r AS INTEGER) AS rank, false AS quota_overflow, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS r FROM b WHERE role = 'kept') WHERE r <= 5
+      UNION ALL SELECT query_id, id, n, 5 + place, true, NULL FROM b WHERE role = 'overflow')
+      SELECT * EXCLUDE (n), id % 2 = 0 AS expanded_to_parent, CASE WHEN id % 2 = 0 THEN n END AS matched_child_char_len, n + CASE WHEN id % 2 = 0 THEN 4 ELSE 0 END AS n_chars FROM o"""
+GRAPH = f"""{BM25}, {COSINE.format(which='id IN (SELECT item_id FROM benchmark)')}, two AS (SELECT * FROM (SELECT 0 AS leg, * FROM ({C_TOP(50)}) UNION ALL SELECT 1, * FROM ({B_TOP(50)})) WHERE id IN (SELECT doc_id FROM documents)),
+turns AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY rank, leg) = 1),
+seeds AS (SELECT query_id, id AS seed FROM turns QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, leg) <= {SEEDS}),
+ce AS (SELECT l_orderkey AS seed, l_partkey AS clause_id FROM lineitem UNION ALL SELECT l_partkey, l_orderkey FROM lineitem), de AS (SELECT DISTINCT l_orderkey AS clause_id, l_suppkey AS entity_id FROM lineitem),
+near AS (SELECT seed, clause_id, count(*) AS weight, 'cites' AS kind FROM ce WHERE seed IN (SELECT seed FROM seeds) AND seed <> clause_id GROUP BY 1, 2
+  UNION ALL SELECT a.clause_id, b.clause_id, count(*), 'mentions' FROM de a JOIN de b USING (entity_id) WHERE a.clause_id IN (SELECT seed FROM seeds) AND a.clause_id <> b.clause_id GROUP BY 1, 2 HAVING count(*) >= 2),
+reach AS (SELECT s.query_id, s.seed, n.clause_id, n.weight, n.kind FROM seeds s JOIN near n USING (seed) ANTI JOIN seeds x ON x.query_id = s.query_id AND x.seed = n.clause_id
+  QUALIFY row_number() OVER (PARTITION BY s.query_id, s.seed, n.kind ORDER BY n.weight DESC, n.clause_id) <= {PER_SEED}),
+kinds AS (SELECT query_id, clause_id, kind, sum(weight) AS weight, count(*) AS seeds FROM reach GROUP BY ALL),
+leg AS (SELECT query_id, clause_id AS id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sum(weight) DESC, max(seeds) DESC, max(CAST(kind = 'cites' AS INTEGER)) DESC, clause_id) AS INTEGER) AS rank FROM kinds GROUP BY 1, 2 QUALIFY rank <= {GRAPH_CAP}),
+hits AS (SELECT query_id, leg, id, rank, source, 'p' || CAST(id // 3 AS VARCHAR) AS parent_id FROM (SELECT query_id, leg, id, rank FROM two UNION ALL SELECT query_id, 2, id, rank FROM leg) JOIN documents ON doc_id = id)"""
 QUOTA = """, x AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 3 AS ok FROM {t}),
 y AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS c, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS k,
   sum(CAST(ok AS INTEGER)) OVER (PARTITION BY query_id) AS total FROM x),
@@ -127,10 +170,9 @@ ORACLES = {
     "r11_expand": """SELECT doc_id AS id, length(text) + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END AS n, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS matched_child_id,
       CASE WHEN doc_id % 2 = 0 THEN length(text) END AS matched_child_char_len, doc_id % 2 = 0 AS expanded_to_parent FROM documents""",
     "r12_hybrid": f"""WITH {FUSED}{COLLAPSED}{QUOTA.format(t='collapsed', limit=20, over=3)},
-      b AS (SELECT q.query_id, q.id, q.role, q.place, CAST(length(d.source || chr(10) || d.text) AS DOUBLE) AS rerank_score, length(d.text) AS n FROM quota q JOIN documents d ON d.doc_id = q.id),
-      o AS (SELECT query_id, id, n, CAST(r AS INTEGER) AS rank, false AS quota_overflow, rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place) AS r FROM b WHERE role = 'kept') WHERE r <= 5
-      UNION ALL SELECT query_id, id, n, 5 + place, true, NULL FROM b WHERE role = 'overflow')
-      SELECT * EXCLUDE (n), id % 2 = 0 AS expanded_to_parent, CASE WHEN id % 2 = 0 THEN n END AS matched_child_char_len, n + CASE WHEN id % 2 = 0 THEN 4 ELSE 0 END AS n_chars FROM o""",
+{RERANKED}""",
+    "r12_graph_leg": f"WITH {GRAPH} SELECT query_id, id, rank FROM hits WHERE leg = 2",
+    "r12_hybrid_graph": f"WITH {FUSED.replace(HITS, GRAPH)}{COLLAPSED}{QUOTA.format(t='collapsed', limit=20, over=3)}, {RERANKED}",
     "r14_prompt_budget": """WITH RECURSIVE r AS (SELECT conv_id AS query_id, turn, turn % 3 = 2 AS sup, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3 = 2, turn) AS index FROM conversations),
       b AS (SELECT *, length('[' || CAST(index AS VARCHAR) || '] ' || role || chr(10) || substring(text, 1, 2000)) AS size FROM r),
       g AS (SELECT query_id, index, turn, size, sup, size AS used, true AS taken, false AS stop FROM b WHERE index = 1

@@ -224,3 +224,68 @@ def test_exact_ranks_by_selection(spark, kind):
     every = [v for x in by.values() for v in x]
     assert tuple(quality.nearest_rank(df, "v", shares, ordered=20, accuracy=100).first()) == tuple(at(every, q) for q in shares)
     assert tuple(quality.nearest_rank(df.limit(0), "v", (0.5,)).first()) == (None,)
+
+
+def test_longest_known_suffixes(spark):
+    """The trie, the join by the lengths of known names, and all suffixes of each name."""
+    rng = random.Random(8)
+    index = {"".join(rng.choices("税法条例", k=rng.randint(1, 5))): f"doc:{k}" for k in range(40)}
+    names = ["".join(rng.choices("税法条例x", k=rng.randint(0, 8))) for _ in range(200)] + [None]
+    want = {n: next((index[n[i:]] for i in range(len(n)) if n[i:] in index), None) for n in names if n is not None}
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    table = spark.createDataFrame(list(index.items()), "name string, doc_id string")
+    for most in (8 << 20, 0):
+        got = graph.resolved(rows, table, most).collect()
+        assert len(got) == len(names) and all(r.doc == want.get(r.name) for r in got)
+
+
+def test_graph_leg_leaves_out_the_query_s_own_seeds(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(120)]
+    mentions = [(rng.randrange(30), rng.randrange(12)) for _ in range(100)]
+    seeds = [(q, s) for q in range(6) for s in rng.sample(range(30), rng.randint(1, 5))]
+    per_seed, cap, least = 3, 7, 2
+    cites, own = defaultdict(Counter), defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            cites[a][b] += 1
+            cites[b][a] += 1
+    for c, e in mentions:
+        own[c].add(e)
+    want = {}
+    for q in range(6):
+        mine = [s for k, s in seeds if k == q]
+        sums, counts = Counter(), defaultdict(Counter)
+        for s in mine:
+            shared = {c: len(own[s] & own[c]) for c in range(30) if c != s and len(own[s] & own[c]) >= least}
+            for kind, near in (("cites", cites[s]), ("mentions", shared)):
+                for c, w in sorted(((c, w) for c, w in near.items() if c not in mine), key=lambda x: (-x[1], x[0]))[:per_seed]:
+                    sums[c] += w
+                    counts[c][kind] += 1
+        order = sorted(sums, key=lambda c: (-sums[c], -max(counts[c].values()), "cites" not in counts[c], c))[:cap]
+        want |= {(q, c): k for k, c in enumerate(order, 1)}
+    df = lambda rows, a, b: spark.createDataFrame(rows, f"{a} long, {b} long")
+    got = graph.graph_leg(df(seeds, "query_id", "seed"), df(edges, "src", "dst"), df(mentions, "clause_id", "entity_id"), least, per_seed, cap).collect()
+    assert {(r.query_id, r.id): r["rank"] for r in got} == want
+
+
+def test_pages_by_cursor_and_by_offset(spark, tmp_path):
+    """Every page equals the offset's, ties and nulls included, and takes a few files."""
+    from sparkloom.sources import paged
+
+    rng, path, order = random.Random(1), str(tmp_path / "t"), ("-v", "w", "id")
+    rows = [(k, rng.choice([None, 1, 2, 3, 50]), rng.choice([None, "a", "b"])) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, v int, w string")
+    paged.write(df, path, order, rows_per_file=50, partitions=4)
+    files = paged.manifest(spark, path).count()
+    want = [tuple(r) for r in df.orderBy(F.desc("v"), "w", "id").collect()]
+    for at in (0, 1, 49, 50, 333, 985, 1000, 2000):
+        page, read = paged.at_offset(spark, path, order, at, 30)
+        assert [tuple(r) for r in page.collect()] == want[at : at + 30] and len(read) <= 3 < files
+        if 0 < at <= 1000:
+            page, read = paged.after(spark, path, order, dict(zip(("id", "v", "w"), want[at - 1])), 30)
+            assert [tuple(r) for r in page.collect()] == want[at : at + 30] and len(read) <= 3
+    page, read = paged.after(spark, path, order, None, 30)
+    assert [tuple(r) for r in page.collect()] == want[:30] and len(read) <= 2
+    paged.write(df.limit(0), path, order)
+    assert paged.after(spark, path, order, None, 5)[0].count() == 0 and paged.at_offset(spark, path, order, 3, 5)[0].count() == 0
