@@ -195,18 +195,19 @@ def chunks(docs: DataFrame, chunk_size: int, overlap: int, child_window: int, ke
 
 def successors(docs: DataFrame, order: str, key: str) -> DataFrame:
     """key, next: each document and the one after it. Rows meet their successors by rank."""
-    ranked = ranks(docs.select(order, key), order)
+    ranked = ranks(docs.select(order, key), order, key)
     after = ranked.select((F.col("rank") - 1).alias("rank"), F.col(key).alias("next"))
     return ranked.select("rank", key).join(after, "rank").select(key, "next")
 
 
-def ranks(df: DataFrame, order: str) -> DataFrame:
-    """Adds rank (from 0) by an order column without sorting all rows in one task: rows are dealt by ranges that Spark samples from the
-    column, whatever its distribution, and stored; counts of the ranges, then ranks within them."""
-    dealt = stored(df.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+def ranks(df: DataFrame, order: str, tie: str | None = None) -> DataFrame:
+    """Adds rank (from 0) by an order column, then `tie` (else any), without sorting all rows in one task: rows are dealt by ranges of
+    both, which Spark samples, so that many rows of one order lie in many ranges, and stored; counts of the ranges, then ranks within them."""
+    by = [order, tie] if tie else [order]
+    dealt = stored(df.repartitionByRange(*by).withColumn("range", F.spark_partition_id()))
     counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    inner = F.row_number().over(Window.partitionBy("range").orderBy(*by)) - 1
     return dealt.withColumn("inner", inner).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("inner")).drop("range", "inner", "before")
 
 

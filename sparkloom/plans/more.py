@@ -125,7 +125,7 @@ ORACLES = {
       SELECT y.id, y.model, coalesce(f.i, g.i) AS input_per_million FROM y LEFT JOIN f ON f.model = y.model LEFT JOIN f g ON g.model = y.requested""",
     "b13_ingest_report": """SELECT count(*) AS files, count(*) FILTER (doc_id % 9 = 0) AS failed, count(DISTINCT doc_id) FILTER (doc_id % 9 <> 0) AS documents, count(*) FILTER (doc_id % 9 <> 0) AS chunks,
       CAST(sum(length(text)) FILTER (doc_id % 9 <> 0) AS BIGINT) AS chars FROM documents""",
-    "b12_embedded": "SELECT p_partkey, CAST(length(p_name) + 3 AS DOUBLE) AS v FROM part",
+    "b12_embedded": "SELECT p_partkey, CAST(length(prompt) AS DOUBLE) AS v FROM (SELECT p_partkey, 'q: ' || p_name AS prompt FROM part)",
     "r03_bm25_statistics": f"""WITH t AS (SELECT unnest(list_distinct({PR.TOKENS.format("source || ' ' || text")})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
       SELECT term, count(*) AS df, round(ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, n GROUP BY term""",
     "r15_contexts": """SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3 = 2, turn) AS INTEGER) AS index, turn AS id, role AS title, turn % 3 = 2 AS supplementary FROM conversations""",

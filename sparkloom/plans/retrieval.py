@@ -167,8 +167,8 @@ ORACLES = {
     "r08_collapse": f"WITH {FUSED}{COLLAPSED} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, collapsed_siblings FROM collapsed",
     "r09_quota": f"WITH {FUSED}{QUOTA.format(t='fused', limit=20, over=3)} SELECT query_id, id, role, place FROM quota",
     "r09_quota_backfill": f"WITH {FUSED}{QUOTA.format(t='(SELECT * REPLACE (1 AS source) FROM fused)', limit=5, over=2)} SELECT query_id, id, role, place FROM quota",
-    "r11_expand": """SELECT doc_id AS id, length(text) + CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END AS n, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS matched_child_id,
-      CASE WHEN doc_id % 2 = 0 THEN length(text) END AS matched_child_char_len, doc_id % 2 = 0 AS expanded_to_parent FROM documents""",
+    "r11_expand": """WITH x AS (SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 2 = 0 THEN 'ctx ' || text ELSE '' END AS parent FROM documents), y AS (SELECT *, coalesce(parent, '') <> '' AS has FROM x)
+      SELECT id, length(CASE WHEN has THEN parent ELSE content END) AS n, CASE WHEN has THEN id END AS matched_child_id, CASE WHEN has THEN length(content) END AS matched_child_char_len, has AS expanded_to_parent FROM y""",
     "r12_hybrid": f"""WITH {FUSED}{COLLAPSED}{QUOTA.format(t='collapsed', limit=20, over=3)},
 {RERANKED}""",
     "r12_graph_leg": f"WITH {GRAPH} SELECT query_id, id, rank FROM hits WHERE leg = 2",
@@ -181,7 +181,7 @@ ORACLES = {
           NOT ((g.stop AND b.sup = g.sup) OR g.used + b.size > 600), (g.stop AND b.sup = g.sup) OR g.used + b.size > 600
         FROM g JOIN b ON b.query_id = g.query_id AND b.index = g.index + 1)
       SELECT query_id, turn, CAST(index AS INTEGER) AS index, CAST(size AS INTEGER) AS size, CAST(used AS BIGINT) AS used FROM g WHERE taken""",
-    "r16_refusals": "SELECT p_partkey, p_partkey % 3 = 0 AS refused FROM part",
+    "r16_refusals": f"SELECT p_partkey, contains(answer, '{R.REFUSAL}') AS refused FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '抱歉，检索到的法规片段不足，' || p_name ELSE p_name END AS answer FROM part)",
     "r17_passes": "SELECT l_orderkey AS answer_id, sum(CAST(0.25 AS DOUBLE)) AS cost, CAST(sum(l_partkey) AS BIGINT) AS latency_ms, CAST(sum(l_suppkey) AS BIGINT) AS tokens, count(*) AS passes FROM lineitem GROUP BY 1",
     "r18_hop_hits": """SELECT b.item_id AS query_id, b.item_id AS target, min(CASE WHEN b.item_id % 2 <> 0 OR CAST(c.turn % 3 AS VARCHAR) = '1' THEN c.turn END) AS first_rank
       FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id AND c.role = 'user' GROUP BY b.item_id""",

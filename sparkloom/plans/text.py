@@ -90,6 +90,8 @@ QUERIES = {
     "k01_memory_merge_exact": lambda s, d: M.merged_exact(_memories(s, d)),
     "l01_joined_deltas": lambda s, d: joined_deltas(_deltas(s, d)),
 }
+TITLE_SQL = r"regexp_replace(regexp_replace({}, '\s+', '', 'g'), '^[《》]+|[《》]+$', '', 'g')"
+SHORT_SQL = " ".join(f"WHEN starts_with(u, '{p}') AND length(u) > {len(p) + 1} THEN substring(u, {len(p) + 1})" for p in X.TITLE_PREFIXES)
 LETTERS = "[零〇一二两三四五六七八九十百千万]"
 MANY = f"[{X.NUMERAL}]+"
 
@@ -146,13 +148,17 @@ ORACLES = {
     "b04_clauses": """WITH l AS (SELECT p_size AS doc_id, p_partkey, p_partkey % 4 = 0 AS opens, CASE WHEN p_partkey % 4 = 0 THEN '第' || CAST(p_partkey AS VARCHAR) || '条 开始。' WHEN p_partkey % 9 = 1 THEN '第一章 总则' ELSE p_name END AS line FROM part),
       g AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p_partkey) AS c FROM l WHERE line <> '第一章 总则')
       SELECT doc_id, coalesce(max(CASE WHEN opens THEN '第' || CAST(p_partkey AS VARCHAR) || '条' END), '全文') AS section, string_agg(line, ' ' ORDER BY p_partkey) AS text FROM g GROUP BY doc_id, c""",
-    "b05_sentences": "SELECT p_partkey, p_name || '。。？|' || p_type || '；|尾' AS sentences FROM part",
+    "b05_sentences": rf"""WITH x AS (SELECT p_partkey, p_name || '。 。？' || p_type || '；尾' AS t FROM part),
+      s AS (SELECT p_partkey, trim(unnest(regexp_extract_all(t, '[^{C.ENDERS}]*[{C.ENDERS}](?:\s*[{C.ENDERS}])*|[^{C.ENDERS}]+$'))) AS s, generate_subscripts(regexp_extract_all(t, '[^{C.ENDERS}]*[{C.ENDERS}](?:\s*[{C.ENDERS}])*|[^{C.ENDERS}]+$'), 1) AS i FROM x),
+      k AS (SELECT p_partkey, i, regexp_extract(s, '^[^{C.ENDERS}]*') AS body, regexp_replace(regexp_replace(s, '^[^{C.ENDERS}]*', ''), '\s+', '', 'g') AS tail FROM s)
+      SELECT p_partkey, string_agg(body || tail, '|' ORDER BY i) AS sentences FROM k WHERE body <> '' GROUP BY 1""",
     "b08_chunk_ids": "SELECT p_partkey, id, CAST('0x' || substring(sha1(id), 1, 15) AS BIGINT) AS pk FROM (SELECT p_partkey, substring(sha1(p_name || '#' || CAST(p_partkey AS VARCHAR) || '#' || p_type), 1, 20) AS id FROM part)",
-    "b10_document_keys": "SELECT p_partkey, 'doc:a/' || p_name AS doc_id FROM part",
+    "b10_document_keys": r"SELECT p_partkey, 'doc:' || replace(path, '\', '/') AS doc_id FROM (SELECT p_partkey, 'a\' || p_name AS path FROM part)",
     "b14_successors": "SELECT doc_id, next FROM (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS next FROM documents) WHERE next IS NOT NULL",
     "b16_clipped": "SELECT doc_id, substring(text, 1, 512) AS t, substring(source, 1, 3) AS x FROM documents",
     "x01_numerals": rule(NUMBERS, f"{sql_numeral('v')} AS n"),
-    "x02_titles": r"SELECT p_partkey, '中华人民共和国' || regexp_replace(p_name, '\s+', '', 'g') AS title, regexp_replace(p_brand, '\s+', '', 'g') AS short FROM part",
+    "x02_titles": rf"""WITH x AS (SELECT p_partkey, '《 中华人民共和国' || p_name || ' 》' AS t, '《中华人民共和国 ' || p_brand || '》' AS u FROM part),
+      n AS (SELECT p_partkey, {TITLE_SQL.format('t')} AS title, {TITLE_SQL.format('u')} AS u FROM x) SELECT p_partkey, title, CASE {SHORT_SQL} ELSE u END AS short FROM n""",
     "x04_implemented": rule(("实施条例", "实施细则", "暂行条例", ""), "CASE WHEN ends_with(t, '实施条例') OR ends_with(t, '实施细则') THEN left(t, -4) END AS law").replace("FROM v", f"FROM (SELECT *, {sql_title("'《 所得税法' || v || '》'")} AS t FROM v)"),
     "x05_citations": rule(NUMBERS[:5], "unnest(regexp_extract_all(t, '{0}', 1)) AS law, unnest(regexp_extract_all(t, '{0}', 2)) AS c1, unnest(regexp_extract_all(t, '{0}', 3)) AS c2, unnest(regexp_extract_all(t, '{0}', 4)) AS c3".format(CITED)).replace("FROM v", "FROM (SELECT p_partkey, '依照《甲法》第' || CAST(p_partkey AS VARCHAR) || '条第二款第（三）项；本条例第' || v || '条规定' AS t FROM v)")
       .replace("SELECT p_partkey, unnest", f"SELECT p_partkey, law, {sql_numeral('c1')} AS article, {sql_numeral('c2')} AS paragraph, {sql_numeral('c3')} AS item FROM (SELECT p_partkey, unnest") + ")",
@@ -163,7 +169,7 @@ ORACLES = {
     "x10_squeezed": r"SELECT doc_id, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS INTEGER) AS n FROM documents",
     "x11_mention_kinds": f"""WITH v AS (SELECT p_partkey, {sql_entity("CASE p_partkey % 4 WHEN 0 THEN substring(p_name, 1, 8) WHEN 1 THEN substring(p_type, 1, 5) || 'zq' ELSE CASE p_partkey % 3 WHEN 0 THEN 'zqj9' WHEN 1 THEN '' ELSE 'ab' END END")} AS n, {sql_squeezed('p_name || p_type')} AS t FROM part)
       SELECT p_partkey, CASE WHEN n = '' THEN 'absent' WHEN contains(t, n) THEN 'exact' WHEN length(n) >= 3 AND len(list_filter(range(1, length(n) - 1), lambda i: contains(t, substring(n, i, 3)))) > 0 THEN 'partial' ELSE 'absent' END AS kind FROM v""",
-    "x15_message_titles": "SELECT conv_id, turn, substring(role || ' ' || repeat('m', 60), 1, 40) AS title FROM conversations",
+    "x15_message_titles": r"SELECT conv_id, turn, substring(trim(regexp_replace(m, '\s+', ' ', 'g')), 1, 40) AS title FROM (SELECT conv_id, turn, '  ' || role || ' ' || chr(9) || repeat('m', 60) AS m FROM conversations)",
     "x19_truncated": rule(CONTENTS, "p_partkey % 3 = 0 OR length(replace(v, '}', '')) - length(replace(v, '{', '')) > 0 AS truncated"),
     "x20_failures": rule(ERRORS, f"CASE WHEN {sql_any(X.QUOTA_HINTS, 'lower(v)')} THEN 'quota' WHEN {sql_any(X.RATE_HINTS, 'lower(v)')} THEN 'rate_limit' ELSE 'other' END AS kind"),
     "x21_salvaged": rule(ANSWERS, "CASE " + " ".join(f"WHEN starts_with({c}, '{{') AND json_valid({c}) AND NOT regexp_matches({c}, ',[ ]*[}}\\]]') THEN {c}" for c in (T, FENCED, BRACES, TIDY)) + " END AS json"),
