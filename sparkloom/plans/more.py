@@ -115,7 +115,24 @@ QUERIES = {
     "a23_reachability": reached,
 }
 T50, T20 = (PG.TITLE.format(n=f"(o_orderkey % {m} + 1)") for m in (50, 20))
+SEGMENTS = f"""WITH RECURSIVE {PG.CLAUSES}, tx AS (SELECT clause_id AS id, lower(title || text) AS text FROM c),
+fw AS (SELECT {PG.TITLE.format(n='p_size')} AS word FROM part UNION ALL SELECT unnest(['税法', '实施条例', '条例', '依照', '参见', '本法']) FROM part),
+dw AS (SELECT word, count(*) AS n FROM fw GROUP BY 1), dt AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM dw), dl AS (SELECT word, ln(CAST(n AS DOUBLE) / total) AS w FROM dw, dt),
+rs AS (SELECT id, unnest(r) AS run, generate_subscripts(r, 1) AS place FROM (SELECT id, regexp_extract_all(text, '[一-鿕]+|[a-z0-9]+|\\S') AS r FROM tx)),
+hr AS (SELECT DISTINCT run FROM rs WHERE regexp_matches(run, '^[一-鿕]')),
+st AS (SELECT run, unnest(range(1, length(run) + 1)) AS start FROM hr),
+sb AS (SELECT run, start, n, substring(run, start, n) AS word FROM st, (SELECT unnest(range(1, 17)) AS n) WHERE start + n - 1 <= length(run)),
+ed AS (SELECT run, start, list({{'n': n, 'w': w}}) AS es FROM sb JOIN dl USING (word) GROUP BY 1, 2),
+ea AS (SELECT st.run, st.start, coalesce(es, [{{'n': 1, 'w': -ln(total)}}]) AS es FROM st LEFT JOIN ed ON ed.run = st.run AND ed.start = st.start, dt),
+dp AS (SELECT run, length(run) AS i, [0.0::DOUBLE] AS vals, CAST([] AS BIGINT[]) AS steps FROM hr
+  UNION ALL SELECT run, i - 1, list_prepend(b.v, vals), list_prepend(b.n, steps)
+  FROM (SELECT dp.run, i, vals, steps, list_sort(list_transform(es, lambda e: {{'v': e.w + vals[e.n], 'n': e.n}}), 'DESC')[1] AS b FROM dp JOIN ea ON ea.run = dp.run AND ea.start = dp.i)),
+wk AS (SELECT run, steps, CAST(1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS ts FROM dp WHERE i = 0
+  UNION ALL SELECT run, steps, pos + steps[pos], list_append(ts, substring(run, pos, steps[pos])) FROM wk WHERE pos <= length(run)),
+cut AS (SELECT run, array_to_string(ts, '|') AS t FROM wk WHERE pos > length(run))
+SELECT id, string_agg(coalesce(t, run), '|' ORDER BY place) AS tokens FROM rs LEFT JOIN cut USING (run) GROUP BY 1"""
 ORACLES = {
+    "r02_segmented": SEGMENTS,
     "s14_vector_count": "SELECT count(*) AS n, CAST(7 AS BIGINT) AS missing FROM embeddings",
     "s16_merged_graph": f"WITH {PG.EDGES} SELECT src, dst, count(*) AS occurrences FROM e WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part) GROUP BY 1, 2",
     "s17_pending": "SELECT 'd' || CAST(doc_id AS VARCHAR) AS path, doc_id FROM documents WHERE doc_id % 3 = 2",
