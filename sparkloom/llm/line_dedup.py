@@ -6,7 +6,7 @@ holds several groups: its templates, the most widespread first, each join the fi
 MIN_ALIKE_PERCENT of all places or more (the differing places being variable fields), or become a representative themselves. A
 template, or a group, found in MIN_DOCS documents or more recurs, and so does a line of over LONG_WORDS words found as it is
 (but for white space) in two. Its lines go from all documents but the first (the smallest doc_id), so that no passage is lost.
-Representatives are found REPS a leaf and round, until what is left of a leaf can't recur.
+Representatives are found REPS a leaf and round, then twice as many a round up to MOST_REPS, until what is left of a leaf can't recur.
 
 Cases: a null text is the empty text; lines without a word never recur and stay; ties between representatives go to the smaller
 hash; rows that repeat a doc_id count as one document and lose the lines at the same numbers; null doc_ids count as one document, whose
@@ -19,15 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._base import WORD, documents, packed, stored, text_of, unpacked
+from sparkloom.llm._base import WORD, documents, dropped, packed, stored, text_of, unpacked
 
 DEPTH = 3
 MIN_DOCS = 10
 MIN_ALIKE_PERCENT = 70
 LONG_WORDS = 50
 MIN_DOCS_LONG = 2
-#: Templates of a leaf that a round resolves; it doesn't change the groups.
-REPS = 32
+#: Templates of a leaf that the first round resolves; each further one twice as many, up to the most. It doesn't change the groups.
+REPS, MOST_REPS = 32, 512
 
 
 def flat(line: Column) -> Column:
@@ -75,9 +75,10 @@ def grouped(forms: DataFrame, min_docs: int = MIN_DOCS, alike: int = MIN_ALIKE_P
     """leaf, template, first_doc, n_docs, rep of the forms of groups that may recur. forms: leaf, template, first_doc, n_docs, t (tokens).
 
     The widest `reps` forms left in a leaf agree with no earlier representative, so they are resolved among themselves, and all
-    others meet the new representatives in their order: the groups are those of one form at a time.
+    others meet the new representatives in their order: the groups are those of one form at a time. A round's table is what it leaves
+    and what it has found; the latter alone is kept.
     """
-    left, out = forms, None
+    left, out, rounds = forms, None, []
     order = Window.partitionBy("leaf").orderBy(F.desc("n_docs"), "template")
     while True:
         live = left.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("k")).filter((F.col("n") >= min_docs) & (F.col("k") > 1))
@@ -92,9 +93,11 @@ def grouped(forms: DataFrame, min_docs: int = MIN_DOCS, alike: int = MIN_ALIKE_P
         met = stored(met.select("leaf", "template", "first_doc", "n_docs", "t", hit.alias("rep")))
         if met.isEmpty():
             break
-        found = met.filter(F.col("rep").isNotNull()).drop("t")
+        found = stored(met.filter(F.col("rep").isNotNull()).drop("t"))
         out = found if out is None else out.unionByName(found)
-        left = met.filter(F.col("rep").isNull()).drop("rep")
+        left = stored(met.filter(F.col("rep").isNull()).drop("rep"))
+        dropped(met, *rounds)
+        rounds, reps = [left], max(reps, min(2 * reps, MOST_REPS))
     return met.drop("t") if out is None else out
 
 
