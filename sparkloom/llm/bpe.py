@@ -3,7 +3,8 @@
 The most frequent words of the whole corpus, counted by Spark, are encoded once and compiled into a minimal acyclic automaton
 whose arcs carry numbers that add up to the word's rank; the rank points to its ids. Suffixes are shared. The file goes to the
 executors with SparkContext.addFile and is memory-mapped there. Words that it lacks are merged exactly by the vocabulary's
-rules. The vocabulary file is read on the executors from `path`, a parameter.
+rules. A run's new words are looked up together, a letter of each at a time, and those that the lexicon lacks merged together, a merge
+of each at a time. The vocabulary file is read on the executors from `path`, a parameter.
 
 Cases: a null text is the empty text and gets no ids; special tokens that stand in a text get their id; a very long word is
 merged with a heap; ties for a lexicon place go to the smaller word; rows that repeat a doc_id are encoded each; empty table,
@@ -42,6 +43,10 @@ CUT = re.compile(r" (?=\S)")
 #: Where a space isn't followed by such, plain splitting at spaces would cut elsewhere.
 UNEVEN = re.compile(r" (?!\S)")
 RUN_CHARS = 1 << 20
+#: No rank.
+NONE = np.iinfo(np.int32).max
+#: Longer words, in bytes, are merged by themselves.
+TOGETHER = 48
 
 
 def default_path() -> str:
@@ -58,6 +63,40 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class PairTable:
+    """Numbers of distinct keys, found for many keys at once: open addressing, the next slot where a slot is another key's."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            put = first[free[first]]
+            self.keys[at[put]], self.values[at[put]] = keys[left[put]], values[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        have = self.keys[at]
+        out = np.where(have == keys, self.values[at], NONE)
+        left = np.flatnonzero((have != keys) & (have >= 0))
+        while len(left):
+            at_left = at[left] = (at[left] + 1) & self.mask
+            have = self.keys[at_left]
+            hit = have == keys[left]
+            out[left[hit]] = self.values[at_left[hit]]
+            left = left[~hit & (have >= 0)]
+        return out
+
+
 class Vocabulary:
     """Merges, ids and the bytes of each id."""
 
@@ -78,15 +117,63 @@ class Vocabulary:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.ranks[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
+        size, pairs = len(self.made) + len(vocab), list(self.ranks)
+        self.width = max(size, max(self.table) + 1)
+        keys = np.array([a * self.width + b for a, b in pairs], np.int64)
+        self.pairs = PairTable(keys, np.array(list(self.ranks.values()), np.int32))
+        self.byte_array, self.made_array = np.array(self.byte_ids, np.int64), np.array([*self.made, 0], np.int64)
+        both = np.arange(65536)
+        self.byte_ranks = self.ranks_of(self.byte_array[both >> 8], self.byte_array[both & 255])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.table.update({i: t.encode() for t, i in self.special.items()})
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; NONE for those that aren't merged."""
+        return self.pairs.find(a * self.width + b)
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """merge of each word: all words' letters lie in one array, and in each round every word has its best pair merged."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        own, ids = np.repeat(np.arange(len(words)), size), self.byte_array[data]
+        rank = np.full(len(ids), NONE, np.int32)
+        inner = np.flatnonzero(own[1:] == own[:-1])
+        rank[inner] = self.byte_ranks[(data[inner] << 8) | data[inner + 1]]
+        done = []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(own))))
+            over = best == NONE
+            if over.any():
+                done.append((own[over], ids[over]))
+                own, ids, rank, best = (x[~over] for x in (own, ids, rank, best))
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == best)
+            at = hit[np.concatenate(([True], own[hit][1:] != own[hit][:-1]))]  # the leftmost of each word
+            ids[at] = self.made_array[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            own, ids, rank = own[keep], ids[keep], rank[keep]
+            at -= np.arange(len(at))
+            for left in (at, at - 1):
+                left = left[(left >= 0) & (left + 1 < len(own))]
+                same = own[left] == own[left + 1]
+                left = left[same]
+                rank[left] = self.ranks_of(ids[left], ids[left + 1])
+            # a word's last letter has no pair
+            rank[at[(at + 1 >= len(own)) | (own[np.minimum(at + 1, len(own) - 1)] != own[at])]] = NONE
+        owner, flat = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        flat = flat[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        return [tuple(flat[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Lowest rank first, then leftmost; only the pairs beside a merge are looked up again."""
         ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 48:
+        if len(ids) > TOGETHER:
             return self._merge_long(ids)
         rank, made, none = self.ranks.get, self.made, len(self.made)
         ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
@@ -208,6 +295,8 @@ class Lexicon:
         self.first, self.goes, self.adds, self.starts, self.ids = (p.cast("I") for p in parts[:5])
         self.final = parts[5]
         self.labels_at = at - sizes[6]
+        count = np.diff(np.frombuffer(self.first, np.uint32).astype(np.int64))
+        self.arcs = np.append(np.repeat(np.arange(len(count)), count) * 256 + np.frombuffer(parts[6], np.uint8), np.iinfo(np.int64).max)
 
     def get(self, word: bytes):
         node = rank = 0
@@ -224,6 +313,34 @@ class Lexicon:
         return tuple(self.ids[self.starts[rank] : self.starts[rank + 1]])
 
 
+    def get_all(self, words: list[bytes]) -> list:
+        """get of each word: all go an arc on together."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        goes, adds = np.append(np.frombuffer(self.goes, np.uint32), 0), np.append(np.frombuffer(self.adds, np.uint32), 0)
+        node, rank, live = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
+        ends = []
+        for k in range(int(size.max(initial=0)) + 1):
+            over = size[live] == k
+            ends.append(live[over])
+            live = live[~over]
+            if not len(live):
+                break
+            key = node[live] * 256 + data[start[live] + k]
+            at = np.searchsorted(self.arcs, key)
+            known = self.arcs[at] == key
+            live, at = live[known], at[known]
+            rank[live] += adds[at]
+            node[live] = goes[at]
+        out: list = [None] * len(words)
+        whole = np.concatenate(ends)
+        whole = whole[np.frombuffer(self.final, np.uint8)[node[whole]] > 0]
+        starts, ids = self.starts, self.ids
+        for w, r in zip(whole.tolist(), rank[whole].tolist()):
+            out[w] = tuple(ids[starts[r] : starts[r + 1]])
+        return out
+
+
 class Kept(dict):
     """What make(key) gave, for the keys used last: of two generations of CACHED keys the older one is dropped."""
 
@@ -236,20 +353,26 @@ class Kept(dict):
         if ids is None:
             ids = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[key] = ids
+            self.put(key, ids)
         return ids
 
+    def put(self, key: str, ids: tuple[int, ...]) -> None:
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+
+    def has(self, key: str) -> bool:
+        return key in self or key in self.older
+
 
 class Encoder:
     """Texts to ids and back. Words are found in the lexicon or merged; words and pieces of text after a space are kept."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.word = Kept(self._word).__getitem__
-        self.piece = Kept(lambda piece: self.words(" " + piece)).__getitem__
+        self.kept_words, self.kept_pieces = Kept(self._word), Kept(lambda piece: self.words(" " + piece))
+        self.word, self.piece = self.kept_words.__getitem__, self.kept_pieces.__getitem__
         ids = range(max(vocabulary.table) + 1)
         self.strings = pa.array([vocabulary.table.get(i, b"") for i in ids], pa.binary())
 
@@ -258,6 +381,18 @@ class Encoder:
         found = self.lexicon.get(raw) if self.lexicon else None
         return self.vocabulary.merge(raw) if found is None else found
 
+    def learn(self, words) -> None:
+        """Keeps the ids of words that aren't kept yet."""
+        new = [w for w in dict.fromkeys(words) if not self.kept_words.has(w) and len(w) <= TOGETHER]
+        raw = [w.encode("utf-8") for w in new]
+        found = self.lexicon.get_all(raw) if self.lexicon else [None] * len(raw)
+        rest = [k for k, ids in enumerate(found) if ids is None and len(raw[k]) <= TOGETHER]
+        for k, ids in zip(rest, self.vocabulary.merge_all([raw[k] for k in rest])):
+            found[k] = ids
+        for w, ids in zip(new, found):
+            if ids is not None:
+                self.kept_words.put(w, ids)
+
     def words(self, part: str) -> tuple[int, ...]:
         return tuple(itertools.chain.from_iterable(map(self.word, self.vocabulary.words.findall(part))))
 
@@ -279,14 +414,20 @@ class Encoder:
         split = pc.split_pattern(pa.array([t if e else "" for t, e in zip(texts, even)], pa.string()), " ")
         begins = split.offsets.to_numpy()[:-1]
         coded = split.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # a text's first piece has no space before it
         codes[begins] = len(pieces) + np.arange(len(texts))
+        # letters alone are one word of the pattern, kept as such; of other new pieces the pattern is asked once
+        word, piece, known, pattern = self.word, self.piece, self.kept_pieces.has, self.vocabulary.words.findall
+        spaced, alone = [" " + p for p in pieces], list(map(str.isalpha, pieces))
+        fresh = {p: pattern(w) for p, w, one in zip(pieces, spaced, alone) if not (one or known(p))}
+        self.learn(itertools.chain(itertools.compress(spaced, alone), itertools.chain.from_iterable(fresh.values())))
+        for p, words in fresh.items():
+            if len(p) <= 64:
+                self.kept_pieces.put(p, tuple(itertools.chain.from_iterable(map(word, words))))
+        table = [word(w) if one else piece(p) for p, w, one in zip(pieces, spaced, alone)]
         firsts = [self.words(t.split(" ", 1)[0]) if e else self.encode(t) for t, e in zip(texts, even)]
-        # letters alone are one word of the pattern, kept as such
-        word, piece = self.word, self.piece
-        table = [word(" " + p) if p.isalpha() else piece(p) for p in pieces]
         table += firsts
         sizes = np.fromiter(map(len, table), np.int32, len(table))
         ids = np.fromiter(itertools.chain.from_iterable(table), np.int32, int(sizes.sum()))

@@ -637,3 +637,42 @@ def test_mixing_of_many_equal_rows(spark, monkeypatch):
     df = spark.createDataFrame([(None, "a b", "x", {"k": n}) for n in range(30)], "doc_id long, text string, source string, more map<string,int>")
     out = Counter(r.more["k"] for r in mixing.mixed(df).collect())
     assert set(out) == set(range(30)) and set(out.values()) == {1}
+
+
+def test_words_looked_up_and_merged_together(tmp_path):
+    """The same ids as one by one: words of all lengths, any bytes, equal letters, none."""
+    import random
+
+    rng, vocabulary = random.Random(4), bpe.Vocabulary(bpe.default_path())
+    words = [w.encode() for w in ("", "a", " the", " naïve", "aaaaaaaa", " aaaaaaaaaaaaaaaaaaaaaaa", "\n\n\n", "漢字かな", " \U0001f600", "ab" * 24)]
+    words += [bytes(rng.choices(range(256), k=rng.randint(0, 48))) for _ in range(300)] + [(" " + "".join(rng.choices("etaoinshr", k=rng.randint(1, 12)))).encode() for _ in range(2000)]
+    assert vocabulary.merge_all(words) == [vocabulary.merge(w) for w in words] and vocabulary.merge_all([]) == []
+    path = tmp_path / "lexicon"
+    path.write_bytes(bpe.compile_lexicon({w: vocabulary.merge(w) for w in words[1::3]}))
+    lexicon = bpe.Lexicon(str(path))
+    assert lexicon.get_all(words) == [lexicon.get(w) for w in words] and lexicon.get_all([]) == []
+    path.write_bytes(bpe.compile_lexicon({}))
+    assert bpe.Lexicon(str(path)).get_all(words[1:]) == [None] * (len(words) - 1)
+
+
+def test_rounds_of_a_crowded_leaf(spark, monkeypatch):
+    """Forms that are all unlike: a round resolves twice as many as the last, and the groups are those of one at a time."""
+    import random
+
+    rng, stored_tables, plain = random.Random(3), [], line_dedup.stored
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    tokens = [("read", "more", "about", *rng.sample(words, 6)) for _ in range(360)]
+    tokens += [(*t[:8], "other") for t in tokens[:40]]
+    rows = [(1, k * 7919 % 1009 - 500, 0, 1 + k % 3, list(t)) for k, t in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "leaf long, template long, first_doc long, n_docs long, t array<string>")
+    monkeypatch.setattr(line_dedup, "stored", lambda d: stored_tables.append(1) or plain(d))
+    got = {r.template: r.rep for r in line_dedup.grouped(df, min_docs=2, reps=8).collect()}
+    assert len(stored_tables) <= 3 * 6 + 1
+    reps, want = [], {}
+    for _, template, _, n, t in sorted(rows, key=lambda r: (-r[3], r[1])):
+        found = next((k for k, other in reps if 100 * sum(a == b for a, b in zip(t, other)) >= 70 * len(t)), None)
+        if found is None:
+            reps.append((template, t))
+            found = template
+        want[template] = found
+    assert got.items() <= want.items() and len(got) >= len(want) - 1
