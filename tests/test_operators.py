@@ -312,3 +312,15 @@ def test_stream_sessions_requests_and_beats(spark, tmp_path):
     replies = lambda e: e.select((F.col("event_id") - 1).alias("request_id"), F.col("ts").alias("answered_at"))
     pairs = run("answered", lambda e: T.answered(requests(e), replies(e), "20 minutes", "1 day"), "append")
     assert sorted((r.request_id, r.ts, r.answered_at) for r in pairs) == [(1, at(0), at(10)), (1, at(0), at(12))]
+
+
+def test_endpoints_of_whole_documents_are_not_shuffled(spark):
+    rows = [(k, str(k), "甲税法", "正文", "s", "", "", f"第{k + 1}条") for k in range(5)]
+    clause_rows = G.clauses(spark.createDataFrame(rows, "ord long, id string, title string, content string, source string, parent_id string, parent_text string, section string"))
+    texts = [(1, "见《甲税法》，另见《甲税法》。"), (1, "见《甲税法》。"), (2, "依《甲税法》第2条，见《乙规》。"), (3, "依《甲税法》第77条。")]
+    out = G.endpoints(spark.createDataFrame(texts, "sample_id long, text string"), clause_rows)
+    # the rows of whole documents come last: nothing gathers samples times clauses again
+    assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    found = sorted((r["sample_id"], r["label"], r["clause_id"] or "") for r in out.collect())
+    whole = [str(k) for k in range(5)]
+    assert found == sorted([*((1, "《甲税法》", c) for c in whole), (2, "《甲税法》第2条", "1"), (2, "《乙规》", ""), (3, "《甲税法》第77条", ""), *((3, "《甲税法》", c) for c in whole)])
