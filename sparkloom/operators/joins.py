@@ -23,20 +23,25 @@ def known(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def review_chain(reviews: DataFrame) -> DataFrame:
     """id, root, depth: each review's first source, however far. Pointer jumping: each round doubles the links that are looked through.
 
-    A review whose source is unknown is a root; reviews that lead into a circle have no root and are left out."""
+    A review whose source is unknown is a root; reviews that lead into a circle have no root and are left out. Roots are told apart
+    once, and links that lead to one are settled: a round has the open links meet the links that aren't roots, and no others."""
     links = reviews.select("id", F.col("source_review_id").alias("up"))
-    known = links.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    known = links.select(F.col("id").alias("up"), F.lit(True).alias("known")).distinct()
     has = F.coalesce("known", F.lit(False))
-    at = links.join(known, "up", "left").select("id", F.when(has, F.col("up")).otherwise(F.col("id")).alias("root"), has.cast("long").alias("depth"))
-    at = stored(at)
+    at = stored(links.filter("up IS NOT NULL").join(known, "up", "left").select("id", "up", has.alias("known")))
+    roots = links.filter("up IS NULL").select("id").unionByName(at.filter("NOT known").select("id"))
+    # rows that aren't roots: where they lead, how far that is, and whether it is a root
+    ends = roots.select(F.col("id").alias("up"), F.lit(True).alias("done"))
+    at = stored(at.filter("known").join(ends, "up", "left").select("id", F.col("up").alias("root"), F.lit(1).cast("long").alias("depth"), F.coalesce("done", F.lit(False)).alias("done")))
     for _ in range(math.ceil(math.log2(max(2, at.count()))) + 1):
-        further = at.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        moved = stored(at.join(further, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        at = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return at.withColumn("depth", F.col("depth").cast("int"))
-    roots = at.filter("depth = 0").select(F.col("id").alias("root"))
-    return at.join(roots, "root", "left_semi").select("id", "root", F.col("depth").cast("int").alias("depth"))
+        left = at.filter("NOT done")
+        if left.isEmpty():
+            break
+        further = at.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = left.drop("done").join(further, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        at = stored(at.filter("done").unionByName(moved))
+    rows = at.filter("done").select("id", "root", F.col("depth").cast("int").alias("depth"))
+    return roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth")).unionByName(rows)
 
 
 def owner(submissions: DataFrame, workflows: DataFrame) -> DataFrame:
