@@ -16,6 +16,7 @@ from sparkloom.operators import quality as Q
 from sparkloom.operators import retrieval as R
 from sparkloom.operators.usage import usage_report
 from sparkloom.sources import files as S
+from sparkloom.storage import stored
 
 CALL = "id long, user_id string, model string, status string, prompt_tokens int, completion_tokens int, total_tokens int, cost_usd double"
 
@@ -324,3 +325,32 @@ def test_endpoints_of_whole_documents_are_not_shuffled(spark):
     found = sorted((r["sample_id"], r["label"], r["clause_id"] or "") for r in out.collect())
     whole = [str(k) for k in range(5)]
     assert found == sorted([*((1, "《甲税法》", c) for c in whole), (2, "《甲税法》第2条", "1"), (2, "《乙规》", ""), (3, "《甲税法》第77条", ""), *((3, "《甲税法》", c) for c in whole)])
+
+
+def test_review_chain_stores_no_roots_again(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(J, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    # 1 <- 2 <- ... <- 20; roots alone; one of an unknown source; a circle and what leads into it
+    rows = [(1, None), *((k, k - 1) for k in range(2, 21)), *((k, None) for k in range(100, 200)), (300, 999), (400, 401), (401, 400), (402, 400)]
+    found = {(r.id, r.root, r.depth) for r in J.review_chain(spark.createDataFrame(rows, "id long, source_review_id long")).collect()}
+    assert found == {*((k, 1, k - 1) for k in range(1, 21)), *((k, k, 0) for k in range(100, 200)), (300, 300, 0)}
+    assert max(df.count() for df in seen) < 30
+
+
+def test_validated_entities_order_no_rows(spark):
+    rows = [(1, 1, 1, k, "tax_type", f"name{n}") for k, n in enumerate([1, 1, 2, 3, 4, 1, 3, 4, 2])] + [(1, 1, 1, 20, "other?", "name1"), (1, 1, 1, 21, "tax_type", "x"), (1, 2, None, 1, "tax_type", "name1")]
+    rows += [(2, 1, 1, 5, "tax_type", "same"), (2, 1, 1, 5, "tax_type", "same"), (None, 1, 1, None, "tax_type", "name1"), (None, 1, 1, 1, "tax_type", "name1")]
+    answers = spark.createDataFrame(rows, "doc_id long, ref long, clause_id long, place long, type string, name string")
+    out = Q.validated_entities(answers.filter("doc_id = 1"), most=3)
+    assert "Window [" not in out._jdf.queryExecution().optimizedPlan().toString()
+    verdicts = [(r.place, r.verdict) for r in out.filter("ref = 1").orderBy("place").collect()]
+    assert verdicts == list(zip([*range(9), 20, 21], ["kept", "duplicates", "kept", "kept", "over_limit", "duplicates", "duplicates", "over_limit", "duplicates", "unknown_types", "invalid_names"]))
+    rest = Q.validated_entities(answers.filter("doc_id IS NULL OR doc_id = 2"), most=3)
+    assert sorted((r.doc_id or 0, r.verdict) for r in rest.collect()) == [(0, "duplicates"), (0, "kept"), (2, "duplicates"), (2, "kept")]
+
+
+def test_audit_samples_take_both_kinds_in_one_pass(spark):
+    mentions = spark.createDataFrame([(k, k % 3, "t", "abcd" if k % 2 else "zz") for k in range(40)], "ord long, clause_id long, type string, name string")
+    out = Q.audit_samples(Q.audited_mentions(mentions, spark.createDataFrame([(0, "x abc"), (1, "y")], "clause_id long, text string")), 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert sorted((r.kind, r.ord, r.degree) for r in out.collect()) == [("absent", 0, 20), ("absent", 1, 20), ("partial", 3, 20), ("partial", 9, 20)]
