@@ -236,6 +236,26 @@ def test_hub_entities_are_met_in_parts(spark):
     assert len(tasks) > 6 and max(r["count"] for r in tasks) < 4000
 
 
+def test_neighbours_are_found_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """With few rows a task, seeds sent or not: the same rows, in as many tasks as the pairs need, whatever Spark would deal by bytes."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(300)]), rng.choice([None, *range(25)])) for _ in range(2500)]
+    mentions, seeds = spark.createDataFrame(rows, "clause_id long, entity_id long"), spark.createDataFrame([(c,) for c in range(0, 300, 10)] + [(0,), (None,)], "seed long")
+    own, chosen = set(rows), set(range(0, 300, 10))
+    weights = Counter((a, b) for a, e in own if a in chosen for b, f in own if e == f and e is not None and b is not None)
+    for sent in (True, False):
+        if not sent:
+            monkeypatch.setattr(graph, "small", lambda df: df)
+        for apart in (True, False):
+            want = sorted((a, b, n) for (a, b), n in weights.items() if n >= 2 and a != b and not (apart and b in chosen))
+            found = graph.mentions_neighbours(mentions, seeds, 2, None, apart=apart, task_rows=1000)
+            assert sorted(tuple(r) for r in found.collect()) == want
+            best = [x for a in sorted(chosen) for x in sorted((x for x in want if x[0] == a), key=lambda x: (-x[2], x[1]))[:4]]
+            assert sorted(tuple(r) for r in graph.mentions_neighbours(mentions, seeds, 2, 4, apart=apart, task_rows=1000).collect()) == sorted(best)
+        pairs = sum(n for (a, b), n in weights.items())
+        assert found.rdd.getNumPartitions() > pairs // 1000 > 4
+
+
 @pytest.mark.parametrize("kind", ["long", "date"])
 def test_exact_ranks_by_selection(spark, kind):
     """With few values ordered at a time, several passes; ties, nulls and null keys."""
