@@ -26,6 +26,10 @@ from sparkloom.sources.tables import _files
 from sparkloom.storage import small, stored
 
 BUCKETS = 16
+#: Parts of a bucket that tasks of a merge write apart, where there are rows for it.
+PARTS = 8
+#: Rows that a task of a merge or a read holds, where their number is known: rows are narrow, and Spark deals by bytes.
+TASK_ROWS = 500_000
 #: Deltas at which a merge compacts.
 MOST_DELTAS = 20
 TRIES = 100
@@ -93,27 +97,35 @@ def _applied(now: dict | None, batch: tuple[str, int] | None) -> bool:
     return bool(now and batch and now["ledger"].get(batch[0], -1) >= batch[1])
 
 
-def merge(rows: DataFrame, path: str, keys: list[str], batch: tuple[str, int] | None = None, order: str | None = None, gone: bool = False, buckets: int = BUCKETS, most_deltas: int = MOST_DELTAS) -> bool:
-    """Rows replace those of equal keys; gone: rows of these keys are deleted. False: the ledger has the batch already."""
+def merge(rows: DataFrame, path: str, keys: list[str], batch: tuple[str, int] | None = None, order: str | None = None, gone: bool = False, buckets: int = BUCKETS, most_deltas: int = MOST_DELTAS, at_most: int | None = None) -> bool:
+    """Rows replace those of equal keys; gone: rows of these keys are deleted; at_most: how many rows there may be, if known. False: the
+    ledger has the batch already."""
     spark = rows.sparkSession
     now = state(spark, path)
     if _applied(now, batch):
         return False
     buckets = now["buckets"] if now else buckets
+    names = rows.columns
+    # bucket and part follow from the keys, so rows are dealt once, for both their repeats and their files
+    tasks = [] if at_most is None else [1 + at_most // TASK_ROWS]
+    parts, dealt = max(1, 4 * tasks[0] // buckets) if tasks else PARTS, ("_bucket", "_part")
+    rows = rows.withColumn("_bucket", _bucket(keys, buckets)).withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.lit(parts)))
+    rows = rows.repartition(*tasks, *dealt)
     if order:
-        last = F.max_by(F.struct(*rows.columns), order).alias("_row")
-        one = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(last).select("_row.*")
+        last = F.max_by(F.struct(*names), order).alias("_row")
+        one = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), *dealt).agg(last).select("_row.*", "_bucket")
     else:
-        one = rows.dropDuplicates(keys)
+        one = rows.dropDuplicates([*keys, *dealt]).select(*names, "_bucket")
     folder = f"d{uuid.uuid4().hex}"
-    out = one.withColumn("_gone", F.lit(gone)).withColumn("_bucket", _bucket(keys, buckets))
-    out.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+    one.select(*names, F.lit(gone).alias("_gone"), "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+
+    kinds = one.select(*names).schema
 
     def change(at: dict | None) -> dict | None:
         if _applied(at, batch):
             return None
         at = at or {"keys": keys, "buckets": buckets, "schema": {"type": "struct", "fields": []}, "base": {}, "deltas": [], "ledger": {}}
-        schema = _widened(StructType.fromJson(at["schema"]), one.schema)
+        schema = _widened(StructType.fromJson(at["schema"]), kinds)
         return at | {"schema": json.loads(schema.json()), "deltas": [*at["deltas"], folder], "ledger": at["ledger"] | ({batch[0]: batch[1]} if batch else {})}
 
     after = _changed(spark, path, change)
@@ -139,11 +151,17 @@ def _of(spark: SparkSession, path: str, now: dict, only: list[int] | None = None
     new = reduce(DataFrame.unionByName, parts)
     if only is not None:
         new = new.filter(F.col("_bucket").isin(list(only)))
-    last = F.max_by(F.struct(*schema.names, "_gone"), "_at").alias("_row")
-    new = stored(new.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(last))
+    there = lambda rows: rows.filter("NOT _gone").select(*schema.names)
+    if len(parts) > 1:
+        # column by column: of numbers Spark sums this up by hashing, of whole rows by sorting
+        values = [c for c in [*schema.names, "_gone"] if c not in keys]
+        new = new.repartition(1 + new.count() // TASK_ROWS, *keys).groupBy(*keys).agg(*(F.max_by(c, "_at").alias(c) for c in values))
+    if not folders:
+        return there(new)
+    new = stored(new)
+    gone = new.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
-    old = base.join(small(new.select(*(f"_k{i}" for i in range(len(keys))))), same, "left_anti")
-    return old.unionByName(new.filter(~F.col("_row._gone")).select(*(F.col("_row")[c].alias(c) for c in schema.names)))
+    return base.join(small(gone), same, "left_anti").unionByName(there(new))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -214,21 +232,38 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
         fs.delete(_files(spark, f"{path}/log/{n:012d}.json")[1], False)
 
 
+def _end(rows: DataFrame, end: str, kind: str):
+    """An end of edges as an id's type; null where it can't be one."""
+    return F.col(end) if dict(rows.dtypes)[end] == kind else F.col(end).cast("string").try_cast(kind)
+
+
+def _ids(spark: SparkSession, path: str, kind: str, rows: DataFrame) -> DataFrame:
+    """The ids of a node table, as kind, in the buckets of the edges' ends (src, dst)."""
+    now = state(spark, path)
+    key = StructType.fromJson(now["schema"])[now["keys"][0]]
+    ends = F.explode(F.array(*(_end(rows, end, key.dataType.simpleString()) for end in ("src", "dst"))))
+    only = [r["b"] for r in rows.select(ends.alias("end")).select(_bucket(["end"], now["buckets"]).alias("b")).distinct().collect()]  # buckets at most
+    return _of(spark, path, now, only).select(F.col(key.name).cast(kind).alias("end"))
+
+
 def merge_graph(spark: SparkSession, folder: str, nodes: dict[str, DataFrame], edges: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
     """Merges nodes (by id) and edges (by src, dst) into a table for each label and type; edges whose ends no node table has are left
-    out. What is written follows the batch; of the nodes, the buckets of the edges' ends are read."""
+    out. What is written follows the batch; of the nodes, the buckets of the edges' ends are read. Ends and ids are compared in the ids'
+    type if all node tables have one, else as strings."""
     for label, rows in nodes.items():
         merge(rows, f"{folder}/nodes/{label}", ["id"], batch)
     fs, where = _files(spark, f"{folder}/nodes")
-    labels = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-    for kind, rows in edges.items():
-        rows = stored(rows)
-        ends = stored(rows.select(F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("end")).distinct())
-        there = [known(ends, f"{folder}/nodes/{label}", ["end"]) for label in labels]
-        there = stored(reduce(DataFrame.unionByName, there).distinct()) if there else ends.limit(0)
+    paths = [f"{folder}/nodes/{s.getPath().getName()}" for s in fs.listStatus(where)] if fs.exists(where) else []
+    paths = [p for p in paths if exists(spark, p)]
+    kinds = {StructType.fromJson(state(spark, p)["schema"])["id"].dataType.simpleString() for p in paths}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
+    for name, rows in edges.items():
+        rows = rows if hasattr(rows, "_stored_at") else stored(rows)
+        most, there = rows.count(), [_ids(spark, p, kind, rows) for p in paths]
+        there = small(stored(reduce(DataFrame.unionByName, there))) if there else spark.createDataFrame([], f"end {kind}")
         for end in ("src", "dst"):
-            rows = rows.join(small(stored(there)), F.col(end).cast("string") == F.col("end"), "left_semi")
-        merge(rows, f"{folder}/edges/{kind}", ["src", "dst"], batch)
+            rows = rows.join(there, _end(rows, end, kind) == F.col("end"), "left_semi")
+        merge(rows, f"{folder}/edges/{name}", ["src", "dst"], batch, at_most=most)
 
 
 def stream_into(stream: DataFrame, path: str, keys: list[str], source: str, checkpoint: str, order: str | None = None):

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import storage
 from sparkloom.operators import joins as J
 from sparkloom.operators import retrieval as R
 from sparkloom.sources import files as S
@@ -102,6 +103,33 @@ def test_graph_is_merged(spark, tmp_path):
     assert deltas.read(spark, f"{folder}/edges/MENTIONS").count() == 1 and deltas.read(spark, f"{folder}/nodes/Clause").count() == 2
 
 
+def test_graph_merges_deal_edges_once_and_read_without_sorting(spark, tmp_path, monkeypatch):
+    """Repeated and unknown ends, nulls, ids of several types; edges that are stored already aren't stored again, and a bucket is written
+    by several tasks."""
+    folder, kept = str(tmp_path / "g"), []
+    nodes = {"Clause": spark.range(2000).select("id", F.lit("x").alias("title"))}
+    edges = spark.range(6000).select((F.col("id") % 2500).alias("src"), F.when(F.col("id") % 7 > 0, F.col("id") % 1900).alias("dst"), (F.col("id") % 5).cast("int").alias("n"))
+    edges = storage.stored(edges.unionByName(edges))
+    want = {(r.src, r.dst): r.n for r in edges.collect() if r.dst is not None and r.src < 2000}
+    monkeypatch.setattr(deltas, "stored", lambda df: kept.append(df.columns) or storage.stored(df))
+    for _ in range(2):
+        deltas.merge_graph(spark, folder, nodes, {"CITES": edges})
+    assert all("src" not in columns for columns in kept)
+    found = deltas.read(spark, f"{folder}/edges/CITES")
+    assert {(r.src, r.dst): r.n for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    deltas.merge_graph(spark, folder, {"Entity": spark.createDataFrame([("e1",)], "id string")}, {"MENTIONS": spark.createDataFrame([("5", "e1"), ("5", "e2"), (None, "e1"), ("e1", "1999")], "src string, dst string")})
+    assert {tuple(r) for r in deltas.read(spark, f"{folder}/edges/MENTIONS").collect()} == {("5", "e1"), ("e1", "1999")}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        deltas.merge(edges.filter("dst IS NOT NULL"), str(tmp_path / "t"), ["src", "dst"], buckets=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(list((tmp_path / "t").glob("d*/_bucket=0/*.parquet"))) > 1 and deltas.read(spark, str(tmp_path / "t")).count() == len({(r.src, r.dst) for r in edges.filter("dst IS NOT NULL").collect()})
+
+
 def test_resume_marker(spark, tmp_path):
     marker = str(tmp_path / "done")
     files = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
