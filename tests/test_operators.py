@@ -1,6 +1,7 @@
 """Rules of single operators on small tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -327,6 +328,22 @@ def test_endpoints_of_whole_documents_are_not_shuffled(spark):
     assert found == sorted([*((1, "《甲税法》", c) for c in whole), (2, "《甲税法》第2条", "1"), (2, "《乙规》", ""), (3, "《甲税法》第77条", ""), *((3, "《甲税法》", c) for c in whole)])
 
 
+def test_endpoints_of_one_document_are_dealt_over_tasks(spark, monkeypatch):
+    for name, value in {"SLICE": 20, "MOST_SLICES": 8, "BLOCK": 10, "PART_BLOCKS": 2, "WHOLE_ROWS": 400}.items():
+        monkeypatch.setattr(G, name, value, raising=False)
+    schema = "clause_id string, ord long, doc_id string, title string, article long"
+    ids = [None, *map(str, range(60))]
+    clause_rows = spark.createDataFrame([(c, k, "a", "甲税法", None) for k, c in enumerate(ids)] + [("b1", 100, "b", "乙税法", None), ("c1", 101, "c", "丙税法", None)], schema)
+    texts = [(k, "见《甲税法》。") for k in range(300)] + [(1000, "见《丁规》，又见《乙税法》。"), (1001, "见《新甲税法》。")]
+    out = G.endpoints(spark.createDataFrame(texts, "sample_id long, text string"), clause_rows)
+    found = Counter((r["sample_id"], r["label"], r["clause_id"]) for r in out.collect())
+    want = [(k, "《甲税法》", c) for k in range(300) for c in ids] + [(1001, "《新甲税法》", c) for c in ids]
+    assert found == Counter([*want, (1000, "《丁规》", None), (1000, "《乙税法》", "b1")])
+    # all ask for one document, yet no task makes most of the rows
+    tasks = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert max(r["count"] for r in tasks) < len(want) / 4
+
+
 def test_review_chain_stores_no_roots_again(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(J, "stored", lambda df: seen.append(stored(df)) or seen[-1])
