@@ -342,6 +342,9 @@ def test_endpoints_of_one_document_are_dealt_over_tasks(spark, monkeypatch):
     # all ask for one document, yet no task makes most of the rows
     tasks = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert max(r["count"] for r in tasks) < len(want) / 4
+    blocks = G.endpoints(spark.createDataFrame(texts, "sample_id long, text string"), clause_rows, in_blocks=True)
+    assert Counter((r["sample_id"], r["label"], c) for r in blocks.collect() for c in r["ids"]) == found
+    assert blocks.agg(F.max(F.size("ids")).alias("n")).first()["n"] < 30
 
 
 def test_review_chain_stores_no_roots_again(spark, monkeypatch):
